@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, secrets
+from . import bpe, html_text, language, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": bpe.query,
+        "op3_language": language.query,
         "op7_secrets": secrets.query,
         "op8_html": html_text.query,
+        "op10_quality": quality.query,
     }
 
 
