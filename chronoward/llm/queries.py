@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, language, quality, secrets
+from . import bpe, html_text, language, quality, secrets, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": bpe.query,
         "op3_language": language.query,
+        "op4_topk": topk.query,
         "op7_secrets": secrets.query,
         "op8_html": html_text.query,
         "op10_quality": quality.query,
@@ -20,4 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_topk": topk.ORACLE,
+    }
