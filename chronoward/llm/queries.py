@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, language, quality, secrets, topk
+from . import bpe, html_text, language, near_dup, quality, secrets, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": bpe.query,
         "op3_language": language.query,
         "op4_topk": topk.query,
+        "op5_near_dup": near_dup.query,
         "op7_secrets": secrets.query,
         "op8_html": html_text.query,
         "op10_quality": quality.query,
