@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, language, near_dup, quality, secrets, topk
+from . import bpe, html_text, language, line_dedup, near_dup, quality, secrets, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dup": near_dup.query,
         "op7_secrets": secrets.query,
         "op8_html": html_text.query,
+        "op9_line_dedup": line_dedup.query,
         "op10_quality": quality.query,
     }
 
