@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, language, line_dedup, near_dup, quality, secrets, topk
+from . import bpe, decontaminate, html_text, language, line_dedup, near_dup, quality, secrets, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.query,
         "op2_bpe": bpe.query,
         "op3_language": language.query,
         "op4_topk": topk.query,
