@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, language, line_dedup, near_dup, quality, secrets, topk
+from . import bpe, decontaminate, html_text, language, line_dedup, near_dup, quality, secrets, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language": language.query,
         "op4_topk": topk.query,
         "op5_near_dup": near_dup.query,
+        "op6_substrings": substrings.query,
         "op7_secrets": secrets.query,
         "op8_html": html_text.query,
         "op9_line_dedup": line_dedup.query,
@@ -26,4 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_topk": topk.ORACLE,
+        # more columns than the SQL names follow in the query, so the SQL is held against it in the tests
     }
