@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import joining, projection
+
+MODULES = (projection, joining)
+
 
 def queries() -> dict:
-    return {}
+    return {name: case[0] for m in MODULES for name, case in m.CASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: case[1] for m in MODULES for name, case in m.CASES.items() if case[1]}
