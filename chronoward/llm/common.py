@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 WORD_CHARS = "[^\\x20\\x09-\\x0D]+"
 
@@ -24,20 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, so that a lost executor costs a reread, not a recomputation."""
+def written(df: DataFrame, label: str, **measures) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, so that a lost executor costs a reread, not a recomputation.
+
+    `measures` are aggregates taken while writing; the result has them as `measured`, and its folder as `folder`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    watch = Observation() if measures else None
+    source = df.observe(watch, *[e.alias(n) for n, e in measures.items()]) if measures else df
+    source.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder, out.measured = path, watch.get if measures else {}
+    return out
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by `written` once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0]) if df.inputFiles() else None
-    if path is not None:
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.folder)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def split_of(doc_id="doc_id", folds: int = 4):
