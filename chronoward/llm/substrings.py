@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import gram_hashes, prefix_hashes, range_hashes, signed, word_hashes, written
+from .common import dropped, gram_hashes, prefix_hashes, range_hashes, signed, word_hashes, written
 
 WINDOW, GRAM = 20, 5
 REACH = WINDOW - GRAM + 1  # grams of a window
@@ -151,20 +151,40 @@ def window_hashes(words: list) -> list[int]:
     return signed(gram_hashes(np.array(words, dtype=np.int64).view(np.uint64), WINDOW)).tolist()
 
 
-def settled(docs: DataFrame) -> DataFrame:
-    """doc_id, first and last removed word of stretches to be removed."""
+def settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stretches (doc_id, first and last word) whose passage has an equal one before it; and the first occurrences of
+    passages that share a fingerprint with different ones, to be compared window by window."""
     found = written(fingerprints(docs), "fingerprints")
+    # most fingerprints occur once and leave here
+    twice = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    shared = written(found.join(twice, "fp"), "shared-fingerprints")
+    dropped(found)
     here = F.struct("doc_id", "place")
-    by_passage = found.groupBy("fp", "passage").agg(F.min(here).alias("first"), F.count("*").alias("n"))
-    # fingerprints that occur once are gone here: the rest are the shards
-    by_print = by_passage.groupBy("fp").agg(F.count("*").alias("passages"), F.sum("n").alias("n")).where("n > 1").select("fp", "passages")
-    shared = written(by_passage.join(by_print, "fp"), "shared-passages")
-    repeated = shared.where("n > 1").select("fp", "passage", "first")
-    again = found.join(repeated, ["fp", "passage"]).where(here != F.col("first"))
-    equal = again.select("doc_id", F.shiftright("place", 5).cast("int").alias("a"), (F.shiftright("place", 5) + F.pmod("place", F.lit(32)) + WINDOW - 1).cast("int").alias("b"))
-    # several passages around one fingerprint: only their first occurrences need comparing, window by window
-    several = shared.where("passages > 1").select("fp", "passages", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
-    return equal, written(several, "several-passages")
+    passages = written(shared.groupBy("fp", "passage").agg(F.min(here).alias("first"), F.count("*").alias("n")), "passages")
+    again = shared.join(passages.where("n > 1").select("fp", "passage", "first"), ["fp", "passage"]).where(here != F.col("first"))
+    start = F.shiftright("place", 5)
+    equal = again.select("doc_id", start.cast("int").alias("a"), (start + F.col("place").bitwiseAND(F.lit(31)) + WINDOW - 1).cast("int").alias("b"))
+    kinds = passages.groupBy("fp").agg(F.count("*").alias("passages")).where("passages > 1")
+    several = passages.join(kinds, "fp").select("fp", "passages", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
+    return equal, several
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, for bounded memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def fields(column: pa.ListArray) -> list[np.ndarray]:
+    """The fields of a column of lists of structs of integers, end to end; null lists count as empty."""
+    flat = column.flatten()
+    return [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(flat.type.num_fields)]
+
+
+def list_ends(column: pa.ListArray) -> list[int]:
+    """Where each list ends in the flattened column."""
+    return np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False).astype(float))).astype(int).tolist()
 
 
 def with_words(docs: DataFrame, several: DataFrame) -> DataFrame:
@@ -172,16 +192,20 @@ def with_words(docs: DataFrame, several: DataFrame) -> DataFrame:
     wanted = several.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "passages", "place")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, wanted_ in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for batch in slices(batches):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            fps, passages, places, ends = *fields(batch.column(2)), list_ends(batch.column(2))
+            out, at = [[], [], [], [], []], 0
+            for doc_id, text, end in zip(ids, texts, ends):
                 words = signed(word_hashes((text or "").encode())[0])
-                for x in wanted_:
-                    start, more = x["place"] >> 5, x["place"] & 31
-                    if start + more + WINDOW <= len(words):
-                        rows.append((x["fp"], x["passages"], doc_id, start, words[start : start + more + WINDOW]))
+                first = places[at:end] >> 5
+                last = first + (places[at:end] & 31) + WINDOW
+                ok = np.flatnonzero(last <= len(words))
+                for column, values in zip(out, (fps[at:end][ok], passages[at:end][ok], np.full(len(ok), doc_id), first[ok], [words[a:b] for a, b in zip(first[ok], last[ok])])):
+                    column.extend(values)
+                at = end
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["fp", "passages", "doc_id", "start", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["fp", "passages", "doc_id", "start", "words"])
 
     return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "fp long, passages long, doc_id long, start long, words array<long>")
 
@@ -193,7 +217,7 @@ def by_automata(passages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
-        for batch in batches:
+        for batch in slices(batches, 2_000):
             rows, out = zip(*(batch.column(k).to_pylist() for k in range(5))), []
             for fp, shard, doc, start, words in rows:
                 if (fp, shard) != key:
@@ -226,20 +250,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spans = removed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for batch in slices(batches):
+            rows, at = [], 0
+            firsts, lasts = fields(batch.column(2))
+            for text, end in zip(batch.column(1).to_pylist(), list_ends(batch.column(2))):
                 words = (text or "").encode().split()  # of bytes: at space and tab to carriage return alone
-                keep = np.ones(len(words) + 1, dtype=bool)
-                merged: list[list[int]] = []
-                for x in sorted(gone or [], key=lambda x: (x["a"], x["b"])):
-                    keep[x["a"] : x["b"] + 1] = False
-                    if merged and x["a"] <= merged[-1][1] + 1:
-                        merged[-1][1] = max(merged[-1][1], x["b"])
-                    else:
-                        merged.append([x["a"], x["b"]])
-                kept = [w for w, k in zip(words, keep) if k]
+                steps = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(steps, firsts[at:end], 1)
+                np.add.at(steps, lasts[at:end] + 1, -1)
+                gone = np.cumsum(steps)[:-1] > 0
+                kept = [words[i] for i in np.flatnonzero(~gone)]
+                edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
+                merged = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1], axis=1).tolist()
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), merged))
+                at = end
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
