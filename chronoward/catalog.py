@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import joining, projection
+from .plans import aggregating, domain, joining, ordered, projection, statistics
 
-MODULES = (projection, joining)
+MODULES = (projection, joining, aggregating, ordered, domain, statistics)
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 FLAGS = ("_on_event", "_off_event", "_stop_event")
 
@@ -40,9 +40,7 @@ def confirm(on: Sequence[bool], stop: Sequence[bool], minutes: Sequence[float],
 
 def consensus_events(df: DataFrame, by: str, time: str, on: str, stop: str, on_window: float = 15, off_window: float = 30, tiebreak: Sequence[str] = ()) -> DataFrame:
     """`df` with 0/1 columns _on_event, _off_event and _stop_event; one grouped pass, entity by entity."""
-    schema = df.schema
-    for name in FLAGS:
-        schema = schema.add(name, "int")
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.IntegerType()) for name in FLAGS]])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([time, *tiebreak], kind="stable")
