@@ -93,15 +93,15 @@ def random_effects(rows: DataFrame, keys: Sequence[str], effect: str, variance:
     ok = rows.where(F.col(effect).isNotNull() & ~F.isnan(effect) & (F.col(variance) > 0) & ~F.isnan(variance))
     w = 1.0 / F.col(variance)
     y = F.col(effect)
-    fixed = ok.groupBy(*keys).agg(F.count("*").alias("k"), F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"), F.sum(w * y).alias("swy"), F.sum(w * y * y).alias("swy2"))
-    q = F.greatest(F.lit(0.0), F.col("swy2") - F.col("swy") * F.col("swy") / F.col("sw"))
-    c = F.col("sw") - F.col("sw2") / F.col("sw")
-    fixed = fixed.withColumn("Q", q).withColumn("tau2", F.when(c > 0, F.greatest(F.lit(0.0), (F.col("Q") - (F.col("k") - 1)) / c)).otherwise(0.0))
-    again = ok.join(fixed, list(keys)).withColumn("_w", 1.0 / (F.col(variance) + F.col("tau2")))
-    pooled = again.groupBy(*keys).agg(F.first("k").alias("n_studies"), F.first("Q").alias("Q"), F.first("tau2").alias("tau2"), F.sum("_w").alias("w"), F.sum(F.col("_w") * y).alias("wy"))
+    fixed = ok.groupBy(*keys).agg(F.count("*").alias("_k"), F.sum(w).alias("_sw"), F.sum(w * w).alias("_sw2"), F.sum(w * y).alias("_swy"), F.sum(w * y * y).alias("_swy2"))
+    q = F.greatest(F.lit(0.0), F.col("_swy2") - F.col("_swy") * F.col("_swy") / F.col("_sw"))
+    c = F.col("_sw") - F.col("_sw2") / F.col("_sw")
+    fixed = fixed.withColumn("Q", q).withColumn("tau2", F.when(c > 0, F.greatest(F.lit(0.0), (F.col("Q") - (F.col("_k") - 1)) / c)).otherwise(0.0))
+    again = ok.join(fixed, list(keys)).withColumn("_weight", 1.0 / (F.col(variance) + F.col("tau2")))
+    pooled = again.groupBy(*keys).agg(F.first("_k").alias("n_studies"), F.first("Q").alias("Q"), F.first("tau2").alias("tau2"), F.sum("_weight").alias("_w"), F.sum(F.col("_weight") * y).alias("_wy"))
     two = F.col("n_studies") >= 2
     out = {
-        "pooled": F.col("wy") / F.col("w"), "se": F.sqrt(1.0 / F.col("w")), "tau2": F.col("tau2"), "Q": F.col("Q"),
+        "pooled": F.col("_wy") / F.col("_w"), "se": F.sqrt(1.0 / F.col("_w")), "tau2": F.col("tau2"), "Q": F.col("Q"),
         "I2": F.when(F.col("Q") > 0, F.greatest(F.lit(0.0), (F.col("Q") - (F.col("n_studies") - 1)) / F.col("Q")) * 100.0).otherwise(0.0),
     }
     done = pooled.select(*keys, "n_studies", *[F.when(two, e).alias(n) for n, e in out.items()])

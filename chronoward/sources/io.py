@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -80,7 +79,7 @@ def write_aggregate_csv(df: DataFrame, path: str, most_rows: int = 100_000) -> N
 
 def to_json(df: DataFrame, most_rows: int = 10_000) -> str:
     """A small aggregate as a JSON list."""
-    rows = df.limit(most_rows + 1).toJSON().collect() if hasattr(df, "toJSON") else [json.dumps(r.asDict(recursive=True), default=str) for r in df.limit(most_rows + 1).collect()]
+    rows = [r[0] for r in df.limit(most_rows + 1).select(F.to_json(F.struct("*"))).collect()]
     if len(rows) > most_rows:
         raise ValueError("only aggregates are written as JSON")
     return "[" + ",".join(rows) + "]"
