@@ -20,8 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Words whose encoding one task remembers, rows of one recursion with all its steps, ids decoded by one query.
-CACHE_WORDS, RECURSION_ROWS, DECODE_IDS = 600_000, 3_000_000, 500_000
+#: Words whose encoding a Python worker remembers over its tasks, rows of one recursion with all its steps, ids decoded by one query.
+CACHE_WORDS, RECURSION_ROWS, DECODE_IDS = 1_000_000, 3_000_000, 500_000
 
 STEP = """
 WITH RECURSIVE state(step, w, pos, npos, id, nid) AS (
@@ -106,22 +106,18 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.split.findall(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        cache = self.cache
-        new = {w for words in split for w in words if w not in cache}
-        if new:
-            todo = []
-            for w in new:
-                raw = w.encode()
-                if (whole := self.ranks.get(raw)) is not None:
-                    cache[w] = whole.to_bytes(4, "little")
-                else:
-                    todo.append((w, raw))
-            for (w, _), ids in zip(todo, self.merge([raw for _, raw in todo])):
-                cache[w] = ids
-        return [b"".join([cache[w] for w in words]) for words in split]
+            self.cache.clear()
+        split = [self.split.findall(t) for t in texts]
+        todo = {w: w.encode() for w in set().union(*split).difference(self.cache)}
+        hard = []
+        for w, raw in todo.items():
+            if (whole := self.ranks.get(raw)) is not None:
+                self.cache[w] = whole.to_bytes(4, "little")
+            else:
+                hard.append(w)
+        self.cache.update(zip(hard, self.merge([todo[w] for w in hard])))
+        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each sequence of ids stands for."""
@@ -148,6 +144,17 @@ class Codec:
         self.db.unregister("given")
 
 
+_CODECS: dict[tuple, Codec] = {}
+
+
+def codec_of(ranks: dict[bytes, int], pattern: str, key: str) -> Codec:
+    """The codec of this Python worker, kept from task to task with the words that it has seen."""
+    if (key, pattern) not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key, pattern] = Codec(ranks, pattern)
+    return _CODECS[key, pattern]
+
+
 def batches(texts: list[str | None], most: int = 1_500_000) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about `most` characters together (a longer text stands alone), with the place of the first."""
     first, group, size = 0, [], 0
@@ -167,12 +174,13 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
     Only doc_id and text are read, so other columns of any name do no harm. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file: its size does not depend on the data
+    table = read_ranks(ranks_path)
+    key = hashlib.sha256(b"\n".join(b"%d %b" % (r, t) for t, r in table.items())).hexdigest()
+    ranks = spark.sparkContext.broadcast(table)  # a vocabulary file: its size does not depend on the data
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for batch in batches_in:
-            codec = codec or Codec(ranks.value, pattern)
+            codec = codec_of(ranks.value, pattern, key)
             texts, rows = batch.column(1).to_pylist(), []
             for _, group in batches(texts):
                 encoded = codec.encode(group)

@@ -27,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_topk": topk.ORACLE,
-        # more columns than the SQL names follow in the query, so the SQL is held against it in the tests
+        "op5_near_dup": near_dup.ORACLE,
+        "op6_substrings": substrings.ORACLE,
     }

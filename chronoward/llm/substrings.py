@@ -272,7 +272,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("removed")
 
 
 ORACLE = """
