@@ -27,18 +27,21 @@ def utc_clock(instant: Column) -> Column:
     return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
-def from_local(local: Column, site_tz: str) -> Column:
-    """UTC clock of a naive local time: the later instant of a repeated hour, the next valid time in a skipped one.
+def from_local(local: Column, site_tz: str, repeated: str = "later", skipped: str = "shift") -> Column:
+    """UTC clock of a naive local time, with a rule for times that come twice and times that do not exist.
 
-    A time that comes twice in autumn means the second pass (standard time). A time that does not exist in spring moves
-    to the end of the gap; this holds for gaps of one hour that begin on the hour.
+    A repeated hour in autumn means its `later` pass (standard time) or its `earlier` one. A skipped time in spring moves
+    to the end of the gap (`shift`) or becomes null (`null`); the shift holds for gaps of one hour that begin on the hour.
     """
+    if repeated not in ("later", "earlier") or skipped not in ("shift", "null"):
+        raise ValueError("repeated is later or earlier, skipped is shift or null")
     once = F.convert_timezone(F.lit(site_tz), F.lit("UTC"), local)
     back = F.convert_timezone(F.lit("UTC"), F.lit(site_tz), once)
     later = once + F.expr("INTERVAL 1 HOUR")
     again = F.convert_timezone(F.lit("UTC"), F.lit(site_tz), later)
     gap = F.convert_timezone(F.lit(site_tz), F.lit("UTC"), F.date_trunc("hour", back).cast("timestamp_ntz"))
-    return F.when(back != local, gap).when(again == local, later).otherwise(once)
+    first = F.when(back != local, gap if skipped == "shift" else F.lit(None).cast("timestamp_ntz"))
+    return (first.when(again == local, later) if repeated == "later" else first).otherwise(once)
 
 
 def coerce_times(df: DataFrame, names: Iterable[str], site_tz: str | None) -> DataFrame:
@@ -57,6 +60,16 @@ def coerce_times(df: DataFrame, names: Iterable[str], site_tz: str | None) -> Da
     return df.withColumns(out)
 
 
+def standardize_times(df: DataFrame, names: Iterable[str], site_tz: str, unit: str = "microsecond", repeated: str = "earlier", skipped: str = "null") -> DataFrame:
+    """Time columns as UTC clocks cut to one unit, so that columns of different precision compare and join."""
+    out = {}
+    for c in (c for c in names if c in df.columns):
+        local = isinstance(df.schema[c].dataType, T.TimestampNTZType)
+        clock = from_local(F.col(c), site_tz, repeated, skipped) if local else utc_clock(F.col(c))
+        out[c] = F.date_trunc(unit, clock).cast("timestamp_ntz")
+    return df.withColumns(out)
+
+
 def add_local_hour(df: DataFrame, name: str, site_tz: str) -> DataFrame:
     """_dh (local clock, floored to the hour) and _hr of a UTC clock column."""
     local = F.convert_timezone(F.lit("UTC"), F.lit(site_tz), F.col(name))

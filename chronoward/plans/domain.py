@@ -266,6 +266,10 @@ def f38(s, d):
     return L.add_local_hour(ev(s, d).select("event_id", "ts"), "ts", "America/Chicago").select("event_id", "_dh", "_hr")
 
 
+def f39(s, d):
+    return L.standardize_times(ev(s, d).select("event_id", "ts"), ["ts", "absent"], "America/Chicago", "minute").select("event_id", F.col("ts").alias("utc"))
+
+
 def f40(s, d):
     e = ev(s, d).select("event_id", F.when(F.col("event_type") == "click", F.col("value")).alias("num"), F.when(F.col("event_type") == "view", F.floor("value").cast("string")).otherwise("n/a").alias("txt"), F.when(F.col("value") > 50, "imv").otherwise("room air").alias("dev"))
     return e.select("event_id", C.number_else_text(F.col("num"), "txt").alias("v"), C.lookup(F.col("dev"), Z.DEVICE_RANK).alias("rank"))
@@ -364,6 +368,7 @@ CASES = {
     "f36_naive_to_utc": (f36, "SELECT event_id, ts + INTERVAL 6 HOUR AS utc FROM events"),
     "f37_instants_to_utc": (f37, "SELECT event_id, ts AS utc FROM events"),
     "f38_local_hour": (f38, "SELECT event_id, date_trunc('hour', ts - INTERVAL 6 HOUR) AS _dh, CAST(hour(ts - INTERVAL 6 HOUR) AS INTEGER) AS _hr FROM events"),
+    "f39_standardize_times": (f39, "SELECT event_id, date_trunc('minute', ts + INTERVAL 6 HOUR) AS utc FROM events"),
     "f40_number_else_text": (f40, "SELECT event_id, CASE WHEN event_type = 'click' THEN value WHEN event_type = 'view' THEN floor(value) END AS v, CASE WHEN value > 50 THEN 1 ELSE 9 END AS rank FROM events"),
     "f41_plausible": (f41, "SELECT event_type, count(*) FILTER (WHERE value BETWEEN 50 AND 100) AS n_kept, count(*) AS n FROM events GROUP BY 1"),
     "f42_sofa_windowed": (f42, f"WITH w AS (SELECT user_id, min(ts) AS w0 FROM events WHERE event_type = 'signup' GROUP BY 1), x AS ({EXT.format(j='JOIN w USING (user_id) WHERE ts BETWEEN w0 AND w0 + INTERVAL 72 HOUR')}) SELECT user_id, coalesce({COAG}, 0) AS sofa_coag, coalesce({LIVER}, 0) AS sofa_liver, coalesce({RENAL}, 0) AS sofa_renal, coalesce({COAG}, 0) + coalesce({LIVER}, 0) + coalesce({RENAL}, 0) AS sofa_total FROM x"),

@@ -17,6 +17,11 @@ def a02(s, d):
     return io.read_table(s, f"{d}/events.parquet", ["event_id", "user_id", "event_type"], {"event_type": ["click", "purchase"]})
 
 
+def a05(s, d):
+    """A sampled load: the limit is the feature."""
+    return io.read_table(s, f"{d}/events.parquet", ["event_id"], sample=100)
+
+
 def a06(s, d):
     return io.read_entity(s, f"{d}/events.parquet", "user_id", 7).select("event_id", "user_id", "value")
 
@@ -145,6 +150,7 @@ def b19(s, d):
 CASES = {
     "a01_scan": (a01, "SELECT l_orderkey, l_quantity, l_discount FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_discount > 0.05"),
     "a02_load": (a02, "SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('click','purchase')"),
+    "a05_sample": (a05, None),
     "a06_entity": (a06, "SELECT event_id, user_id, value FROM events WHERE user_id = 7"),
     "a07_coverage": (a07, "SELECT count(*) AS n_cohort, count(o.k) AS n_covered, round(count(o.k)/count(*), 4) AS ratio FROM (SELECT DISTINCT c_custkey FROM customer) c LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON o.k = c.c_custkey"),
     "a14_site_labels": (a14, "SELECT r_name, 'Site ' || chr(CAST(64 + row_number() OVER (ORDER BY r_name) AS INTEGER)) AS label FROM (SELECT DISTINCT r_name FROM region)"),

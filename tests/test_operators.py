@@ -47,6 +47,19 @@ def test_naive_times_to_utc(spark):
         L.coerce_times(df, ["t"], None)
 
 
+def test_other_clock_rules(spark):
+    df = ntz(spark, [(D(2019, 11, 3, 1, 30, 20),), (D(2024, 3, 10, 2, 30),)], "t timestamp_ntz")
+    assert [r["t"] for r in L.standardize_times(df, ["t"], "US/Central", "minute").collect()] == [D(2019, 11, 3, 6, 30), None]
+    with pytest.raises(ValueError):
+        L.from_local(F.col("t"), "US/Central", "never")
+
+
+def test_night_windows_over_clock_changes(spark):
+    df = ntz(spark, [("h", D(2024, 3, 9, 18), D(2024, 3, 11, 18)), ("g", D(2024, 11, 2, 17), D(2024, 11, 4, 18))], "id string, a timestamp_ntz, b timestamp_ntz")
+    rows = {(r["id"], r["night_start"]): (r["night_end"] - r["night_start"]).total_seconds() / 3600 for r in L.night_windows(df, "id", "a", "b", "America/Chicago").collect()}
+    assert rows["h", D(2024, 3, 10, 1)] == 11 and rows["g", D(2024, 11, 3, 0)] == 13 and len(rows) == 4
+
+
 def test_instants_to_utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
