@@ -98,8 +98,8 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.zeros(len(raw) + 2, dtype=np.int8)
     inside[1:-1] = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.flatnonzero(np.diff(inside))
+    return edge[::2], edge[1::2]
 
 
 def word_hashes(data: bytes, lowered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
