@@ -108,12 +108,12 @@ def _grid(s, d):
 
 
 def f13(s, d):
-    doses = ev(s, d).where("event_type = 'purchase' AND user_id < 40")
+    doses = ev(s, d).where("event_type = 'purchase'")
     return G.long_exposure_days(doses, _grid(s, d).select("user_id", "event_dttm", "_nth_day"), "user_id", "ts", "value", "_nth_day", 6000.0, ["event_id"]).select("user_id", "_nth_day", r("total_minutes", 2).alias("total_minutes"))
 
 
 def _meds(s, d):
-    return ev(s, d).where("user_id < 40 AND event_type <> 'signup'").select("user_id", "event_id", F.col("ts").alias("admin_dttm"), F.when(F.pmod("event_id", F.lit(2)) == 0, "propofol").otherwise("fentanyl").alias("med_category"), (F.col("value") / 10).alias("med_dose"), F.when(F.col("event_type") == "error", "stop").otherwise("going").alias("mar_action_category"))
+    return ev(s, d).where("event_type <> 'signup'").select("user_id", "event_id", F.col("ts").alias("admin_dttm"), F.when(F.pmod("event_id", F.lit(2)) == 0, "propofol").otherwise("fentanyl").alias("med_category"), (F.col("value") / 10).alias("med_dose"), F.when(F.col("event_type") == "error", "stop").otherwise("going").alias("mar_action_category"))
 
 
 def f14(s, d):
@@ -164,7 +164,7 @@ def f20(s, d):
 
 
 def f21(s, d):
-    x = ev(s, d).where("user_id < 40").select("user_id", "ts", "event_id", (F.col("value") > 50).alias("imv"), (F.col("value") > 99.5).alias("trach"))
+    x = ev(s, d).select("user_id", "ts", "event_id", (F.col("value") > 50).alias("imv"), (F.col("value") > 99.5).alias("trach"))
     return machine.consensus_events(x, "user_id", "ts", "imv", "trach", 15, 30, ["event_id"]).select("event_id", *machine.FLAGS)
 
 
@@ -247,7 +247,7 @@ def f34(s, d):
 
 
 def f35(s, d):
-    base = R.scaffold(ev(s, d).where("user_id < 20").select("user_id", F.to_date("ts").alias("day")).distinct(), s.createDataFrame([("click",), ("view",)], "event_type string"))
+    base = R.scaffold(ev(s, d).select("user_id", F.to_date("ts").alias("day")).distinct(), s.createDataFrame([("click",), ("view",)], "event_type string"))
     mean = ev(s, d).groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(r(F.avg("value")).alias("mean_value"))
     return S.forward_fill(base.join(mean, ["user_id", "day", "event_type"], "left"), ["mean_value"], ["user_id", "event_type"], ["day"])
 
@@ -309,10 +309,10 @@ PS, PEEP = "CASE WHEN event_id % 3 = 0 THEN 6.0 END", "CASE WHEN event_id % 2 =
 BROAD = f"CAST(CASE WHEN {PIECE} THEN 1 WHEN {SUP} AND coalesce({PEEP}, 999) <= 8 AND coalesce({PS}, 0) <= 8 THEN 1 ELSE 0 END AS INTEGER)"
 UNIT = "CASE p_partkey % 5 WHEN 0 THEN 'mcg/kg/min' WHEN 1 THEN 'mg/hr' WHEN 2 THEN 'MCG / min' WHEN 3 THEN 'mg/kg/h' ELSE 'units/hr' END"
 CONV = f"SELECT p_partkey, {UNIT} AS unit, CASE WHEN p_partkey % 5 = 4 THEN 'unknown mass' WHEN p_partkey % 5 IN (1, 2) AND p_size <= 10 THEN 'missing weight' ELSE 'success' END AS convert_status, CASE p_partkey % 5 WHEN 0 THEN p_retailprice WHEN 1 THEN CASE WHEN p_size > 10 THEN p_retailprice * 1000 / 60 / p_size END WHEN 2 THEN CASE WHEN p_size > 10 THEN p_retailprice / p_size END WHEN 3 THEN p_retailprice * 1000 / 60 ELSE p_retailprice END AS dose_converted FROM part"
-MEDS = "SELECT user_id, event_id, ts AS admin_dttm, CASE WHEN event_id % 2 = 0 THEN 'propofol' ELSE 'fentanyl' END AS med_category, value / 10 AS med_dose, CASE WHEN event_type = 'error' THEN 'stop' ELSE 'going' END AS mar FROM events WHERE user_id < 40 AND event_type <> 'signup'"
+MEDS = "SELECT user_id, event_id, ts AS admin_dttm, CASE WHEN event_id % 2 = 0 THEN 'propofol' ELSE 'fentanyl' END AS med_category, value / 10 AS med_dose, CASE WHEN event_type = 'error' THEN 'stop' ELSE 'going' END AS mar FROM events WHERE event_type <> 'signup'"
 DEDUP = f"SELECT * FROM ({MEDS}) QUALIFY row_number() OVER (PARTITION BY user_id, admin_dttm, med_category ORDER BY CASE mar WHEN 'stop' THEN 8 ELSE 7 END, CASE WHEN med_dose > 0 THEN 1 ELSE 2 END, med_dose DESC NULLS LAST, event_id) = 1"
 CONT = f"""WITH m AS (SELECT user_id, admin_dttm AS t, med_category AS c, CASE WHEN mar = 'stop' THEN 0.0 ELSE med_dose END AS x FROM ({DEDUP})),
-b AS (SELECT user_id, date_trunc('hour', a + INTERVAL 48 HOUR) AS f, date_trunc('hour', b) AS l FROM (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE user_id < 40 GROUP BY 1) WHERE a + INTERVAL 48 HOUR < b),
+b AS (SELECT user_id, date_trunc('hour', a + INTERVAL 48 HOUR) AS f, date_trunc('hour', b) AS l FROM (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1) WHERE a + INTERVAL 48 HOUR < b),
 g AS (SELECT user_id, unnest(generate_series(f, l, INTERVAL 1 HOUR)) AS t FROM b),
 ins AS (SELECT m.* FROM m JOIN b USING (user_id) WHERE t >= f AND t < l + INTERVAL 1 HOUR),
 st AS (SELECT b.user_id, b.f AS t, c, arg_max(x, m.t) AS x FROM b JOIN m ON m.user_id = b.user_id AND m.t < b.f GROUP BY 1, 2, 3),
@@ -342,7 +342,7 @@ CASES = {
     "f10_fio2_from_flow": (f10, "SELECT event_id, dev AS device, CAST(round(CASE WHEN event_type = 'click' THEN value / 100 WHEN dev = 'room air' THEN 0.21 WHEN dev = 'nasal cannula' AND event_type = 'purchase' AND round_even(value / 8, 0) BETWEEN 1 AND 10 THEN 0.20 + 0.04 * round_even(value / 8, 0) END, 4) AS DOUBLE) AS fio2 FROM (SELECT *, CASE WHEN value > 60 THEN 'imv' WHEN value > 40 THEN 'nasal cannula' WHEN value > 30 THEN 'room air' WHEN value BETWEEN 20 AND 30 THEN 'imv' END AS dev FROM events)"),
     "f11_exclusions": (f11, "WITH k AS (SELECT * FROM events WHERE event_type = 'click' AND value BETWEEN 5 AND 95), a AS (SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM k)), j AS (SELECT user_id FROM (SELECT user_id, abs(value - lag(value) OVER w) AS dv, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dt FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE dt < 24 * 3600000000 GROUP BY 1 HAVING max(dv) > 60), s AS (SELECT user_id FROM k GROUP BY 1 HAVING max(value) - min(value) > 88) SELECT user_id, 'no_valid_value' AS reason FROM a UNION ALL SELECT user_id, 'jump' FROM j UNION ALL SELECT user_id, 'range' FROM s WHERE user_id NOT IN (SELECT user_id FROM j)"),
     "f12_flow": (f12, "WITH n AS (SELECT count(*) AS a, count(*) FILTER (WHERE o_orderstatus = 'F') AS b, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 100000) AS c, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 100000 AND o_orderpriority = '1-URGENT') AS d FROM orders) SELECT 0 AS step, 'all' AS label, a AS n_remaining, CAST(0 AS BIGINT) AS n_excluded FROM n UNION ALL SELECT 1, 'filled', b, a - b FROM n UNION ALL SELECT 2, 'large', c, b - c FROM n UNION ALL SELECT 3, 'urgent', d, c - d FROM n"),
-    "f13_long_exposure": (f13, f"WITH x AS (SELECT user_id, ts, value, (coalesce(lead(epoch_us(ts)) OVER w, epoch_us(ts)) - epoch_us(ts)) / 60000000.0::DOUBLE AS m FROM events WHERE event_type = 'purchase' AND user_id < 40 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT g.user_id, g._nth_day, round(sum(CASE WHEN x.value > 0 THEN x.m ELSE 0 END), 2) AS total_minutes FROM ({SHIFT}) g ASOF LEFT JOIN x ON g.user_id = x.user_id AND g.event_dttm >= x.ts GROUP BY 1, 2 HAVING sum(CASE WHEN x.value > 0 THEN x.m ELSE 0 END) > 6000"),
+    "f13_long_exposure": (f13, f"WITH x AS (SELECT user_id, ts, value, (coalesce(lead(epoch_us(ts)) OVER w, epoch_us(ts)) - epoch_us(ts)) / 60000000.0::DOUBLE AS m FROM events WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT g.user_id, g._nth_day, round(sum(CASE WHEN x.value > 0 THEN x.m ELSE 0 END), 2) AS total_minutes FROM ({SHIFT}) g ASOF LEFT JOIN x ON g.user_id = x.user_id AND g.event_dttm >= x.ts GROUP BY 1, 2 HAVING sum(CASE WHEN x.value > 0 THEN x.m ELSE 0 END) > 6000"),
     "f14_continuous": (f14, CONT),
     "f15_bolus": (f15, f"SELECT user_id, date_trunc('hour', admin_dttm) AS event_dttm, round(sum(med_dose) FILTER (WHERE med_category = 'propofol'), 4) AS propofol_bolus, round(sum(med_dose) FILTER (WHERE med_category = 'fentanyl'), 4) AS fentanyl_bolus FROM ({DEDUP}) GROUP BY 1, 2"),
     "f16_equivalents": (f16, f"SELECT user_id, round(coalesce(click, 0) + 50 * coalesce(view, 0), 3) AS opioid, round(coalesce(error, 0) * (2.0::DOUBLE / 60), 3) AS benzo FROM ({PIV.format(f='sum')})"),
@@ -362,9 +362,9 @@ CASES = {
     "f30_model_input": (f30, f"SELECT * FROM (SELECT x.*, n_stay, lead(bad) OVER (PARTITION BY x.user_id ORDER BY day) AS bad_next_day FROM ({DAYQ}) x JOIN (SELECT user_id, count(*) AS n_stay FROM events GROUP BY 1) s USING (user_id)) WHERE day > 0 AND bad_next_day IS NOT NULL"),
     "f31_funnel_audit": (f31, "WITH p AS (SELECT user_id, max(CAST(event_type = 'error' AS INTEGER)) AS a, max(CAST(event_type = 'error' AND value > 50 AS INTEGER)) AS b, first(event_type ORDER BY ts, event_id) AS first_type FROM events GROUP BY 1) SELECT first_type, CASE WHEN a = 1 AND b = 1 THEN 'both' WHEN a = 1 THEN 'first only' ELSE 'none' END AS class, count(*) AS n FROM p GROUP BY 1, 2"),
     "f32_audit": (f32, "SELECT 'values' AS section, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value, 'rows' AS unit FROM events UNION ALL SELECT 'values', 'entities', CAST(count(DISTINCT user_id) AS DOUBLE), 'entities' FROM events UNION ALL SELECT 'values', 'share_over_50', round(avg(CAST(value > 50 AS INTEGER)), 4), 'share' FROM events UNION ALL SELECT 'values', 'median', round(median(value), 4), 'value' FROM events"),
-    "f33_night_windows": (f33, "WITH b AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE user_id < 40 GROUP BY 1), n AS (SELECT user_id, a, b, unnest(generate_series(CAST(CAST(a - INTERVAL 6 HOUR AS DATE) - 1 AS TIMESTAMP), CAST(CAST(b - INTERVAL 6 HOUR AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM b) SELECT user_id, d + INTERVAL 25 HOUR AS night_start, d + INTERVAL 37 HOUR AS night_end FROM n WHERE d + INTERVAL 25 HOUR < b AND d + INTERVAL 37 HOUR > a"),
+    "f33_night_windows": (f33, "WITH b AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1), n AS (SELECT user_id, a, b, unnest(generate_series(CAST(CAST(a - INTERVAL 6 HOUR AS DATE) - 1 AS TIMESTAMP), CAST(CAST(b - INTERVAL 6 HOUR AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM b) SELECT user_id, d + INTERVAL 25 HOUR AS night_start, d + INTERVAL 37 HOUR AS night_end FROM n WHERE d + INTERVAL 25 HOUR < b AND d + INTERVAL 37 HOUR > a"),
     "f34_events_long": (f34, "SELECT user_id, ts AS at, 'failure' AS kind, event_type AS label FROM events WHERE event_type = 'error' UNION ALL SELECT user_id, ts, 'large', event_type FROM events WHERE event_type = 'purchase' AND value > 80 UNION ALL SELECT user_id, ts, 'extreme', event_type FROM events WHERE value > 99"),
-    "f35_hourly_means": (f35, "WITH g AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, c AS event_type FROM events, (VALUES ('click'), ('view')) v(c) WHERE user_id < 20), m AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2, 3) SELECT user_id, day, event_type, last_value(mean_value IGNORE NULLS) OVER (PARTITION BY user_id, event_type ORDER BY day ROWS UNBOUNDED PRECEDING) AS mean_value FROM g LEFT JOIN m USING (user_id, day, event_type)"),
+    "f35_hourly_means": (f35, "WITH g AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, c AS event_type FROM events, (VALUES ('click'), ('view')) v(c)), m AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2, 3) SELECT user_id, day, event_type, last_value(mean_value IGNORE NULLS) OVER (PARTITION BY user_id, event_type ORDER BY day ROWS UNBOUNDED PRECEDING) AS mean_value FROM g LEFT JOIN m USING (user_id, day, event_type)"),
     "f36_naive_to_utc": (f36, "SELECT event_id, ts + INTERVAL 6 HOUR AS utc FROM events"),
     "f37_instants_to_utc": (f37, "SELECT event_id, ts AS utc FROM events"),
     "f38_local_hour": (f38, "SELECT event_id, date_trunc('hour', ts - INTERVAL 6 HOUR) AS _dh, CAST(hour(ts - INTERVAL 6 HOUR) AS INTEGER) AS _hr FROM events"),

@@ -109,7 +109,7 @@ def e16(s, d):
 
 
 def _bounds(s, d):
-    return ev(s, d).where("user_id < 40").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return ev(s, d).groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
 
 
 def e17(s, d):
@@ -118,7 +118,7 @@ def e17(s, d):
 
 def e18(s, d):
     grid = S.hour_grid(_bounds(s, d), "a", "b", "h").select("user_id", F.expr("h + INTERVAL '59:59' MINUTE TO SECOND").alias("ts"), F.lit(1).alias("scaffold"))
-    real = ev(s, d).where("user_id < 40").select("user_id", "ts", "value")
+    real = ev(s, d).select("user_id", "ts", "value")
     both = real.unionByName(grid, allowMissingColumns=True)
     return both.select("user_id", "ts", F.coalesce("scaffold", F.lit(0)).alias("scaffold"), F.last("value", True).over(Window.partitionBy("user_id").orderBy("ts", F.coalesce("scaffold", F.lit(0))).rowsBetween(Window.unboundedPreceding, 0)).alias("value"))
 
@@ -187,7 +187,7 @@ g AS (SELECT user_id, block, st, min(ts) AS start_ts, max(ts) AS last_ts, count(
 e AS (SELECT *, coalesce(lead(start_ts) OVER (PARTITION BY user_id ORDER BY block), last_ts) AS end_ts FROM g),
 f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY block) AS streak_id FROM e WHERE st)
 SELECT user_id, streak_id, start_ts, end_ts, n_rows, round(date_diff('minute', start_ts, end_ts) / 60.0::DOUBLE, 4) AS hours FROM f WHERE date_diff('minute', start_ts, end_ts) / 60.0 >= 24"""
-GRID = "SELECT user_id, unnest(generate_series(date_trunc('hour', a), date_trunc('hour', b){x}, INTERVAL 1 HOUR)) AS h FROM (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE user_id < 40 GROUP BY 1)"
+GRID = "SELECT user_id, unnest(generate_series(date_trunc('hour', a), date_trunc('hour', b){x}, INTERVAL 1 HOUR)) AS h FROM (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1)"
 SHIFT = "SELECT user_id, h AS event_dttm, CAST(hour(h - INTERVAL 6 HOUR) AS INTEGER) AS _hr, CASE WHEN hour(h - INTERVAL 6 HOUR) >= 7 AND hour(h - INTERVAL 6 HOUR) < 19 THEN 'day' ELSE 'night' END AS _shift, CAST(sum(CASE WHEN hour(h - INTERVAL 6 HOUR) = 7 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY h ROWS UNBOUNDED PRECEDING) AS BIGINT) AS _nth_day FROM (" + GRID.format(x="") + ")"
 FF = "last_value({c} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS {f})"
 CL, VI = "CASE WHEN event_type = 'click' THEN value END", "CASE WHEN event_type = 'view' THEN value END"
@@ -210,7 +210,7 @@ CASES = {
     "e15_fill_both": (e15, f"SELECT event_id, coalesce(last_value({CL} IGNORE NULLS) OVER (PARTITION BY user_id, block ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), first_value({CL} IGNORE NULLS) OVER (PARTITION BY user_id, block ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS c FROM ({isl('value <= 50')})"),
     "e16_change_levels": (e16, f"SELECT a.event_id, a.block AS device_id, b.block AS mode_id FROM ({isl('event_type')}) a JOIN ({isl(chr(123) + chr(39) + 'a' + chr(39) + ': event_type, ' + chr(39) + 'b' + chr(39) + ': value > 50' + chr(125))}) b USING (event_id)"),
     "e17_hour_grid": (e17, GRID.format(x=" + INTERVAL 1 HOUR")),
-    "e18_scaffold_rows": (e18, "WITH u AS (SELECT user_id, ts, value, 0 AS scaffold FROM events WHERE user_id < 40 UNION ALL SELECT user_id, h + INTERVAL 3599 SECOND, NULL, 1 FROM (" + GRID.format(x="") + ")) SELECT user_id, ts, CAST(scaffold AS INTEGER) AS scaffold, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, scaffold ROWS UNBOUNDED PRECEDING) AS value FROM u"),
+    "e18_scaffold_rows": (e18, "WITH u AS (SELECT user_id, ts, value, 0 AS scaffold FROM events UNION ALL SELECT user_id, h + INTERVAL 3599 SECOND, NULL, 1 FROM (" + GRID.format(x="") + ")) SELECT user_id, ts, CAST(scaffold AS INTEGER) AS scaffold, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, scaffold ROWS UNBOUNDED PRECEDING) AS value FROM u"),
     "e19_day_shift": (e19, f"SELECT *, 'day' || _nth_day || '_' || _shift AS _day_shift FROM ({SHIFT})"),
     "e20_day_registry": (e20, f"WITH x AS (SELECT user_id, _nth_day AS nth_day, count(*) FILTER (WHERE _shift = 'day') AS n_hrs_day, count(*) FILTER (WHERE _shift = 'night') AS n_hrs_night FROM ({SHIFT}) GROUP BY 1, 2) SELECT *, CASE WHEN nth_day = min(nth_day) OVER w AND nth_day = max(nth_day) OVER w THEN 'only' WHEN nth_day = min(nth_day) OVER w THEN 'first' WHEN nth_day = max(nth_day) OVER w THEN 'last' ELSE 'middle' END AS day_type FROM x WINDOW w AS (PARTITION BY user_id)"),
     "e21_lead_targets": (e21, "WITH x AS (SELECT user_id, CAST(ts AS DATE) AS day, max(CAST(event_type = 'error' AS INTEGER)) AS bad, max(CAST(event_type = 'purchase' AS INTEGER)) AS bought FROM events GROUP BY 1, 2) SELECT *, lead(bad) OVER w AS bad_next, lead(bought) OVER w AS bought_next FROM x WINDOW w AS (PARTITION BY user_id ORDER BY day)"),
