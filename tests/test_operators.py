@@ -245,3 +245,24 @@ def test_small_side_is_broadcast_only_when_small(spark, monkeypatch):
     assert "broadcast" in R.small(spark.range(5))._jdf.queryExecution().analyzed().toString().lower()
     monkeypatch.setattr(R, "BROADCAST_ROWS", 3)
     assert "broadcast" not in R.small(spark.range(5))._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_configuration_and_rule_files(spark, tmp_path):
+    from chronoward.sources.config import SiteConfig, read_rules
+
+    site = tmp_path / "site.json"
+    site.write_text('{"site_name": "north", "timezone": "US/Central", "data_directory": "/d/", "other": 1}')
+    config = SiteConfig.read(str(site), {"CHRONOWARD_REBUILD": "a,b", "CHRONOWARD_STATE_MACHINE": "false"})
+    assert (config.timezone, config.rebuild, config.state_machine, config.path("labs")) == ("US/Central", ("a", "b"), False, "/d/labs.parquet")
+    pairs = tmp_path / "rules.json"
+    pairs.write_text('{"labs": {"albumin": [0, 15], "ph": {"min": 6, "max": 8}}}')
+    found = read_rules(str(pairs))
+    df = spark.createDataFrame([("albumin", 20.0), ("PH", 7.0)], "c string, v double")
+    assert [r["v"] for r in rules.clean(df, {"v": found["labs"]}, {"v": ["c"]}).collect()] == [None, 7.0]
+    pairs.write_text('{"labs": {"albumin": [0]}}')
+    with pytest.raises(ValueError):
+        read_rules(str(pairs))
+    yaml_file = tmp_path / "rules.yaml"
+    yaml_file.write_text("tables:\n  vitals:\n    weight:\n      min: 30\n      max: 300\n")
+    pytest.importorskip("yaml")
+    assert read_rules(str(yaml_file)) == {"vitals": {"weight": {"min": 30.0, "max": 300.0}}}
