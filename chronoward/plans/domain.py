@@ -297,6 +297,16 @@ def f44(s, d):
     return M.ledger(t(s, d, "lineitem"), "lines", {"rows": (F.count("*"), "rows"), "mean_quantity": (r(F.avg("l_quantity")), "units")})
 
 
+CODES = ["I21.4", "i50", "E11.9", "E112", "C34.1", "C78", "K70.3", "Z00"]
+
+
+def x01(s, d):
+    from ..operators.comorbidity import charlson
+
+    dx = ev(s, d).where("event_type IN ('error', 'signup')").select("user_id", F.element_at(F.array(*map(F.lit, CODES)), (F.col("event_id") % 8 + 1).cast("int")).alias("code"))
+    return charlson(dx, "user_id", "code").select("user_id", "diabetes", "cancer", "metastatic", "cci_score")
+
+
 DAYQ = "SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY date) - 1 AS BIGINT) AS day FROM (SELECT user_id, CAST(ts AS DATE) AS date, max(CAST(event_type = 'error' AS INTEGER)) AS bad, round(avg(value), 4) AS dose, CAST(count(*) AS INTEGER) AS n FROM events GROUP BY 1, 2)"
 EXT = "SELECT user_id, min(value) FILTER (WHERE event_type = 'click') * 10 AS platelet_count, max(value) FILTER (WHERE event_type = 'error') / 8 AS bilirubin_total, max(value) FILTER (WHERE event_type = 'purchase') / 20 AS creatinine, min(value) FILTER (WHERE event_type = 'view') * 5 + 60 AS p_f, min(value) FILTER (WHERE event_type = 'view') AS vw, min(value) FILTER (WHERE event_type = 'signup') + 60 AS map FROM events {j} GROUP BY 1"
 COAG = "CASE WHEN platelet_count < 20 THEN 4 WHEN platelet_count < 50 THEN 3 WHEN platelet_count < 100 THEN 2 WHEN platelet_count < 150 THEN 1 WHEN platelet_count >= 150 THEN 0 END"
@@ -373,5 +383,6 @@ CASES = {
     "f41_plausible": (f41, "SELECT event_type, count(*) FILTER (WHERE value BETWEEN 50 AND 100) AS n_kept, count(*) AS n FROM events GROUP BY 1"),
     "f42_sofa_windowed": (f42, f"WITH w AS (SELECT user_id, min(ts) AS w0 FROM events WHERE event_type = 'signup' GROUP BY 1), x AS ({EXT.format(j='JOIN w USING (user_id) WHERE ts BETWEEN w0 AND w0 + INTERVAL 72 HOUR')}) SELECT user_id, coalesce({COAG}, 0) AS sofa_coag, coalesce({LIVER}, 0) AS sofa_liver, coalesce({RENAL}, 0) AS sofa_renal, coalesce({COAG}, 0) + coalesce({LIVER}, 0) + coalesce({RENAL}, 0) AS sofa_total FROM x"),
     "f43_stitch_summary": (f43, "WITH a AS (SELECT *, CASE WHEN max(o_orderdate + INTERVAL 2 DAY) OVER w IS NULL OR o_orderdate - max(o_orderdate + INTERVAL 2 DAY) OVER w >= INTERVAL 60 DAY THEN 1 ELSE 0 END AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), b AS (SELECT o_custkey, sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT size, count(*) AS n_blocks FROM (SELECT o_custkey, k, count(*) AS size FROM b GROUP BY 1, 2) GROUP BY 1"),
+    "x01_comorbidity": (x01, "WITH k AS (SELECT user_id, max(CAST(event_id % 8 = 0 AS INTEGER)) AS c0, max(CAST(event_id % 8 = 1 AS INTEGER)) AS c1, max(CAST(event_id % 8 = 2 AS INTEGER)) AS c2, max(CAST(event_id % 8 = 3 AS INTEGER)) AS c3, max(CAST(event_id % 8 = 4 AS INTEGER)) AS c4, max(CAST(event_id % 8 = 5 AS INTEGER)) AS c5, max(CAST(event_id % 8 = 6 AS INTEGER)) AS c6 FROM events WHERE event_type IN ('error','signup') GROUP BY 1) SELECT user_id, CASE WHEN c3 = 1 THEN 0 ELSE c2 END AS diabetes, CASE WHEN c5 = 1 THEN 0 ELSE c4 END AS cancer, c5 AS metastatic, c0 + c1 + CASE WHEN c3 = 1 THEN 2 ELSE c2 END + CASE WHEN c5 = 1 THEN 6 ELSE 2 * c4 END + c6 AS cci_score FROM k"),
     "f44_ledger": (f44, "SELECT 'lines' AS section, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value, 'rows' AS unit FROM lineitem UNION ALL SELECT 'lines', 'mean_quantity', round(avg(l_quantity), 4), 'units' FROM lineitem"),
 }
