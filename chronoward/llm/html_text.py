@@ -208,7 +208,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         marks["article"] += by * (name in ("article", "main"))
         marks["skip"] += by * (name in SKIPPED)
 
-    at, n, lower = 0, len(page), None
+    at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         if m is None:
@@ -243,12 +243,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                         break
             continue
         if name in RAW:
-            lower = lower or page.lower()
-            end = lower.find("</" + name, at)
-            if end < 0:
+            end = re.compile(f"</{re.escape(name)}[^>]*>?", re.I).search(page, at)
+            if end is None:
                 break
-            end = page.find(">", end)
-            at = n if end < 0 else end + 1
+            at = end.end()
             continue
         if name == "a":
             marks["a"] = int(bool(re.search(r"\bhref\b", m.group(3), re.I)))

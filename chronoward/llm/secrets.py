@@ -11,7 +11,7 @@ Null texts count as empty. Repeated rows stay separate rows. Offsets are code po
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import written
 
@@ -115,12 +115,9 @@ def rejection_bins(found: DataFrame) -> Column:
     What reaches the driver has a row for each class of lengths, of which there are at most 31.
     """
     bins = found.select(F.explode("tested").alias("t")).groupBy(F.col("t.size").alias("size"), F.col("t.bin").alias("bin")).agg(F.count("*").alias("n"))
-    bins.createOrReplaceTempView("secret_bins")
-    rows = found.sparkSession.sql(f"""
-        SELECT size, min(bin) AS bin FROM (
-            SELECT size, bin, sum(n) OVER (PARTITION BY size) AS m,
-                   sum(n) OVER (PARTITION BY size ORDER BY bin DESC) AS rejected FROM secret_bins)
-        WHERE m * exp(-bin / {float(BINS)}D) / rejected <= {RATE}D GROUP BY size""").collect()
+    within = Window.partitionBy("size")  # at most TOP_BIN + 1 rows a class
+    ranked = bins.select("size", "bin", F.sum("n").over(within).alias("m"), F.sum("n").over(within.orderBy(F.desc("bin"))).alias("rejected"))
+    rows = ranked.where(F.col("m") * F.exp(-F.col("bin") / BINS) / F.col("rejected") <= RATE).groupBy("size").agg(F.min("bin").alias("bin")).collect()
     pairs = [F.lit(int(x)) for r in rows for x in (r["size"], r["bin"])]
     return F.create_map(*pairs) if pairs else F.create_map(F.lit(-1), F.lit(0))
 

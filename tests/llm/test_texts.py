@@ -109,12 +109,12 @@ PAGE = """<html><head><title>x</title><style>p{}</style></head><body><header cla
 
 def test_pages(spark):
     deep = "<div>" * 3000 + "<article><p>deep text</p></article>" + "</div>" * 3000
-    rows = [(1, "u", PAGE, 5), (2, "u", None, 5), (3, "u", "", 5), (4, None, "<article><p>cut off &lt;tag&gt; <b", 5), (5, "u", deep, 5), (6, "u", "<p>" + "long words here " * 40_000, 5), (1, "u", PAGE, 5)]
+    rows = [(1, "u", PAGE, 5), (2, "u", None, 5), (3, "u", "", 5), (4, None, "<article><p>cut off &lt;tag&gt; <b", 5), (5, "u", deep, 5), (7, "u", "<article><p>İİİİ <SCRIPT>var a = '</p>';</Script>after</p></article>", 5), (6, "u", "<p>" + "long words here " * 40_000, 5), (1, "u", PAGE, 5)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
     text = {r["page_id"]: r["text"] for r in got}
-    assert len(got) == 7 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert len(got) == 8 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert text[1].split("\n") == ["Title & more", "First para é with a link and more.", "Second line 1 < 2.", "Short.", "one", "two", "Last."]
-    assert text[2] == text[3] == "" and text[4] == "cut off <tag>" and text[5] == "deep text" and len(text[6].split()) == 120_000
+    assert text[2] == text[3] == "" and text[4] == "cut off <tag>" and text[5] == "deep text" and text[7] == "İİİİ\nafter" and len(text[6].split()) == 120_000
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
