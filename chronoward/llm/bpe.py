@@ -20,8 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import slices
+
 #: Words whose encoding a Python worker remembers over its tasks, rows of one recursion with all its steps, ids decoded by one query.
-CACHE_WORDS, RECURSION_ROWS, DECODE_IDS = 1_000_000, 3_000_000, 500_000
+CACHE_WORDS, RECURSION_ROWS, DECODE_IDS = 350_000, 3_000_000, 400_000
 
 STEP = """
 WITH RECURSIVE state(step, w, pos, npos, id, nid) AS (
@@ -67,7 +69,7 @@ class Codec:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         for name, columns in (("merges", {k: np.array(v, dtype=np.int32) for k, v in (("l", left), ("r", right), ("rank", rank))}), ("vocabulary", {"id": np.array(list(ranks.values()), dtype=np.int32), "hex": [t.hex() for t in ranks]})):
             self.db.register("given", pa.table(columns))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -179,7 +181,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
     ranks = spark.sparkContext.broadcast(table)  # a vocabulary file: its size does not depend on the data
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_in:
+        for batch in slices(batches_in, 500):
             codec = codec_of(ranks.value, pattern, key)
             texts, rows = batch.column(1).to_pylist(), []
             for _, group in batches(texts):

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import gram_hashes, split_of, word_hashes
+from .common import gram_hashes, slices, split_of, word_hashes
 
 #: Rows that the classifier may be fitted on (positives, unlabelled): it sees no more of them, whatever the input.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 6_000, 9_000
@@ -158,7 +158,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net = learn(docs, labels, split_of(folds=3) != 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1_000):
             x = matrix(batch.column(batch.schema.get_field_index("text")).to_pylist())
             s = np.full(len(x), net) if isinstance(net, float) else net.score(x)
             yield batch.filter(pa.array(s >= 0.5))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import dropped, gram_hashes, prefix_hashes, range_hashes, signed, word_hashes, written
+from .common import dropped, gram_hashes, prefix_hashes, range_hashes, signed, slices, word_hashes, written
 
 WINDOW, GRAM = 20, 5
 REACH = WINDOW - GRAM + 1  # grams of a window
@@ -169,13 +169,6 @@ def settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return equal, several
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of a few rows, for bounded memory."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def fields(column: pa.ListArray) -> list[np.ndarray]:
     """The fields of a column of lists of structs of integers, end to end; null lists count as empty."""
     flat = column.flatten()
