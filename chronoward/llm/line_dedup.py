@@ -2,7 +2,8 @@
 
 A line's shingles are runs of seven characters (the whole line, if shorter). Minimum hashes in bands propose links, the
 exact Jaccard similarity of the shingle sets confirms them (0.8 or more), and a distributed union-find keeps the first
-line (by document id, then position) of every component. Equal lines are folded together before that.
+line (by document id, then position) of every component. Equal lines are folded together before that. Within a bucket all
+lines are compared with the first, then all that are still in different components with each other.
 
 Blank lines are never removed and belong to no component. A null text has no lines and stays null; a document of which
 every line goes keeps an empty text. Rows that share a document id get the decisions made for that id.
@@ -16,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import BASE, mix, powers, signed, slices, written
 from .components import components
+from .crossing import crossing_links
 
 SIZE, SIMILARITY, BANDS, ROWS = 7, 0.8, 6, 4
 #: A line's place is one number: its document's id times this, plus its position. Positions beyond it do not occur in
@@ -142,15 +144,9 @@ def removed_places(docs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = written(line_texts(texts, star.select(F.explode(F.array("a", "b")).alias("place")).distinct()), "lines-texts")
     links = written(verified(star, sets), "lines-links")
     roots = components(links)
-    # buckets in which the first line did not reach all: link the components' first lines one after another
-    inside = pairs.select("bucket", F.col("b").alias("id")).union(pairs.select("bucket", "a").distinct()).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    spread = inside.groupBy("bucket", "root").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    several = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / 256).alias("parts"))
-    split = spread.join(several, "bucket").withColumn("part", F.pmod(F.xxhash64("root"), F.col("parts")))
-    w = Window.partitionBy("bucket", "part").orderBy("root")
-    near = split.select("least", "most", F.lead("least").over(w).alias("next"), F.lead("most").over(w).alias("next_most"))
-    more = near.select(F.col("least").alias("a"), F.col("next").alias("b")).union(near.select("most", "next")).union(near.select("most", "next_most")).where("b IS NOT NULL").distinct()
-    new = written(verified(written(more, "lines-more"), sets), "lines-links", n=F.count("*"))
+    # buckets in which the first line did not reach all: compare all that are still in different components
+    new = crossing_links(pairs.select("bucket", "a", F.col("b").alias("id")), roots, sets, verified, line_sets, SIMILARITY)
+    new = written(new, "lines-links", n=F.count("*"))
     if new.measured["n"]:
         roots = components(links.union(new))
     fuzzy = roots.where("id <> root").select(F.col("id").alias("first"))
@@ -158,6 +154,12 @@ def removed_places(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return copies.union(fuzzy.select("first"))
 
 
+def line_sets(lines: pa.ChunkedArray) -> list[np.ndarray]:
+    """The set of shingles of every line."""
+    hashes, begin = shingle_hashes(lines.to_pylist())
+    return [np.unique(h) for h in np.split(hashes, begin[1:])]
+
+
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
 
