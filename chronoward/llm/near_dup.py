@@ -5,8 +5,8 @@ is a Poisson process of arrivals, faster for larger weights; a register keeps th
 document's processes stop as soon as they are later than all of its registers. Bands of equal registers propose links,
 the Jaccard similarity of the shingle sets confirms them (0.8 or more), and connected components are the classes.
 
-Documents with the same words in the same order are folded together first; buckets link every text with their smallest
-one, and then neighbouring components within a bucket, so a bucket of any size costs as many pairs as it has texts.
+Documents with the same words in the same order are folded together first; buckets compare every text with their smallest
+one, and then all texts that are still in different components with each other, large buckets block by block.
 Texts that are null, empty or blank belong to no group: their class is their own id. Every input row gives one output row.
 """
 
@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import gram_hashes, mix, signed, slices, word_hashes, written
 from .components import components
+from .crossing import crossing_links
 
 WORDS, SIMILARITY, REGISTERS, BAND_ROWS = 5, 0.8, 64, 4
 BANDS = REGISTERS // BAND_ROWS
@@ -90,6 +91,12 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, grams array<int>")
 
 
+def gram_sets(grams: pa.ChunkedArray) -> list[np.ndarray]:
+    flat = grams.combine_chunks()
+    values, ends = flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())
+    return np.split(values, ends[:-1])
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
     left, right = sets.toDF("a", "of_a"), sets.toDF("b", "of_b")
@@ -114,20 +121,8 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = written(shingle_sets(docs.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "near-sets")
     links = written(verified(pairs, sets), "near-links")
     roots = components(links)
-    # within a bucket, texts that the smallest one did not reach: link neighbouring components
-    inside = member.select("bucket", "id").union(member.select("bucket", "a").distinct()).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    spread = inside.groupBy("bucket", "root").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    several = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / 256).alias("parts"))
-    # very large buckets are cut by another hash, so that no task gets one whole
-    open_ = spread.join(several, "bucket").withColumn("part", F.pmod(F.xxhash64("root"), F.col("parts")))
-    w = Window.partitionBy("bucket", "part").orderBy("root")
-    near = open_.select("least", "most", *(F.lead(c, k).over(w).alias(f"{c}{k}") for c in ("least", "most") for k in (1, 2)))
-    crossing = [near.select(F.col(x).alias("a"), F.col(f"{y}{k}").alias("b")) for x in ("least", "most") for y in ("least", "most") for k in (1, 2)]
-    more = crossing[0]
-    for c in crossing[1:]:
-        more = more.union(c)
-    more = written(more.where("b IS NOT NULL").distinct(), "near-crossing")
-    new = written(verified(more, sets), "near-links", n=F.count("*"))
+    # within a bucket, texts that the smallest one did not reach: compare all that are still in different components
+    new = written(crossing_links(member, roots, sets, verified, gram_sets, SIMILARITY), "near-links", n=F.count("*"))
     if new.measured["n"]:
         links = written(links.union(new), "near-links")
         roots = components(links)

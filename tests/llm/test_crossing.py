@@ -34,7 +34,7 @@ def near_links(sets, similarity=0.8):
 @pytest.mark.parametrize("block", [32, 512])
 def test_documents_of_a_family(make, block, monkeypatch):
     monkeypatch.setattr(crossing, "BLOCK", block)
-    texts = template_family(random.Random(31), 200, 360, 6, 2, " ")
+    texts = template_family(random.Random(31), 200, 360, 3, 4, " ")
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in enumerate(t.split() for t in texts)}
     links = near_links(sets)
     assert len(links) >= 100
