@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash over character shingles.
 
-A line's shingles are runs of seven characters (the whole line, if shorter). Minimum hashes in bands propose links, the
+A line's shingles are runs of five characters (the whole line, if shorter). Minimum hashes in bands propose links, the
 exact Jaccard similarity of the shingle sets confirms them (0.8 or more), and a distributed union-find keeps the first
 line (by document id, then position) of every component. Equal lines are folded together before that. Within a bucket all
 lines are compared with the first, then all that are still in different components with each other.
@@ -23,7 +23,7 @@ from .common import BASE, mix, powers, signed, slices, written
 from .components import components
 from .crossing import crossing_links
 
-SIZE, SIMILARITY, BANDS, ROWS = 7, 0.8, 6, 4
+SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 9, 4
 #: A line's place is one number: its document's id times this, plus its position. Positions beyond it do not occur in
 #: texts under two gigabytes with lines of any length; ids must stay below 2**63 / LINES.
 LINE_BITS = 22

@@ -60,6 +60,15 @@ def test_lines_of_a_family(make, monkeypatch):
     assert set(above) <= removed
 
 
+def test_one_inner_character_in_fifty(make):
+    """48 shingles of five, five of them changed: a Jaccard similarity of 43 / 53."""
+    rng = random.Random(33)
+    lines = [f"{rng.randrange(16**52):052x}" for _ in range(400)]
+    texts = lines + [x[:25] + "#" + x[26:] for x in lines]
+    removed = {r["doc_id"] for r in line_dedup.decided(make(list(enumerate(texts)))).collect() if r["n_removed"]}
+    assert len(removed & set(range(400, 800))) >= 0.97 * 400 and not removed & set(range(400))
+
+
 def test_near_pairs_of_sets():
     rng = np.random.default_rng(3)
     left, right = ([np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(40)] for _ in range(2))
