@@ -132,9 +132,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of their class, with the columns that they came with."""
+    """The documents with the smallest id of their class, with the columns that they came with.
+
+    Rows without an id are in no class and stay. Rows that share one id stay or go together.
+    """
     kept = classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    without = docs.where("doc_id IS NULL").select(docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).union(without)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,8 @@ def test_near_pairs_of_sets():
     left, right = ([np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(40)] for _ in range(2))
     crossed = set(zip(*(x.tolist() for x in crossing.near_pairs(left, right, 0.5))))
     assert crossed == {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if len(set(x) & set(y)) >= 0.5 * len(set(x) | set(y))}
+
+
+def test_rows_without_an_id_stay(edge):
+    kept = [(r["doc_id"], r["text"]) for r in near_dup.keep_one(edge).collect()]
+    assert kept.count((None, "no id")) == 1 and kept.count((3, "word")) == 2 and (4, "word") not in kept
