@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..functions import dose as D
 from ..functions import localtime as L
 from ..operators import exposure as X
-from ..operators import machine, registry as G, relational as R, respiratory as V, rules, scores as Z
+from ..operators import machine, registry as G, relational as R, respiratory as V, rules, scores as Z, trials
 from ..operators import sequence as S, summary as M
 from .base import HOUR_US, r, t
 from .ordered import SHIFT, _bounds, ev
@@ -146,14 +146,20 @@ def f18(s, d):
     return V.trial_states(_trial_rows(s, d)).select("event_id", "state_primary", "state_broad", "state_strict")
 
 
+def _statuses(s, d):
+    e = ev(s, d).where("event_type = 'error'")
+    return e.select("user_id", F.col("ts").alias("start_dttm"), "event_id", F.when(F.pmod("event_id", F.lit(3)) == 0, "Full").otherwise("DNR ").alias("code_status_category"))
+
+
+def _discharges(s, d):
+    last = ev(s, d).groupBy("user_id").agg(F.max("ts").alias("discharge_dttm"))
+    return last.withColumn("discharge_category", F.when(F.pmod("user_id", F.lit(2)) == 0, "Expired").otherwise("home"))
+
+
 def f19(s, d):
-    x = V.trial_states(_trial_rows(s, d)).withColumn("state", F.col("state_broad"))
-    x = S.islands(x, ["user_id"], ["ts", "event_id"], {"block": F.col("state")})
-    b = x.groupBy("user_id", "block", "state").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts"))
-    b = b.withColumn("end_ts", F.coalesce(F.lead("start_ts").over(Window.partitionBy("user_id").orderBy("block")), F.col("last_ts")))
-    b = b.withColumn("minutes", L.minutes_between(b, "start_ts", "end_ts"))
-    done = b.where("state = 1").select("user_id", "block", "minutes", (F.col("minutes") >= 30).cast("int").alias("done_30"), F.col("minutes").between(30, 360).cast("int").alias("done_30_360"))
-    return done
+    rows = _trial_rows(s, d).withColumns({"device_category": F.lower(F.trim("device_category")), "fio2_set": F.col("fio2_set") / 200})
+    out = trials.trial_outcomes(rows, "user_id", "ts", _statuses(s, d), _discharges(s, d), ["event_id"], status_tiebreak=["event_id"])
+    return out.select("event_id", *trials.VARIANTS, *trials.EXITS, *[f"{c}_v2" for c in trials.EXITS], "_trach_1st", "_trach_v2", "_block_minutes")
 
 
 def f20(s, d):
@@ -332,10 +338,45 @@ k AS (SELECT user_id, t, last_value(p IGNORE NULLS) OVER o AS p, last_value(q IG
 SELECT user_id, date_trunc('hour', t) AS event_dttm, round(sum(coalesce(p, 0) * m), 3) AS propofol_cont, round(sum(coalesce(q, 0) * m), 3) AS fentanyl_cont FROM k GROUP BY 1, 2"""
 PIV = "SELECT user_id, {f}(value) FILTER (WHERE event_type = 'click') AS click, {f}(value) FILTER (WHERE event_type = 'view') AS view, {f}(value) FILTER (WHERE event_type = 'error') AS error, {f}(value) FILTER (WHERE event_type = 'purchase') AS purchase, {f}(value) FILTER (WHERE event_type = 'signup') AS signup FROM events GROUP BY 1"
 EVENT_STOP = "CASE WHEN event_type IN ('error','signup') THEN 1 ELSE 0 END"
-TRIALS = f"""WITH x AS (SELECT *, {BROAD} AS st FROM events), y AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(st) OVER w IS DISTINCT FROM st THEN 1 ELSE 0 END AS chg FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-z AS (SELECT *, CAST(sum(chg) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM y), g AS (SELECT user_id, block, st, min(ts) AS a, max(ts) AS l FROM z GROUP BY 1, 2, 3),
-h AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY user_id ORDER BY block), l) AS b FROM g)
-SELECT user_id, block, date_diff('minute', a, b) AS minutes, CAST(date_diff('minute', a, b) >= 30 AS INTEGER) AS done_30, CAST(date_diff('minute', a, b) BETWEEN 30 AND 360 AS INTEGER) AS done_30_360 FROM h WHERE st = 1"""
+STRICT = f"CAST(CASE WHEN {PIECE} THEN 1 WHEN {SUP} AND {PS} IS NULL AND {PEEP} = 5 THEN 1 WHEN {SUP} AND {PS} < 7 THEN 1 ELSE 0 END AS INTEGER)"
+PRIMARY = f"CAST(CASE WHEN {PIECE} OR ({SUP} AND {PEEP} <= 8 AND {PS} <= 8) THEN 1 ELSE 0 END AS INTEGER)"
+#: State machine in SQL over r (id, t, k: tiebreak, o: on, p: stop): columns a, b and c are the on, off and stop events.
+MACHINE = """m1 AS (SELECT *, sum(CAST(p AS INTEGER)) OVER (PARTITION BY id ORDER BY t, k ROWS UNBOUNDED PRECEDING) AS ps FROM r),
+m2 AS (SELECT *, row_number() OVER w AS rn, lag(o) OVER w AS po, lag(ps) OVER w AS pps FROM m1 WINDOW w AS (PARTITION BY id ORDER BY t, k)),
+m3 AS (SELECT *, sum(CASE WHEN rn = 1 OR po <> o AND ps = 0 OR ps <> pps THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY t, k ROWS UNBOUNDED PRECEDING) AS run FROM m2),
+m4 AS (SELECT id, run, o, min(rn) AS rn, max(t) - min(t) >= CASE WHEN o THEN INTERVAL 15 MINUTE ELSE INTERVAL 30 MINUTE END AND count(*) > 1 AS lg FROM m3 WHERE ps = 0 GROUP BY id, run, o),
+m5 AS (SELECT *, coalesce(last_value(CASE WHEN lg THEN o END IGNORE NULLS) OVER (PARTITION BY id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS was, max(run) OVER (PARTITION BY id) = run AS final FROM m4),
+m6 AS (SELECT DISTINCT id, true AS stopped FROM m1 WHERE p),
+ev AS (SELECT m3.id, m3.t, m3.k, CAST(coalesce(m5.o AND m5.lg AND NOT m5.was, false) AS INTEGER) AS a,
+    CAST(coalesce(NOT m5.o AND m5.was AND (m5.lg OR m5.final AND m6.stopped), false) OR coalesce(m3.p AND m3.ps = 1 AND m3.pps = 0 AND m3.po, false) AS INTEGER) AS b, CAST(m3.p AND m3.ps = 1 AS INTEGER) AS c
+    FROM m3 LEFT JOIN m5 ON m5.id = m3.id AND m5.rn = m3.rn LEFT JOIN m6 ON m6.id = m3.id)"""
+DONE = lambda cond: f"CAST(coalesce({cond}, false) AS INTEGER)"
+EXIT_SQL = lambda x: f"e1{x} AS _extub_1st{x}, f{x} AS _fail_extub{x}, CAST(e1{x} = 1 AND coalesce(lim, false) AS INTEGER) AS _withdrawl_lst{x}, CAST(e1{x} = 1 AND NOT coalesce(lim, false) AND f{x} = 0 AS INTEGER) AS _success_extub{x}"
+TRIALS = f"""WITH x AS (SELECT event_id AS k, user_id AS id, ts AS t, CASE WHEN value > 60 THEN 'imv' WHEN value > 40 THEN 'nasal cannula' WHEN value > 30 THEN 'room air' END AS dev,
+    CASE WHEN value > 70 THEN 'pressure control' WHEN value > 60 THEN 'pressure support/cpap' WHEN value BETWEEN 20 AND 30 THEN 'simv' END AS md, CASE WHEN event_type = 'click' THEN value / 200 END AS fio2, {PEEP} AS peep,
+    CAST(value > 98 AS INTEGER) AS tr, {PRIMARY} AS s1, {BROAD} AS s2, {STRICT} AS s3 FROM events),
+y AS (SELECT *, row_number() OVER w AS rn, lag(s1) OVER w AS l1, lag(s2) OVER w AS l2, lag(s3) OVER w AS l3, lag(dev) OVER w AS ld, lag(md) OVER w AS lm, lag(tr) OVER w AS lt FROM x WINDOW w AS (PARTITION BY id ORDER BY t, k)),
+z AS (SELECT *, CAST(coalesce(dev, '') = 'imv' AS INTEGER) AS imv, CAST(coalesce(dev, '') = 'imv' AND coalesce(ld, '') <> 'imv' AS INTEGER) AS inn, CAST(coalesce(dev, '') <> 'imv' AND coalesce(ld, '') = 'imv' AS INTEGER) AS ex,
+    CAST(coalesce(lt = 0 AND tr = 1, false) AS INTEGER) AS fl, CAST(coalesce(lm IN ('pressure control', 'simv'), false) AS INTEGER) AS con,
+    sum(CASE WHEN s1 IS DISTINCT FROM l1 THEN 1 ELSE 0 END) OVER w AS b1, sum(CASE WHEN s2 IS DISTINCT FROM l2 THEN 1 ELSE 0 END) OVER w AS b2, sum(CASE WHEN s3 IS DISTINCT FROM l3 THEN 1 ELSE 0 END) OVER w AS b3,
+    sum(CASE WHEN rn = 1 OR (coalesce(dev, '') = 'imv') <> (coalesce(ld, '') = 'imv') THEN 1 ELSE 0 END) OVER w AS bi FROM y WINDOW w AS (PARTITION BY id ORDER BY t, k ROWS UNBOUNDED PRECEDING)),
+g1 AS (SELECT id, b1, date_diff('minute', a, coalesce(lead(a) OVER (PARTITION BY id ORDER BY b1), l)) AS m1, c1 FROM (SELECT id, b1, min(t) AS a, max(t) AS l, max(con) AS c1 FROM z GROUP BY ALL)),
+g2 AS (SELECT id, b2, date_diff('minute', min(t), max(t)) AS m2 FROM z GROUP BY ALL), g3 AS (SELECT id, b3, date_diff('minute', min(t), max(t)) AS m3 FROM z GROUP BY ALL),
+gi AS (SELECT id, bi, min(t) AS ai FROM z GROUP BY ALL),
+r AS (SELECT id, t, k, imv = 1 AS o, tr = 1 AS p FROM z), {MACHINE},
+q AS (SELECT z.*, m1, m2, m3, c1, CASE WHEN imv = 1 THEN date_diff('minute', ai, z.t) END AS im, ev.a AS on2, ev.b AS off2, ev.c AS st2 FROM z JOIN g1 USING (id, b1) JOIN g2 USING (id, b2) JOIN g3 USING (id, b3) JOIN gi USING (id, bi) JOIN ev ON ev.k = z.k),
+u AS (SELECT *, lag(im) OVER (PARTITION BY id ORDER BY t, k) AS lim6, CAST(ex = 1 AND sum(ex) OVER w = 1 AS INTEGER) AS e1, CAST(fl = 1 AND sum(fl) OVER w = 1 AS INTEGER) AS t1, CAST(off2 = 1 AND sum(off2) OVER w = 1 AS INTEGER) AS e1_v2,
+    CAST(st2 = 1 AND sum(st2) OVER w = 1 AS INTEGER) AS t2 FROM q WINDOW w AS (PARTITION BY id ORDER BY t, k ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT u.*, CAST(e1 = 1 AND EXISTS (SELECT 1 FROM u n WHERE n.id = u.id AND n.inn = 1 AND n.t > u.t AND n.t <= u.t + INTERVAL 48 HOUR) AS INTEGER) AS f,
+    CAST(e1_v2 = 1 AND EXISTS (SELECT 1 FROM u n WHERE n.id = u.id AND n.on2 = 1 AND n.t > u.t AND n.t <= u.t + INTERVAL 48 HOUR) AS INTEGER) AS f_v2 FROM u),
+cs AS (SELECT u.k, arg_max(c.event_id % 3 = 0, (c.ts, c.event_id)) AS full_code FROM u JOIN events c ON c.user_id = u.id AND c.event_type = 'error' AND c.ts <= u.t GROUP BY 1),
+o AS (SELECT v.*, NOT full_code AND id % 2 = 0 AS lim FROM v LEFT JOIN cs ON cs.k = v.k)
+SELECT k AS event_id, {DONE('m1 >= 30 AND s1 = 1 AND l1 = 0 AND con = 1')} AS sbt_done, {DONE('m1 >= 30 AND s1 = 1 AND l1 = 0')} AS sbt_done_anyprior, {DONE('m1 >= 30 AND s1 = 1 AND l1 = 0 AND lim6 >= 360')} AS sbt_done_imv6h,
+    {DONE('m1 >= 30 AND s1 = 1')} AS sbt_done_prefix, {DONE('m1 >= 30 AND s1 = 1 AND c1 = 1')} AS sbt_done_multiday, {DONE('m1 >= 2 AND s1 = 1 AND l1 = 0 AND con = 1')} AS sbt_done_2min,
+    {DONE('m2 >= 30 AND s2 = 1 AND l2 = 0')} AS sbt_done_subira, {DONE('m3 >= 30 AND s3 = 1 AND l3 = 0')} AS sbt_done_abc, {DONE('m1 >= 2 AND s1 = 1 AND l1 = 0')} AS sbt_done_v2,
+    {DONE('im >= 360 AND fio2 <= 0.5 AND peep <= 8')} AS sbt_elig, {EXIT_SQL('')}, {EXIT_SQL('_v2')}, t1 AS _trach_1st, t2 AS _trach_v2, m1 AS _block_minutes
+FROM o WHERE tr = 0 OR t1 = 1 OR t2 = 1"""
+F21 = f"WITH r AS (SELECT event_id AS k, user_id AS id, ts AS t, value > 50 AS o, value > 99.5 AS p FROM events), {MACHINE} SELECT k AS event_id, a AS _on_event, b AS _off_event, c AS _stop_event FROM ev"
 CASES = {
     "f01_pivot_avg": (f01, "SELECT user_id, CAST(ts AS DATE) AS day, round(avg(value) FILTER (WHERE event_type = 'click'), 4) AS click, round(avg(value) FILTER (WHERE event_type = 'view'), 4) AS view, round(avg(value) FILTER (WHERE event_type = 'error'), 4) AS error FROM events GROUP BY 1, 2"),
     "f02_pivot_max": (f02, PIV.format(f="max")),
@@ -360,7 +401,7 @@ CASES = {
     "f18_trial_states": (f18, f"SELECT event_id, CAST(CASE WHEN {PIECE} OR ({SUP} AND {PEEP} <= 8 AND {PS} <= 8) THEN 1 ELSE 0 END AS INTEGER) AS state_primary, {BROAD} AS state_broad, CAST(CASE WHEN {PIECE} THEN 1 WHEN {SUP} AND {PS} IS NULL AND {PEEP} = 5 THEN 1 WHEN {SUP} AND {PS} < 7 THEN 1 ELSE 0 END AS INTEGER) AS state_strict FROM events"),
     "f19_trial_outcomes": (f19, TRIALS),
     "f20_roll_up": (f20, f"SELECT g.user_id, g._nth_day, coalesce(max(CAST(e.event_type = 'error' AS INTEGER)), 0) AS bad, coalesce(max(CAST(e.event_type = 'purchase' AS INTEGER)), 0) AS bought FROM ({SHIFT}) g LEFT JOIN events e ON e.user_id = g.user_id AND date_trunc('hour', e.ts) = g.event_dttm GROUP BY 1, 2"),
-    "f21_state_machine": (f21, None),
+    "f21_state_machine": (f21, F21),
     "f22_pao2": (f22, "SELECT event_id, CASE WHEN value > 0 AND value < 97 THEN round(pow(sqrt(125000.0::DOUBLE + pow(11700.0::DOUBLE / (100.0::DOUBLE / value - 1), 2)) + 11700.0::DOUBLE / (100.0::DOUBLE / value - 1), 1.0::DOUBLE / 3) - pow(sqrt(125000.0::DOUBLE + pow(11700.0::DOUBLE / (100.0::DOUBLE / value - 1), 2)) - 11700.0::DOUBLE / (100.0::DOUBLE / value - 1), 1.0::DOUBLE / 3), 3) END AS pao2 FROM events"),
     "f23_rice": (f23, "SELECT event_id, CASE WHEN value <= 97 THEN round((value / 0.4::DOUBLE - 64) / 0.84::DOUBLE, 3) END AS pf FROM events"),
     "f24_concurrent_pf": (f24, "WITH p AS (SELECT l.event_id, l.user_id, CASE WHEN l.ts - r.ts <= INTERVAL 240 MINUTE THEN l.value / (r.value / 100) END AS p_f FROM (SELECT * FROM events WHERE event_type = 'view') l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click' AND value >= 21) r ON l.user_id = r.user_id AND l.ts >= r.ts) SELECT user_id, round(min(p_f), 3) AS worst_pf, first(event_id ORDER BY p_f, event_id) AS worst_id FROM p WHERE p_f IS NOT NULL GROUP BY 1"),

@@ -126,8 +126,50 @@ def test_stitch_chains_overlaps(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def confirm_rows(on, stop, minutes, on_window, off_window):
+    """The state machine row by row."""
+    out = [[0, 0, 0] for _ in on]
+    is_on, since = False, None  # confirmed state, and the row where the opposite state began
+    for i, (now, ends) in enumerate(zip(on, stop)):
+        if ends:
+            if is_on:
+                out[since if since is not None else i][1] = 1
+            elif since is not None:  # a beginning that was not confirmed yet still closes here
+                out[i][1] = 1
+            out[i][2] = 1
+            break
+        if now == is_on:
+            since = None
+        elif since is None:
+            since = i
+        elif minutes[i] - minutes[since] >= (off_window if is_on else on_window):
+            out[since][1 if is_on else 0] = 1
+            is_on, since = not is_on, None
+    return [tuple(x) for x in out]
+
+
 def confirm(states, stops=None, step=10):
-    return machine.confirm(states, stops or [False] * len(states), [i * step for i in range(len(states))], 15, 30)
+    return confirm_rows(states, stops or [False] * len(states), [i * step for i in range(len(states))], 15, 30)
+
+
+def test_state_machine_against_rows(spark):
+    import datetime
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for entity in range(150):
+        n, t = rng.randint(1, 14), 0
+        times, on, stop = [], [], []
+        for _ in range(n):
+            t += rng.choice([0, 1, 5, 14, 15, 16, 29, 30, 31])
+            times.append(t), on.append(rng.choice([True, False, None])), stop.append(rng.choice([True, *[False] * 8, None]))
+        for i, x in enumerate(confirm_rows([bool(x) for x in on], [bool(x) for x in stop], times, 15, 30)):
+            want[entity * 100 + i] = x
+        rows += [(entity * 100 + i, entity, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=times[i]), on[i], stop[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "row int, id int, t timestamp_ntz, on boolean, stop boolean")
+    got = machine.consensus_events(df, "id", "t", "on", "stop", tiebreak=["row"])
+    assert {r["row"]: (r["_on_event"], r["_off_event"], r["_stop_event"]) for r in got.collect()} == want
+    assert got.columns == [*df.columns, *machine.FLAGS]
 
 
 def test_state_machine():
