@@ -85,7 +85,9 @@ def d16(s, d):
 
 
 def d17(s, d):
-    return M.sufficient_statistics(_day_night(s, d).withColumn("dom", F.dayofmonth("day")), ["dom"], ["rate_day", "rate_night"]).select("dom", "variable", "n", "n_on", r("mean", 3).alias("mean"), r("sd", 3).alias("sd"), r("sum").alias("sum"), r("sum_sq", 3).alias("sum_sq"))
+    # figures of cents can lie half-way between two roundings: they follow from longer ones, by one rule in both engines
+    three = lambda x: F.floor(x * 1000 + 0.5) / 1000.0
+    return M.sufficient_statistics(_day_night(s, d).withColumn("dom", F.dayofmonth("day")), ["dom"], ["rate_day", "rate_night"]).select("dom", "variable", "n", "n_on", three(r("sum") / F.col("n")).alias("mean"), r("sd", 3).alias("sd"), r("sum").alias("sum"), three(r("sum_sq", 6)).alias("sum_sq"))
 
 
 def d18(s, d):
@@ -194,7 +196,7 @@ CASES = {
     "d14_histogram": (d14, "SELECT b.l AS bin_left, b.r AS bin_right, count(value) AS count FROM (VALUES (0.0::DOUBLE, 25.0::DOUBLE), (25.0::DOUBLE, 50.0::DOUBLE), (50.0::DOUBLE, 75.0::DOUBLE), (75.0::DOUBLE, 100.0::DOUBLE)) b(l, r) LEFT JOIN (SELECT least(greatest(value, 0.0), 100.0) AS value FROM events WHERE value IS NOT NULL) ON value >= l AND (value < r OR (r = 100.0 AND value = 100.0)) GROUP BY 1, 2"),
     "d15_half_open_bins": (d15, "WITH x AS (SELECT least(floor(n / 10) * 10, 80) AS bin_left, kind FROM (SELECT user_id, count(*) AS n, CASE WHEN bool_or(event_type = 'purchase') THEN 'buyer' ELSE 'other' END AS kind FROM events GROUP BY 1)) SELECT coalesce(kind, 'ALL') AS stratum, CAST(bin_left AS DOUBLE) AS bin_left, count(*) AS count FROM x GROUP BY GROUPING SETS ((kind, bin_left), (bin_left))"),
     "d16_counts_grid": (d16, "SELECT g.day, g.event_type, count(e.event_id) AS n FROM (SELECT * FROM (VALUES ('1'),('2'),('3'),('4'),('5'),('6'),('7'),('8+')) a(day), (VALUES ('click'),('view'),('purchase'),('error'),('signup'),('refund')) b(event_type)) g LEFT JOIN events e ON e.event_type = g.event_type AND CASE WHEN day(e.ts) > 7 THEN '8+' ELSE CAST(day(e.ts) AS VARCHAR) END = g.day GROUP BY 1, 2"),
-    "d17_sufficient": (d17, f"SELECT CAST(day(day) AS INTEGER) AS dom, variable, count(v) AS n, count(*) FILTER (WHERE v > 0) AS n_on, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS sd, round(sum(v), 4) AS sum, round(sum(v * v), 3) AS sum_sq FROM (SELECT day, 'rate_day' AS variable, rate_day AS v FROM ({DAY_NIGHT}) UNION ALL SELECT day, 'rate_night', rate_night FROM ({DAY_NIGHT})) GROUP BY 1, 2"),
+    "d17_sufficient": (d17, f"SELECT CAST(day(day) AS INTEGER) AS dom, variable, count(v) AS n, count(*) FILTER (WHERE v > 0) AS n_on, floor(round(sum(v), 4) / count(v) * 1000 + 0.5) / 1000.0::DOUBLE AS mean, round(stddev_samp(v), 3) AS sd, round(sum(v), 4) AS sum, floor(round(sum(v * v), 6) * 1000 + 0.5) / 1000.0::DOUBLE AS sum_sq FROM (SELECT day, 'rate_day' AS variable, rate_day AS v FROM ({DAY_NIGHT}) UNION ALL SELECT day, 'rate_night', rate_night FROM ({DAY_NIGHT})) GROUP BY 1, 2"),
     "d18_correlations": (d18, "SELECT 'l_quantity' AS a, 'l_quantity' AS b, round(corr(l_quantity, l_quantity), 4) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_extendedprice', round(corr(l_quantity, l_extendedprice), 4) FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 4) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_extendedprice', round(corr(l_extendedprice, l_extendedprice), 4) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 4) FROM lineitem UNION ALL SELECT 'l_discount', 'l_discount', round(corr(l_discount, l_discount), 4) FROM lineitem"),
     "d19_hour_profile": (d19, "SELECT CAST(floor((epoch_us(ts) - epoch_us(first_ts)) / 3600000000) AS BIGINT) AS hour_of_stay, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS n_click, round(avg(value), 4) AS mean_value FROM events JOIN (SELECT user_id, min(ts) AS first_ts FROM events GROUP BY 1) USING (user_id) GROUP BY 1 HAVING hour_of_stay < 168"),
     "d20_reference_row": (d20, "SELECT (SELECT round(median(c_acctbal), 4) FROM customer) AS c_acctbal, (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS c_mktsegment"),
