@@ -9,7 +9,8 @@ streams them through it for matching statistics, and reports for every stretch o
 windows occur first. Minima over shards are grouped minima again, so a hot passage is spread over many tasks.
 
 Windows are judged on the input. Null texts have no words. Words are runs of anything but space and tab to carriage
-return, unchanged. Rows that share a document id are judged as one document each, in the order of their text.
+return, unchanged. Rows that share a document id are documents of their own, in the order of a hash of their text; rows
+equal in both count as one document, so neither removes words of the other.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import dropped, gram_hashes, prefix_hashes, range_hashes, signed, slices, word_hashes, written
 
@@ -27,6 +28,9 @@ WINDOW, GRAM = 20, 5
 REACH = WINDOW - GRAM + 1  # grams of a window
 #: Passages of one automaton: a fingerprint with more is dealt over several shards.
 SHARD_PASSAGES = 512
+#: A place is a number of its document's tag, its first window and how many windows follow, so that places of one id sort by
+#: tag, then window: TAG_BITS of the text's hash, 32 bits and 5 bits.
+TAG_BITS, START_BITS, COUNT_BITS = 26, 32, 5
 
 
 def runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,17 +51,18 @@ def runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """fp, passage hash, doc_id and first window * 32 + number of windows - 1 of every run of every document."""
+    """fp, passage hash, doc_id and place of every run of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple] = []
             size = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, tag, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = word_hashes((text or "").encode())[0]
                 fp, first, last = runs(words)
                 if len(fp):
-                    parts.append((fp, passage_hashes(words, first, last), np.full(len(fp), doc_id), first * 32 + (last - first)))
+                    place = (tag << START_BITS + COUNT_BITS) + (first << COUNT_BITS) + (last - first)
+                    parts.append((fp, passage_hashes(words, first, last), np.full(len(fp), doc_id), place))
                     size += len(fp)
                 if size > 100_000:
                     yield out(parts)
@@ -72,6 +77,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "fp long, passage long, doc_id long, place long")
 
 
+def tag_of(place) -> Column:
+    return F.shiftright(place, START_BITS + COUNT_BITS).cast("int")
+
+
+def start_of(place) -> Column:
+    return F.shiftright(place, COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int")
+
+
 def passage_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return range_hashes(prefix_hashes(words), first, last + WINDOW)
 
@@ -135,7 +148,8 @@ class Automaton:
 
 
 def first_windows(passages: list[tuple[int, int, list]]) -> list[tuple[int, int, int, int, int]]:
-    """For passages (doc_id, first window, words) in order: hash, doc_id and start of each window, and of its first occurrence."""
+    """For passages (doc_id, tag and first window, words) in order: hash, doc_id and place of each window, and of its first
+    occurrence. Here a place is the tag and the window."""
     automaton, out = Automaton(), []
     for rank, (_, _, words) in enumerate(passages):
         automaton.add(words, rank)
@@ -152,19 +166,22 @@ def window_hashes(words: list) -> list[int]:
 
 
 def settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stretches (doc_id, first and last word) whose passage has an equal one before it; and the first occurrences of
-    passages that share a fingerprint with different ones, to be compared window by window."""
+    """Stretches (doc_id, tag, first and last word) whose passage has an equal one before it; and the first occurrences of
+    passages that share a fingerprint with different ones, to be compared window by window.
+
+    What is grouped by fingerprint is written before it is joined, so that adaptive execution can split hot ones.
+    """
     found = written(fingerprints(docs), "fingerprints")
     # most fingerprints occur once and leave here
-    twice = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    twice = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "repeated-fingerprints")
     shared = written(found.join(twice, "fp"), "shared-fingerprints")
     dropped(found)
     here = F.struct("doc_id", "place")
     passages = written(shared.groupBy("fp", "passage").agg(F.min(here).alias("first"), F.count("*").alias("n")), "passages")
     again = shared.join(passages.where("n > 1").select("fp", "passage", "first"), ["fp", "passage"]).where(here != F.col("first"))
-    start = F.shiftright("place", 5)
-    equal = again.select("doc_id", start.cast("int").alias("a"), (start + F.col("place").bitwiseAND(F.lit(31)) + WINDOW - 1).cast("int").alias("b"))
-    kinds = passages.groupBy("fp").agg(F.count("*").alias("passages")).where("passages > 1")
+    count = F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+    equal = again.select("doc_id", tag_of("place").alias("tag"), start_of("place").alias("a"), (start_of("place") + count + WINDOW - 1).alias("b"))
+    kinds = written(passages.groupBy("fp").agg(F.count("*").alias("passages")).where("passages > 1"), "mixed-fingerprints")
     several = passages.join(kinds, "fp").select("fp", "passages", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
     return equal, several
 
@@ -181,8 +198,8 @@ def list_ends(column: pa.ListArray) -> list[int]:
 
 
 def with_words(docs: DataFrame, several: DataFrame) -> DataFrame:
-    """fp, passages, doc_id, first window and word hashes of the given passages."""
-    wanted = several.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "passages", "place")).alias("wanted"))
+    """fp, passages, doc_id, place (tag and first window) and word hashes of the given passages."""
+    wanted = several.groupBy("doc_id", tag_of("place").alias("tag")).agg(F.collect_list(F.struct("fp", "passages", "place")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -191,20 +208,22 @@ def with_words(docs: DataFrame, several: DataFrame) -> DataFrame:
             out, at = [[], [], [], [], []], 0
             for doc_id, text, end in zip(ids, texts, ends):
                 words = signed(word_hashes((text or "").encode())[0])
-                first = places[at:end] >> 5
-                last = first + (places[at:end] & 31) + WINDOW
+                start = places[at:end] >> COUNT_BITS
+                first = start & ((1 << START_BITS) - 1)
+                last = first + (places[at:end] & ((1 << COUNT_BITS) - 1)) + WINDOW
                 ok = np.flatnonzero(last <= len(words))
-                for column, values in zip(out, (fps[at:end][ok], passages[at:end][ok], np.full(len(ok), doc_id), first[ok], [words[a:b] for a, b in zip(first[ok], last[ok])])):
+                for column, values in zip(out, (fps[at:end][ok], passages[at:end][ok], np.full(len(ok), doc_id), start[ok], [words[a:b] for a, b in zip(first[ok], last[ok])])):
                     column.extend(values)
                 at = end
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["fp", "passages", "doc_id", "start", "words"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "fp long, passages long, doc_id long, start long, words array<long>")
+    # rows equal in id and text are one document
+    return docs.join(wanted, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("doc_id", "text", "wanted").mapInArrow(run, "fp long, passages long, doc_id long, start long, words array<long>")
 
 
 def by_automata(passages: DataFrame) -> DataFrame:
-    """doc_id and start of every window that also starts earlier, for passages that share a fingerprint with others."""
+    """doc_id, tag and first word of every window that also starts earlier, for passages that share a fingerprint with others."""
     parts = F.ceil(F.col("passages") / SHARD_PASSAGES)
     dealt = passages.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), parts))
 
@@ -225,21 +244,24 @@ def by_automata(passages: DataFrame) -> DataFrame:
 
     sorted_ = dealt.select("fp", "shard", "doc_id", "start", "words").repartition("fp", "shard").sortWithinPartitions("fp", "shard", "doc_id", "start")
     windows = written(sorted_.mapInArrow(run, "window long, doc_id long, start long, first_doc long, first_start long"), "windows")
-    least = windows.groupBy("window").agg(F.min(F.struct("first_doc", "first_start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("window", "least")
-    return windows.join(least, "window").where(F.struct(F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start")) != F.col("least")).select("doc_id", "start")
+    least = written(windows.groupBy("window").agg(F.min(F.struct("first_doc", "first_start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("window", "least"), "first-windows")
+    later = windows.join(least, "window").where(F.struct(F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start")) != F.col("least"))
+    place = F.shiftleft("start", COUNT_BITS)
+    return later.select("doc_id", tag_of(place).alias("tag"), start_of(place).alias("a"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id and spans (first and last word, ends inclusive, sorted) to be removed."""
+    """doc_id, tag and spans (first and last word, ends inclusive) to be removed."""
     equal, several = settled(docs)
     windows = by_automata(with_words(docs, several))
-    spans = equal.union(windows.select("doc_id", F.col("start").cast("int").alias("a"), (F.col("start") + WINDOW - 1).cast("int").alias("b")))
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = equal.union(windows.select("doc_id", "tag", "a", (F.col("a") + WINDOW - 1).alias("b")))
+    return spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document with an id, and its removed word spans."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    tag = F.xxhash64("text").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).cast("int")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), "text").where("doc_id IS NOT NULL")
     spans = removed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +282,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>")
 
 
