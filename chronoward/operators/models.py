@@ -62,7 +62,12 @@ def gram(df: DataFrame, names: Sequence[str], weight: Column, target: Column) ->
 
 
 def logit(df: DataFrame, outcome: str, terms: dict[str, Column], cluster: str | None = None, kind: str = "asymptotic", most: int = 30, tolerance: float = 1e-9) -> Fit:
-    """Maximum likelihood by iteratively reweighted least squares; kind is asymptotic, robust or gee.
+    """One fit of `logits`."""
+    return logits(df, outcome, terms, cluster, (kind,), most, tolerance)[kind]
+
+
+def logits(df: DataFrame, outcome: str, terms: dict[str, Column], cluster: str | None = None, kinds: Sequence[str] = ("asymptotic",), most: int = 30, tolerance: float = 1e-9) -> dict[str, Fit]:
+    """Maximum likelihood by iteratively reweighted least squares, once, with a covariance for each kind: asymptotic, robust or gee.
 
     Terms that are linear combinations of others, outcomes without both values and fits that do not settle give a status
     instead of an error. Coefficients are those at the last step.
@@ -71,7 +76,7 @@ def logit(df: DataFrame, outcome: str, terms: dict[str, Column], cluster: str |
     cols = [f"_x{i}" for i in range(len(names))]
     data = df.select(F.col(outcome).cast("double").alias("_y"), *([F.col(cluster).alias("_c")] if cluster else []), F.lit(1.0).alias("_x0"), *[e.cast("double").alias(c) for e, c in zip(terms.values(), cols[1:])])
     data = data.dropna(subset=["_y", *cols])
-    nothing = lambda status, n=0: Fit(names, np.full(len(names), np.nan), np.full((len(names), len(names)), np.nan), n, status, terms=dict(terms))
+    nothing = lambda status, n=0: {k: Fit(names, np.full(len(names), np.nan), np.full((len(names), len(names)), np.nan), n, status, terms=dict(terms)) for k in kinds}
     n, ones = data.agg(F.count("*"), F.sum("_y")).first()
     if not n:
         return nothing("no rows")
@@ -98,16 +103,17 @@ def logit(df: DataFrame, outcome: str, terms: dict[str, Column], cluster: str |
             if np.max(np.abs(beta)) > 1e4:
                 break
         bread = np.linalg.inv(a)
-        cov, g = bread, 0
-        if kind != "asymptotic":
+        sandwich, g = bread, 0
+        if set(kinds) != {"asymptotic"}:
             eta = sum((F.col(c) * float(b) for c, b in zip(cols, beta)), F.lit(0.0))
             residual = F.col("_y") - 1.0 / (1.0 + F.exp(-eta))
             scores = data.groupBy("_c").agg(*[F.sum(F.col(c) * residual).alias(c) for c in cols])
             meat, _, g = gram(scores, cols, F.lit(1.0), F.lit(0.0))
-            cov = bread @ meat @ bread
-            if kind == "robust" and g > 1:
-                cov = cov * (g / (g - 1.0)) * ((n - 1.0) / (n - len(names)))
-        return Fit(names, beta, cov, n, "converged" if settled else "not converged", turn, int(g), dict(terms))
+            sandwich = bread @ meat @ bread
+        small = (g / (g - 1.0)) * ((n - 1.0) / (n - len(names))) if g > 1 else 1.0
+        cov = {"asymptotic": bread, "gee": sandwich, "robust": sandwich * small}
+        status = "converged" if settled else "not converged"
+        return {k: Fit(names, beta, cov[k], n, status, turn, 0 if k == "asymptotic" else int(g), dict(terms)) for k in kinds}
     finally:
         data.unpersist()
 
@@ -153,11 +159,38 @@ def marginal_grid(spark: SparkSession, fit: Fit, reference: dict[str, float], va
     return spark.createDataFrame(rows, "x double, p double, low double, high double")
 
 
+def grid(df: DataFrame, configs: dict[str, Sequence[str]], specs: dict[str, dict[str, Column]], cluster: str) -> dict[tuple[str, str, str], Fit]:
+    """Fits of every outcome (with its kinds) under every set of terms, by (outcome, kind, spec): one fit serves all kinds."""
+    found = {}
+    for outcome, kinds in configs.items():
+        for spec, terms in specs.items():
+            for kind, fit in logits(df, outcome, terms, cluster, kinds).items():
+                found[outcome, kind, spec] = fit
+    return found
+
+
+def quartile_knots(df: DataFrame, column: str, least: int = 100) -> list[float] | None:
+    """Least, quartiles and greatest of the values that are not 0, as spline knots; None with fewer than `least` of them."""
+    some = df.where(F.col(column) != 0)
+    n, low, q, high = some.agg(F.count(column), F.min(column), F.expr(f"percentile(`{column}`, array(0.25, 0.5, 0.75))"), F.max(column)).first()
+    if n < least:
+        return None
+    return sorted({float(low), *(round(float(x), 6) for x in q), float(high)})
+
+
 def cascade(df: DataFrame, stages: Sequence[tuple[str, Column, str]], terms: dict[str, Column], cluster: str, kind: str = "robust") -> dict[str, Fit]:
     """A fit for each stage (name, rows at risk, outcome), each on its own subset."""
     return {name: logit(df.where(at_risk), outcome, terms, cluster, kind) for name, at_risk, outcome in stages}
 
 
+def cohort_summary(df: DataFrame, stages: Sequence[tuple[str, Column, str]], cluster: str) -> DataFrame:
+    """Rows at risk, clusters, events and their share of every stage, from one pass over the rows."""
+    exprs = [e for i, (_, at_risk, outcome) in enumerate(stages) for e in (
+        F.count_if(at_risk & F.col(outcome).isNotNull()).alias(f"n{i}"), F.count_distinct(F.when(at_risk & F.col(outcome).isNotNull(), F.col(cluster))).alias(f"c{i}"), F.count_if(at_risk & (F.col(outcome) == 1)).alias(f"e{i}"))]
+    rows = [F.struct(F.lit(name).alias("stage"), F.lit(outcome).alias("outcome"), F.col(f"n{i}").alias("n"), F.col(f"c{i}").alias("clusters"), F.col(f"e{i}").alias("events"), F.try_divide(f"e{i}", f"n{i}").alias("share")) for i, (name, _, outcome) in enumerate(stages)]
+    return df.agg(*exprs).select(F.inline(F.array(*rows)))
+
+
 def welch(df: DataFrame, value: str, group: Column) -> DataFrame:
     """Difference of two groups' means, Welch's t, its degrees of freedom and a 95 % interval, from group moments."""
     one = df.groupBy(group.cast("int").alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))

@@ -108,7 +108,10 @@ def random_effects(rows: DataFrame, keys: Sequence[str], effect: str, variance:
     return done.withColumn("low", F.col("pooled") - z * F.col("se")).withColumn("high", F.col("pooled") + z * F.col("se"))
 
 
-def table_one(summary: DataFrame, site: str, sites: Sequence[str]) -> DataFrame:
-    """Formatted mean (SD) and median [Q1, Q3] of each variable, one column a site."""
-    text = F.format_string("%.1f (%.1f); %.1f [%.1f, %.1f]", "mean", "sd", "median", "q1", "q3")
-    return summary.withColumn("_text", text).groupBy("variable").pivot(site, list(sites)).agg(F.first("_text"))
+def table_one(continuous: DataFrame, categorical: DataFrame, site: str, sites: Sequence[str]) -> DataFrame:
+    """Formatted summaries, one column a site: mean (SD) and median [Q1, Q3] of variables, n (%) of each category."""
+    known = continuous.where("sd IS NOT NULL"), continuous.where("median IS NOT NULL")
+    means = known[0].select(site, "variable", F.lit("mean (SD)").alias("statistic"), F.format_string("%.1f (%.1f)", "mean", "sd").alias("_text"))
+    medians = known[1].select(site, "variable", F.lit("median [Q1, Q3]").alias("statistic"), F.format_string("%.1f [%.1f, %.1f]", "median", "q1", "q3").alias("_text"))
+    counts = categorical.select(site, "variable", F.concat(F.col("category"), F.lit(", n (%)")).alias("statistic"), F.format_string("%d (%.1f)", "n", "pct").alias("_text"))
+    return means.unionByName(medians).unionByName(counts).groupBy("variable", "statistic").pivot(site, list(sites)).agg(F.first("_text"))

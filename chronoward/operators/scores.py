@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import first_match
+from .asof import asof_join
+from .relational import range_join
+from .sequence import change_levels, forward_fill
 
 #: Devices from most to least support.
 DEVICE_RANK = {"imv": 1, "nippv": 2, "cpap": 3, "high flow nc": 4, "face mask": 5, "trach collar": 6, "nasal cannula": 7, "other": 8, "room air": 9}
@@ -67,6 +72,45 @@ def sofa(df: DataFrame, nulls_as_zero: bool = False, crrt: str | None = None) ->
     return out.withColumn("sofa_total", sum((F.coalesce(c, F.lit(0)) for c in SUBSCORES), F.lit(0)).cast("int"))
 
 
+#: Observations whose highest value is the worst, and those whose lowest is; plausible ranges.
+HIGHEST = ("creatinine", "bilirubin_total", "norepinephrine", "epinephrine", "dopamine", "dobutamine")
+LOWEST = ("platelet_count", "po2_arterial", "map", "spo2", "gcs_total")
+PLAUSIBLE = {"po2_arterial": (0.0, 700.0), "spo2": (50.0, 100.0)}
+CONCURRENT_MINUTES, LOOK_BACK_HOURS = 240, 24
+
+
+def filled_support(support: DataFrame, by: Sequence[str], time: str, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Device, then mode within its device, then oxygen share within its mode, each carried forward."""
+    order = [time, *tiebreak]
+    rows = forward_fill(support, ["device_category"], by, order)
+    rows = change_levels(rows, by, order, ["device_category"])
+    rows = forward_fill(rows, ["mode_category"], [*by, "device_category_id"], order)
+    rows = change_levels(rows, by, order, ["device_category", "mode_category"])
+    return forward_fill(rows, ["fio2_set"], [*by, "mode_category_id"], order).drop("device_category_id", "mode_category_id")
+
+
+def sofa_windowed(windows: DataFrame, observations: DataFrame, support: DataFrame, by: str, time: str, start: str, end: str, tiebreak: Sequence[str] = (), nulls_as_zero: bool = True) -> DataFrame:
+    """One row for each window (one an entity): worst values inside it, the worst concurrent P/F, six subscores and the total.
+
+    `observations` has the entity, time, category and value (laboratory, vital, coma scale and pressor rates in mcg/kg/min);
+    `support` the device, mode and fio2_set. Support is read from LOOK_BACK_HOURS before the window, so that what was set
+    then is carried into it. An oxygen tension meets the last support row of the window at most CONCURRENT_MINUTES before.
+    """
+    inside = range_join(observations, windows, [by], time, start, end)
+    for name, (low, high) in PLAUSIBLE.items():
+        inside = inside.withColumn("value", F.when((F.col("category") != name) | F.col("value").between(low, high), F.col("value")))
+    worst = inside.groupBy(by).agg(*[f(F.when(F.col("category") == c, F.col("value"))).alias(c) for names, f in ((HIGHEST, F.max), (LOWEST, F.min)) for c in names])
+    carried = filled_support(range_join(support, windows, [by], time, start, end, before=F.expr(f"INTERVAL {LOOK_BACK_HOURS} HOUR")), [by], time, tiebreak)
+    carried = carried.where(F.col(time) >= F.col(start)).withColumn("fio2_set", F.when(F.col("fio2_set").between(0.21, 1.0), F.col("fio2_set")))
+    limit = F.expr(f"timestampdiff(MICROSECOND, _right_time, _left_time) <= {CONCURRENT_MINUTES} * 60 * 1000000L")
+    tension = inside.where("category = 'po2_arterial' AND value IS NOT NULL").select(by, time, "value", *tiebreak)
+    pairs = asof_join(tension, carried.withColumnRenamed(time, "_at"), [by], time, "_at", ["fio2_set", "device_category"], tolerance=limit, tiebreak=tiebreak)
+    pairs = pairs.withColumn("p_f", pf(F.col("value"), F.col("fio2_set"))).where("p_f IS NOT NULL")
+    ratio = pairs.groupBy(by).agg(F.min("p_f").alias("p_f"), F.min_by("device_category", F.struct("p_f", time, *tiebreak)).alias("device_category"))
+    wide = windows.select(by).join(worst, by, "left").join(ratio, by, "left").withColumn("pao2_imputed", pao2_from_spo2(F.col("spo2")))
+    return sofa(wide, nulls_as_zero)
+
+
 def body_mass_index(vitals: DataFrame, by: str, time: str, category: str, value: str, tiebreak: str) -> DataFrame:
     """First plausible height (50 to 250 cm) and first weight (above 0) of each entity, and their index."""
     first = lambda kind, ok, name: vitals.where((F.col(category) == kind) & ok).groupBy(by).agg(F.min_by(value, F.struct(time, tiebreak)).alias(name))

@@ -8,10 +8,11 @@ from ..functions import columns as C
 from ..functions import dose as D
 from ..functions import localtime as L
 from ..operators import exposure as X
-from ..operators import machine, registry as G, relational as R, respiratory as V, rules, scores as Z, trials
+from ..operators import audits, machine, registry as G, relational as R, respiratory as V, rules, scores as Z, trials
 from ..operators import sequence as S, summary as M
 from .base import HOUR_US, r, t
-from .ordered import SHIFT, _bounds, ev
+from . import aggregating as A
+from .ordered import CASES as ORDERED, SHIFT, _bounds, ev
 
 
 def f01(s, d):
@@ -230,16 +231,37 @@ def f30(s, d):
     return G.model_input(_days(s, d), "user_id", "day", ["bad"], [(stay, ["user_id"])])
 
 
+def _outcomes(s, d):
+    rows = _trial_rows(s, d).withColumns({"device_category": F.lower(F.trim("device_category")), "fio2_set": F.col("fio2_set") / 200})
+    return rows, trials.trial_outcomes(rows, "user_id", "ts", _statuses(s, d), _discharges(s, d), ["event_id"], status_tiebreak=["event_id"])
+
+
 def f31(s, d):
-    e = ev(s, d)
-    per = e.groupBy("user_id").agg(F.max((F.col("event_type") == "error").cast("int")).alias("a"), F.max(((F.col("event_type") == "error") & (F.col("value") > 50)).cast("int")).alias("b"), F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"))
-    label = C.first_match([((F.col("a") == 1) & (F.col("b") == 1), "both"), (F.col("a") == 1, "first only")], "none")
-    return per.groupBy("first_type", label.alias("class")).agg(F.count("*").alias("n"))
+    rows, out = _outcomes(s, d)
+    filled = rows.withColumn("tracheostomy", F.max("tracheostomy").over(S.running(["user_id"], ["ts", "event_id"])))
+    return audits.funnel(rows, filled, out, "user_id", F.to_date("ts"))
+
+
+def f31b(s, d):
+    return audits.reclassified(_outcomes(s, d)[1], "user_id")
 
 
 def f32(s, d):
+    """Sections a to h: volume, exclusions over cut-offs, ages of values, round numbers, missing by group, jumps, spread, strategies."""
     e = ev(s, d)
-    return M.ledger(e, "values", {"rows": (F.count("*"), "rows"), "entities": (F.countDistinct("user_id"), "entities"), "share_over_50": (r(F.avg((F.col("value") > 50).cast("int"))), "share"), "median": (r(F.expr("percentile(value, 0.5)")), "value")})
+    part = audits.section
+    band = F.concat_ws("/", "event_type", F.coalesce("band", F.lit("none")))
+    strategies = R.unpivot(A.d31(s, d), ["variable"], ["median", "p95"], "which")
+    return audits.stacked([
+        M.ledger(e, "a: values", {"rows": (F.count("*"), "rows"), "entities": (F.countDistinct("user_id"), "entities"), "share_over_50": (r(F.avg((F.col("value") > 50).cast("int"))), "share"), "median": (r(F.expr("percentile(value, 0.5)")), "value")}),
+        part(A.d24(s, d), "b: cut-offs", F.col("cut").cast("int"), "n_excluded", "entities"),
+        part(A.d25(s, d), "c: ages", F.col("age"), "n", "rows"),
+        part(R.unpivot(A.d26(s, d), [], ["share_integer", "share_5", "share_10"]), "d: round numbers", F.col("variable"), "value", "share"),
+        part(A.d27(s, d), "e: groups", band, "n", "rows"),
+        M.ledger(S.jumps(e, ["user_id"], "ts", "value", 90.0, 6 * HOUR_US, ["event_id"]), "f: jumps", {"entities": (F.count("*"), "entities")}),
+        M.ledger(S.wide_range(e, ["user_id"], "value", 99.0), "g: spread", {"entities": (F.count("*"), "entities")}),
+        part(strategies, "h: strategies", F.concat_ws(" ", "variable", "which"), "value", "value"),
+    ])
 
 
 def f33(s, d):
@@ -286,17 +308,25 @@ def f41(s, d):
 
 
 def f42(s, d):
-    win = ev(s, d).where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("w0")).withColumn("w1", F.expr("w0 + INTERVAL 72 HOUR"))
-    inside = R.range_join(ev(s, d), win, ["user_id"], "ts", "w0", "w1")
-    w = M.extremes(inside, ["user_id"], "event_type", "value", ["error", "purchase"], ["click", "view"])
-    w = w.select("user_id", (F.col("click") * 10).alias("platelet_count"), (F.col("error") / 8).alias("bilirubin_total"), (F.col("purchase") / 20).alias("creatinine"))
-    return win.select("user_id").join(Z.sofa(w, nulls_as_zero=True), "user_id", "left").select("user_id", "sofa_coag", "sofa_liver", "sofa_renal", F.coalesce("sofa_total", F.lit(0)).alias("sofa_total"))
+    e, v, k = ev(s, d), F.col("value"), F.pmod("event_id", F.lit(8))
+    windows = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("w0")).withColumn("w1", F.expr("w0 + INTERVAL 240 HOUR"))
+    kinds = [("creatinine", v / 20), ("bilirubin_total", v / 8), ("platelet_count", v * 3), ("po2_arterial", v + 40), ("map", v / 2 + 50), ("gcs_total", F.floor(v / 9) + 4), ("norepinephrine", v / 500)]
+    name, value = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for i, (n, x) in enumerate(kinds):
+        name, value = F.when(k == i, n).otherwise(name), F.when(k == i, x).otherwise(value)
+    observed = e.where(k < 7).select("user_id", "ts", "event_id", name.alias("category"), value.alias("value"))
+    support = e.where(k != 3).select("user_id", "ts", "event_id", F.when(v > 60, "imv").when(v > 40, "nippv").when(v > 20, "nasal cannula").alias("device_category"),
+        F.when(F.col("event_type") != "signup", F.when(v > 50, "a").otherwise("b")).alias("mode_category"), F.when(F.col("event_type") == "click", v / 100).alias("fio2_set"))
+    out = Z.sofa_windowed(windows, observed, support, "user_id", "ts", "w0", "w1", ["event_id"])
+    return out.select("user_id", *Z.SUBSCORES, "sofa_total", r("p_f", 3).alias("p_f"), "device_category")
 
 
 def f43(s, d):
     o = t(s, d, "orders").withColumn("o_end", F.expr("o_orderdate + INTERVAL 2 DAY"))
-    b = S.stitch(o, ["o_custkey"], "o_orderdate", "o_end", "o_orderkey", 60 * 24 * HOUR_US).groupBy("o_custkey", "block_id").agg(F.count("*").alias("size"))
-    return b.groupBy("size").agg(F.count("*").alias("n_blocks"))
+    b = S.stitch(o, ["o_custkey"], "o_orderdate", "o_end", "o_orderkey", 60 * 24 * HOUR_US).withColumn("is_first", F.col("o_orderkey") == F.col("block_id"))
+    lines = t(s, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    spans = lines.select("o_orderkey", F.expr("timestampdiff(HOUR, a, b)").alias("hours"))
+    return audits.stitch_summary(b, ["o_custkey", "block_id"], spans, "o_orderkey", "hours")
 
 
 def f44(s, d):
@@ -377,6 +407,49 @@ SELECT k AS event_id, {DONE('m1 >= 30 AND s1 = 1 AND l1 = 0 AND con = 1')} AS sb
     {DONE('im >= 360 AND fio2 <= 0.5 AND peep <= 8')} AS sbt_elig, {EXIT_SQL('')}, {EXIT_SQL('_v2')}, t1 AS _trach_1st, t2 AS _trach_v2, m1 AS _block_minutes
 FROM o WHERE tr = 0 OR t1 = 1 OR t2 = 1"""
 F21 = f"WITH r AS (SELECT event_id AS k, user_id AS id, ts AS t, value > 50 AS o, value > 99.5 AS p FROM events), {MACHINE} SELECT k AS event_id, a AS _on_event, b AS _off_event, c AS _stop_event FROM ev"
+EXIT = lambda x, t: f"CASE WHEN max({t}) = 1 THEN 'tracheostomy' WHEN max(_success_extub{x}) = 1 THEN 'successful extubation' WHEN max(_fail_extub{x}) = 1 THEN 'failed extubation' WHEN max(_withdrawl_lst{x}) = 1 THEN 'withdrawal' ELSE 'other' END"
+OUTCOMES = f"WITH oc AS (SELECT e.user_id, e.ts, q.* FROM ({TRIALS}) q JOIN events e USING (event_id)), x2 AS (SELECT user_id, {EXIT('', '_trach_1st')} AS v1, {EXIT('_v2', '_trach_v2')} AS v2 FROM oc GROUP BY 1)"
+LEDGER = lambda section, source, *rows: " UNION ALL ".join(f"SELECT '{section}' AS section, '{m}' AS metric, CAST({x} AS DOUBLE) AS value, '{u}' AS unit FROM {source}" for m, x, u in rows)
+FUNNEL = f"""{OUTCOMES}, rw AS (SELECT user_id, ts, event_id, CAST(value > 98 AS INTEGER) AS tr FROM events), fl AS (SELECT user_id, max(tr) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS tr FROM rw),
+dy AS (SELECT user_id, CAST(ts AS DATE) AS day, max(_trach_1st) AS a, max(_trach_v2) AS b FROM oc GROUP BY 1, 2)
+{LEDGER('a: cohort', 'rw', ('rows', 'count(*)', 'rows'), ('entities', 'count(DISTINCT user_id)', 'entities'))} UNION ALL
+{LEDGER('b: raw', 'rw', ('rows with it', 'sum(tr)', 'rows'), ('entities with it', 'count(DISTINCT user_id) FILTER (WHERE tr = 1)', 'entities'))} UNION ALL
+{LEDGER('c: carried on', 'fl', ('rows with it', 'sum(tr)', 'rows'), ('entities with it', 'count(DISTINCT user_id) FILTER (WHERE tr = 1)', 'entities'))} UNION ALL
+{LEDGER('d: events', 'oc', ('first changes', 'sum(_trach_1st)', 'rows'), ('entities v1', 'count(DISTINCT user_id) FILTER (WHERE _trach_1st = 1)', 'entities'), ('entities v2', 'count(DISTINCT user_id) FILTER (WHERE _trach_v2 = 1)', 'entities'))} UNION ALL
+{LEDGER('e: days', 'dy', ('days', 'count(*)', 'days'), ('days v1', 'sum(a)', 'days'), ('days v2', 'sum(b)', 'days'))} UNION ALL
+SELECT 'f: exits v1', v1, CAST(count(*) AS DOUBLE), 'entities' FROM x2 GROUP BY 2 UNION ALL SELECT 'f: exits v2', v2, CAST(count(*) AS DOUBLE), 'entities' FROM x2 GROUP BY 2"""
+AUDIT = f"""{LEDGER('a: values', 'events', ('rows', 'count(*)', 'rows'), ('entities', 'count(DISTINCT user_id)', 'entities'), ('share_over_50', 'round(avg(CAST(value > 50 AS INTEGER)), 4)', 'share'), ('median', 'round(median(value), 4)', 'value'))}
+UNION ALL SELECT 'b: cut-offs', CAST(CAST(cut AS INTEGER) AS VARCHAR), CAST(n_excluded AS DOUBLE), 'entities' FROM ({A.CASES['d24_cutoffs'][1]})
+UNION ALL SELECT 'c: ages', age, CAST(n AS DOUBLE), 'rows' FROM ({A.CASES['d25_staleness'][1]})
+UNION ALL SELECT 'd: round numbers', k, v, 'share' FROM (UNPIVOT ({A.CASES['d26_round_numbers'][1]}) ON share_integer, share_5, share_10 INTO NAME k VALUE v)
+UNION ALL SELECT 'e: groups', event_type || '/' || coalesce(band, 'none'), CAST(n AS DOUBLE), 'rows' FROM ({A.CASES['d27_null_groups'][1]})
+UNION ALL SELECT 'f: jumps', 'entities', CAST(count(*) AS DOUBLE), 'entities' FROM ({ORDERED['e23_jumps'][1]})
+UNION ALL SELECT 'g: spread', 'entities', CAST(count(*) AS DOUBLE), 'entities' FROM ({ORDERED['e24_wide_range'][1]})
+UNION ALL SELECT 'h: strategies', variable || ' ' || k, v, 'value' FROM (UNPIVOT ({A.CASES['d31_strategies'][1]}) ON median, p95 INTO NAME k VALUE v)"""
+WINDOWED = f"""WITH w AS (SELECT user_id, min(ts) AS w0, min(ts) + INTERVAL 240 HOUR AS w1 FROM events WHERE event_type = 'signup' GROUP BY 1),
+i AS (SELECT e.user_id, ts, event_id, value AS v, event_id % 8 AS k FROM events e JOIN w USING (user_id) WHERE ts BETWEEN w0 AND w1),
+m AS (SELECT user_id, max(v / 20) FILTER (WHERE k = 0) AS creatinine, max(v / 8) FILTER (WHERE k = 1) AS bilirubin_total, min(v * 3) FILTER (WHERE k = 2) AS platelet_count, min(v / 2 + 50) FILTER (WHERE k = 4) AS map, min(floor(v / 9) + 4) FILTER (WHERE k = 5) AS g, max(v / 500) FILTER (WHERE k = 6) AS nor FROM i GROUP BY 1),
+s0 AS (SELECT e.user_id, ts, event_id, w0, CASE WHEN value > 60 THEN 'imv' WHEN value > 40 THEN 'nippv' WHEN value > 20 THEN 'nasal cannula' END AS dev, CASE WHEN event_type <> 'signup' THEN CASE WHEN value > 50 THEN 'a' ELSE 'b' END END AS md, CASE WHEN event_type = 'click' THEN value / 100 END AS f
+    FROM events e JOIN w USING (user_id) WHERE event_id % 8 <> 3 AND ts BETWEEN w0 - INTERVAL 24 HOUR AND w1),
+s1 AS (SELECT * REPLACE (last_value(dev IGNORE NULLS) OVER o AS dev) FROM s0 WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s2 AS (SELECT *, CASE WHEN dev IS DISTINCT FROM lag(dev) OVER o THEN 1 ELSE 0 END AS c FROM s1 WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s3 AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS db FROM s2),
+s4 AS (SELECT * REPLACE (last_value(md IGNORE NULLS) OVER (PARTITION BY user_id, db ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS md) FROM s3),
+s5 AS (SELECT *, CASE WHEN dev IS DISTINCT FROM lag(dev) OVER o OR md IS DISTINCT FROM lag(md) OVER o THEN 1 ELSE 0 END AS c2 FROM s4 WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s6 AS (SELECT *, sum(c2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS mb FROM s5),
+s7 AS (SELECT * REPLACE (last_value(f IGNORE NULLS) OVER (PARTITION BY user_id, mb ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS f) FROM s6),
+s8 AS (SELECT user_id, ts, event_id, dev, CASE WHEN f BETWEEN 0.21 AND 1 THEN f END AS f FROM s7 WHERE ts >= w0),
+po AS (SELECT i.event_id AS k, i.user_id, i.ts, i.v + 40 AS v, arg_max(struct_pack(f := s8.f, dev := s8.dev, at := s8.ts), (s8.ts, s8.event_id)) AS r FROM i JOIN s8 ON s8.user_id = i.user_id AND s8.ts <= i.ts WHERE i.k = 3 GROUP BY 1, 2, 3, 4),
+pf AS (SELECT user_id, min(p) AS p_f, arg_min(dev, (p, ts, k)) AS dev FROM (SELECT user_id, ts, k, v / r.f AS p, r.dev AS dev FROM po WHERE ts - r.at <= INTERVAL 240 MINUTE AND r.f IS NOT NULL) GROUP BY 1),
+z AS (SELECT w.user_id, m.* EXCLUDE (user_id), p_f, dev AS device_category, CASE WHEN dev IN ('imv', 'nippv') THEN 1 ELSE 99 END AS vw FROM w LEFT JOIN m USING (user_id) LEFT JOIN pf USING (user_id)),
+u AS (SELECT user_id, coalesce(CASE WHEN nor > 0.1 THEN 4 WHEN nor <= 0.1 THEN 3 WHEN map < 70 THEN 1 END, 0) AS sofa_cv, coalesce({COAG}, 0) AS sofa_coag, coalesce({LIVER}, 0) AS sofa_liver, coalesce({RESP}, 0) AS sofa_resp,
+    coalesce(CASE WHEN g < 6 THEN 4 WHEN g BETWEEN 6 AND 9 THEN 3 WHEN g BETWEEN 10 AND 12 THEN 2 WHEN g BETWEEN 13 AND 14 THEN 1 END, 0) AS sofa_cns, coalesce({RENAL}, 0) AS sofa_renal, round(p_f, 3) AS p_f, device_category FROM z)
+SELECT *, sofa_cv + sofa_coag + sofa_liver + sofa_resp + sofa_cns + sofa_renal AS sofa_total FROM u"""
+STITCH = f"""WITH a AS (SELECT *, CASE WHEN max(o_orderdate + INTERVAL 2 DAY) OVER w IS NULL OR o_orderdate - max(o_orderdate + INTERVAL 2 DAY) OVER w >= INTERVAL 60 DAY THEN 1 ELSE 0 END AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT o_orderkey, o_custkey, n, sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS k FROM a), z AS (SELECT count(*) AS size FROM b GROUP BY o_custkey, k),
+h AS (SELECT l_orderkey, date_sub('hour', min(l_shipdate), max(l_shipdate)) AS h FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), l AS (SELECT h FROM b LEFT JOIN h ON l_orderkey = o_orderkey WHERE n = 0)
+{LEDGER('block size', 'z', ('blocks', 'count(*)', 'blocks'), ('of one', 'count(*) FILTER (WHERE size = 1)', 'blocks'), ('of two', 'count(*) FILTER (WHERE size = 2)', 'blocks'), ('of more', 'count(*) FILTER (WHERE size > 2)', 'blocks'), ('mean', 'round(avg(size), 4)', 'blocks'), ('sd', 'round(stddev_samp(size), 4)', 'blocks'), ('least', 'min(size)', 'blocks'), ('most', 'max(size)', 'blocks'))} UNION ALL
+{LEDGER('later stays', 'l', ('stays', 'count(*)', 'stays'), ('no support', 'count(*) FILTER (WHERE h IS NULL)', 'stays'), ('under 24 h', 'count(*) FILTER (WHERE h < 24)', 'stays'), ('24 h or more', 'count(*) FILTER (WHERE h >= 24)', 'stays'))}"""
 CASES = {
     "f01_pivot_avg": (f01, "SELECT user_id, CAST(ts AS DATE) AS day, round(avg(value) FILTER (WHERE event_type = 'click'), 4) AS click, round(avg(value) FILTER (WHERE event_type = 'view'), 4) AS view, round(avg(value) FILTER (WHERE event_type = 'error'), 4) AS error FROM events GROUP BY 1, 2"),
     "f02_pivot_max": (f02, PIV.format(f="max")),
@@ -411,8 +484,9 @@ CASES = {
     "f28_ever": (f28, "SELECT user_id, max(CASE WHEN event_type = 'error' AND value > 30 THEN 1 ELSE 0 END) AS ever_bad FROM events GROUP BY 1"),
     "f29_stay_registry": (f29, "WITH x AS (SELECT user_id, count(*) AS n_rows, min(ts) AS first_ts, max(CASE WHEN event_type = 'error' AND value > 95 THEN 1 ELSE 0 END) AS died, max(CASE WHEN event_type = 'purchase' AND value > 98 THEN 1 ELSE 0 END) AS \"left\" FROM events GROUP BY 1) SELECT *, CASE WHEN died = 1 THEN 'death' WHEN \"left\" = 1 THEN 'discharge' ELSE 'unknown' END AS exit_mechanism FROM x"),
     "f30_model_input": (f30, f"SELECT * FROM (SELECT x.*, n_stay, lead(bad) OVER (PARTITION BY x.user_id ORDER BY day) AS bad_next_day FROM ({DAYQ}) x JOIN (SELECT user_id, count(*) AS n_stay FROM events GROUP BY 1) s USING (user_id)) WHERE day > 0 AND bad_next_day IS NOT NULL"),
-    "f31_funnel_audit": (f31, "WITH p AS (SELECT user_id, max(CAST(event_type = 'error' AS INTEGER)) AS a, max(CAST(event_type = 'error' AND value > 50 AS INTEGER)) AS b, first(event_type ORDER BY ts, event_id) AS first_type FROM events GROUP BY 1) SELECT first_type, CASE WHEN a = 1 AND b = 1 THEN 'both' WHEN a = 1 THEN 'first only' ELSE 'none' END AS class, count(*) AS n FROM p GROUP BY 1, 2"),
-    "f32_audit": (f32, "SELECT 'values' AS section, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value, 'rows' AS unit FROM events UNION ALL SELECT 'values', 'entities', CAST(count(DISTINCT user_id) AS DOUBLE), 'entities' FROM events UNION ALL SELECT 'values', 'share_over_50', round(avg(CAST(value > 50 AS INTEGER)), 4), 'share' FROM events UNION ALL SELECT 'values', 'median', round(median(value), 4), 'value' FROM events"),
+    "f31_funnel_audit": (f31, FUNNEL),
+    "f31_reclassified": (f31b, f"{OUTCOMES} SELECT v1, v2, count(*) AS n FROM x2 GROUP BY 1, 2"),
+    "f32_audit": (f32, AUDIT),
     "f33_night_windows": (f33, "WITH b AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1), n AS (SELECT user_id, a, b, unnest(generate_series(CAST(CAST(a - INTERVAL 6 HOUR AS DATE) - 1 AS TIMESTAMP), CAST(CAST(b - INTERVAL 6 HOUR AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM b) SELECT user_id, d + INTERVAL 25 HOUR AS night_start, d + INTERVAL 37 HOUR AS night_end FROM n WHERE d + INTERVAL 25 HOUR < b AND d + INTERVAL 37 HOUR > a"),
     "f34_events_long": (f34, "SELECT user_id, ts AS at, 'failure' AS kind, event_type AS label FROM events WHERE event_type = 'error' UNION ALL SELECT user_id, ts, 'large', event_type FROM events WHERE event_type = 'purchase' AND value > 80 UNION ALL SELECT user_id, ts, 'extreme', event_type FROM events WHERE value > 99"),
     "f35_hourly_means": (f35, "WITH g AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, c AS event_type FROM events, (VALUES ('click'), ('view')) v(c)), m AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2, 3) SELECT user_id, day, event_type, last_value(mean_value IGNORE NULLS) OVER (PARTITION BY user_id, event_type ORDER BY day ROWS UNBOUNDED PRECEDING) AS mean_value FROM g LEFT JOIN m USING (user_id, day, event_type)"),
@@ -422,8 +496,8 @@ CASES = {
     "f39_standardize_times": (f39, "SELECT event_id, date_trunc('minute', ts + INTERVAL 6 HOUR) AS utc FROM events"),
     "f40_number_else_text": (f40, "SELECT event_id, CASE WHEN event_type = 'click' THEN value WHEN event_type = 'view' THEN floor(value) END AS v, CASE WHEN value > 50 THEN 1 ELSE 9 END AS rank FROM events"),
     "f41_plausible": (f41, "SELECT event_type, count(*) FILTER (WHERE value BETWEEN 50 AND 100) AS n_kept, count(*) AS n FROM events GROUP BY 1"),
-    "f42_sofa_windowed": (f42, f"WITH w AS (SELECT user_id, min(ts) AS w0 FROM events WHERE event_type = 'signup' GROUP BY 1), x AS ({EXT.format(j='JOIN w USING (user_id) WHERE ts BETWEEN w0 AND w0 + INTERVAL 72 HOUR')}) SELECT user_id, coalesce({COAG}, 0) AS sofa_coag, coalesce({LIVER}, 0) AS sofa_liver, coalesce({RENAL}, 0) AS sofa_renal, coalesce({COAG}, 0) + coalesce({LIVER}, 0) + coalesce({RENAL}, 0) AS sofa_total FROM x"),
-    "f43_stitch_summary": (f43, "WITH a AS (SELECT *, CASE WHEN max(o_orderdate + INTERVAL 2 DAY) OVER w IS NULL OR o_orderdate - max(o_orderdate + INTERVAL 2 DAY) OVER w >= INTERVAL 60 DAY THEN 1 ELSE 0 END AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), b AS (SELECT o_custkey, sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT size, count(*) AS n_blocks FROM (SELECT o_custkey, k, count(*) AS size FROM b GROUP BY 1, 2) GROUP BY 1"),
+    "f42_sofa_windowed": (f42, WINDOWED),
+    "f43_stitch_summary": (f43, STITCH),
     "x01_comorbidity": (x01, "WITH k AS (SELECT user_id, max(CAST(event_id % 8 = 0 AS INTEGER)) AS c0, max(CAST(event_id % 8 = 1 AS INTEGER)) AS c1, max(CAST(event_id % 8 = 2 AS INTEGER)) AS c2, max(CAST(event_id % 8 = 3 AS INTEGER)) AS c3, max(CAST(event_id % 8 = 4 AS INTEGER)) AS c4, max(CAST(event_id % 8 = 5 AS INTEGER)) AS c5, max(CAST(event_id % 8 = 6 AS INTEGER)) AS c6 FROM events WHERE event_type IN ('error','signup') GROUP BY 1) SELECT user_id, CASE WHEN c3 = 1 THEN 0 ELSE c2 END AS diabetes, CASE WHEN c5 = 1 THEN 0 ELSE c4 END AS cancer, c5 AS metastatic, c0 + c1 + CASE WHEN c3 = 1 THEN 2 ELSE c2 END + CASE WHEN c5 = 1 THEN 6 ELSE 2 * c4 END + c6 AS cci_score FROM k"),
     "f44_ledger": (f44, "SELECT 'lines' AS section, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value, 'rows' AS unit FROM lineitem UNION ALL SELECT 'lines', 'mean_quantity', round(avg(l_quantity), 4), 'units' FROM lineitem"),
 }

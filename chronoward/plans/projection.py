@@ -31,6 +31,17 @@ def a07(s, d):
     return cover.select("n_cohort", "n_covered", r("ratio").alias("ratio"))
 
 
+def a09(s, d):
+    return io.described(t(s, d, "lineitem"))
+
+
+def a15(s, d):
+    """A frame of the session queried by SQL under a name of its own."""
+    levels = s.createDataFrame([("click", 1), ("view", 1), ("purchase", 3)], "event_type string, weight int")
+    frames = {"shop_events": t(s, d, "events"), "levels": levels}
+    return io.query(s, "SELECT user_id, sum(weight) AS score FROM {shop_events} JOIN {levels} USING (event_type) GROUP BY user_id", frames)
+
+
 def a14(s, d):
     return io.site_labels(t(s, d, "region"), "r_name")
 
@@ -151,6 +162,8 @@ CASES = {
     "a01_scan": (a01, "SELECT l_orderkey, l_quantity, l_discount FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_discount > 0.05"),
     "a02_load": (a02, "SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('click','purchase')"),
     "a05_sample": (a05, None),
+    "a09_described": (a09, "SELECT column_name, CASE data_type WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS data_type FROM (SELECT column_name, column_type AS data_type FROM (DESCRIBE lineitem))"),
+    "a15_frame_as_relation": (a15, "SELECT user_id, CAST(sum(CASE event_type WHEN 'purchase' THEN 3 ELSE 1 END) AS BIGINT) AS score FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1"),
     "a06_entity": (a06, "SELECT event_id, user_id, value FROM events WHERE user_id = 7"),
     "a07_coverage": (a07, "SELECT count(*) AS n_cohort, count(o.k) AS n_covered, round(count(o.k)/count(*), 4) AS ratio FROM (SELECT DISTINCT c_custkey FROM customer) c LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON o.k = c.c_custkey"),
     "a14_site_labels": (a14, "SELECT r_name, 'Site ' || chr(CAST(64 + row_number() OVER (ORDER BY r_name) AS INTEGER)) AS label FROM (SELECT DISTINCT r_name FROM region)"),

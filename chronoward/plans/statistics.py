@@ -83,7 +83,9 @@ def h09(s, d):
 
 
 def h10(s, d):
-    return P.table_one(_summary(s, d), "site", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
+    sites = _sites(s, d).withColumn("debt", F.when(F.col("c_acctbal") < 0, -F.col("c_acctbal")))
+    cont = M.continuous_summary(sites, ["c_acctbal", "debt"], ["site"])
+    return P.table_one(cont, M.categorical_summary(sites, ["c_mktsegment"], ["site"]), "site", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
 
 
 def _model_rows(s, d):
@@ -96,15 +98,26 @@ def _terms():
     return {"bal": F.col("bal"), "urgent": F.col("urgent")}
 
 
+KINDS = ("asymptotic", "robust", "gee")
+
+
 def _fits(s, d):
-    rows = _model_rows(s, d)
-    return {("large", kind, "linear"): K.logit(rows, "y", _terms(), "o_custkey", kind) for kind in ("asymptotic", "robust", "gee")}
+    return {("large", kind, "linear"): f for kind, f in K.logits(_model_rows(s, d), "y", _terms(), "o_custkey", KINDS).items()}
 
 
 def h11(s, d):
     return K.coefficients(s, _fits(s, d)).select("outcome", "model", "spec", "predictor", *[r(c, 6).alias(c) for c in ("log_or", "se", "odds_ratio", "low", "high")], "n", "status", "row_type")
 
 
+def h11b(s, d):
+    """Outcomes with their kinds of covariance under several sets of terms, with failed fits in the same table."""
+    rows = _model_rows(s, d).withColumns({"filled": (F.col("o_orderstatus") == "F").cast("int"), "never": F.lit(0)})
+    knots = K.quartile_knots(rows, "bal")
+    specs = {"linear": _terms(), "squared": {**_terms(), "bal2": F.col("bal") * F.col("bal")}, "spline": {**{f"s{i}": e for i, e in enumerate(K.spline(F.col("bal"), knots))}, "urgent": F.col("urgent")}}
+    fits = K.grid(rows, {"y": KINDS, "filled": ("gee",), "never": ("gee",)}, specs, "o_custkey")
+    return K.coefficients(s, fits).select("outcome", "model", "spec", "predictor", *[r(c, 6).alias(c) for c in ("log_or", "se")], "n", "status", "row_type")
+
+
 def h12(s, d):
     rows = _model_rows(s, d)
     fits = {("large", "asymptotic", "collinear"): K.logit(rows, "y", {**_terms(), "again": F.col("bal") * 2}), ("large", "asymptotic", "constant"): K.logit(rows.where("y = 1"), "y", _terms()), ("large", "asymptotic", "linear"): K.logit(rows, "y", _terms())}
@@ -116,6 +129,12 @@ def h13(s, d):
     return t(s, d, "customer").select("c_custkey", *[r(b, 6).alias(f"s{i}") for i, b in enumerate(basis)])
 
 
+def h13b(s, d):
+    """Spline terms with the quartiles of the values that are not 0 as knots."""
+    c = t(s, d, "customer").withColumn("x", F.greatest(F.lit(0.0), F.col("c_acctbal") / 1000))
+    return c.select("c_custkey", *[r(b, 5).alias(f"s{i}") for i, b in enumerate(K.spline(F.col("x"), K.quartile_knots(c, "x", 10)))])
+
+
 def h14(s, d):
     f = K.logit(_model_rows(s, d), "y", _terms(), "o_custkey", "robust")
     return s.createDataFrame([("bal 1 to 9", *K.contrast(f, [1, 1, 0], [1, 9, 0])), ("urgent", *K.contrast(f, [1, 0, 0], [1, 0, 1]))], "contrast string, odds_ratio double, low double, high double")
@@ -136,16 +155,32 @@ def h17(s, d):
     return K.marginal_grid(s, f, {"urgent": 0.0}, "bal", low, high)
 
 
+def _stages(s, d):
+    """Eligible, done, freed: each among those that got so far, and freed for good among the done and the freed."""
+    rows = _model_rows(s, d).withColumns({"done": (F.col("o_totalprice") > 200000).cast("int"), "freed": (F.col("o_totalprice") > 250000).cast("int"), "good": (F.col("o_totalprice") > 300000).cast("int")})
+    is_ = lambda c: F.col(c) == 1
+    return rows, [("stage0", F.lit(True), "y"), ("stage1", is_("y"), "done"), ("stage2", is_("done"), "freed"), ("stage2b", is_("done"), "good"), ("stage3", is_("freed"), "good")]
+
+
 def h18(s, d):
-    rows = _model_rows(s, d).withColumn("y2", (F.col("o_totalprice") > 250000).cast("int"))
-    fits = K.cascade(rows, [("entered", F.lit(True), "y"), ("went on", F.col("y") == 1, "y2")], _terms(), "o_custkey")
+    rows, stages = _stages(s, d)
+    fits = K.cascade(rows, stages, _terms(), "o_custkey")
     return s.createDataFrame([(k, f.n, f.clusters, f.status, *map(float, f.beta)) for k, f in fits.items()], "stage string, n long, clusters int, status string, intercept double, bal double, urgent double")
 
 
+def h18b(s, d):
+    rows, stages = _stages(s, d)
+    return K.cohort_summary(rows, stages, "o_custkey").select("stage", "outcome", "n", "clusters", "events", r("share", 6).alias("share"))
+
+
 def h19(s, d):
     return K.welch(t(s, d, "events"), "value", (F.hour("ts") >= 7) & (F.hour("ts") < 19)).select(*[r(c, 6).alias(c) for c in ("difference", "t", "dof", "low", "high")])
 
 
+def h19b(s, d):
+    return K.welch(t(s, d, "events"), "value", (F.hour("ts") >= 7) & (F.hour("ts") < 19)).select(r("difference", 6).alias("difference"), r("t", 6).alias("t"), r("dof").alias("dof"))
+
+
 def h20(s, d):
     locked = K.complete(_model_rows(s, d), "y", ["bal", "urgent"])
     specs = {"linear": _terms(), "squared": {**_terms(), "bal2": F.col("bal") * F.col("bal")}, "spline": {f"s{i}": e for i, e in enumerate(K.spline(F.col("bal"), [0.0, 3.0, 6.0, 9.0]))}}
@@ -162,6 +197,21 @@ EFF = f"SELECT 'c_acctbal' AS variable, site, avg(c_acctbal) AS y, var_samp(c_ac
 DL = f"""WITH e AS ({EFF}), f AS (SELECT variable, count(*) AS k, sum(1/v) AS sw, sum(1/(v*v)) AS sw2, sum(y/v) AS swy, sum(y*y/v) AS swy2 FROM e GROUP BY 1),
 g AS (SELECT *, greatest(0, swy2 - swy*swy/sw) AS q, sw - sw2/sw AS c FROM f), h AS (SELECT *, greatest(0, (q - (k - 1)) / c) AS tau2 FROM g),
 p AS (SELECT h.variable, k, q, h.tau2, sum(1/(v + h.tau2)) AS w, sum(y/(v + h.tau2)) AS wy FROM e JOIN h USING (variable) GROUP BY 1, 2, 3, 4)"""
+SITES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+TABLE_ONE = f"""WITH x AS (SELECT site, c_mktsegment, c_acctbal, CASE WHEN c_acctbal < 0 THEN -c_acctbal END AS debt FROM {SITE}),
+l AS (SELECT site, 'c_acctbal' AS variable, c_acctbal AS v FROM x UNION ALL SELECT site, 'debt', debt FROM x),
+k AS (SELECT site, variable, avg(v) AS m, stddev_samp(v) AS s, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM l GROUP BY 1, 2),
+n AS (SELECT site, c_mktsegment, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY site) AS p FROM x GROUP BY 1, 2),
+f AS (SELECT site, variable, 'mean (SD)' AS statistic, printf('%.1f (%.1f)', m, s) AS t FROM k UNION ALL SELECT site, variable, 'median [Q1, Q3]', printf('%.1f [%.1f, %.1f]', b, a, c) FROM k
+    UNION ALL SELECT site, 'c_mktsegment', c_mktsegment || ', n (%)', printf('%d (%.1f)', n, p) FROM n)
+SELECT variable, statistic, {', '.join(f"max(t) FILTER (WHERE site = '{x}') AS \"{x}\"" for x in SITES)} FROM f GROUP BY 1, 2"""
+STAGE = lambda name, at_risk, outcome, cut: f"SELECT '{name}' AS stage, '{outcome}' AS outcome, count(*) AS n, count(DISTINCT o_custkey) AS clusters, count(*) FILTER (WHERE o_totalprice > {cut}) AS events, round(count(*) FILTER (WHERE o_totalprice > {cut}) / count(*), 6) AS share FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > {at_risk}"
+STAGES = " UNION ALL ".join(STAGE(*x) for x in (("stage0", -1, "y", 150000), ("stage1", 150000, "done", 200000), ("stage2", 200000, "freed", 250000), ("stage2b", 200000, "good", 300000), ("stage3", 250000, "good", 300000)))
+QUARTILES = """WITH x AS (SELECT c_custkey, greatest(0.0::DOUBLE, c_acctbal / 1000) AS x FROM customer), q AS (SELECT min(x) AS k0, round(quantile_cont(x, 0.25), 6) AS k1, round(quantile_cont(x, 0.5), 6) AS k2, round(quantile_cont(x, 0.75), 6) AS k3, max(x) AS k4 FROM x WHERE x <> 0),
+y AS (SELECT x.*, q.*, pow(k4 - k0, 2) AS sc, pow(greatest(x - k0, 0), 3) AS a0, pow(greatest(x - k1, 0), 3) AS a1, pow(greatest(x - k2, 0), 3) AS a2, pow(greatest(x - k3, 0), 3) AS a3, pow(greatest(x - k4, 0), 3) AS a4 FROM x, q)
+SELECT c_custkey, round(x, 5) AS s0, round((a0 - a3 * ((k4 - k0) / (k4 - k3)) + a4 * ((k3 - k0) / (k4 - k3))) / sc, 5) AS s1, round((a1 - a3 * ((k4 - k1) / (k4 - k3)) + a4 * ((k3 - k1) / (k4 - k3))) / sc, 5) AS s2, round((a2 - a3 * ((k4 - k2) / (k4 - k3)) + a4 * ((k3 - k2) / (k4 - k3))) / sc, 5) AS s3 FROM y"""
+WELCH = """WITH g AS (SELECT hour(ts) >= 7 AND hour(ts) < 19 AS d, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1), x AS (SELECT a.m - b.m AS diff, a.v / a.n AS va, b.v / b.n AS vb, a.n AS na, b.n AS nb FROM g a, g b WHERE a.d AND NOT b.d)
+SELECT round(diff, 6) AS difference, round(diff / sqrt(va + vb), 6) AS t, round(pow(va + vb, 2) / (va * va / (na - 1) + vb * vb / (nb - 1)), 4) AS dof FROM x"""
 CASES = {
     "h01_pooled_mean_sd": (h01, "SELECT 'c_acctbal' AS variable, count(c_acctbal) AS n, round(avg(c_acctbal), 3) AS mean, round(stddev_samp(c_acctbal), 3) AS sd FROM customer JOIN nation ON n_nationkey = c_nationkey"),
     "h02_pooled_quantile": (h02, "WITH b AS (SELECT * FROM (VALUES (-1000.0::DOUBLE, 0.0::DOUBLE), (0.0::DOUBLE, 2500.0::DOUBLE), (2500.0::DOUBLE, 5000.0::DOUBLE), (5000.0::DOUBLE, 7500.0::DOUBLE), (7500.0::DOUBLE, 10000.0::DOUBLE)) v(l, r)), c AS (SELECT l, r, count(*) AS c FROM b JOIN customer ON c_acctbal >= l AND c_acctbal < r GROUP BY 1, 2), d AS (SELECT *, sum(c) OVER (ORDER BY l) AS cum, 0.5::DOUBLE * sum(c) OVER () AS target FROM c) SELECT 'c_acctbal' AS variable, round(l + (target - (cum - c)) / c * (r - l), 3) AS quantile FROM d WHERE cum >= target ORDER BY l LIMIT 1"),
@@ -174,16 +224,20 @@ CASES = {
     "h07_stack_sites": (h07, f"SELECT c_mktsegment, count(*) AS n, site FROM {SITE} WHERE site IN ('ASIA','EUROPE') GROUP BY 1, 3"),
     "h08_with_all_row": (h08, f"SELECT coalesce(site, 'ALL') AS site, c_mktsegment, count(*) AS n FROM {SITE} GROUP BY GROUPING SETS ((site, c_mktsegment), (c_mktsegment))"),
     "h09_percent_by_hour": (h09, "SELECT event_type, CAST(hour(ts) AS INTEGER) AS hour, round(100.0::DOUBLE * count(*) FILTER (WHERE value > 50) / nullif(count(*) FILTER (WHERE value > 1), 0), 4) AS pct FROM events GROUP BY 1, 2"),
-    "h10_table_one": (h10, None),
+    "h10_table_one": (h10, TABLE_ONE),
     "h11_logit_three_ways": (h11, None),
+    "h11_model_grid": (h11b, None),
     "h12_fit_ledger": (h12, None),
     "h13_spline": (h13, "WITH x AS (SELECT c_custkey, c_acctbal / 1000 AS x FROM customer), y AS (SELECT *, pow(greatest(x, 0), 3) AS a, pow(greatest(x - 3, 0), 3) AS b, pow(greatest(x - 6, 0), 3) AS c, pow(greatest(x - 9, 0), 3) AS d FROM x) SELECT c_custkey, round(x, 6) AS s0, round((a - c * 3 + d * 2) / 81, 6) AS s1, round((b - c * 2 + d) / 81, 6) AS s2 FROM y"),
+    "h13_quartile_spline": (h13b, QUARTILES),
     "h14_contrasts": (h14, None),
     "h15_coefficient_table": (h15, None),
     "h16_wide_table": (h16, None),
     "h17_marginal_grid": (h17, None),
     "h18_cascade": (h18, None),
+    "h18_stage_cohorts": (h18b, STAGES),
     "h19_welch": (h19, None),
+    "h19_welch_statistic": (h19b, WELCH),
     "h20_ablation": (h20, None),
     "h22_complete_cases": (h22, "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 > 0"),
 }

@@ -85,9 +85,20 @@ def to_json(df: DataFrame, most_rows: int = 10_000) -> str:
     return "[" + ",".join(rows) + "]"
 
 
+def described(df: DataFrame) -> DataFrame:
+    """column_name and data_type of every column, as rows."""
+    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column_name string, data_type string")
+
+
+def query(spark: SparkSession, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """SQL over frames that the text names in braces; nothing stays registered in the session."""
+    return spark.sql(sql, **frames)
+
+
 def site_labels(sites: DataFrame, name: str) -> DataFrame:
-    """Anonymous labels (Site A, Site B, ...) in the order of the names; names with a leading underscore are no sites."""
+    """Anonymous labels (Site A to Z, AA to ZZ) in the order of the names; names with a leading underscore are no sites."""
     from pyspark.sql import Window
 
+    letters = lambda i: F.concat(F.when(i >= 26, F.char(F.floor(i / 26) + 64)).otherwise(""), F.char(F.pmod(i, F.lit(26)) + 65))
     named = sites.where(F.col(name).isNotNull() & ~F.col(name).startswith("_")).select(name).distinct()
-    return named.withColumn("label", F.concat(F.lit("Site "), F.char(F.lit(64) + F.row_number().over(Window.orderBy(name)))))
+    return named.withColumn("label", F.concat(F.lit("Site "), letters(F.row_number().over(Window.orderBy(name)) - 1)))
