@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..functions import dose as D
 from ..functions import localtime as L
 from ..operators import exposure as X
-from ..operators import audits, machine, registry as G, relational as R, respiratory as V, rules, scores as Z, trials
+from ..operators import audits, machine, registry as G, relational as R, respiratory as V, rules, scores as Z, trials, waterfall as W
 from ..operators import sequence as S, summary as M
 from .base import HOUR_US, r, t
 from . import aggregating as A
@@ -78,6 +78,24 @@ def f07(s, d):
     return V.waterfall(_resp(s, d), "user_id", "ts", ("event_id",)).select("user_id", "ts", "device_category", "mode_category", r("fio2_set").alias("fio2_set"), "mode_category_id", "tracheostomy")
 
 
+def _full_resp(s, d):
+    e, v, k = ev(s, d), F.col("value"), F.col("event_id")
+    device = F.when(v > 75, "IMV").when(v > 60, "nippv").when(v > 45, "trach collar").when(v > 35, "room air")
+    mode = F.when(k % 7 == 0, "SIMV").when(k % 7 == 1, "pressure support/cpap").when(k % 7 == 2, "assist control-volume control")
+    every = lambda n, x: F.when(k % n == 0, x)
+    return e.select(
+        "user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "event_id", device.alias("device_category"), F.when(F.col("event_type") == "signup", "T-Piece").when(k % 11 == 0, "trach mask").when(device.isNotNull() & (k % 3 == 0), F.concat(F.lit("dev "), (k % 2).cast("string"))).alias("device_name"),
+        mode.alias("mode_category"), F.when(mode.isNotNull() & (k % 4 == 0), F.concat(F.lit("m "), (k % 5).cast("string"))).alias("mode_name"), every(3, v).alias("fio2_set"), every(4, v / 8).alias("lpm_set"), every(2, v / 10).alias("peep_set"), every(2, v * 5).alias("tidal_volume_set"),
+        every(3, v / 8).alias("pressure_support_set"), every(4, v / 5).alias("resp_rate_set"), every(3, v / 3).alias("peak_inspiratory_pressure_set"), every(9, (v > 50).cast("int")).alias("tracheostomy"),
+    )
+
+
+def f07b(s, d):
+    out = W.waterfall_full(_full_resp(s, d), "user_id", "ts", ["event_id"])
+    ids = ["device_category_id", "device_name_id", "mode_category_id", "mode_name_id"]
+    return out.select("user_id", "ts", "event_id", "is_scaffold", *W.LABELS, *ids, *[r(c, 6).alias(c) for c in ("fio2_set", "lpm_set", "peep_set", "tidal_volume_set", "pressure_support_set", "resp_rate_set", "peak_inspiratory_pressure_set")], "tracheostomy")
+
+
 def f08(s, d):
     return C.normalize_categories(t(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority", "o_totalprice", "absent"]).select("o_orderkey", "o_orderpriority")
 
@@ -450,6 +468,39 @@ b AS (SELECT o_orderkey, o_custkey, n, sum(n) OVER (PARTITION BY o_custkey ORDER
 h AS (SELECT l_orderkey, date_sub('hour', min(l_shipdate), max(l_shipdate)) AS h FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), l AS (SELECT h FROM b LEFT JOIN h ON l_orderkey = o_orderkey WHERE n = 0)
 {LEDGER('block size', 'z', ('blocks', 'count(*)', 'blocks'), ('of one', 'count(*) FILTER (WHERE size = 1)', 'blocks'), ('of two', 'count(*) FILTER (WHERE size = 2)', 'blocks'), ('of more', 'count(*) FILTER (WHERE size > 2)', 'blocks'), ('mean', 'round(avg(size), 4)', 'blocks'), ('sd', 'round(stddev_samp(size), 4)', 'blocks'), ('least', 'min(size)', 'blocks'), ('most', 'max(size)', 'blocks'))} UNION ALL
 {LEDGER('later stays', 'l', ('stays', 'count(*)', 'stays'), ('no support', 'count(*) FILTER (WHERE h IS NULL)', 'stays'), ('under 24 h', 'count(*) FILTER (WHERE h < 24)', 'stays'), ('24 h or more', 'count(*) FILTER (WHERE h >= 24)', 'stays'))}"""
+CHANGE = lambda name, source, cond: f"SELECT *, sum(_c) OVER (PARTITION BY user_id ORDER BY ts, is_scaffold, event_id ROWS UNBOUNDED PRECEDING) AS {name} FROM (SELECT *, CASE WHEN row_number() OVER o = 1 OR {cond} THEN 1 ELSE 0 END AS _c FROM {source} WINDOW o AS (PARTITION BY user_id ORDER BY ts, is_scaffold, event_id))"
+DIFFERS = lambda *cols: " OR ".join(f"{c} IS DISTINCT FROM lag({c}) OVER o" for c in cols)
+BOTH = lambda c, part: f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY user_id, {part} ORDER BY ts, is_scaffold, event_id ROWS UNBOUNDED PRECEDING), first_value({c} IGNORE NULLS) OVER (PARTITION BY user_id, {part} ORDER BY ts, is_scaffold, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}"
+BESIDE = lambda kind: f"(coalesce(lag(dc) OVER o = '{kind}', false) OR coalesce(lead(dc) OVER o = '{kind}', false))"
+RULE = lambda name, source, cond, sets: f"{name} AS (SELECT * EXCLUDE (_r) REPLACE ({sets}) FROM (SELECT *, coalesce({cond}, false) AS _r FROM {source} WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)))"
+IMV = "CASE WHEN _r THEN 'imv' ELSE dc END AS dc, CASE WHEN _r THEN (SELECT imv FROM nm) ELSE dn END AS dn"
+SETS = ("fio2_set", "lpm_set", "peep_set", "tidal_volume_set", "pressure_support_set", "resp_rate_set", "peak_inspiratory_pressure_set")
+FULL = f"""WITH r0 AS (SELECT user_id, date_trunc('hour', ts) AS ts, event_id, CASE WHEN value > 75 THEN 'imv' WHEN value > 60 THEN 'nippv' WHEN value > 45 THEN 'trach collar' WHEN value > 35 THEN 'room air' END AS dc,
+    CASE event_id % 7 WHEN 0 THEN 'simv' WHEN 1 THEN 'pressure support/cpap' WHEN 2 THEN 'assist control-volume control' END AS mc, event_id % 3 = 0 AS x3, event_id % 2 = 0 AS x2, event_id % 4 = 0 AS x4, value AS v, event_type FROM events),
+r1 AS (SELECT user_id, ts, event_id, dc, CASE WHEN event_type = 'signup' THEN 't-piece' WHEN event_id % 11 = 0 THEN 'trach mask' WHEN dc IS NOT NULL AND x3 THEN 'dev ' || event_id % 2 END AS dn, mc, CASE WHEN mc IS NOT NULL AND x4 THEN 'm ' || event_id % 5 END AS mn,
+    CASE WHEN x3 THEN CASE WHEN v > 1 AND (SELECT avg(v) FROM r0 WHERE x3) > 1 THEN v / 100 ELSE v END END AS fio2_set, CASE WHEN x4 THEN v / 8 END AS lpm_set, CASE WHEN x2 THEN v / 10 END AS peep_set, CASE WHEN x2 THEN v * 5 END AS tidal_volume_set, CASE WHEN x3 THEN v / 8 END AS pressure_support_set,
+    CASE WHEN x4 THEN v / 5 END AS resp_rate_set, CASE WHEN x3 THEN v / 3 END AS peak_inspiratory_pressure_set, CASE WHEN event_id % 9 = 0 THEN CAST(v > 50 AS INTEGER) END AS tracheostomy FROM r0),
+nm AS (SELECT (SELECT dn FROM r1 WHERE dc = 'imv' AND dn IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS imv, (SELECT dn FROM r1 WHERE dc = 'nippv' AND dn IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS nippv,
+    (SELECT mn FROM r1 WHERE mc = 'assist control-volume control' AND mn IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS cmv),
+{RULE('r2', 'r1', "dc IS NULL AND dn IS NULL AND mc IN ('simv', 'assist control-volume control')", IMV)},
+{RULE('r3', 'r2', "dc = 'imv' AND dn IS NULL", "CASE WHEN _r THEN (SELECT imv FROM nm) ELSE dn END AS dn")},
+{RULE('r4', 'r3', f"dc IS NULL AND {BESIDE('imv')} AND peep_set > 1 AND resp_rate_set > 1 AND tidal_volume_set > 1", IMV)},
+{RULE('r5', 'r4', f"dc IS NULL AND {BESIDE('nippv')} AND peak_inspiratory_pressure_set > 1 AND pressure_support_set > 1", "CASE WHEN _r THEN 'nippv' ELSE dc END AS dc, CASE WHEN _r THEN coalesce(dn, (SELECT nippv FROM nm)) ELSE dn END AS dn")},
+{RULE('r6', 'r5', f"dc IS NULL AND NOT coalesce(contains(dn, 'trach'), false) AND {BESIDE('imv')} AND tidal_volume_set > 0 AND resp_rate_set > 0", IMV + ", CASE WHEN _r AND mc IS NULL THEN (SELECT cmv FROM nm) ELSE mn END AS mn, CASE WHEN _r AND mc IS NULL THEN 'assist control-volume control' ELSE mc END AS mc")},
+c1 AS (SELECT * FROM r6 QUALIFY NOT (count(*) OVER (PARTITION BY user_id, ts) > 1 AND coalesce(dc, '') = 'nippv')), c2 AS (SELECT * FROM c1 QUALIFY NOT (count(*) OVER (PARTITION BY user_id, ts) > 1 AND dc IS NULL)),
+c3 AS (SELECT * FROM c2 WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY NOT coalesce(dc = 'nippv' AND lead(dc) OVER o = 'trach collar' AND lag(dc) OVER o IS DISTINCT FROM 'nippv', false)),
+c4 AS (SELECT * FROM c3 WHERE coalesce(dc, dn, mc, mn) IS NOT NULL OR coalesce(tracheostomy, {', '.join(SETS)}) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1),
+g AS (SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) + INTERVAL '59 minutes 59 seconds' AS ts, true AS is_scaffold FROM r1 GROUP BY user_id),
+u0 AS (SELECT *, false AS is_scaffold FROM c4 UNION ALL BY NAME SELECT * FROM g),
+u1 AS (SELECT * REPLACE (last_value(dc IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, is_scaffold, event_id ROWS UNBOUNDED PRECEDING) AS dc) FROM u0),
+u2 AS ({CHANGE('i1', 'u1', DIFFERS('dc'))}), u3 AS (SELECT * EXCLUDE (_c) REPLACE ({BOTH('dn', 'i1')}) FROM u2), u4 AS ({CHANGE('i2', 'u3', DIFFERS('dn'))}), u5 AS (SELECT * EXCLUDE (_c) REPLACE ({BOTH('mc', 'i2')}) FROM u4),
+u6 AS ({CHANGE('i3', 'u5', DIFFERS('i2', 'mc'))}), u7 AS (SELECT * EXCLUDE (_c) REPLACE ({BOTH('mn', 'i3')}) FROM u6), u8 AS ({CHANGE('i4', 'u7', DIFFERS('i3', 'mn'))}),
+u9 AS (SELECT * EXCLUDE (_c) REPLACE (CASE WHEN fio2_set IS NULL AND dc = 'room air' THEN 0.21 ELSE fio2_set END AS fio2_set, CASE WHEN coalesce(mc = 'pressure support/cpap' AND pressure_support_set IS NOT NULL, false) OR mc IS NULL AND coalesce(contains(dn, 'trach'), false) OR coalesce(mc = 'pressure support/cpap' AND contains(dn, 'trach'), false) THEN NULL ELSE tidal_volume_set END AS tidal_volume_set),
+    sum(CAST(coalesce(dc = 'trach collar', false) AS INTEGER)) OVER (PARTITION BY user_id, i4 ORDER BY ts, is_scaffold, event_id ROWS UNBOUNDED PRECEDING) AS k FROM u8),
+z AS (SELECT * REPLACE ({', '.join(BOTH(c, 'i4, k') for c in SETS)}) FROM u9)
+SELECT user_id, ts, event_id, is_scaffold, dc AS device_category, dn AS device_name, CASE WHEN mc IS NULL AND coalesce(contains(dn, 't-piece'), false) THEN 'blow by' ELSE mc END AS mode_category, mn AS mode_name,
+    CAST(i1 AS BIGINT) AS device_category_id, CAST(i2 AS BIGINT) AS device_name_id, CAST(i3 AS BIGINT) AS mode_category_id, CAST(i4 AS BIGINT) AS mode_name_id, {', '.join(f"round({c}, 6) AS {c}" for c in SETS)},
+    last_value(tracheostomy IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, is_scaffold, event_id ROWS UNBOUNDED PRECEDING) AS tracheostomy FROM z"""
 CASES = {
     "f01_pivot_avg": (f01, "SELECT user_id, CAST(ts AS DATE) AS day, round(avg(value) FILTER (WHERE event_type = 'click'), 4) AS click, round(avg(value) FILTER (WHERE event_type = 'view'), 4) AS view, round(avg(value) FILTER (WHERE event_type = 'error'), 4) AS error FROM events GROUP BY 1, 2"),
     "f02_pivot_max": (f02, PIV.format(f="max")),
@@ -461,6 +512,7 @@ CASES = {
     "f06_outliers_by_pair": (f06b, "SELECT l_returnflag, l_linestatus, count(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND NOT l_quantity BETWEEN 2 AND 40 THEN NULL WHEN l_returnflag = 'N' AND l_linestatus = 'O' AND NOT l_quantity BETWEEN 5 AND 45 THEN NULL ELSE l_quantity END) AS n_kept, count(*) AS n FROM lineitem GROUP BY 1, 2"),
     "f06_drop_counts": (f06c, "SELECT 'c_acctbal' AS \"column\", count(c_acctbal) AS n_before, count(*) FILTER (WHERE c_acctbal BETWEEN 0 AND 5000) AS n_after, count(c_acctbal) - count(*) FILTER (WHERE c_acctbal BETWEEN 0 AND 5000) AS n_dropped FROM customer"),
     "f07_waterfall": (f07, None),
+    "f07_waterfall_full": (f07b, FULL),
     "f08_normalize": (f08, "SELECT o_orderkey, lower(trim(o_orderpriority)) AS o_orderpriority FROM orders"),
     "f09_actions": (f09, f"SELECT event_id, CAST({EVENT_STOP} AS INTEGER) AS stop_by_category, CAST({EVENT_STOP} AS INTEGER) AS stop_by_name, CAST(event_type <> 'signup' AS INTEGER) AS given FROM events"),
     "f10_fio2_from_flow": (f10, "SELECT event_id, dev AS device, CAST(round(CASE WHEN event_type = 'click' THEN value / 100 WHEN dev = 'room air' THEN 0.21 WHEN dev = 'nasal cannula' AND event_type = 'purchase' AND round_even(value / 8, 0) BETWEEN 1 AND 10 THEN 0.20 + 0.04 * round_even(value / 8, 0) END, 4) AS DOUBLE) AS fio2 FROM (SELECT *, CASE WHEN value > 60 THEN 'imv' WHEN value > 40 THEN 'nasal cannula' WHEN value > 30 THEN 'room air' WHEN value BETWEEN 20 AND 30 THEN 'imv' END AS dev FROM events)"),
