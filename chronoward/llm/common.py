@@ -18,14 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is made only where the setting is missing (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset a session on one machine gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chronoward-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Folders made by `written` that are still there, in order.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, label: str, **measures) -> DataFrame:
     """`df` as a Parquet table in the shared folder, so that a lost executor costs a reread, not a recomputation.
 
@@ -36,16 +42,24 @@ def written(df: DataFrame, label: str, **measures) -> DataFrame:
     watch = Observation() if measures else None
     source = df.observe(watch, *[e.alias(n) for n, e in measures.items()]) if measures else df
     source.write.option("compression", "zstd").parquet(path)
+    MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder, out.measured = path, watch.get if measures else {}
     return out
 
 
+def deleted(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders made by `written` once nothing reads them any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in MADE:
+            MADE.remove(folder)
+
+
 def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by `written` once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.folder)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the files of one table made by `written`."""
+    deleted(df.sparkSession, [df.folder])
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,10 @@
 """All pairs of different components inside buckets, whatever a bucket's size.
 
-A first round has compared the members of every bucket with its smallest one. What is left are pairs of two other members
-that lie in different components. Small buckets give them as rows. Large ones are cut into blocks by a hash of the id, and
-every two blocks that may hold such a pair meet in one task, which compares all of them exactly: no pair is left out, no
-task gets a bucket whole, and the rows dealt out are the members times the blocks that they have to meet.
+A first round has linked most members of every bucket. What is left are pairs that lie in different components. Small
+buckets give them as rows. Large ones are cut into blocks by a hash of the id, those of the component of the smallest id (the
+home) apart from the rest, and every two blocks that may hold such a pair meet in one task, which compares all of them
+exactly: no pair is left out, no task gets a bucket whole, and the rows dealt out are the members times the blocks that they
+have to meet.
 """
 
 from __future__ import annotations
@@ -48,14 +49,14 @@ def near_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: floa
 def crossing_links(member: DataFrame, roots: DataFrame, content: DataFrame, verified: Callable, sets_of: Callable, similarity: float) -> DataFrame:
     """Links (a, b) between members of one bucket that lie in different components.
 
-    `member` has bucket, a (the bucket's smallest id, already compared with all others) and id; `content` has an id and what
-    is compared; `verified` takes pairs and content; `sets_of` turns a list of contents into sets.
+    `member` has bucket and id; `content` has an id and what is compared; `verified` takes pairs and content; `sets_of`
+    turns a list of contents into sets.
     """
-    inside = member.select("bucket", "a", "id").join(roots.toDF("id", "root"), "id", "left").join(roots.toDF("a", "home"), "a", "left")
-    inside = inside.select("bucket", "id", F.coalesce("root", "id").alias("root"), (F.coalesce("root", "id") != F.coalesce("home", "a")).alias("apart"))
-    counts = inside.groupBy("bucket").agg(F.count_if("apart").alias("n_apart"), F.count_if(~F.col("apart")).alias("n_home"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    several = counts.where("r0 <> r1").select("bucket", "n_apart", "n_home")
-    open_ = written(inside.join(several, "bucket"), "crossing-members")
+    inside = member.select("bucket", "id").join(roots.toDF("id", "root"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    several = inside.groupBy("bucket").agg(F.min_by("root", "id").alias("home"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    open_ = written(inside.join(several.select("bucket", "home"), "bucket").select("bucket", "id", "root", (F.col("root") != F.col("home")).alias("apart")), "crossing-members")
+    counts = open_.groupBy("bucket").agg(F.count_if("apart").alias("n_apart"), F.count_if(~F.col("apart")).alias("n_home"))
+    open_ = open_.join(counts, "bucket")
     few = open_.where(F.col("n_apart") + F.col("n_home") <= FEW).select("bucket", "id", "root")
     pairs = few.toDF("bucket", "a", "root_a").join(few.toDF("bucket", "b", "root_b"), "bucket").where("a < b AND root_a <> root_b").select("a", "b").distinct()
     links = verified(written(pairs, "crossing-pairs"), content).select("a", "b")

@@ -2,11 +2,13 @@
 
 A line's shingles are runs of five characters (the whole line, if shorter). Minimum hashes in bands propose links, the
 exact Jaccard similarity of the shingle sets confirms them (0.8 or more), and a distributed union-find keeps the first
-line (by document id, then position) of every component. Equal lines are folded together before that. Within a bucket all
-lines are compared with the first, then all that are still in different components with each other.
+line (by document id, then position) of every component. Equal lines are folded together before that. Within a bucket
+lines are compared with the first of their task, those with the first of all, and then all that are still in different
+components with each other.
 
 Blank lines are never removed and belong to no component. A null text has no lines and stays null; a document of which
-every line goes keeps an empty text. Rows that share a document id get the decisions made for that id.
+every line goes keeps an empty text. Rows that share a document id are told apart, and ordered, by a hash of their text;
+rows equal in both share their decisions. Rows without an id take no part and keep their lines.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from .common import BASE, mix, powers, signed, slices, written
 from .components import components
 from .crossing import crossing_links
 
-SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 9, 4
-#: A line's place is one number: its document's id times this, plus its position. Positions beyond it do not occur in
-#: texts under two gigabytes with lines of any length; ids must stay below 2**63 / LINES.
-LINE_BITS = 22
-LINES = 1 << LINE_BITS
+SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 5
+#: Pairs with fewer than this share of equal minima are not compared in full; at a similarity of 0.8 one in 5,000 has fewer.
+LIKELY = 0.6
+#: Lines whose hashes a task remembers, to sketch equal ones once; lines whose buckets a task folds at once.
+SEEN, FOLDED = 1_000_000, 400_000
 BAND_NAMES = [f"b{i}" for i in range(BANDS)]
 MULTIPLIERS = np.array([int(x) | 1 for x in mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))], dtype=np.uint64)
 
@@ -56,15 +58,23 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def band_hashes(lines: list[str]) -> np.ndarray:
+def shingles(line: str) -> set[str]:
+    return {line[i : i + SIZE] for i in range(max(len(line) - SIZE + 1, 1))}
+
+
+def minima(lines: list[str]) -> np.ndarray:
+    """The minimum hashes of every line, one row each."""
     hashes, begin = shingle_hashes(lines)
-    out = np.zeros((len(lines), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(lines), (b + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        for r in range(ROWS):
-            key = mix(key ^ np.minimum.reduceat(hashes * MULTIPLIERS[b * ROWS + r], begin)) + np.uint64(r)
-        out[:, b] = key
-    return out
+    return np.stack([np.minimum.reduceat(hashes * m, begin) for m in MULTIPLIERS], axis=1)
+
+
+def band_hashes(lines: list[str]) -> np.ndarray:
+    """A hash of 32 bits for each band: strangers that share one cost a comparison, no more."""
+    least = minima(lines).reshape(len(lines), BANDS, ROWS)
+    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(lines), BANDS))
+    for r in range(ROWS):
+        key = mix(key ^ least[:, :, r]) + np.uint64(r)
+    return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def split_lines(text: str) -> list[tuple[int, str]]:
@@ -86,72 +96,131 @@ def chunks(rows, most: int = 300_000):
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """place, two hashes and band hashes (b0, b1, ...) of every line that is not blank."""
-    names = ["place", "h1", "h2", *BAND_NAMES]
+    """place (a number for each line), doc_id, tag, pos, two hashes and band hashes (b0, b1, ...) of every line that is not blank.
+
+    Of equal lines that a task sees, the first alone has band hashes.
+    """
+    names = ["doc_id", "tag", "pos", "h1", "h2", *BAND_NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches, 1_000):
-            rows = ((d * LINES + i, x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for i, x in split_lines(t))
+            ids, tags, texts = (batch.column(k).to_pylist() for k in range(3))
+            rows = ((d, g, i, x) for d, g, t in zip(ids, tags, texts) if t for i, x in split_lines(t))
             for group in chunks(rows):
-                lines = [x for _, x in group]
-                same = np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines), dtype=np.int64).reshape(-1, 2)
-                bands = signed(band_hashes(lines))
-                columns = [np.array([p for p, _ in group], dtype=np.int64), same[:, 0], same[:, 1], *bands.T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+                lines = [r[3] for r in group]
+                same = np.frombuffer(b"".join(map(digest, lines)), dtype=np.int64).reshape(-1, 2)
+                new = []
+                for i, h in enumerate(same[:, 0].tolist()):
+                    if h not in seen:
+                        seen.add(h)
+                        new.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
+                at = np.full(len(lines), -1)
+                at[new] = np.arange(len(new))
+                bands = pa.array(at, mask=at < 0)
+                found = band_hashes([lines[i] for i in new]) if new else np.zeros((0, BANDS), dtype=np.int32)
+                columns = [*(np.array([r[k] for r in group], dtype=np.int64) for k in range(3)), same[:, 0], same[:, 1]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), *(pa.array(np.ascontiguousarray(c)).take(bands) for c in found.T)], names)
+
+    kinds = ", ".join([*(f"{n} long" for n in names[:5]), *(f"{b} int" for b in BAND_NAMES)])
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, kinds).withColumn("place", F.monotonically_increasing_id())
+
+
+def bucketed(distinct: DataFrame) -> DataFrame:
+    """bucket, place and a for every band of every line: a is null for the bucket's first line in a task, else that line.
+
+    So a bucket that holds a large share of all lines leaves each task as one row to be shuffled.
+    """
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= FOLDED:
+                yield from fold(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from fold(pa.Table.from_batches(held))
+
+    def fold(lines: pa.Table) -> Iterator[pa.RecordBatch]:
+        place = lines.column("place").to_numpy()
+        for k, name in enumerate(BAND_NAMES):
+            band = lines.column(name).to_numpy()
+            order = np.argsort(band, kind="stable")
+            band, ordered = band[order].astype(np.int64), place[order]
+            begins = np.concatenate([[True], band[1:] != band[:-1]])
+            first = ordered[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+            bucket = (np.int64(k) << np.int64(32)) | (band & np.int64(0xFFFFFFFF))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ordered), pa.array(first, mask=begins)], ["bucket", "place", "a"])
+
+    return distinct.select("place", *BAND_NAMES).mapInArrow(run, "bucket long, place long, a long")
+
+
+def digest(line: str) -> bytes:
+    return hashlib.blake2b(line.encode(), digest_size=16).digest()
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """id and compressed text, for shuffles of whole texts."""
+    """doc_id, tag and compressed text, for shuffles of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, 1_000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else z.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None if t is None else z.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "tag", "packed"])
 
-    return docs.mapInArrow(run, "id long, packed binary")
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, packed binary")
 
 
 def unpacked(data: bytes | None) -> str:
     return zstandard.ZstdDecompressor().decompress(data).decode() if data is not None else ""
 
 
-def line_texts(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """place and content of the given lines."""
-    wanted = places.groupBy(F.shiftright("place", LINE_BITS).alias("id")).agg(F.collect_list("place").alias("places"))
+def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """place, content and minima (a byte each) of the given lines (place, doc_id, tag, pos)."""
+    wanted = places.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "pos")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000):
             rows = []
             for packed, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines = unpacked(packed).split("\n")
-                rows += [(p, lines[p % LINES]) for p in at if p % LINES < len(lines) and lines[p % LINES]]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.string())], ["place", "line"])
+                rows += [(x["place"], lines[x["pos"]]) for x in at if x["pos"] < len(lines) and lines[x["pos"]]]
+            for group in chunks(rows):
+                least = minima([x for _, x in group]).astype(np.uint8)  # their lowest bytes: the highest are 0 in long lines
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in group], pa.int64()), pa.array([x for _, x in group], pa.string()), pa.array([r.tobytes() for r in least], pa.binary())], ["place", "line", "minima"])
 
-    return texts.join(wanted, "id").select("packed", "places").mapInArrow(run, "place long, line string")
+    return packed_texts(docs).join(wanted, ["doc_id", "tag"]).select("packed", "places").mapInArrow(run, "place long, line string, minima binary")
 
 
-def removed_places(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """place of every line to be removed."""
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, tag and pos of every line to be removed."""
     lines = written(sketched(docs), "lines")
     # equal lines have equal bands, so any of them will do
-    distinct = written(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *[F.min(b).alias(b) for b in BAND_NAMES]), "lines-distinct")
-    rows = distinct.select(F.col("first").alias("place"), F.explode(F.array(*BAND_NAMES)).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("place").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = written(rows.join(shared, "bucket").where("place <> a").select("a", F.col("place").alias("b"), "bucket"), "lines-pairs")
-    star = pairs.select("a", "b").distinct()
-    sets = written(line_texts(texts, star.select(F.explode(F.array("a", "b")).alias("place")).distinct()), "lines-texts")
+    distinct = written(lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *[F.max(b).alias(b) for b in BAND_NAMES]), "lines-distinct")
+    rows = bucketed(distinct)
+    firsts = rows.where("a IS NULL").select("bucket", "place").repartition("bucket")  # one shuffle for the least and for the rest
+    least = firsts.groupBy("bucket").agg(F.min("place").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = firsts.join(least, "bucket").where("place <> a").select("bucket", "a", "place").union(rows.where("a IS NOT NULL").select("bucket", "a", "place"))
+    pairs = written(pairs.toDF("bucket", "a", "b"), "lines-pairs")
+    star = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wanted = lines.select("place", "doc_id", "tag", "pos").join(star.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "place", "left_semi")
+    sets = written(line_texts(docs, wanted), "lines-texts")
     links = written(verified(star, sets), "lines-links")
     roots = components(links)
-    # buckets in which the first line did not reach all: compare all that are still in different components
-    new = crossing_links(pairs.select("bucket", "a", F.col("b").alias("id")), roots, sets, verified, line_sets, SIMILARITY)
-    new = written(new, "lines-links", n=F.count("*"))
+    # buckets in which the first lines did not reach all: compare all that are still in different components
+    member = pairs.select("bucket", F.explode(F.array("a", "b")).alias("id")).distinct()
+    new = written(crossing_links(member, roots, sets.select("place", "line"), lambda found, _: verified(found.join(star, ["a", "b"], "left_anti"), sets), line_sets, SIMILARITY), "lines-links", n=F.count("*"))
     if new.measured["n"]:
         roots = components(links.union(new))
-    fuzzy = roots.where("id <> root").select(F.col("id").alias("first"))
-    copies = lines.select("place", "h1", "h2").join(distinct.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where("place <> first").select("place")
-    return copies.union(fuzzy.select("first"))
+    # every line that has a copy or a near one, with its group, of which the first line stays
+    grouped = distinct.select("h1", "h2", "n", "place").join(roots.withColumnRenamed("id", "place"), "place", "left").where("n > 1 OR root IS NOT NULL")
+    members = written(lines.select("doc_id", "tag", "pos", "h1", "h2").join(grouped.select("h1", "h2", F.coalesce("root", "place").alias("root")), ["h1", "h2"]).drop("h1", "h2"), "lines-groups")
+    here = F.struct("doc_id", "tag", "pos")
+    first = written(members.groupBy("root").agg(F.min(here).alias("first")), "lines-first")
+    return members.join(first, "root").where(here != F.col("first")).select("doc_id", "tag", "pos")
 
 
 def line_sets(lines: pa.ChunkedArray) -> list[np.ndarray]:
@@ -160,52 +229,60 @@ def line_sets(lines: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.unique(h) for h in np.split(hashes, begin[1:])]
 
 
+def likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which enough minima are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 20_000):
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero((left == right).mean(axis=1) >= LIKELY)))
+
+    of = lines.select("place", "minima")
+    return pairs.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2_000):
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            near = [i for i, (x, y) in enumerate(zip(left, right)) if min(len(x), len(y)) >= max(len(x), len(y)) * SIMILARITY / 3 or min(len(x), len(y)) < 3 * SIZE]
+        for batch in slices(batches, 1_000):
+            made: dict[str, set[str]] = {}
             keep = []
-            for group in chunks((i, left[i] + right[i]) for i in near):
-                hashes, begin = shingle_hashes([x for i, _ in group for x in (left[i], right[i])])
-                sets = [np.unique(h) for h in np.split(hashes, begin[1:])]
-                for (i, _), x, y in zip(group, sets[::2], sets[1::2]):
-                    if min(len(x), len(y)) >= max(len(x), len(y)) * SIMILARITY:
-                        shared = len(np.intersect1d(x, y, assume_unique=True))
-                        if shared >= (len(x) + len(y) - shared) * SIMILARITY:
-                            keep.append(i)
+            for i, pair in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                x, y = (made.get(t) or made.setdefault(t, shingles(t)) for t in pair)
+                if min(len(x), len(y)) >= max(len(x), len(y)) * SIMILARITY:
+                    shared = len(x & y)
+                    if shared >= (len(x) + len(y) - shared) * SIMILARITY:
+                        keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    joined = pairs.join(lines.toDF("a", "of_a"), "a").join(lines.toDF("b", "of_b"), "b")
+    of = lines.select("place", "line")
+    joined = written(likely(pairs, lines), "lines-likely").join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b")
     return joined.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def gone_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """id and the sorted positions of its removed lines, for documents that lose one."""
-    places = removed_places(docs, texts).distinct()
-    return places.groupBy(F.shiftright("place", LINE_BITS).alias("id")).agg(F.sort_array(F.collect_list(F.col("place").bitwiseAND(F.lit(LINES - 1)).cast("int"))).alias("gone"))
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text of the rows with an id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").withColumn("tag", F.xxhash64("text"))
 
 
-def with_ids(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+def gone_lines(docs: DataFrame) -> DataFrame:
+    """id, tag and the sorted positions of the removed lines, for documents that lose one."""
+    return removed_lines(docs).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
 def decided(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the positions (from 0) of the removed lines of every document with an id."""
-    plain = with_ids(docs)
-    gone = gone_lines(plain, packed_texts(plain))
-    lines = plain.select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
-    joined = lines.join(gone, lines["doc_id"] == gone["id"], "left")
-    return joined.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
+    plain = tagged(docs)
+    lines = plain.select("doc_id", "tag", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    joined = lines.join(gone_lines(plain), ["doc_id", "tag"], "left")
+    return joined.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", F.array().cast("array<long>")).alias("removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their kept lines as text, and n_chars to match where there is one; columns as they came."""
-    plain = with_ids(docs)
-    gone = gone_lines(plain, packed_texts(plain)).toDF("id__", "gone__")
-    joined = docs.withColumn("id__", F.col("doc_id").cast("long")).join(gone, "id__", "left").select(*docs.columns, "gone__")
+    gone = gone_lines(tagged(docs)).toDF("id__", "tag__", "gone__")
+    joined = docs.withColumn("id__", F.col("doc_id").cast("long")).withColumn("tag__", F.xxhash64("text")).join(gone, ["id__", "tag__"], "left").select(*docs.columns, "gone__")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000):

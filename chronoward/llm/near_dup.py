@@ -1,7 +1,8 @@
 """Near-duplicate documents by ProbMinHash over weighted word shingles, banding and verification.
 
-A document's shingles are runs of five words (all of its words, if fewer), weighted by how often they occur. Each shingle
-is a Poisson process of arrivals, faster for larger weights; a register keeps the shingle that arrived first, and a
+A document's shingles are runs of five words (all of its words, if fewer), weighted by one plus the logarithm of how often
+they occur: a passage repeated many times must not outweigh the rest, since sets are what is compared in the end. Each
+shingle is a Poisson process of arrivals, faster for larger weights; a register keeps the shingle that arrived first, and a
 document's processes stop as soon as they are later than all of its registers. Bands of equal registers propose links,
 the Jaccard similarity of the shingle sets confirms them (0.8 or more), and connected components are the classes.
 
@@ -70,7 +71,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if doc_id is None or not len(grams):
                     continue
                 same = np.frombuffer(hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest(), dtype=np.int64)
-                who = signature(*np.unique(grams, return_counts=True)).reshape(BANDS, BAND_ROWS)
+                hashes, counts = np.unique(grams, return_counts=True)
+                who = signature(hashes, 1.0 + np.log(counts)).reshape(BANDS, BAND_ROWS)
                 band = number
                 for r in range(BAND_ROWS):
                     band = mix(band ^ who[:, r]) + np.uint64(r)
@@ -122,7 +124,9 @@ def classes(docs: DataFrame) -> DataFrame:
     links = written(verified(pairs, sets), "near-links")
     roots = components(links)
     # within a bucket, texts that the smallest one did not reach: compare all that are still in different components
-    new = written(crossing_links(member, roots, sets, verified, gram_sets, SIMILARITY), "near-links", n=F.count("*"))
+    everyone = member.select("bucket", "id").union(member.select("bucket", "a").distinct())
+    done = pairs.select("a", "b")
+    new = written(crossing_links(everyone, roots, sets, lambda found, of: verified(found.join(done, ["a", "b"], "left_anti"), of), gram_sets, SIMILARITY), "near-links", n=F.count("*"))
     if new.measured["n"]:
         links = written(links.union(new), "near-links")
         roots = components(links)

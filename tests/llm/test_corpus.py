@@ -101,7 +101,8 @@ def test_lines(make, vocabulary):
             if x.strip() and x not in first:
                 first[x] = (i, k)
                 order.append(x)
-    grams = {x: {x[j : j + 7] for j in range(max(1, len(x) - 6))} for x in order}
+    n = line_dedup.SIZE
+    grams = {x: {x[j : j + n] for j in range(max(1, len(x) - n + 1))} for x in order}
     near = union([(a, b) for a, b in combinations(range(len(order)), 2) if jaccard(grams[order[a]], grams[order[b]]) >= 0.8], range(len(order)))
     keep = {first[order[r]] for r in set(near.values())}
     want = {(i, k) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip() and (i, k) not in keep}
@@ -152,6 +153,16 @@ def test_substrings(make, passages, monkeypatch):
     assert got == brute_substrings(rows)
 
 
+def test_substrings_of_rows_that_share_an_id(make, vocabulary):
+    """Such rows are documents of their own, one before the other; equal rows are one document."""
+    long, other = prose(random.Random(81), 60, vocabulary), prose(random.Random(82), 40, vocabulary)
+    out = lambda rows: sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.deduplicated(make(rows)).collect())
+    assert out([(0, long), (1, long), (1, "short")]) == [(0, 60, 0), (1, 1, 0), (1, 60, 60)]
+    assert out([(1, long), (1, long), (2, "x")]) == [(1, 60, 0), (1, 60, 0), (2, 1, 0)]
+    assert out([(1, f"{other} {long}"), (1, f"{long} y")]) in ([(1, 61, 0), (1, 100, 60)], [(1, 61, 60), (1, 100, 0)])
+    assert out([(-5, long), (2**62, f"{long} z")]) == [(-5, 60, 0), (2**62, 61, 60)]
+
+
 def test_substrings_of_the_tables(spark, sf_dir):
     df = substrings.query(spark, sf_dir).drop("removed")
     assert_same(df, connection(sf_dir), substrings.ORACLE)
@@ -178,22 +189,23 @@ def test_automaton_matches():
 def brute_topk(rows, k):
     import math
 
-    clean = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    held = lambda s: max(min(s, topk.MOST), -topk.MOST)
+    clean = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(256 * x) for x in v)]
     out = set()
     for i, v in clean:
         if i % 50 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in clean if j != i and len(w) == len(v)))[:k]
+            best = sorted(((-held(sum(a * b for a, b in zip(v, w))), j) for j, w in clean if j != i and len(w) == len(v)))[:k]
             out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
     return out
 
 
-@pytest.mark.parametrize("first_rows", [40_000, 60])
-def test_topk(spark, first_rows, monkeypatch):
-    monkeypatch.setattr(topk, "FIRST_ROWS", first_rows)
+@pytest.mark.parametrize("shard_rows", [40_000, 60])
+def test_topk(spark, shard_rows, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
     monkeypatch.setattr(topk, "LEAF", 8)
     rng = random.Random(10)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)] + [(i, [0.5] * 6) for i in range(400, 700)]
-    rows += [(700, None), (701, [None] * 6), (702, [float("nan")] * 6), (703, [float("inf")] * 6), (704, []), (750, [1e7] * 6), (751, [-1e7] * 6), (800, [1.0, 2.0]), (801, [3.0, 4.0])]
+    rows += [(700, None), (701, [None] * 6), (702, [float("nan")] * 6), (703, [float("inf")] * 6), (704, []), (750, [1e7] * 6), (751, [-1e7] * 6), (800, [1.0, 2.0]), (801, [3.0, 4.0]), (850, [1e10, 3e10] * 3), (851, [-2e10] * 6), (852, [9e300] * 6), (853, [1e10, 3e10] * 3), (854, [1e308] * 6)]
     df = spark.createDataFrame([(i, v, 1, 1) for i, v in rows], "vec_id long, embedding array<double>, label int, score int")
     got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()}
     assert got == brute_topk(rows, 5)
