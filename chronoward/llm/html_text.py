@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,12 +27,18 @@ OUTSIDE = frozenset("nav header footer aside form menu dialog fieldset address".
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINT = re.compile(
-    r"(?<![a-z])(?:ad|ads|adbox|adslot|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|header|masthead|footer|sidebar|side-bar|breadcrumb\w*|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe\w*|signup|login|"
-    r"comment\w*|disqus\w*|respon[ds]\w*|replies|reply|share|sharing|social|related|recommend\w*|widget\w*|pagination|pager|toolbar|search\w*|form|skip-link|copyright|disclaimer|hidden|visually-hidden|sr-only)(?![a-z])",
-    re.I,
+    r"ad|ads|adbox|adslot|advert[a-z]*|banner|sponsor[a-z]*|promo[a-z]*|nav[a-z]*|menu[a-z]*|header|masthead|footer|sidebar|breadcrumb[a-z]*|cookie[a-z]*|consent|notice[a-z]*|alert|popup|modal|newsletter|subscribe[a-z]*|signup|login|"
+    r"comment[a-z]*|disqus[a-z]*|respon[ds][a-z]*|replies|reply|share|sharing|social|related|recommend[a-z]*|widget[a-z]*|pagination|pager|toolbar|search[a-z]*|form|copyright|disclaimer|hidden"
 )
+#: Words that may stand beside such a name without changing what it says.
+GENERIC = frozenset(
+    "a all area bar block body bottom box button by card center col column container content desktop div el element fixed float full global grid group holder icon id in info inline inner item items js label large layout left line link links list main mobile "
+    "my nav new no of on outer overlay page panel part popular position post posts primary region right row secondary section side site skip small sr only sticky sub super tag tags text thread title to top unit user visually web wrap wrapper x".split()
+)
+PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-TAG = re.compile(r"<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+IN_TAG = re.compile(r"=\s*([\"'])|>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 #: The labelled table. words, link share, words before, link share before, words after, link share after,
@@ -174,60 +181,91 @@ def decide(tree, x: list[float]) -> int:
     return tree
 
 
-def outside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds no content: by its name, role, class, id or being hidden."""
+def hinted(names: str) -> bool:
+    """Whether one of the names of a class or id says that there is no content, and nothing else."""
+    for name in names.split():
+        pieces = [x.lower() for x in PIECES.findall(name)]
+        hints = [bool(HINT.fullmatch(x)) for x in pieces]
+        if any(hints) and all(h or x in GENERIC or x.isdigit() for h, x in zip(hints, pieces)):
+            return True
+    return False
+
+
+def outside(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element holds no content: 2 by its kind, role or being hidden, 1 by its class or id, which an article
+    inside it outweighs, else 0."""
     if name in OUTSIDE and not (name == "header" and in_article):
-        return True
+        return 2
+    weak = 0
     if attributes.strip():
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
-            if key in ("class", "id") and name not in ("html", "body", "article", "main") and HINT.search(value.replace("_", "-")):
-                return True
             if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
-    return False
+                return 2
+            if key in ("class", "id") and name not in ("html", "body", "article", "main") and hinted(value):
+                weak = 1
+    return weak
+
+
+def tag_end(page: str, at: int) -> int:
+    """Where the tag that is open at `at` ends (its >), past quoted values; -1 if it does not. A quote that never closes is none."""
+    while (m := IN_TAG.search(page, at)) is not None:
+        if m.group(1) is None:
+            return m.start()
+        close = page.find(m.group(1), m.end())
+        at = m.end() if close < 0 else close + 1
+    return -1
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """Flat blocks in page order: text, words, words in links, outside, in an article, heading."""
     out: list[tuple[str, int, int, bool, bool, bool]] = []
     parts: list[tuple[str, bool]] = []
-    open_: list[tuple[str, bool]] = []  # elements that matter for what they hold, and whether they hold no content
-    marks = {"out": 0, "article": 0, "skip": 0, "a": 0}
+    open_: list[tuple[str, int]] = []  # elements that matter for what they hold, and whether they hold no content
+    marks = {"out": 0, "weak": 0, "article": 0, "skip": 0, "a": 0}
+    suspended: list[int] = []  # weak marks around each open article
     heading = False
 
     def close_block() -> None:
         if parts:
             words, linked = "".join(t for t, _ in parts).split(), sum(len(t.split()) for t, a in parts if a)
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), marks["out"] > 0, marks["article"] > 0, heading))
+                out.append((" ".join(words), len(words), min(linked, len(words)), marks["out"] + marks["weak"] > 0, marks["article"] > 0, heading))
             parts.clear()
 
-    def count(name: str, bad: bool, by: int) -> None:
-        marks["out"] += by * bad
-        marks["article"] += by * (name in ("article", "main"))
+    opened: Counter = Counter()
+
+    def count(name: str, bad: int, by: int) -> None:
+        opened[name] += by
+        marks["out"] += by * (bad == 2)
+        marks["weak"] += by * (bad == 1)
         marks["skip"] += by * (name in SKIPPED)
+        if name in ("article", "main"):
+            marks["article"] += by
+            if by > 0:
+                suspended.append(marks["weak"])
+                marks["weak"] = 0
+            else:
+                marks["weak"] = suspended.pop()
 
     at, n = 0, len(page)
     while at < n:
-        m = TAG.search(page, at)
+        m = START.search(page, at)
+        if not marks["skip"]:
+            parts.append((entities.unescape(page[at : m.start() if m else n]), marks["a"] > 0))
         if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[/!?a-zA-Z]", rest)
-            rest = rest[: cut.start()] if cut else rest
-            if not marks["skip"]:
-                parts.append((entities.unescape(rest), marks["a"] > 0))
             break
-        if m.start() > at and not marks["skip"]:
-            parts.append((entities.unescape(page[at : m.start()]), marks["a"] > 0))
-        at = m.end()
-        if m.group(0) == "<!--":
-            end = page.find("-->", max(m.start() + 2, 0))
+        if m.group(1):
+            end = page.find("-->", m.start() + 2)
             at = n if end < 0 else end + 3
             continue
-        if m.group(2) is None:
+        end = page.find(">", m.end()) if m.group(2) else tag_end(page, m.end())
+        if end < 0:  # runs to the end of the page
+            break
+        at = end + 1
+        if m.group(2):
             continue
-        name, closing = m.group(2).lower(), bool(m.group(1))
+        name, closing, attributes = m.group(4).lower(), bool(m.group(3)), page[m.end() : end]
         if name == "br" or name in BLOCK or name in SKIPPED:
             close_block()
         if name in BLOCK and name != "br":
@@ -235,7 +273,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if closing:
             if name == "a":
                 marks["a"] = 0
-            if any(x == name for x, _ in open_):
+            if opened[name]:
                 while open_:
                     x, bad = open_.pop()
                     count(x, bad, -1)
@@ -249,12 +287,12 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             at = end.end()
             continue
         if name == "a":
-            marks["a"] = int(bool(re.search(r"\bhref\b", m.group(3), re.I)))
+            marks["a"] = int(bool(re.search(r"\bhref\b", attributes, re.I)))
         if name in BLOCK and open_ and open_[-1][0] == "p":
             count(*open_.pop(), -1)
-        if name in VOID or m.group(3).endswith("/") and name not in BLOCK:
+        if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
-        bad = outside(name, m.group(3), marks["article"] > 0)
+        bad = outside(name, attributes, marks["article"] > 0)
         if bad or name in SKIPPED or name in BLOCK and name not in ("p", "li", "td", "tr", "th", "dd", "dt") and name not in HEADINGS:
             open_.append((name, bad))
             count(name, bad, 1)

@@ -1,11 +1,14 @@
 """Quality scores by positive-unlabelled learning.
 
-Trusted positives are the documents labelled 1; the unlabelled sample is drawn from all documents. The class prior is
-estimated from the labels of the learning rows. A small network on text statistics minimises the non-negative unbiased
-risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), with the logistic loss.
+Trusted positives are the documents labelled 1; the unlabelled sample is drawn from all documents. Labels of 0 are not
+used. A small network on text statistics minimises the non-negative unbiased risk: prior * R+(positives) + max(0,
+R-(unlabelled) - prior * R-(positives)), with the logistic loss. The class prior comes from the same two samples: one half of
+each trains a network to tell positives from unlabelled rows, and among the other halves the prior is the least share of
+unlabelled rows to positives above a score, at the score where that share is known best (best bin estimation). It is held
+between 0.02 and 0.98, where the risk stays defined.
 
 Null texts count as empty and get a score like any other. Repeated rows stay separate rows. With no positive or no
-unlabelled row there is nothing to learn from and every score is the prior (0.5 without labels).
+unlabelled row there is nothing to learn from and every score is 0.5.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .common import gram_hashes, slices, split_of, word_hashes
 #: Rows that the classifier may be fitted on (positives, unlabelled): it sees no more of them, whatever the input.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 6_000, 9_000
 HIDDEN, ROUNDS, STEP, DECAY = 24, 500, 0.02, 1e-4
+#: Rounds of the network that only ranks rows for the prior, and the doubt that its bounds allow.
+PRIOR_ROUNDS, DOUBT = 150, 0.1
 
 CLASSES = np.zeros(256, dtype=np.int64)  # of bytes, for the counts below
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!?", b"#$%&*@^~", b"|<>{}[]\\", b".,;:", b"\n", b" \t\r\x0b\x0c"), 1):
@@ -86,24 +91,39 @@ class Network:
         return sigmoid(self.forward(x)[2])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
-    """Minimises the non-negative risk by Adam on the whole sample."""
+def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled scores: the least ratio of the two tails, where its upper bound is lowest."""
+    cuts = np.unique(np.concatenate([positive, unlabelled]))
+    above = lambda x: 1.0 - np.searchsorted(np.sort(x), cuts) / len(x)
+    p, u = np.maximum(above(positive), 1e-9), above(unlabelled)
+    slack = np.sqrt(np.log(4 / DOUBT) / 2 / len(unlabelled)) + np.sqrt(np.log(4 / DOUBT) / 2 / len(positive))
+    at = int(np.argmin(u / p + slack / p))
+    return float(u[at] / p[at])
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from positives and unlabelled rows alone."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    rng = np.random.default_rng(11)
+    halves = [np.array_split(x[rng.permutation(len(x))], 2) for x in (positive, unlabelled)]
+    net = fit(halves[0][0], halves[1][0], None, PRIOR_ROUNDS)
+    return min(max(best_bin_prior(net.score(halves[0][1]), net.score(halves[1][1])), 0.02), 0.98)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int = ROUNDS) -> Network:
+    """Minimises the non-negative risk by Adam on the whole sample; without a prior, tells the two samples apart."""
     every = np.vstack([positive, unlabelled])
     net = Network(every.mean(axis=0), every.std(axis=0) + 1e-3)
     m, v = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights]
     n_p = len(positive)
-    for t in range(1, ROUNDS + 1):
+    for t in range(1, rounds + 1):
         z, h, f = net.forward(every)
         p = sigmoid(f)
-        loss_negative = np.logaddexp(0, f)  # loss of calling a row negative, as if it were positive's opposite
-        negative_part = loss_negative[n_p:].mean() - prior * loss_negative[:n_p].mean()
-        g = np.zeros(len(every))
-        if negative_part >= 0:
-            g[:n_p] = (prior * (p[:n_p] - 1.0) - prior * p[:n_p]) / n_p
-            g[n_p:] = p[n_p:] / (len(every) - n_p)
-        else:  # the estimate of the negatives' risk went below zero: step back on it alone
-            g[:n_p] = prior * p[:n_p] / n_p
-            g[n_p:] = -p[n_p:] / (len(every) - n_p)
+        if prior is None:
+            g = np.concatenate([(p[:n_p] - 1.0) / n_p, p[n_p:] / (len(every) - n_p)])
+        else:
+            g = risk_gradient(f, p, n_p, prior)
         back = np.outer(g, net.weights[2]) * (1 - h * h)
         grads = [z.T @ back + DECAY * net.weights[0], back.sum(axis=0), h.T @ g + DECAY * net.weights[2], np.array([g.sum()])]
         for k, gr in enumerate(grads):
@@ -113,15 +133,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
     return net
 
 
+def risk_gradient(f: np.ndarray, p: np.ndarray, n_p: int, prior: float) -> np.ndarray:
+    """Gradient of the non-negative risk by the rows' outputs; the first n_p rows are the positives."""
+    loss_negative = np.logaddexp(0, f)  # loss of calling a row negative, as if it were positive's opposite
+    negative_part = loss_negative[n_p:].mean() - prior * loss_negative[:n_p].mean()
+    g = np.zeros(len(f))
+    if negative_part >= 0:
+        g[:n_p] = (prior * (p[:n_p] - 1.0) - prior * p[:n_p]) / n_p
+        g[n_p:] = p[n_p:] / (len(f) - n_p)
+    else:  # the estimate of the negatives' risk went below zero: step back on it alone
+        g[:n_p] = prior * p[:n_p] / n_p
+        g[n_p:] = -p[n_p:] / (len(f) - n_p)
+    return g
+
+
 def learn(docs: DataFrame, labels: DataFrame, learnable) -> Network | float:
-    """A network fitted on bounded samples (the rows with the smallest hashes of their ids), or the prior alone."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).where(learnable)
+    """A network fitted on bounded samples (the rows with the smallest hashes of their ids), or 0.5 without a sample."""
+    known = labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == 1)).select(F.col("doc_id").cast("long")).where(learnable)
     ids = docs.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")
-    mean = known.agg(F.avg("quality").alias("m")).first()["m"]
-    prior = 0.5 if mean is None else float(min(max(mean, 0.02), 0.98))
     order = (F.xxhash64("doc_id"), "doc_id")
     # labels may name documents that this table no longer has: the sample is taken from those that it has
-    positive = known.where("quality = 1").select("doc_id").join(ids, "doc_id", "left_semi").distinct().orderBy(*order).limit(SAMPLE_POSITIVE)
+    positive = known.join(ids, "doc_id", "left_semi").distinct().orderBy(*order).limit(SAMPLE_POSITIVE)
     unlabelled = ids.where(learnable).orderBy(*order).limit(SAMPLE_UNLABELLED)
     picked = positive.withColumn("kind", F.lit(1)).unionByName(unlabelled.withColumn("kind", F.lit(0)))
 
@@ -134,8 +166,9 @@ def learn(docs: DataFrame, labels: DataFrame, learnable) -> Network | float:
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("kind", "text").mapInArrow(run, "kind int, x array<double>").collect()
     p, u = (np.array([r["x"] for r in sample if r["kind"] == k]).reshape(-1, N_FEATURES) for k in (1, 0))
     if not len(p) or not len(u):
-        return prior
-    return fit(p[np.lexsort(p.T)], u[np.lexsort(u.T)], prior)
+        return 0.5
+    p, u = p[np.lexsort(p.T)], u[np.lexsort(u.T)]
+    return fit(p, u, class_prior(p, u))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
