@@ -308,3 +308,58 @@ def test_configuration_and_rule_files(spark, tmp_path):
     yaml_file.write_text("tables:\n  vitals:\n    weight:\n      min: 30\n      max: 300\n")
     pytest.importorskip("yaml")
     assert read_rules(str(yaml_file)) == {"vitals": {"weight": {"min": 30.0, "max": 300.0}}}
+
+
+def model_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    n = 600
+    x, u, c = rng.normal(0, 1, n), rng.integers(0, 2, n), rng.integers(0, 60, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.3 + 0.8 * x - 0.5 * u)))).astype(int)
+    rows = spark.createDataFrame([(int(a), float(b), int(d), int(e)) for a, b, d, e in zip(y, x, u, c)], "y int, x double, u int, c int")
+    return rows, y, np.column_stack([np.ones(n), x, u]), c
+
+
+def test_one_fit_for_all_covariances(spark):
+    """Coefficients and the three covariances against a fit in numpy; tables, contrasts and grids follow from them."""
+    import numpy as np
+
+    rows, y, design, cluster = model_rows(spark)
+    beta = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-design @ beta))
+        beta = beta + np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]), design.T @ (y - p))
+    p = 1 / (1 + np.exp(-design @ beta))
+    bread = np.linalg.inv(design.T @ (design * (p * (1 - p))[:, None]))
+    scores = np.array([(design[cluster == g] * (y - p)[cluster == g][:, None]).sum(axis=0) for g in np.unique(cluster)])
+    sandwich, g = bread @ scores.T @ scores @ bread, len(scores)
+    want = {"asymptotic": bread, "gee": sandwich, "robust": sandwich * g / (g - 1) * (len(y) - 1) / (len(y) - 3)}
+    terms = {"x": F.col("x"), "u": F.col("u")}
+    fits = models.logits(rows, "y", terms, "c", list(want))
+    for kind, cov in want.items():
+        assert np.allclose(fits[kind].beta, beta, atol=1e-6) and np.allclose(fits[kind].cov, cov, rtol=1e-4, atol=1e-9)
+    odds, low, high = models.contrast(fits["robust"], [1, 0, 0], [1, 2, 0])
+    se = 2 * np.sqrt(want["robust"][1, 1])
+    assert np.allclose([odds, low, high], np.exp(2 * beta[1] + np.array([0, -1, 1]) * 1.959963984540054 * se), rtol=1e-4)
+    grid = models.marginal_grid(spark, fits["asymptotic"], {"u": 1.0}, "x", -1.0, 1.0, 5).collect()
+    at = np.array([1.0, 1.0, 1.0])
+    assert np.isclose(grid[-1]["p"], 1 / (1 + np.exp(-at @ beta)), atol=1e-6) and np.isclose(grid[-1]["high"], 1 / (1 + np.exp(-(at @ beta + 1.959963984540054 * np.sqrt(at @ bread @ at)))), atol=1e-5)
+    table = {(r["predictor"]): r["gee"] for r in models.wide_table(models.coefficients(spark, {("y", k, "s"): f for k, f in fits.items()}), list(want)).collect()}
+    s = np.sqrt(np.diag(sandwich))
+    assert table["x"] == "%.2f (%.2f, %.2f)" % tuple(np.exp(beta[1] + np.array([0, -1, 1]) * 1.959963984540054 * s[1])) + ("*" if abs(beta[1] / s[1]) > 1.96 else "")
+
+
+def test_model_grid_and_stages(spark):
+    rows, *_ = model_rows(spark)
+    rows = rows.withColumn("never", F.lit(0))
+    terms = {"x": F.col("x")}
+    fits = models.grid(rows, {"y": ("asymptotic", "gee"), "never": ("gee",)}, {"a": terms, "twice": {**terms, "again": F.col("x") * 2}}, "c")
+    assert {k: f.status for k, f in fits.items()} == {
+        ("y", "asymptotic", "a"): "converged", ("y", "gee", "a"): "converged", ("y", "asymptotic", "twice"): "rank deficient", ("y", "gee", "twice"): "rank deficient",
+        ("never", "gee", "a"): "one outcome only", ("never", "gee", "twice"): "one outcome only",
+    }
+    alone = models.logit(rows.where("u = 1"), "y", terms, "c", "robust")
+    staged = models.cascade(rows, [("all", F.lit(True), "y"), ("some", F.col("u") == 1, "y")], terms, "c")
+    assert staged["some"].n == alone.n < staged["all"].n and abs(staged["some"].beta[1] - alone.beta[1]) < 1e-9
+    assert models.quartile_knots(rows.where("x > 5"), "x") is None and len(models.quartile_knots(rows, "x")) == 5
