@@ -501,6 +501,20 @@ z AS (SELECT * REPLACE ({', '.join(BOTH(c, 'i4, k') for c in SETS)}) FROM u9)
 SELECT user_id, ts, event_id, is_scaffold, dc AS device_category, dn AS device_name, CASE WHEN mc IS NULL AND coalesce(contains(dn, 't-piece'), false) THEN 'blow by' ELSE mc END AS mode_category, mn AS mode_name,
     CAST(i1 AS BIGINT) AS device_category_id, CAST(i2 AS BIGINT) AS device_name_id, CAST(i3 AS BIGINT) AS mode_category_id, CAST(i4 AS BIGINT) AS mode_name_id, {', '.join(f"round({c}, 6) AS {c}" for c in SETS)},
     last_value(tracheostomy IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, is_scaffold, event_id ROWS UNBOUNDED PRECEDING) AS tracheostomy FROM z"""
+W_TS = "PARTITION BY user_id ORDER BY ts"
+ALONG = lambda c, part: f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY user_id, {part} ORDER BY ts ROWS UNBOUNDED PRECEDING), first_value({c} IGNORE NULLS) OVER (PARTITION BY user_id, {part} ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}"
+SHORT = f"""WITH r0 AS (SELECT user_id, ts, event_id, CASE WHEN value > 60 THEN 'imv' WHEN value > 40 THEN 'nasal cannula' WHEN value > 30 THEN 'room air' WHEN value BETWEEN 20 AND 30 THEN 'imv' END AS dc,
+    CASE WHEN value > 70 THEN 'pressure control' WHEN value > 60 THEN 'pressure support/cpap' WHEN value BETWEEN 20 AND 30 THEN 'simv' END AS mc,
+    CASE WHEN event_type = 'click' THEN CASE WHEN (SELECT avg(value) FROM events WHERE event_type = 'click') > 1 THEN value / 100 ELSE value END END AS fio2, CASE WHEN event_type = 'purchase' THEN value / 8 END AS lpm, CAST(value > 98 AS INTEGER) AS tr, event_type <> 'signup' AS has FROM events),
+r1 AS (SELECT * FROM r0 QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY has DESC, dc NULLS LAST, event_id) = 1),
+r2 AS (SELECT * REPLACE (CASE WHEN dc IS NULL AND lag(dc) OVER o = lead(dc) OVER o THEN lag(dc) OVER o ELSE dc END AS dc) FROM r1 WINDOW o AS ({W_TS})),
+r3 AS (SELECT * REPLACE (last_value(dc IGNORE NULLS) OVER ({W_TS} ROWS UNBOUNDED PRECEDING) AS dc) FROM r2),
+r4 AS (SELECT *, CASE WHEN row_number() OVER o = 1 OR dc IS DISTINCT FROM lag(dc) OVER o THEN 1 ELSE 0 END AS c1 FROM r3 WINDOW o AS ({W_TS})), r5 AS (SELECT *, sum(c1) OVER ({W_TS} ROWS UNBOUNDED PRECEDING) AS i1 FROM r4),
+r6 AS (SELECT * REPLACE ({ALONG('mc', 'i1')}) FROM r5),
+r7 AS (SELECT *, CASE WHEN row_number() OVER o = 1 OR dc IS DISTINCT FROM lag(dc) OVER o OR mc IS DISTINCT FROM lag(mc) OVER o THEN 1 ELSE 0 END AS c2 FROM r6 WINDOW o AS ({W_TS})), r8 AS (SELECT *, sum(c2) OVER ({W_TS} ROWS UNBOUNDED PRECEDING) AS i2 FROM r7),
+r9 AS (SELECT * REPLACE ({ALONG('fio2', 'i2')}, {ALONG('lpm', 'i2')}) FROM r8)
+SELECT user_id, ts, dc AS device_category, mc AS mode_category, round(CASE WHEN fio2 IS NOT NULL THEN fio2 WHEN dc = 'room air' THEN 0.21 WHEN dc = 'nasal cannula' AND round_even(lpm, 0) BETWEEN 1 AND 10 THEN 0.2 + 0.04 * round_even(lpm, 0) END, 4) AS fio2_set,
+    CAST(i2 AS BIGINT) AS mode_category_id, max(tr) OVER ({W_TS} ROWS UNBOUNDED PRECEDING) AS tracheostomy FROM r9"""
 CASES = {
     "f01_pivot_avg": (f01, "SELECT user_id, CAST(ts AS DATE) AS day, round(avg(value) FILTER (WHERE event_type = 'click'), 4) AS click, round(avg(value) FILTER (WHERE event_type = 'view'), 4) AS view, round(avg(value) FILTER (WHERE event_type = 'error'), 4) AS error FROM events GROUP BY 1, 2"),
     "f02_pivot_max": (f02, PIV.format(f="max")),
@@ -511,7 +525,7 @@ CASES = {
     "f06_outliers": (f06, "SELECT event_id, CASE WHEN event_type = 'click' THEN CASE WHEN value BETWEEN 5 AND 90 THEN value END WHEN event_type = 'purchase' THEN CASE WHEN value BETWEEN 0 AND 50 THEN value END ELSE value END AS value FROM events"),
     "f06_outliers_by_pair": (f06b, "SELECT l_returnflag, l_linestatus, count(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND NOT l_quantity BETWEEN 2 AND 40 THEN NULL WHEN l_returnflag = 'N' AND l_linestatus = 'O' AND NOT l_quantity BETWEEN 5 AND 45 THEN NULL ELSE l_quantity END) AS n_kept, count(*) AS n FROM lineitem GROUP BY 1, 2"),
     "f06_drop_counts": (f06c, "SELECT 'c_acctbal' AS \"column\", count(c_acctbal) AS n_before, count(*) FILTER (WHERE c_acctbal BETWEEN 0 AND 5000) AS n_after, count(c_acctbal) - count(*) FILTER (WHERE c_acctbal BETWEEN 0 AND 5000) AS n_dropped FROM customer"),
-    "f07_waterfall": (f07, None),
+    "f07_waterfall": (f07, SHORT),
     "f07_waterfall_full": (f07b, FULL),
     "f08_normalize": (f08, "SELECT o_orderkey, lower(trim(o_orderpriority)) AS o_orderpriority FROM orders"),
     "f09_actions": (f09, f"SELECT event_id, CAST({EVENT_STOP} AS INTEGER) AS stop_by_category, CAST({EVENT_STOP} AS INTEGER) AS stop_by_name, CAST(event_type <> 'signup' AS INTEGER) AS given FROM events"),
