@@ -19,28 +19,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import BASE, mix, powers, signed, slices, written
 from .components import components
 from .crossing import crossing_links
 
 SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 5
-#: Pairs with fewer than this share of equal minima are not compared in full; at a similarity of 0.8 one in 5,000 has fewer.
-LIKELY = 0.6
+#: Pairs with fewer than this share of equal minima, of the first MINIMA ones, are not compared in full; at a similarity of 0.8
+#: one in 5,000 has fewer.
+LIKELY, MINIMA = 0.57, 40
 #: Lines whose hashes a task remembers, to sketch equal ones once; lines whose buckets a task folds at once.
 SEEN, FOLDED = 1_000_000, 400_000
-BAND_NAMES = [f"b{i}" for i in range(BANDS)]
-MULTIPLIERS = np.array([int(x) | 1 for x in mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))], dtype=np.uint64)
+#: Columns of band hashes, two in each.
+BAND_NAMES = [f"b{i}" for i in range(BANDS // 2)]
+#: Odd factors of 32 bits: products of that width are fast, and a collision costs a comparison.
+MULTIPLIERS = np.array([int(x) >> 32 | 1 for x in mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))], dtype=np.uint32)
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all lines one after another, and where each line's begin (every line has at least one character)."""
+def mix_short(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser (multiply and shift), applied to every element."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def shingle_hashes(lines: list[str], kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all lines one after another, and where each line's begin (every line has at least one character).
+
+    Hashes of 64 bits tell shingles apart; those of 32 bits are faster and will do for sketches.
+    """
     text = ("\0" * (SIZE - 1)).join(lines)  # between two lines stand no shingles that are kept
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(kind) + kind(1)
     lengths = np.array([len(x) for x in lines])
     starts = np.concatenate([[0], np.cumsum(lengths[:-1] + SIZE - 1)])
-    p, whole = powers(BASE, SIZE), max(len(codes) - SIZE + 1, 0)
+    p, whole = powers(BASE, SIZE).astype(kind), max(len(codes) - SIZE + 1, 0)
     gram = codes[:whole] * p[0]
     for k in range(1, SIZE):
         gram = gram + codes[k : whole + k][:whole] * p[k]
@@ -50,11 +63,11 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(counts.sum()) - np.repeat(begin - starts, counts)
     short = np.flatnonzero(lengths < SIZE)
     if len(gram):
-        out = mix(gram[np.minimum(at, len(gram) - 1)])
+        out = (mix if kind is np.uint64 else mix_short)(gram)[np.minimum(at, len(gram) - 1)]
     else:
-        out = np.zeros(len(at), dtype=np.uint64)
+        out = np.zeros(len(at), dtype=kind)
     for i in short:
-        out[begin[i]] = int.from_bytes(hashlib.blake2b(lines[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        out[begin[i]] = int.from_bytes(hashlib.blake2b(lines[i].encode("utf-8", "surrogatepass"), digest_size=kind().itemsize).digest(), "little")
     return out, begin
 
 
@@ -62,19 +75,20 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SIZE] for i in range(max(len(line) - SIZE + 1, 1))}
 
 
-def minima(lines: list[str]) -> np.ndarray:
-    """The minimum hashes of every line, one row each."""
-    hashes, begin = shingle_hashes(lines)
-    return np.stack([np.minimum.reduceat(hashes * m, begin) for m in MULTIPLIERS], axis=1)
+def minima(lines: list[str], n: int = BANDS * ROWS) -> np.ndarray:
+    """The first n minimum hashes of every line, one row each."""
+    hashes, begin = shingle_hashes(lines, np.uint32)
+    return np.stack([np.minimum.reduceat(hashes * m, begin) for m in MULTIPLIERS[:n]], axis=1).astype(np.uint64)
 
 
 def band_hashes(lines: list[str]) -> np.ndarray:
-    """A hash of 32 bits for each band: strangers that share one cost a comparison, no more."""
+    """Hashes of 32 bits for each band, two to a column: strangers that share one cost a comparison, no more."""
     least = minima(lines).reshape(len(lines), BANDS, ROWS)
     key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(lines), BANDS))
     for r in range(ROWS):
         key = mix(key ^ least[:, :, r]) + np.uint64(r)
-    return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    key = key >> np.uint64(32)
+    return signed((key[:, ::2] << np.uint64(32)) | key[:, 1::2])
 
 
 def split_lines(text: str) -> list[tuple[int, str]]:
@@ -120,12 +134,11 @@ def sketched(docs: DataFrame) -> DataFrame:
                 at = np.full(len(lines), -1)
                 at[new] = np.arange(len(new))
                 bands = pa.array(at, mask=at < 0)
-                found = band_hashes([lines[i] for i in new]) if new else np.zeros((0, BANDS), dtype=np.int32)
+                found = band_hashes([lines[i] for i in new]) if new else np.zeros((0, BANDS // 2), dtype=np.int64)
                 columns = [*(np.array([r[k] for r in group], dtype=np.int64) for k in range(3)), same[:, 0], same[:, 1]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), *(pa.array(np.ascontiguousarray(c)).take(bands) for c in found.T)], names)
 
-    kinds = ", ".join([*(f"{n} long" for n in names[:5]), *(f"{b} int" for b in BAND_NAMES)])
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, kinds).withColumn("place", F.monotonically_increasing_id())
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names)).withColumn("place", F.monotonically_increasing_id())
 
 
 def bucketed(distinct: DataFrame) -> DataFrame:
@@ -147,8 +160,9 @@ def bucketed(distinct: DataFrame) -> DataFrame:
 
     def fold(lines: pa.Table) -> Iterator[pa.RecordBatch]:
         place = lines.column("place").to_numpy()
-        for k, name in enumerate(BAND_NAMES):
-            band = lines.column(name).to_numpy()
+        for k in range(BANDS):
+            two = lines.column(BAND_NAMES[k // 2]).to_numpy()
+            band = (two if k % 2 else two >> np.int64(32)).astype(np.int32)  # the lower and the upper half
             order = np.argsort(band, kind="stable")
             band, ordered = band[order].astype(np.int64), place[order]
             begins = np.concatenate([[True], band[1:] != band[:-1]])
@@ -189,7 +203,7 @@ def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
                 lines = unpacked(packed).split("\n")
                 rows += [(x["place"], lines[x["pos"]]) for x in at if x["pos"] < len(lines) and lines[x["pos"]]]
             for group in chunks(rows):
-                least = minima([x for _, x in group]).astype(np.uint8)  # their lowest bytes: the highest are 0 in long lines
+                least = minima([x for _, x in group], MINIMA).astype(np.uint8)  # their lowest bytes: the highest are 0 in long lines
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in group], pa.int64()), pa.array([x for _, x in group], pa.string()), pa.array([r.tobytes() for r in least], pa.binary())], ["place", "line", "minima"])
 
     return packed_texts(docs).join(wanted, ["doc_id", "tag"]).select("packed", "places").mapInArrow(run, "place long, line string, minima binary")
@@ -201,9 +215,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # equal lines have equal bands, so any of them will do
     distinct = written(lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *[F.max(b).alias(b) for b in BAND_NAMES]), "lines-distinct")
     rows = bucketed(distinct)
-    firsts = rows.where("a IS NULL").select("bucket", "place").repartition("bucket")  # one shuffle for the least and for the rest
-    least = firsts.groupBy("bucket").agg(F.min("place").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = firsts.join(least, "bucket").where("place <> a").select("bucket", "a", "place").union(rows.where("a IS NOT NULL").select("bucket", "a", "place"))
+    # a bucket has one such row for each task, so its window is small
+    firsts = rows.where("a IS NULL").select("bucket", F.min("place").over(Window.partitionBy("bucket")).alias("a"), "place").where("place <> a")
+    pairs = firsts.union(rows.where("a IS NOT NULL").select("bucket", "a", "place"))
     pairs = written(pairs.toDF("bucket", "a", "b"), "lines-pairs")
     star = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     wanted = lines.select("place", "doc_id", "tag", "pos").join(star.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "place", "left_semi")

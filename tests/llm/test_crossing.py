@@ -52,6 +52,7 @@ def test_lines_of_a_family(make, monkeypatch):
     assert len(links) >= 50
     bands = line_dedup.band_hashes(texts)
     # what banding does not bring together at all is another matter
+    bands = np.concatenate([bands >> 32, bands & 0xFFFFFFFF], axis=1)
     links = [(a, b) for a, b in links if (bands[a] == bands[b]).any()]
     removed = {r["doc_id"] for r in line_dedup.decided(make(list(enumerate(texts)))).collect() if r["n_removed"]}
     above = {}
