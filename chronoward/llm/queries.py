@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, language, line_dedup, near_dup, quality, secrets, substrings, topk
+from . import bpe, collocations, decontaminate, exact_dedup, html_text, language, line_dedup, near_dup, quality, secrets, substrings, topk, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": html_text.query,
         "op9_line_dedup": line_dedup.query,
         "op10_quality": quality.query,
+        "op11_exact_dedup": exact_dedup.query,
+        "op12_collocations": collocations.query,
+        "op13_vector_codes": vector_codes.query,
     }
 
 
@@ -29,4 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk": topk.ORACLE,
         "op5_near_dup": near_dup.ORACLE,
         "op6_substrings": substrings.ORACLE,
+        "op11_exact_dedup": exact_dedup.ORACLE,
+        "op12_collocations": collocations.ORACLE,
+        "op13_vector_codes": vector_codes.ORACLE,
     }
