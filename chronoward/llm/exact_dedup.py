@@ -173,7 +173,8 @@ def grouped(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, fan: int | None =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not fan:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        fan = min(max(1, -(-2 * size // bucket_bytes)), 100_000)
+        at_least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # so that all tasks of a stage get some
+        fan = min(max(at_least, -(-2 * size // bucket_bytes)), 100_000)
     rows = dealt(docs.mapInArrow(fold, FOLDED_DDL), 0, fan)
     fitting, level, open_ = [], 0, rows.where("packed IS NOT NULL")
     total = fan
