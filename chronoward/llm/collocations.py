@@ -29,8 +29,10 @@ from pyspark.sql.window import Window
 
 from .common import mix, prefix_hashes, range_hashes, signed, table, written
 
-#: Bytes of text that a task holds as arrays, bits of a filter for each phrase, and its least and most bits.
-BLOCK, BITS, LEAST_BITS, MOST_BITS = 6 << 20, 16, 1 << 16, 1 << 27
+#: Bytes of text that a task holds as arrays, rows that it gathers, bits of a filter for each phrase, and its least and most bits.
+BLOCK, GATHERED, BITS, LEAST_BITS, MOST_BITS = 1 << 20, 150_000, 16, 1 << 16, 1 << 27
+#: Phrases of a language that one task ranks.
+RANKED = 100_000
 #: Bytes of a filter that one row carries.
 PAGE = 1 << 13
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10)
@@ -106,14 +108,39 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     yield from ((k, b"\n".join(v)) for k, v in held.items())
 
 
-def counted_rows(mark: np.ndarray, columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def counted_rows(mark: np.ndarray, columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Columns, count and a place of the distinct rows; rows meet by their mark and are told apart by all their columns."""
     order = np.argsort(mark, kind="stable")
     columns = [c[order] for c in columns]
     new = np.ones(len(order), dtype=bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.diff(np.append(first, len(order))), order[first]
+    n = np.diff(np.append(first, len(order))) if n is None else np.add.reduceat(n[order], first) if len(first) else n
+    return [c[first] for c in columns], n, order[first]
+
+
+class Gathered:
+    """Counted rows of a language, gathered over the blocks of a task, so that what repeats leaves it once for many blocks."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.rows = 0
+
+    def add(self, mark: np.ndarray, columns: list[np.ndarray]) -> bool:
+        """Adds a block's rows; whether it is time to send them."""
+        columns, n, at = counted_rows(mark, columns)
+        self.parts.append((mark[at], columns, n))
+        self.rows += len(n)
+        if self.rows >= GATHERED and len(self.parts) > 1:
+            self.merge()
+        return self.rows >= GATHERED
+
+    def merge(self) -> tuple[list[np.ndarray], np.ndarray]:
+        mark = np.concatenate([p[0] for p in self.parts])
+        columns = [np.concatenate(c) for c in zip(*(p[1] for p in self.parts))]
+        columns, n, at = counted_rows(mark, columns, np.concatenate([p[2] for p in self.parts]))
+        self.parts, self.rows = [(mark[at], columns, n)], len(n)
+        return columns, n
 
 
 def word_rows(docs: DataFrame, salt: int) -> DataFrame:
@@ -135,6 +162,14 @@ def run_rows(docs: DataFrame, size: int, salt: int, frequent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(frequent.value, dtype=np.uint8)
+        held: dict[str, Gathered] = {}
+
+        def out(lang: str) -> Iterator[pa.RecordBatch]:
+            columns, n = held.pop(lang).merge()
+            for i in range(0, len(n), 100_000):
+                k = len(n[i : i + 100_000])
+                yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, k)} | {name: pa.array(signed(c[i : i + k])) for name, c in zip(names, columns)} | {"n": pa.array(n[i : i + k], pa.int64())})
+
         for lang, data in blocks(batches):
             hashes, _, _, joined = words_of(data, salt)
             shorter, whole = runs(hashes, joined, size - 1, seed_of(lang, salt))
@@ -146,8 +181,12 @@ def run_rows(docs: DataFrame, size: int, salt: int, frequent) -> DataFrame:
             if not len(at):
                 continue
             columns = [hashes[at + i] for i in range(size)]
-            columns, n, _ = counted_rows(mix(shorter[at] * STEP + columns[-1]), columns)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string())} | {k: pa.array(signed(c)) for k, c in zip(names, columns)} | {"n": pa.array(n, pa.int64())})
+            if held.setdefault(lang, Gathered()).add(mix(shorter[at] * STEP + columns[-1]), columns):
+                yield from out(lang)
+            while sum(g.rows for g in held.values()) > 3 * GATHERED:
+                yield from out(max(held, key=lambda k: held[k].rows))
+        for lang in list(held):
+            yield from out(lang)
 
     kind = ", ".join(f"{k} long" for k in names)
     return docs.mapInArrow(run, f"lang string, {kind}, n long").groupBy("lang", *names).agg(F.sum("n").alias("n"))
@@ -236,8 +275,15 @@ def phrases(docs: DataFrame, most_words: int = 5, least: int = 100, share: int =
         word = names.select(F.col("lang").alias("lang_"), F.col("w1").alias("w_"), "word")
         named = named.withColumn("w", F.get("g", F.lit(i))).join(word, (F.col("lang") == F.col("lang_")) & (F.col("w") == F.col("w_")), "left")
         named = named.withColumn("phrase", F.when(F.col("w").isNull(), F.col("phrase")).when(F.lit(i == 0), F.col("word")).otherwise(F.concat("phrase", F.lit(" "), "word"))).drop("w", "lang_", "w_", "word")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    named = written(named, "colloc-named", rows=F.count("*"))
+    while named.measured["rows"] > max(RANKED, 4 * first):  # parts of a language first, and then what is among the first of its part
+        rows = named.measured["rows"]
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("g", F.lit(rows)), F.lit(-(-rows // max(RANKED, 4 * first)) + 1))).orderBy(*order)
+        named = written(named.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= first).drop("rank"), "colloc-named", rows=F.count("*"))
+        if named.measured["rows"] == rows:
+            break
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", *[F.col(c).cast("long").alias(c) for c in ("a", "l", "r", "n", "score")])
 
 

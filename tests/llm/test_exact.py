@@ -163,6 +163,14 @@ def test_phrases_of_a_share(spark):
     assert got == phrases_by_hand(rows, 8, 2000, 60)
 
 
+def test_phrases_ranked_in_parts(spark, monkeypatch):
+    rows = many_phrases(45, 60)
+    monkeypatch.setattr(collocations, "RANKED", 10)
+    monkeypatch.setattr(collocations, "GATHERED", 50)
+    got = sorted(map(tuple, collocations.phrases(as_docs(spark, rows).coalesce(2), least=4, first=6).collect()))
+    assert got == phrases_by_hand(rows, 4, 6)
+
+
 def test_phrases_shared_numbers(spark, monkeypatch):
     """Words that share a number under one seed are told apart under the next."""
     real = collocations.words_of
