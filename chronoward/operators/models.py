@@ -169,13 +169,29 @@ def grid(df: DataFrame, configs: dict[str, Sequence[str]], specs: dict[str, dict
     return found
 
 
+def quartiles(df: DataFrame, column: str, least: int = 100) -> list[float] | None:
+    """Quartiles of the values that are not 0, rounded half up to six digits; None with fewer than `least` of them."""
+    some = df.where(F.col(column) != 0).agg(F.count(column).alias("n"), F.expr(f"percentile(`{column}`, array(0.25, 0.5, 0.75))").alias("q"))
+    n, q = some.select("n", F.transform("q", lambda x: F.round(x, 6))).first()
+    return None if n < least else [float(x) for x in q]
+
+
 def quartile_knots(df: DataFrame, column: str, least: int = 100) -> list[float] | None:
-    """Least, quartiles and greatest of the values that are not 0, as spline knots; None with fewer than `least` of them."""
-    some = df.where(F.col(column) != 0)
-    n, low, q, high = some.agg(F.count(column), F.min(column), F.expr(f"percentile(`{column}`, array(0.25, 0.5, 0.75))"), F.max(column)).first()
-    if n < least:
+    """Least, quartiles and greatest of the values that are not 0, as spline knots; None with fewer than `least` of them or fewer than three different ones."""
+    inner = quartiles(df, column, least)
+    if inner is None:
         return None
-    return sorted({float(low), *(round(float(x), 6) for x in q), float(high)})
+    low, high = df.where(F.col(column) != 0).agg(F.min(column), F.max(column)).first()
+    knots = sorted({float(low), *inner, float(high)})
+    return knots if len(knots) >= 3 else None
+
+
+def quartile_term(df: DataFrame, column: str, indicator: str | None = None, least: int = 100) -> str:
+    """A spline term for a formula: inner knots at the quartiles of the values that are not 0, four functions where there are too few
+    or too many equal ones, times its indicator. Its outer knots are the range of all rows of the fit."""
+    inner = quartiles(df, column, least)
+    text = f"cr({column}, df=4)" if inner is None or len(set(inner)) < 2 else f"cr({column}, knots={sorted(set(inner))})"
+    return f"{text}:{indicator}" if indicator else text
 
 
 def cascade(df: DataFrame, stages: Sequence[tuple[str, Column, str]], terms: dict[str, Column], cluster: str, kind: str = "robust") -> dict[str, Fit]:
