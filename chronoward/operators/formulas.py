@@ -166,14 +166,23 @@ def expression(pieces: Sequence[Piece]) -> Column:
     return reduce(lambda a, b: a * b, [p.expression() for p in pieces], F.lit(1.0))
 
 
-def complete_rows(df: DataFrame, formula: str, also: Sequence[str] = (), by_substring: bool = False) -> Column:
-    """Whether a row has all values that a formula needs.
+def needed_columns(df: DataFrame, formula: str, also: Sequence[str] = (), by_substring: bool = False) -> list[str]:
+    """Columns that must have values in the rows of a fit.
 
     By substring every column counts whose name is part of the formula's text, wherever it stands; this takes in columns that the model
     does not use, and is how published row counts were made.
     """
     names = [c for c in df.columns if c in formula] if by_substring else parsed(formula).columns()
-    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in dict.fromkeys([*names, *also])])
+    return list(dict.fromkeys([*names, *also]))
+
+
+def all_there(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in names], F.lit(True))
+
+
+def complete_rows(df: DataFrame, formula: str, also: Sequence[str] = (), by_substring: bool = False) -> Column:
+    """Whether a row has all values that a formula needs."""
+    return all_there(needed_columns(df, formula, also, by_substring))
 
 
 def designs(df: DataFrame, formulas: Sequence[str], complete: Sequence[Column]) -> list[Design | str]:
@@ -182,6 +191,12 @@ def designs(df: DataFrame, formulas: Sequence[str], complete: Sequence[Column])
     coded = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BooleanType)}
     is_levels = lambda f: f.kind == "levels" or f.kind == "plain" and f.column in coded
     wanted = [(i, f) for i, formula in enumerate(read) for f in dict.fromkeys(f for term in formula.terms for f in term) if f.kind == "spline" or is_levels(f)]
+    # formulas over the same rows share what is found for a factor
+    which = [str(c._jc) for c in complete]
+    first = {}
+    for i, f in wanted:
+        first.setdefault((which[i], f), (i, f))
+    every, wanted = wanted, list(first.values())
     if wanted:
         value = lambda i, f: F.when(complete[i], F.col(f"`{f.column}`"))
         several = sorted({f.column for _, f in wanted if is_levels(f)})
@@ -190,7 +205,8 @@ def designs(df: DataFrame, formulas: Sequence[str], complete: Sequence[Column])
             if many := [c for c, n in zip(several, counts) if n > 1.2 * MOST_LEVELS]:
                 raise ValueError(f"columns with too many levels: {many}")
         aggs = [F.sort_array(F.collect_set(value(i, f).cast("string"))) if is_levels(f) else F.array(F.min(value(i, f).cast("double")), F.max(value(i, f).cast("double"))) for i, f in wanted]
-        found = dict(zip(wanted, df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()))
+        once = dict(zip(wanted, df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()))
+        found = {(i, f): once[first[which[i], f]] for i, f in every}
     out: list[Design | str] = []
     for i, formula in enumerate(read):
         try:

@@ -1,7 +1,9 @@
 """Many logistic models at once: every iteration is one pass over the rows for all outcomes and all formulas.
 
-Tasks multiply their rows by numpy and send, for each model, the rows of X'WX, the score and three sums; Spark adds them up and the driver sees
-k by k matrices only. Steps use a pseudo-inverse, so designs that are deficient by construction (splines with an intercept) are
+The design is dealt and sorted by cluster once. Tasks multiply their rows by numpy and send, for each model, the rows of X'WX, the score and
+three sums; Spark adds them up and the driver sees k by k matrices only. Cluster-robust covariances come from one more pass, in which
+a cluster's scores add up as its rows stream by. Clusters with more rows than one in MOST_HOT of all are dealt over many tasks,
+whose sums meet afterwards; there are at most MOST_HOT of them. Steps use a pseudo-inverse, so designs that are deficient by construction (splines with an intercept) are
 fitted as well; other deficient designs are skipped. Coefficients of a deficient design are those of least norm after scaling.
 """
 
@@ -14,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .formulas import Design, complete_rows, designs, expression
+from .formulas import Design, all_there, designs, expression, needed_columns
 from .models import Fit
 
 #: Eigenvalues of a scaled X'WX below this part of the largest count as zero.
 ZERO = 1e-10
+#: Clusters that are dealt over several tasks, at most; rows that such a cluster has at least, and the tasks that it is dealt over.
+MOST_HOT, HOT_ROWS, SALTS = 1_000, 50_000, 64
 
 
 @dataclass
@@ -89,42 +93,77 @@ def matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
     return np.nan_to_num(np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(n)]))
 
 
-def sandwiches(design: DataFrame, models: dict[int, Model], width: int, outcomes: dict[str, str], ok: dict[int, str], n_columns: int) -> None:
-    """Cluster-robust covariances: scores added up by cluster in tasks first, then their cross products."""
-    told = {i: (outcomes[m.outcome], ok[i], m.at, m.beta) for i, m in models.items()}
+def dealt(design: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The design by cluster, in order, and the clusters that are spread over several tasks."""
+    sizes = design.groupBy("cluster").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = [r["cluster"] for r in sizes.where(F.col("n") > max(HOT_ROWS, total // MOST_HOT)).collect()] if total > HOT_ROWS else []
+    salt = F.when(F.col("cluster").isin(hot), F.pmod(F.xxhash64(*design.columns), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    return design.withColumn("salt", salt.cast("int")).repartition("cluster", "salt").sortWithinPartitions("cluster", "salt"), hot
+
+
+def sandwiches(design: DataFrame, hot: Sequence[str], models: dict[int, Model], width: int, outcomes: dict[str, str], ok: dict[int, str], n_columns: int) -> None:
+    """Cluster-robust covariances, from scores added up by cluster."""
+    told, spread = {i: (outcomes[m.outcome], ok[i], m.at, m.beta) for i, m in models.items()}, set(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {i: np.zeros((len(t[2]) + 1, width)) for i, t in told.items()}
+        parts: dict[tuple[int, str], np.ndarray] = {}
+        now, carried = None, {}
+
+        def put(i: int, names: list, v: np.ndarray) -> None:
+            """Sums of whole clusters: v has a column for each coefficient, then the number of rows."""
+            k = v.shape[1] - 1
+            alone = np.array([n not in spread for n in names], dtype=bool)
+            own = v[alone]
+            total[i][:k, :k] += own[:, :k].T @ own[:, :k]
+            total[i][k, 0] += (own[:, k] > 0).sum()
+            for j in np.flatnonzero(~alone):
+                parts[i, names[j]] = parts.get((i, names[j]), 0) + v[j]
 
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x, codes = matrix(batch, n_columns), batch.column("cluster").dictionary_encode()
-            code, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary
+            code = codes.indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            names = codes.dictionary.take(pa.array(code[starts])).to_pylist()
             for i, (outcome, flag, at, beta) in told.items():
                 keep = batch.column(flag).to_numpy(zero_copy_only=False)
-                own, y = x[keep][:, at], batch.column(outcome).to_numpy(zero_copy_only=False)[keep]
-                some, of = np.unique(code[keep], return_inverse=True)
-                total = np.zeros((len(some), width))
-                np.add.at(total[:, : len(at)], of, own * (y - 1.0 / (1.0 + np.exp(-np.clip(own @ beta, -700, 700))))[:, None])
-                yield pa.RecordBatch.from_pydict({"model": pa.array([i] * len(some), pa.int32()), "cluster": names.take(pa.array(some)), "v": pa.array(list(total), pa.list_(pa.float64()))})
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {i: np.zeros((len(t[2]) + 1, width)) for i, t in told.items()}
-        for batch in batches:
-            which, v = batch.column("model").to_numpy(), batch.column("v").flatten().to_numpy().reshape(batch.num_rows, width)
-            for i in np.unique(which):
-                k = len(told[i][2])
-                own = v[which == i][:, :k]
-                total[i][:k, :k] += own.T @ own
-                total[i][k, 0] += len(own)
+                own, y = x[:, at], np.nan_to_num(batch.column(outcome).to_numpy(zero_copy_only=False))
+                s = own * (keep * (y - 1.0 / (1.0 + np.exp(-np.clip(own @ beta, -700, 700)))))[:, None]
+                v = np.add.reduceat(np.column_stack([s, keep]), starts)
+                if now == names[0]:
+                    v[0] += carried[i]
+                elif now is not None:
+                    put(i, [now], carried[i][None, :])
+                put(i, names[:-1], v[:-1])
+                carried[i] = v[-1]
+            now = names[-1]
+        if now is not None:
+            for i, v in carried.items():
+                put(i, [now], v[None, :])
         for i, t in total.items():
-            yield pa.RecordBatch.from_pydict({"model": pa.array([i] * len(t), pa.int32()), "row": pa.array(np.arange(len(t)), pa.int32()), "v": pa.array(list(t), pa.list_(pa.float64()))})
+            yield told_rows([i] * len(t), np.arange(len(t)), [None] * len(t), t)
+        if parts:
+            yield told_rows([i for i, _ in parts], [-1] * len(parts), [n for _, n in parts], [np.pad(v, (0, width + 1 - len(v)))[:width] for v in parts.values()], [v[len(told[i][2])] for (i, _), v in parts.items()])
 
-    by_cluster = added_up(design.mapInArrow(scores, "model int, cluster string, v array<double>"), ["model", "cluster"], width)
-    found = added_up(by_cluster.select("model", "v").mapInArrow(products, "model int, row int, v array<double>"), ["model", "row"], width).collect()
-    meat = {i: np.zeros((len(m.at) + 1, width)) for i, m in models.items()}
+    def told_rows(model, row, name, v, n=None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"model": pa.array(model, pa.int32()), "row": pa.array(row, pa.int32()), "name": pa.array(name, pa.string()), "v": pa.array([*([*w, c] for w, c in zip(v, n if n is not None else [0.0] * len(v)))], pa.list_(pa.float64()))})
+
+    found = added_up(design.mapInArrow(run, "model int, row int, name string, v array<double>"), ["model", "row", "name"], width + 1).collect()
+    meat = {i: np.zeros((len(m.at), len(m.at))) for i, m in models.items()}
     for r in found:
-        meat[r["model"]][r["row"]] = r["v"]
+        m, k, v = models[r["model"]], len(models[r["model"]].at), np.array(r["v"])
+        if r["row"] == -1:
+            meat[r["model"]] += np.outer(v[:k], v[:k])
+            m.clusters += int(v[width] > 0)
+        elif r["row"] == k:
+            m.clusters += int(v[0])
+        else:
+            meat[r["model"]][r["row"]] += v[:k]
     for i, m in models.items():
-        k = len(m.at)
-        m.sandwich, m.clusters = m.bread @ meat[i][:k, :k] @ m.bread, int(meat[i][k, 0])
+        m.sandwich = m.bread @ meat[i] @ m.bread
 
 
 def fit_grid(df: DataFrame, configs: Sequence[tuple[str, str]], specs: dict[str, str], cluster: str, by_substring: bool = False, most: int = 500, tolerance: float = 1e-12, left_out: Sequence[str] = ()) -> tuple[dict[tuple[str, str, str], Fit], list[dict]]:
@@ -132,11 +171,16 @@ def fit_grid(df: DataFrame, configs: Sequence[tuple[str, str]], specs: dict[str,
 
     Kinds: asymptotic, robust (clusters, small-sample factor), gee (clusters). Statuses: OK, NO_CONVERGE after `most` steps,
     SKIP_SINGULAR for deficient designs without splines, SKIPPED for outcomes left out, FAIL with a reason. Rows are those with all values
-    that a formula needs and a cluster. Passes over the rows: one an iteration, and three more, however many models there are.
+    that a formula needs and a cluster. Passes over the rows: one an iteration, and five more, however many models there are.
     """
     pairs = [(o, s) for o in dict.fromkeys(o for o, _ in configs) for s in specs if o not in left_out]
     texts = [specs[s].format(outcome=o) for o, s in pairs]
-    complete = [complete_rows(df, t, [cluster], by_substring) for t in texts]
+    needs = [needed_columns(df, t, [cluster], by_substring) for t in texts]
+    named = sorted({c for n in needs for c in n})
+    df = df.select(*[F.col(f"`{c}`") for c in named]).persist()  # read once; dropped when the design is there
+    missing = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(named)]).first() if named else ()
+    gaps = {c for c, n in zip(named, missing) if n}
+    complete = [all_there([c for c in n if c in gaps]) for n in needs]
     made = designs(df, texts, complete)
     columns: dict[tuple, int] = {}
     for d in made:
@@ -150,21 +194,26 @@ def fit_grid(df: DataFrame, configs: Sequence[tuple[str, str]], specs: dict[str,
         else:
             failed[o, s] = d
     fits, ledger = {}, []
-    if models:
+    if not models:
+        df.unpersist()
+    else:
         outcomes = {o: f"y{i}" for i, o in enumerate(dict.fromkeys(o for o, _ in pairs))}
         flags = {str(c._jc): f"ok{i}" for i, c in enumerate(complete)}  # models that need the same values share a flag
         ok = {i: flags[str(complete[i]._jc)] for i in models}
         width = max(3, *(len(m.at) for m in models.values()))
         once = {ok[i]: complete[i] for i in models}
         design = df.select(F.col(cluster).cast("string").alias("cluster"), *[F.col(o).cast("double").alias(y) for o, y in outcomes.items()], *[c.alias(f) for f, c in once.items()], *[expression(p).alias(f"x{i}") for p, i in columns.items()])
-        design = design.where(" OR ".join(once)).persist()
+        design, hot = dealt(design.where(" OR ".join(once)))
+        design = design.persist()
         try:
+            design.count()
+            df.unpersist()
             iterate(design, models, width, outcomes, ok, len(columns), most, tolerance)
             done = {i: m for i, m in models.items() if m.status == "OK"}
             if done:
                 for i, t in sums(design, done, width, outcomes, ok, len(columns)).items():
                     done[i].bread = inverse(t[: len(done[i].at), : len(done[i].at)])[0]
-                sandwiches(design, done, width, outcomes, ok, len(columns))
+                sandwiches(design, hot, done, width, outcomes, ok, len(columns))
         finally:
             design.unpersist()
     by_name = {(m.outcome, m.spec): m for m in models.values()}
@@ -207,6 +256,9 @@ def iterate(design: DataFrame, models: dict[int, Model], width: int, outcomes: d
                 continue
             if m.status:
                 continue
+            if likelihood > -1e-6 * n:
+                m.status, m.reason = "FAIL", "perfect separation"
+                continue
             step = inverse(a)[0] @ g
             m.beta, m.step, m.likelihood, m.turns = m.beta + step, step, likelihood, m.turns + 1
             if g @ step < tolerance * n:

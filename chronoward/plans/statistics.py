@@ -216,7 +216,7 @@ def _grid_rows(s, d):
     day, key, price = F.dayofmonth("o_orderdate"), F.col("o_orderkey"), F.col("o_totalprice")
     return _model_rows(s, d).select(
         "o_custkey", "c_mktsegment", "o_orderpriority",
-        *[e.cast("int").alias(f"y{i + 1}") for i, e in enumerate((price > 150000, F.col("o_orderstatus") == "F", price > 100000, price > 200000, F.col("o_orderstatus") == "O", key % 3 == 0, F.month("o_orderdate") > 6))],
+        *[e.cast("int").alias(f"y{i + 1}") for i, e in enumerate((price > 150000, F.col("o_orderstatus") == "F", price > 100000, price > 200000, F.col("o_orderstatus") == "O", F.floor(price) % 3 == 0, F.month("o_orderdate") > 6))],
         ((day - 15.5) / 10).alias("a_dif"), (F.col("bal") - 4.5).alias("b_dif"), ((key % 101 - 50) / 25).alias("c_dif"),
         (F.greatest(F.lit(0.0), day - 12.0) / 10).alias("a_day"), (F.col("o_custkey") % 11).cast("double").alias("b_day"), F.greatest(F.lit(0.0), F.col("bal") - 5).alias("c_day"),
         (key % 61 + 18).alias("age"), (F.year("o_orderdate") - 1990).alias("nth"), (key % 37).cast("double").alias("weight"),
