@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ..functions.localtime import micros
 
 #: A side is broadcast by hint only up to this many rows, counted first; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -31,14 +33,34 @@ def merge_all(frames: Sequence[DataFrame], on: Sequence[str], how: str = "outer"
 
 
 def range_join(events: DataFrame, windows: DataFrame, by: Sequence[str], time: str, start: str, end: str, how: str = "inner", before: Column | None = None) -> DataFrame:
-    """Events inside [start - before, end] of a window of their key: an equi-join on the key with a range filter."""
+    """Events inside [start - before, end] of a window of their key: an equi-join on the key and a bin of time, then the exact bounds.
+
+    Windows are dealt to bins of their own length rounded up to a power of two, so each one is in two bins at most, whatever
+    the mix of lengths; an event goes to one bin for each power that occurs (one small aggregate tells which). An event meets a window at
+    most once, and only windows of about its time. Windows that end before they start hold nothing.
+    """
     low = F.col(start) if before is None else F.col(start) - before
-    both = events.join(windows, list(by), "inner").where((F.col(time) >= low) & (F.col(time) <= F.col(end)))
+    spans = windows.withColumn("_low", low).where(F.col("_low") <= F.col(end))
+    first, last = number(spans, "_low"), number(spans, end)
+    spans = spans.withColumn("_power", F.ceil(F.log2(F.greatest(last - first, F.lit(2.0**-20)))).cast("int"))
+    powers = sorted(spans.agg(F.collect_set("_power")).first()[0])  # at most one for each bit of a time
+    bin_of = lambda x, power: F.floor(x / F.pow(F.lit(2.0), power))
+    spans = spans.withColumn("_bin", F.explode(F.sequence(bin_of(number(spans, "_low"), F.col("_power")), bin_of(number(spans, end), F.col("_power")))))
+    dealt = events.withColumn("_power", F.explode(F.array(*[F.lit(p) for p in powers]).cast("array<int>"))).withColumn("_bin", bin_of(number(events, time), F.col("_power")))
+    both = dealt.join(spans, [*by, "_power", "_bin"], "inner").where((F.col(time) >= F.col("_low")) & (F.col(time) <= F.col(end))).drop("_power", "_bin", "_low")
     if how == "inner":
         return both
     return both.unionByName(windows.join(both.select(*windows.columns).distinct(), windows.columns, "left_anti"), allowMissingColumns=True)
 
 
+def number(df: DataFrame, column: str) -> Column:
+    """A time in microseconds, or a number, as a double."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return micros(df, column).cast("double")
+    return F.unix_date(column).cast("double") if isinstance(kind, T.DateType) else F.col(column).cast("double")
+
+
 def scaffold(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Every row with every category of a small list (checked by count before the cross join)."""
     found = categories.distinct()

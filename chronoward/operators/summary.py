@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import scans
 from .relational import unpivot
 
 
-def continuous_summary(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """One row a variable: n, n_missing, mean, sd, sum, sum_sq, median, q1, q3, min, max."""
+def continuous_summary(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = (), by_rank: bool = False) -> DataFrame:
+    """One row a variable: n, n_missing, mean, sd, sum, sum_sq, median, q1, q3, min, max.
+
+    `by_rank` ranks counted values over many tasks instead of gathering a group's different values in one buffer.
+    """
     x = F.col("value")
     long = unpivot(df, keys, variables)
+    if by_rank:
+        own = [*keys, "variable"]
+        moments = long.groupBy(*own).agg(
+            F.count("value").alias("n"), F.count_if(x.isNull()).alias("n_missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
+            F.sum("value").alias("sum"), F.sum(x * x).alias("sum_sq"), F.min("value").alias("min"), F.max("value").alias("max"),
+        )
+        ranks = scans.quantiles(long, "value", {"median": 0.5, "q1": 0.25, "q3": 0.75}, own).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(own)], "median", "q1", "q3")
+        both = moments.join(ranks, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(own)]), "left")
+        return both.select(*own, "n", "n_missing", "mean", "sd", "sum", "sum_sq", "median", "q1", "q3", "min", "max")
     q = lambda p: F.expr(f"percentile(value, {p})")
     return long.groupBy(*keys, "variable").agg(
         F.count("value").alias("n"), F.count_if(x.isNull()).alias("n_missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),

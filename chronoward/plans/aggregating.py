@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import columns as C
 from ..functions.localtime import micros
 from ..operators import relational as R
+from ..operators import scans
 from ..operators import summary as M
 from .base import HOUR_US, r, t
 from .projection import DAY_NIGHT, SIX, _day_night
@@ -56,6 +57,19 @@ def d10(s, d):
     return t(s, d, "events").groupBy("event_type").agg(r(F.expr("percentile(CASE WHEN value > 5 THEN value END, 0.9)")).alias("p90"))
 
 
+def d10b(s, d):
+    return scans.quantiles(t(s, d, "events").where("value > 5"), "value", {"p90": 0.9}, ["event_type"]).select("event_type", r("p90").alias("p90"))
+
+
+def d11b(s, d):
+    return scans.quantiles(t(s, d, "customer"), "c_acctbal", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["c_mktsegment"]).select("c_mktsegment", *[r(c).alias(c) for c in ("q1", "median", "q3")])
+
+
+def d12b(s, d):
+    df = t(s, d, "customer").select("c_acctbal").withColumn("large", F.expr("CASE WHEN c_acctbal > 0 THEN c_acctbal END"))
+    return M.continuous_summary(df, ["c_acctbal", "large"], by_rank=True).select("variable", "n", "n_missing", *[r(c, 2).alias(c) for c in ("mean", "sd", "sum", "median", "q1", "q3", "min", "max")], r(F.col("sum_sq") / 1e6, 2).alias("sum_sq_m"))
+
+
 def d11(s, d):
     return t(s, d, "customer").groupBy("c_mktsegment").agg(*[r(F.expr(f"percentile(c_acctbal, {p})")).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
 
@@ -190,8 +204,11 @@ CASES = {
     "d08_string_agg": (d08, "SELECT user_id, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS kinds FROM events GROUP BY 1"),
     "d09_having": (d09, "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 70"),
     "d10_quantile_filter": (d10, "SELECT event_type, round(quantile_cont(value, 0.9) FILTER (WHERE value > 5), 4) AS p90 FROM events GROUP BY 1"),
+    "d10_quantile_filter_by_rank": (d10b, "SELECT event_type, round(quantile_cont(value, 0.9) FILTER (WHERE value > 5), 4) AS p90 FROM events GROUP BY 1"),
     "d11_quartiles": (d11, "SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 4) AS q1, round(quantile_cont(c_acctbal, 0.5), 4) AS median, round(quantile_cont(c_acctbal, 0.75), 4) AS q3 FROM customer GROUP BY 1"),
+    "d11_quartiles_by_rank": (d11b, "SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 4) AS q1, round(quantile_cont(c_acctbal, 0.5), 4) AS median, round(quantile_cont(c_acctbal, 0.75), 4) AS q3 FROM customer GROUP BY 1"),
     "d12_continuous": (d12, "SELECT variable, count(v) AS n, count(*) - count(v) AS n_missing, round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS sd, round(sum(v), 2) AS sum, round(median(v), 2) AS median, round(quantile_cont(v, 0.25), 2) AS q1, round(quantile_cont(v, 0.75), 2) AS q3, round(min(v), 2) AS min, round(max(v), 2) AS max, round(sum(v * v) / 1e6, 2) AS sum_sq_m FROM (SELECT 'c_acctbal' AS variable, c_acctbal AS v FROM customer UNION ALL SELECT 'large', CASE WHEN c_acctbal > 0 THEN c_acctbal END FROM customer) GROUP BY 1"),
+    "d12_continuous_by_rank": (d12b, "SELECT variable, count(v) AS n, count(*) - count(v) AS n_missing, round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS sd, round(sum(v), 2) AS sum, round(median(v), 2) AS median, round(quantile_cont(v, 0.25), 2) AS q1, round(quantile_cont(v, 0.75), 2) AS q3, round(min(v), 2) AS min, round(max(v), 2) AS max, round(sum(v * v) / 1e6, 2) AS sum_sq_m FROM (SELECT 'c_acctbal' AS variable, c_acctbal AS v FROM customer UNION ALL SELECT 'large', CASE WHEN c_acctbal > 0 THEN c_acctbal END FROM customer) GROUP BY 1"),
     "d13_categorical": (d13, "SELECT variable, category, n, CAST(sum(n) OVER (PARTITION BY variable) AS BIGINT) AS total_n, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY variable), 4) AS pct FROM (SELECT 'o_orderpriority' AS variable, o_orderpriority AS category, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2)"),
     "d14_histogram": (d14, "SELECT b.l AS bin_left, b.r AS bin_right, count(value) AS count FROM (VALUES (0.0::DOUBLE, 25.0::DOUBLE), (25.0::DOUBLE, 50.0::DOUBLE), (50.0::DOUBLE, 75.0::DOUBLE), (75.0::DOUBLE, 100.0::DOUBLE)) b(l, r) LEFT JOIN (SELECT least(greatest(value, 0.0), 100.0) AS value FROM events WHERE value IS NOT NULL) ON value >= l AND (value < r OR (r = 100.0 AND value = 100.0)) GROUP BY 1, 2"),
     "d15_half_open_bins": (d15, "WITH x AS (SELECT least(floor(n / 10) * 10, 80) AS bin_left, kind FROM (SELECT user_id, count(*) AS n, CASE WHEN bool_or(event_type = 'purchase') THEN 'buyer' ELSE 'other' END AS kind FROM events GROUP BY 1)) SELECT coalesce(kind, 'ALL') AS stratum, CAST(bin_left AS DOUBLE) AS bin_left, count(*) AS count FROM x GROUP BY GROUPING SETS ((kind, bin_left), (bin_left))"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.localtime import micros
 from ..operators import asof as A
 from ..operators import relational as R
+from ..operators import scans
 from ..operators import sequence as S
 from .base import HOUR_US, r, t
 
@@ -67,6 +68,21 @@ def c08(s, d):
     return _back(s, d).select("event_id", "user_id", "click_id", "click_value")
 
 
+def c08h(s, d):
+    """The same with every third user under one key."""
+    one = lambda df: df.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    right = one(_events(s, d, "click")).select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
+    left = one(_events(s, d, "purchase")).select("event_id", "user_id", "ts")
+    return scans.asof_backward(left, right, ["user_id"], "ts", "click_ts", ["click_id", "click_value"], ["click_id"]).select("event_id", "user_id", "click_id", "click_value")
+
+
+def c16b(s, d):
+    """Errors with all visits (an hour from each view) of their key that they fall into; one key has a third of the rows."""
+    one = F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("user_id")
+    visits = _events(s, d, "view").select(one, F.col("event_id").alias("visit"), F.col("ts").alias("w0"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("w1"))
+    return R.range_join(_events(s, d, "error").select(one, "event_id", "ts"), visits, ["user_id"], "ts", "w0", "w1").select("event_id", "visit")
+
+
 def c09(s, d):
     df = _back(s, d)
     fresh = (micros(df, "ts") - micros(df, "click_ts")) <= 12 * HOUR_US
@@ -155,6 +171,9 @@ CASES = {
     "c13_asof_fallback": (c13, "SELECT l.event_id, l.user_id, coalesce(r.value, f.v) AS click_value, CASE WHEN r.value IS NOT NULL THEN 'asof' WHEN f.v IS NOT NULL THEN 'fallback' ELSE 'none' END AS _source FROM (" + EV + " = 'purchase') l ASOF LEFT JOIN (" + EV + " = 'click' AND value IS NOT NULL) r ON l.user_id = r.user_id AND l.ts >= r.ts LEFT JOIN (SELECT user_id, arg_min(value, ts) AS v FROM events WHERE event_type = 'click' AND value IS NOT NULL GROUP BY 1) f ON f.user_id = l.user_id"),
     "c14_starter": (c14, "SELECT a.user_id, a.anchor AS ts, r.value FROM (SELECT user_id, min(ts) AS anchor FROM events WHERE event_type = 'purchase' GROUP BY 1) a ASOF JOIN (" + EV + " = 'view') r ON a.user_id = r.user_id AND a.anchor > r.ts WHERE r.value IS NOT NULL"),
     "c15_asof_window": (c15, "WITH w AS (SELECT user_id, min(ts) AS w0 FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT l.event_id, r.value AS click_value FROM (SELECT e.* FROM events e JOIN w USING (user_id) WHERE event_type = 'purchase' AND ts BETWEEN w0 AND w0 + INTERVAL 72 HOUR) l ASOF LEFT JOIN (" + EV + " = 'click') r ON l.user_id = r.user_id AND l.ts >= r.ts"),
+    "c08_asof_hot_key": (c08h, BACK.replace("FROM events", "FROM (SELECT * REPLACE (CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)")),
+    "c16_many_windows": (c16b, """WITH e AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS k FROM events)
+SELECT a.event_id, b.event_id AS visit FROM e a JOIN e b ON a.k = b.k AND a.ts >= b.ts AND a.ts <= b.ts + INTERVAL 1 HOUR WHERE a.event_type = 'error' AND b.event_type = 'view'"""),
     "c16_range": (c16, "SELECT event_id, user_id FROM events JOIN (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE event_type = 'signup' GROUP BY 1) USING (user_id) WHERE ts BETWEEN a AND b"),
     "c17_look_back": (c17, "WITH w AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE event_type = 'signup' GROUP BY 1), x AS (SELECT e.event_id, e.ts, a, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM events e JOIN w USING (user_id) WHERE ts BETWEEN a - INTERVAL 24 HOUR AND b) SELECT event_id, c FROM x WHERE ts >= a"),
     "c18_most_recent": (c18, "SELECT user_id, event_id FROM (SELECT e.user_id, e.event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts DESC, e.event_id DESC) AS rn FROM events e JOIN (SELECT user_id, max(ts) AS cut FROM events WHERE event_type = 'purchase' GROUP BY 1) c USING (user_id) WHERE event_type = 'view' AND ts <= cut) WHERE rn = 1"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.localtime import add_day_shift, micros
-from ..operators import sequence as S
+from ..operators import scans, sequence as S
 from .base import HOUR_US, r, t
 
 ORDER = ["ts", "event_id"]
@@ -28,6 +28,24 @@ def e02(s, d):
     return S.islands(ev(s, d), BY, ORDER, {"island": F.col("event_type").isin("click", "view")}).select("event_id", "island")
 
 
+def hot(s, d):
+    """Events with every third user under one key, which then has a third of all rows."""
+    return ev(s, d).withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+
+
+def e02h(s, d):
+    return scans.islands(hot(s, d), BY, ORDER, {"island": F.col("event_type").isin("click", "view")}).select("event_id", "island")
+
+
+def e14h(s, d):
+    df = hot(s, d).withColumns({k: F.when(F.col("event_type") == v, F.col("value")) for k, v in (("c", "click"), ("v", "view"))})
+    return scans.forward_fill(df, ["c", "v"], BY, ORDER).select("event_id", "c", "v")
+
+
+def e22h(s, d):
+    return scans.running_sum(hot(s, d), "value", BY, ORDER, "so_far").select("event_id", r("so_far", 2).alias("so_far"))
+
+
 def e03(s, d):
     return S.streaks(ev(s, d), BY, "ts", F.col("event_type").isin("click", "view"), ["event_id"], 24.0).select("user_id", "streak_id", F.col("start").alias("start_ts"), F.col("end").alias("end_ts"), "n_rows", r("hours").alias("hours"))
 
@@ -191,9 +209,11 @@ GRID = "SELECT user_id, unnest(generate_series(date_trunc('hour', a), date_trunc
 SHIFT = "SELECT user_id, h AS event_dttm, CAST(hour(h - INTERVAL 6 HOUR) AS INTEGER) AS _hr, CASE WHEN hour(h - INTERVAL 6 HOUR) >= 7 AND hour(h - INTERVAL 6 HOUR) < 19 THEN 'day' ELSE 'night' END AS _shift, CAST(sum(CASE WHEN hour(h - INTERVAL 6 HOUR) = 7 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY h ROWS UNBOUNDED PRECEDING) AS BIGINT) AS _nth_day FROM (" + GRID.format(x="") + ")"
 FF = "last_value({c} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS {f})"
 CL, VI = "CASE WHEN event_type = 'click' THEN value END", "CASE WHEN event_type = 'view' THEN value END"
+HOT_EVENTS = "FROM (SELECT * REPLACE (CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)"
 CASES = {
     "e01_lag_lead": (e01, "SELECT event_id, lag(event_type) OVER w AS prev_type, coalesce(lead(ts) OVER w, ts) AS next_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
     "e02_islands": (e02, f"SELECT event_id, block AS island FROM ({isl(chr(39).join(['event_type IN (', 'click', ',', 'view', ')']))})"),
+    "e02_islands_hot_key": (e02h, f"SELECT event_id, block AS island FROM ({isl(chr(39).join(['event_type IN (', 'click', ',', 'view', ')']))})".replace("FROM events", HOT_EVENTS)),
     "e03_streaks": (e03, STREAKS),
     "e04_rank_islands": (e04, "SELECT user_id, event_type, island, count(*) AS n, min(ts) AS start_ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island FROM events) GROUP BY 1, 2, 3"),
     "e05_stitch": (e05, "WITH a AS (SELECT *, CASE WHEN max(o_orderdate + INTERVAL 2 DAY) OVER w IS NULL OR o_orderdate - max(o_orderdate + INTERVAL 2 DAY) OVER w >= INTERVAL 30 DAY THEN 1 ELSE 0 END AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), b AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT o_orderkey, o_custkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey, k ORDER BY o_orderdate, o_orderkey) AS block_id FROM b"),
@@ -206,6 +226,7 @@ CASES = {
     "e12_priority_dedup": (e12, "SELECT user_id, date_trunc('hour', ts) AS h, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY CASE event_type WHEN 'signup' THEN 10 WHEN 'error' THEN 9 WHEN 'view' THEN 8 ELSE 1 END, CASE WHEN value > 0 THEN 1 ELSE 2 END, value DESC NULLS LAST, event_id) = 1"),
     "e13_dup_clusters": (e13, "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE)) AS n_in_cluster FROM orders QUALIFY n_in_cluster > 1"),
     "e14_forward_fill": (e14, f"SELECT event_id, {FF.format(c=CL, f='UNBOUNDED PRECEDING')} AS c, {FF.format(c=VI, f='UNBOUNDED PRECEDING')} AS v FROM events"),
+    "e14_fill_hot_key": (e14h, f"SELECT event_id, {FF.format(c=CL, f='UNBOUNDED PRECEDING')} AS c, {FF.format(c=VI, f='UNBOUNDED PRECEDING')} AS v FROM events".replace("FROM events", HOT_EVENTS)),
     "e14_forward_fill_before": (e14b, f"SELECT event_id, {FF.format(c=CL, f='BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')} AS c FROM events"),
     "e15_fill_both": (e15, f"SELECT event_id, coalesce(last_value({CL} IGNORE NULLS) OVER (PARTITION BY user_id, block ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), first_value({CL} IGNORE NULLS) OVER (PARTITION BY user_id, block ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS c FROM ({isl('value <= 50')})"),
     "e16_change_levels": (e16, f"SELECT a.event_id, a.block AS device_id, b.block AS mode_id FROM ({isl('event_type')}) a JOIN ({isl(chr(123) + chr(39) + 'a' + chr(39) + ': event_type, ' + chr(39) + 'b' + chr(39) + ': value > 50' + chr(125))}) b USING (event_id)"),
@@ -214,6 +235,7 @@ CASES = {
     "e19_day_shift": (e19, f"SELECT *, 'day' || _nth_day || '_' || _shift AS _day_shift FROM ({SHIFT})"),
     "e20_day_registry": (e20, f"WITH x AS (SELECT user_id, _nth_day AS nth_day, count(*) FILTER (WHERE _shift = 'day') AS n_hrs_day, count(*) FILTER (WHERE _shift = 'night') AS n_hrs_night FROM ({SHIFT}) GROUP BY 1, 2) SELECT *, CASE WHEN nth_day = min(nth_day) OVER w AND nth_day = max(nth_day) OVER w THEN 'only' WHEN nth_day = min(nth_day) OVER w THEN 'first' WHEN nth_day = max(nth_day) OVER w THEN 'last' ELSE 'middle' END AS day_type FROM x WINDOW w AS (PARTITION BY user_id)"),
     "e21_lead_targets": (e21, "WITH x AS (SELECT user_id, CAST(ts AS DATE) AS day, max(CAST(event_type = 'error' AS INTEGER)) AS bad, max(CAST(event_type = 'purchase' AS INTEGER)) AS bought FROM events GROUP BY 1, 2) SELECT *, lead(bad) OVER w AS bad_next, lead(bought) OVER w AS bought_next FROM x WINDOW w AS (PARTITION BY user_id ORDER BY day)"),
+    "e22_running_sum_hot_key": (e22h, "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS so_far " + HOT_EVENTS),
     "e22_integrate": (e22, "WITH a AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN value / 60.0::DOUBLE WHEN event_type = 'error' THEN 0.0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS rate, (lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts)) / 60000000.0::DOUBLE AS m FROM events) SELECT user_id, date_trunc('hour', ts) AS h, round(sum(coalesce(rate, 0) * coalesce(m, 0)), 3) AS amount FROM a GROUP BY 1, 2"),
     "e23_jumps": (e23, "SELECT user_id, round(max(dv), 4) AS max_jump FROM (SELECT user_id, abs(value - lag(value) OVER w) AS dv, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE dt < 6 * 3600000000 GROUP BY 1 HAVING max(dv) > 90"),
     "e24_wide_range": (e24, "SELECT user_id, round(max(value) - min(value), 4) AS spread FROM events GROUP BY 1 HAVING max(value) - min(value) > 99"),
