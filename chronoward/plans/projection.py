@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..sources import io
+from ..sources import io, layout
 from .base import r, t
 
 
@@ -18,8 +18,54 @@ def a02(s, d):
 
 
 def a05(s, d):
-    """A sampled load: the limit is the feature."""
-    return io.read_table(s, f"{d}/events.parquet", ["event_id"], sample=100)
+    """A sampled load: the limit is the feature, and its rows are the same at every run."""
+    return layout.sampled(io.read_table(s, f"{d}/events.parquet", ["event_id", "user_id"]), ["event_id"], rows=100)
+
+
+def a05b(s, d):
+    """All events of a tenth of the users."""
+    return layout.sampled(t(s, d, "events"), ["user_id"], share=0.1).select("event_id", "user_id")
+
+
+def a03(s, d):
+    """Counts written as CSV and read again."""
+    path = layout.scratch(s, "csv") + ".csv"
+    io.write_aggregate_csv(t(s, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total")), path)
+    return io.read_table(s, path).select("o_orderpriority", "o_orderstatus", F.col("n").cast("long").alias("n"), F.col("total").cast("double").alias("total"))
+
+
+def a10(s, d):
+    """Events written by entity with instants in UTC, and read again."""
+    path = layout.scratch(s, "events")
+    io.write_events(t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "ts", "value"), path, "user_id", "ts")
+    return s.read.parquet(path).select("event_id", "user_id", F.unix_micros("ts").alias("us"), "value")
+
+
+def a12(s, d):
+    """An aggregate as JSON text and back."""
+    text = io.to_json(t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")))
+    return s.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<event_type string, n long, first_id long>>")))
+
+
+def a08(s, d):
+    """A result made once, taken from the cache, and made again."""
+    path, orders = layout.scratch(s, "cache"), t(s, d, "orders")
+    make = lambda: orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    for mode in ("cached", "cached", "fresh"):
+        out = layout.result(s, path, make, [orders], "1", mode)
+    return out
+
+
+def a14b(s, d):
+    """Customers of three regions in a folder each, beside folders that are no sites, found and stacked."""
+    root = layout.scratch(s, "sites")
+    nation = t(s, d, "nation").join(t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "r_name")
+    customers = t(s, d, "customer").join(nation, "c_nationkey")
+    for region, columns in (("ASIA", ["c_custkey", "c_acctbal"]), ("MIDDLE EAST", ["c_custkey", "c_mktsegment"]), ("EUROPE", ["c_custkey", "c_acctbal", "c_mktsegment"])):
+        customers.where(F.col("r_name") == region).select(*columns).write.parquet(f"{root}/{region}/customer.parquet")
+    for other in ("_pooled", "archive"):
+        customers.limit(1).write.parquet(f"{root}/{other}/customer.parquet")
+    return layout.stacked_sites(s, root, "customer.parquet", ["archive"]).select("site", "c_custkey", "c_acctbal", "c_mktsegment")
 
 
 def a06(s, d):
@@ -161,7 +207,14 @@ def b19(s, d):
 CASES = {
     "a01_scan": (a01, "SELECT l_orderkey, l_quantity, l_discount FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_discount > 0.05"),
     "a02_load": (a02, "SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('click','purchase')"),
-    "a05_sample": (a05, None),
+    "a03_csv_round_trip": (a03, "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2"),
+    "a05_sample": (a05, "SELECT event_id, user_id FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 100"),
+    "a05_share_of_entities": (a05b, f"SELECT event_id, user_id FROM events WHERE md5(CAST(user_id AS VARCHAR))[1:8] < '{int(0.1 * 2**32):08x}'"),
+    "a08_cached_result": (a08, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1"),
+    "a10_written_events": (a10, "SELECT event_id, user_id, epoch_us(ts) AS us, value FROM events"),
+    "a12_json_round_trip": (a12, "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1"),
+    "a14_discovered_sites": (a14b, """SELECT r_name AS site, c_custkey, CASE WHEN r_name <> 'MIDDLE EAST' THEN c_acctbal END AS c_acctbal, CASE WHEN r_name <> 'ASIA' THEN c_mktsegment END AS c_mktsegment
+FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name IN ('ASIA', 'EUROPE', 'MIDDLE EAST')"""),
     "a09_described": (a09, "SELECT column_name, CASE data_type WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS data_type FROM (SELECT column_name, column_type AS data_type FROM (DESCRIBE lineitem))"),
     "a15_frame_as_relation": (a15, "SELECT user_id, CAST(sum(CASE event_type WHEN 'purchase' THEN 3 ELSE 1 END) AS BIGINT) AS score FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1"),
     "a06_entity": (a06, "SELECT event_id, user_id, value FROM events WHERE user_id = 7"),

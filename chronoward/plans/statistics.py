@@ -64,7 +64,8 @@ def h06(s, d):
 def h06b(s, d):
     """Q with its p-value; one row reaches the driver."""
     x = P.random_effects(_effects(s, d), ["variable"], "effect", "variance").select("variable", "n_studies", "Q").collect()
-    return s.createDataFrame([(v["variable"], float(v["Q"]), P.chi2_upper(v["Q"], v["n_studies"] - 1)) for v in x], "variable string, Q double, q_pval double")
+    found = s.createDataFrame([(v["variable"], float(v["Q"]), P.chi2_upper(v["Q"], v["n_studies"] - 1)) for v in x], "variable string, Q double, q_pval double")
+    return found.select("variable", r("Q", 3).alias("Q"), r("q_pval", 6).alias("q_pval"))
 
 
 def h07(s, d):
@@ -401,7 +402,8 @@ CASES = {
     "h04_wilson": (h04, f"WITH x AS (SELECT site, count(*) FILTER (WHERE c_acctbal < 0) AS k, count(*) AS n FROM {SITE} GROUP BY 1), y AS (SELECT *, k / n AS p, 3.841458820694124::DOUBLE AS z2, 1.959963984540054::DOUBLE AS z FROM x) SELECT site, k, n, round(greatest(0, (p + z2/(2*n) - z*sqrt(p*(1-p)/n + z2/(4*n*n))) / (1 + z2/n)), 6) AS low, round(least(1, (p + z2/(2*n) + z*sqrt(p*(1-p)/n + z2/(4*n*n))) / (1 + z2/n)), 6) AS high FROM y"),
     "h05_student_interval": (h05, None),
     "h06_random_effects": (h06, DL + " SELECT variable, k AS n_studies, round(wy/w, 3) AS pooled, round(sqrt(1/w), 3) AS se, round(tau2, 3) AS tau2, round(q, 3) AS \"Q\", round(CASE WHEN q > 0 THEN greatest(0, (q - (k-1)) / q) * 100 ELSE 0 END, 3) AS \"I2\", round(wy/w - 1.959963984540054::DOUBLE * sqrt(1/w), 3) AS low, round(wy/w + 1.959963984540054::DOUBLE * sqrt(1/w), 3) AS high FROM p"),
-    "h06_heterogeneity_p": (h06b, None),
+    # five sites: for four degrees of freedom the upper tail is exp(-q/2) (1 + q/2)
+    "h06_heterogeneity_p": (h06b, DL + " SELECT variable, round(q, 3) AS \"Q\", round(exp(-q / 2) * (1 + q / 2), 6) AS q_pval FROM p"),
     "h07_stack_sites": (h07, f"SELECT c_mktsegment, count(*) AS n, site FROM {SITE} WHERE site IN ('ASIA','EUROPE') GROUP BY 1, 3"),
     "h08_with_all_row": (h08, f"SELECT coalesce(site, 'ALL') AS site, c_mktsegment, count(*) AS n FROM {SITE} GROUP BY GROUPING SETS ((site, c_mktsegment), (c_mktsegment))"),
     "h09_percent_by_hour": (h09, "SELECT event_type, CAST(hour(ts) AS INTEGER) AS hour, round(100.0::DOUBLE * count(*) FILTER (WHERE value > 50) / nullif(count(*) FILTER (WHERE value > 1), 0), 4) AS pct FROM events GROUP BY 1, 2"),
