@@ -6,7 +6,8 @@ alphabet: chi-squared uniformity, runs above and below the middle, serial correl
 (Fisher) and, inside each class of lengths, tokens whose randomness is rejected under a false-discovery rate (Benjamini
 and Hochberg) are ordinary text; the others are reported as `random`.
 
-Null texts count as empty. Repeated rows stay separate rows. Offsets are code points, ends exclusive.
+Null texts count as empty. Repeated rows stay separate rows. Offsets are code points, ends exclusive. An empty table gives an empty
+result. Columns other than `doc_id` and `text` are not read. Work grows with the text and with its tokens, not with their product.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # maximal runs, so the same spans as runs of any length of which those under 16 are dropped
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+SPAN = "array<struct<start:int,kind:int,end:int,piece:string>>"
+#: Matches that are gathered before they join the rest.
+CHUNK = 128
 
 HEX_DIGITS = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -30,8 +33,16 @@ BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BINS, TOP_BIN, RATE = 10, 400, 0.01
 
 
+def bound(x: Column, use) -> Column:
+    """`use` of a value that is worked out once: inside a lambda, an expression would be worked out at every turn."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Leftmost non-overlapping matches whose `group` has `least` characters, as structs of start, kind and end."""
+    """Leftmost non-overlapping matches whose `group` has `least` characters, as structs of start, kind, end and the match.
+
+    Matches are gathered in runs of CHUNK, so that arrays are not copied for each one.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     empty = F.array().cast(SPAN)
@@ -39,12 +50,18 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0)
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + F.length(x["gap"])
         end = start + F.length(x["whole"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["whole"].alias("piece")))
         return F.struct(F.coalesce(end, start).alias("at"), F.when(F.length(x["tested"]) >= least, F.concat(done["out"], span)).otherwise(done["out"]).alias("out"))
 
+    def run(done: Column, chunk: Column) -> Column:
+        return bound(F.aggregate(chunk, F.struct(done["at"].alias("at"), empty.alias("out")), step), lambda r: F.struct(r["at"].alias("at"), F.concat(done["out"], r["out"]).alias("out")))
+
+    def gathered(zipped: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / CHUNK).cast("int")), lambda i: F.slice(zipped, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), empty.alias("out")), run, lambda x: x["out"])
+
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), tested.alias("tested"))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda x: x["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return F.when(text.rlike(pattern), bound(zipped, gathered)).otherwise(empty)
 
 
 def normal_upper(z: Column) -> Column:
@@ -57,7 +74,7 @@ def battery(token: Column) -> Column:
     """Fisher's combined p-value of three randomness tests of a token under the encoding that it seems to have."""
     token = F.when(token.rlike("^[0-9A-F]+$"), F.lower(token)).otherwise(token)
     body = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
-    alphabet = F.when(body.rlike("^[0-9a-f]+$"), F.lit(HEX_DIGITS)).when(body.rlike("^[A-Z2-7]+$"), F.lit(BASE32)).otherwise(F.lit(BASE64))
+    alphabet_of = lambda b: F.when(b.rlike("^[0-9a-f]+$"), F.lit(HEX_DIGITS)).when(b.rlike("^[A-Z2-7]+$"), F.lit(BASE32)).otherwise(F.lit(BASE64))
 
     def tests(x: Column) -> Column:
         n, k = F.size(x["i"]).cast("double"), x["k"].cast("double")
@@ -78,25 +95,27 @@ def battery(token: Column) -> Column:
         half = -(F.ln(F.greatest(p_chi, F.lit(1e-12))) + F.ln(F.greatest(p_runs, F.lit(1e-12))) + F.ln(F.greatest(p_serial, F.lit(1e-12))))
         return F.exp(-half) * (1.0 + half + half * half / 2.0)
 
-    indexed = F.struct(F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c) - 1).alias("i"), F.length(alphabet).alias("k"))
-    return F.element_at(F.transform(F.array(indexed), tests), 1)
+    # each step is bound, so that none is worked out again for every character
+    indexed = lambda x: F.struct(F.transform(F.split(x["body"], ""), lambda c: F.instr(x["alphabet"], c) - 1).alias("i"), F.length(x["alphabet"]).alias("k"))
+    return bound(bound(bound(body, lambda b: F.struct(b.alias("body"), alphabet_of(b).alias("alphabet"))), indexed), tests)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and the spans as an array (`found`) for masking."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    plain = lambda found: F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     base = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select(
-        "doc_id", "text",
-        F.array_sort(F.concat(spans(F.col("text"), ASSIGN, 0, 2, 12), spans(F.col("text"), ACCESS, 1, 0, 18), spans(F.col("text"), HEX, 2, 0, 16))).alias("base"),
-        F.filter(spans(F.col("text"), TOKEN, 3, 0, 20), lambda s: (s["end"] - s["start"]) >= 20).alias("tokens"),
+        "doc_id",
+        F.array_sort(F.concat(*[plain(spans(F.col("text"), *how)) for how in ((ASSIGN, 0, 2, 12), (ACCESS, 1, 0, 18), (HEX, 2, 0, 16))])).alias("base"),
+        F.filter(spans(F.col("text"), TOKEN, 3, 0, 20), lambda s: s["piece"].rlike("[0-9]") & s["piece"].rlike("[A-Za-z]")).alias("tokens"),
     )
-    length = lambda s: s["end"] - s["start"]
-    piece = lambda s: F.substring(F.col("text"), s["start"] + 1, length(s))
-    clear = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    tokens = F.filter(F.col("tokens"), lambda s: piece(s).rlike("[0-9]") & piece(s).rlike("[A-Za-z]") & clear(s))
-    tested = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.floor(F.log2(length(s).cast("double"))).cast("int").alias("size"),
-                         F.least(F.floor(-F.ln(F.greatest(battery(piece(s)), F.lit(1e-30))) * BINS), F.lit(TOP_BIN)).cast("int").alias("bin")))
-    found = written(base.select("doc_id", "base", tested.alias("tested")), "secret-spans")
+    clear = lambda x, s: ~F.exists(x["base"], lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    bin_ = lambda piece: F.least(F.floor(-F.ln(F.greatest(battery(piece), F.lit(1e-30))) * BINS), F.lit(TOP_BIN)).cast("int")
+    one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.floor(F.log2((s["end"] - s["start"]).cast("double"))).cast("int").alias("size"), bin_(s["piece"]).alias("bin"))
+    # base spans and tokens are bound together: no lambda below works them out again, and none looks at the text
+    tested = bound(F.struct("base", "tokens"), lambda x: F.struct(x["base"].alias("base"), F.transform(F.filter(x["tokens"], lambda s: clear(x, s)), one).alias("tested")))
+    base = base.select("doc_id", tested.alias("both")).select("doc_id", "both.base", F.col("both.tested").alias("tested"))
+    found = written(base, "secret-spans")
     limits = rejection_bins(found)
     is_text = lambda t: F.coalesce(F.element_at(limits, t["size"]), F.lit(TOP_BIN + 1)) <= t["bin"]
     added = F.transform(F.filter("tested", lambda t: ~is_text(t)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
