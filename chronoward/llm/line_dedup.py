@@ -1,14 +1,15 @@
 """Fuzzy line deduplication by MinHash over character shingles.
 
 A line's shingles are runs of five characters (the whole line, if shorter). Minimum hashes in bands propose links, the
-exact Jaccard similarity of the shingle sets confirms them (0.8 or more), and a distributed union-find keeps the first
+exact Jaccard similarity of the shingle sets confirms them (0.8 or more; pairs that a bound from above excludes are not compared), and a distributed union-find keeps the first
 line (by document id, then position) of every component. Equal lines are folded together before that. Within a bucket
 lines are compared with the first of their task, those with the first of all, and then all that are still in different
 components with each other.
 
 Blank lines are never removed and belong to no component. A null text has no lines and stays null; a document of which
 every line goes keeps an empty text. Rows that share a document id are told apart, and ordered, by a hash of their text;
-rows equal in both share their decisions. Rows without an id take no part and keep their lines.
+rows equal in both share their decisions. Rows without an id take no part and keep their lines. An empty table gives an empty
+result. Other columns are carried along by `deduplicated` and not read elsewhere.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from .components import components
 from .crossing import crossing_links
 
 SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 5
-#: Pairs with fewer than this share of equal minima, of the first MINIMA ones, are not compared in full; at a similarity of 0.8
-#: one in 5,000 has fewer.
-LIKELY, MINIMA = 0.57, 40
+#: Groups of shingles in a line's outline.
+MARKS = 64
 #: Lines whose hashes a task remembers, to sketch equal ones once; lines whose buckets a task folds at once.
 SEEN, FOLDED = 1_000_000, 400_000
 #: Columns of band hashes, two in each.
@@ -75,10 +75,26 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SIZE] for i in range(max(len(line) - SIZE + 1, 1))}
 
 
-def minima(lines: list[str], n: int = BANDS * ROWS) -> np.ndarray:
-    """The first n minimum hashes of every line, one row each."""
+def minima(lines: list[str]) -> np.ndarray:
+    """The minimum hashes of every line, one row each."""
     hashes, begin = shingle_hashes(lines, np.uint32)
-    return np.stack([np.minimum.reduceat(hashes * m, begin) for m in MULTIPLIERS[:n]], axis=1).astype(np.uint64)
+    return np.stack([np.minimum.reduceat(hashes * m, begin) for m in MULTIPLIERS], axis=1).astype(np.uint64)
+
+
+def outlines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles of each line fall into each of MARKS groups, and at least how many different ones it has.
+
+    Two lines share at most the sum, over the groups, of the smaller number; so outlines bound their similarity from above. Lines with more than
+    255 in a group have an outline that bounds nothing.
+    """
+    hashes, begin = shingle_hashes(lines, np.uint32)
+    n = len(lines)
+    line = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.append(begin, len(hashes))))
+    counts = np.bincount((line * np.uint64(MARKS) + hashes % np.uint64(MARKS)).astype(np.int64), minlength=n * MARKS).reshape(n, MARKS)
+    sizes = np.bincount((np.unique(line << np.uint64(32) | hashes) >> np.uint64(32)).astype(np.int64), minlength=n)
+    sizes[(counts > 255).any(axis=1)] = 0
+    counts[sizes == 0] = 255
+    return counts.astype(np.uint8), sizes
 
 
 def band_hashes(lines: list[str]) -> np.ndarray:
@@ -193,7 +209,7 @@ def unpacked(data: bytes | None) -> str:
 
 
 def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """place, content and minima (a byte each) of the given lines (place, doc_id, tag, pos)."""
+    """place, content and outline of the given lines (place, doc_id, tag, pos)."""
     wanted = places.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "pos")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +219,10 @@ def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
                 lines = unpacked(packed).split("\n")
                 rows += [(x["place"], lines[x["pos"]]) for x in at if x["pos"] < len(lines) and lines[x["pos"]]]
             for group in chunks(rows):
-                least = minima([x for _, x in group], MINIMA).astype(np.uint8)  # their lowest bytes: the highest are 0 in long lines
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in group], pa.int64()), pa.array([x for _, x in group], pa.string()), pa.array([r.tobytes() for r in least], pa.binary())], ["place", "line", "minima"])
+                marks, sizes = outlines([x for _, x in group])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in group], pa.int64()), pa.array([x for _, x in group], pa.string()), pa.array([r.tobytes() for r in marks], pa.binary()), pa.array(sizes, pa.int64())], ["place", "line", "marks", "size"])
 
-    return packed_texts(docs).join(wanted, ["doc_id", "tag"]).select("packed", "places").mapInArrow(run, "place long, line string, minima binary")
+    return packed_texts(docs).join(wanted, ["doc_id", "tag"]).select("packed", "places").mapInArrow(run, "place long, line string, marks binary, size long")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -243,16 +259,19 @@ def line_sets(lines: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.unique(h) for h in np.split(hashes, begin[1:])]
 
 
-def likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which enough minima are equal."""
+def possible(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose outlines allow a similarity of SIMILARITY: no pair that has it is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 20_000):
             left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero((left == right).mean(axis=1) >= LIKELY)))
+            together = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            most = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(most >= (together - most) * SIMILARITY - 1e-6)))
 
-    of = lines.select("place", "minima")
-    return pairs.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
+    of = lines.select("place", "marks", "size")
+    both = pairs.join(of.toDF("a", "of_a", "size_a"), "a").join(of.toDF("b", "of_b", "size_b"), "b")
+    return both.select("a", "b", "of_a", "of_b", "size_a", "size_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -271,7 +290,7 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     of = lines.select("place", "line")
-    joined = written(likely(pairs, lines), "lines-likely").join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b")
+    joined = written(possible(pairs, lines), "lines-possible").join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b")
     return joined.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -294,21 +313,23 @@ def decided(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents with their kept lines as text, and n_chars to match where there is one; columns as they came."""
-    gone = gone_lines(tagged(docs)).toDF("id__", "tag__", "gone__")
-    joined = docs.withColumn("id__", F.col("doc_id").cast("long")).withColumn("tag__", F.xxhash64("text")).join(gone, ["id__", "tag__"], "left").select(*docs.columns, "gone__")
+    """The documents with their kept lines as text, and n_chars to match where there is one; columns as they came, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("tag"))
+    joined = rows.join(gone_lines(tagged(docs)), ["doc_id", "tag"], "left").select("row", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000):
-            at = batch.schema.get_field_index("text")
-            texts = batch.column(at).to_pylist()
-            for k, places in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            row = batch.column(0)
+            names, columns = [f.name for f in row.type], row.flatten()
+            at = names.index("text")
+            texts = columns[at].to_pylist()
+            for k, places in enumerate(batch.column(1).to_pylist()):
                 if places and texts[k] is not None:
                     drop = set(places)
                     texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in drop)
-            columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     result = joined.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:

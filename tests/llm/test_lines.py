@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from chronoward.llm import line_dedup
 
 
@@ -47,3 +49,36 @@ def test_recall_of_fuzzy_lines(make):
     rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
     found = {d for d, _ in removed(make(rows))}
     assert not any(d % 2 == 0 for d in found) and len(found) >= 0.97 * len(pairs)
+
+
+def test_outlines_leave_out_no_pair():
+    """The bound of two outlines is never below the similarity, and tells strangers apart."""
+    rng = random.Random(43)
+    lines, strangers = [], 0
+    for _ in range(600):
+        n = rng.choice([3, 20, 60, 300, 2000])
+        a = "".join(rng.choice(rng.choice(["ab", "abcdefghijklmnopqrstuvwxyz é"])) for _ in range(n))
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, n // 12))):
+            b[rng.randrange(n)] = rng.choice("xyz#")
+        lines.append((a, "".join(b)))
+    lines += [("=" * 20_000, "=" * 300), ("ab" * 9_000, "ab" * 40)]
+    marks, sizes = line_dedup.outlines([x for p in lines for x in p])
+    for i, (a, b) in enumerate(lines):
+        x, y = line_dedup.shingles(a), line_dedup.shingles(b)
+        most = int(np.minimum(marks[2 * i], marks[2 * i + 1]).sum())
+        assert most >= len(x & y) and sizes[2 * i] <= len(x) and sizes[2 * i + 1] <= len(y)
+    short = [i for i, p in enumerate(lines) if 40 < len(p[0]) < 100]
+    for i, j in zip(short, short[1:]):
+        most = int(np.minimum(marks[2 * i], marks[2 * j]).sum())
+        strangers += most >= 0.8 * (int(sizes[2 * i] + sizes[2 * j]) - most)
+    assert strangers <= 0.1 * len(short)
+
+
+def test_names_that_clash(spark):
+    """Columns named like those that the operator uses come back as they were."""
+    names = ["gone", "tag", "row", "id__", "tag__", "gone__", "n_chars"]
+    df = spark.createDataFrame([(i, "the same line in both\n" + "x" * i, *[str(k) for k in range(6)], 0) for i in (1, 2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[:-1]) + ", n_chars int")
+    out = line_dedup.deduplicated(df)
+    assert out.columns == df.columns
+    assert [(r["doc_id"], r["text"], r["gone"], r["gone__"], r["n_chars"]) for r in out.orderBy("doc_id").collect()] == [(1, "the same line in both\nx", "0", "5", 23), (2, "xx", "0", "5", 2)]
