@@ -143,5 +143,11 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return range_hashes(prefix_hashes(words), at, at + size)
 
 
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    """The sorted different elements: a sort and one comparison, several times faster than hashing them."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)

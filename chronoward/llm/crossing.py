@@ -46,11 +46,26 @@ def near_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: floa
     return np.nonzero((shared > 0) & (shared >= (sizes[0][:, None] + sizes[1][None, :] - shared) * similarity))
 
 
-def crossing_links(member: DataFrame, roots: DataFrame, content: DataFrame, verified: Callable, sets_of: Callable, similarity: float) -> DataFrame:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of the links (a, b), each as links from its smallest id to all others: no more links than ids."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(ids))
+    while (apart := parent[x] != parent[y]).any():
+        u, v = parent[x[apart]], parent[y[apart]]
+        np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    far = np.flatnonzero(parent != np.arange(len(ids)))
+    return ids[parent[far]], ids[far]
+
+
+def crossing_links(member: DataFrame, roots: DataFrame, content: DataFrame, verified: Callable, sets_of: Callable, similarity: float, spanning: bool = False) -> DataFrame:
     """Links (a, b) between members of one bucket that lie in different components.
 
     `member` has bucket and id; `content` has an id and what is compared; `verified` takes pairs and content; `sets_of`
-    turns a list of contents into sets.
+    turns a list of contents into sets. With `spanning`, two blocks of a large bucket give links between the roots of the
+    components that they connect, at most one a root, instead of a row for each pair of members: the components are the same.
     """
     inside = member.select("bucket", "id").join(roots.toDF("id", "root"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     several = inside.groupBy("bucket").agg(F.min_by("root", "id").alias("home"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
@@ -80,7 +95,7 @@ def crossing_links(member: DataFrame, roots: DataFrame, content: DataFrame, veri
         x, y = near_pairs([sets[k] for k in first], [sets[k] for k in second], similarity)
         x, y = first[x], second[y]
         keep = root[x] != root[y]
-        x, y = ids[x[keep]], ids[y[keep]]
+        x, y = stars(root[x[keep]], root[y[keep]]) if spanning else (ids[x[keep]], ids[y[keep]])
         return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
     return links.union(rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")).distinct()

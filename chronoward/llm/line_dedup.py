@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import BASE, mix, powers, signed, slices, written
+from .common import BASE, mix, powers, signed, slices, sorted_set, written
 from .components import components
 from .crossing import crossing_links
 
@@ -88,10 +88,11 @@ def outlines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     255 in a group have an outline that bounds nothing.
     """
     hashes, begin = shingle_hashes(lines, np.uint32)
-    n = len(lines)
-    line = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.append(begin, len(hashes))))
-    counts = np.bincount((line * np.uint64(MARKS) + hashes % np.uint64(MARKS)).astype(np.int64), minlength=n * MARKS).reshape(n, MARKS)
-    sizes = np.bincount((np.unique(line << np.uint64(32) | hashes) >> np.uint64(32)).astype(np.int64), minlength=n)
+    n, lengths = len(lines), np.diff(np.append(begin, len(hashes)))
+    groups = np.repeat(np.arange(n, dtype=np.int64) * MARKS, lengths) + (hashes % np.uint32(MARKS)).astype(np.int64)
+    counts = np.bincount(groups, minlength=n * MARKS).reshape(n, MARKS)
+    keys = np.sort(np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(32), lengths) | hashes)
+    sizes = np.add.reduceat(np.append(True, keys[1:] != keys[:-1]), begin, dtype=np.int64)
     sizes[(counts > 255).any(axis=1)] = 0
     counts[sizes == 0] = 255
     return counts.astype(np.uint8), sizes
@@ -242,7 +243,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     roots = components(links)
     # buckets in which the first lines did not reach all: compare all that are still in different components
     member = pairs.select("bucket", F.explode(F.array("a", "b")).alias("id")).distinct()
-    new = written(crossing_links(member, roots, sets.select("place", "line"), lambda found, _: verified(found.join(star, ["a", "b"], "left_anti"), sets), line_sets, SIMILARITY), "lines-links", n=F.count("*"))
+    new = written(crossing_links(member, roots, sets.select("place", "line"), lambda found, _: verified(found.join(star, ["a", "b"], "left_anti"), sets), line_sets, SIMILARITY, spanning=True), "lines-links", n=F.count("*"))
     if new.measured["n"]:
         roots = components(links.union(new))
     # every line that has a copy or a near one, with its group, of which the first line stays
@@ -256,7 +257,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def line_sets(lines: pa.ChunkedArray) -> list[np.ndarray]:
     """The set of shingles of every line."""
     hashes, begin = shingle_hashes(lines.to_pylist())
-    return [np.unique(h) for h in np.split(hashes, begin[1:])]
+    return [sorted_set(h) for h in np.split(hashes, begin[1:])]
 
 
 def possible(pairs: DataFrame, lines: DataFrame) -> DataFrame:

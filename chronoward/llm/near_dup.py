@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import gram_hashes, mix, signed, slices, word_hashes, written
+from .common import gram_hashes, mix, signed, slices, sorted_set, word_hashes, written
 from .components import components
 from .crossing import crossing_links
 
@@ -87,7 +87,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000):
-            sets = [np.unique((shingles((t or "").encode()) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in batch.column(1).to_pylist()]
+            sets = [sorted_set((shingles((t or "").encode()) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["id", "grams"])
 
     return docs.mapInArrow(run, "id long, grams array<int>")

@@ -80,3 +80,21 @@ def test_near_pairs_of_sets():
 def test_rows_without_an_id_stay(edge):
     kept = [(r["doc_id"], r["text"]) for r in near_dup.keep_one(edge).collect()]
     assert kept.count((None, "no id")) == 1 and kept.count((3, "word")) == 2 and (4, "word") not in kept
+
+
+def test_stars_have_the_same_components():
+    for seed in range(100):
+        rng = random.Random(seed)
+        edges = [(a, b) for a, b in (rng.sample(range(-30, 30), 2) for _ in range(rng.randint(0, 50)))]
+        parent = {x: x for e in edges for x in e}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        a, b = crossing.stars(*(np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1)))
+        assert set(zip(a.tolist(), b.tolist())) == {(root(x), x) for x in parent if root(x) != x}
