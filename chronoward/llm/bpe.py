@@ -24,6 +24,8 @@ from .common import slices
 
 #: Words whose encoding a Python worker remembers over its tasks, rows of one recursion with all its steps, ids decoded by one query.
 CACHE_WORDS, RECURSION_ROWS, DECODE_IDS = 350_000, 3_000_000, 400_000
+#: Bytes from which a match goes to the recursion for long matches; both give the same ids.
+LONG = 12_000
 
 STEP = """
 WITH RECURSIVE state(step, w, pos, npos, id, nid) AS (
@@ -46,6 +48,50 @@ SELECT s.w, s.step, list(s.id ORDER BY s.pos) AS ids
 FROM state s JOIN last l ON s.w = l.w AND s.step = l.step GROUP BY s.w, s.step
 """
 
+#: The same for long matches. A row knows the rank of the pair that begins there, and a step writes changed rows alone. The pairs
+#: of a word's least rank are contracted together, from left to right, where the token that they make can form no pair of a lower
+#: rank in this match (`calm`): then the next least pair is again of that rank. Elsewhere the leftmost alone. A row with id -1 is gone.
+LONG_STEP = """
+WITH RECURSIVE state(w, pos, npos, id, nid, rank) USING KEY (w, pos) AS (
+    SELECT s.w, s.pos, s.npos, s.id, s.nid, m.rank FROM start s LEFT JOIN near_merges m ON m.l = s.id AND m.r = s.nid
+  UNION
+    (WITH best AS MATERIALIZED (
+        SELECT w, min(rank::BIGINT * 4294967296 + pos) AS c FROM recurring.state WHERE rank IS NOT NULL GROUP BY w),
+     least AS MATERIALIZED (
+        SELECT b.w, (b.c >> 32)::INTEGER AS rank, CASE WHEN k.id IS NULL THEN (b.c & 4294967295)::INTEGER END AS only_pos
+        FROM best b LEFT JOIN near_calm k ON k.id = b.c >> 32),
+     equal_pairs AS MATERIALIZED (
+        SELECT s.w, s.pos AS p, s.npos AS q, s.rank AS merged,
+               coalesce(lag(s.npos) OVER (PARTITION BY s.w ORDER BY s.pos) = s.pos, false) AS joined,
+               row_number() OVER (PARTITION BY s.w ORDER BY s.pos) AS k
+        FROM recurring.state s JOIN least l ON l.w = s.w AND l.rank = s.rank AND (l.only_pos IS NULL OR l.only_pos = s.pos)),
+     runs AS (
+        SELECT *, max(CASE WHEN NOT joined THEN k END) OVER (PARTITION BY w ORDER BY k ROWS UNBOUNDED PRECEDING) AS begun
+        FROM equal_pairs),
+     hits AS MATERIALIZED (
+        SELECT r.w, r.p, r.q, r.merged, s.npos AS qnext, s.nid AS qnid
+        FROM runs r JOIN recurring.state s ON s.w = r.w AND s.pos = r.q WHERE (r.k - r.begun) % 2 = 0),
+     changed AS (
+        SELECT h.w, h.p AS pos, h.qnext AS npos, h.merged AS id, coalesce(n.merged, h.qnid) AS nid
+        FROM hits h LEFT JOIN hits n ON n.w = h.w AND n.p = h.qnext
+      UNION ALL
+        SELECT s.w, s.pos, s.npos, s.id, h.merged
+        FROM recurring.state s JOIN hits h ON h.w = s.w AND h.p = s.npos
+        WHERE s.id >= 0 AND NOT EXISTS (FROM hits x WHERE x.w = s.w AND x.q = s.pos))
+     SELECT c.w, c.pos, c.npos, c.id, c.nid, m.rank FROM changed c LEFT JOIN near_merges m ON m.l = c.id AND m.r = c.nid
+     UNION ALL SELECT w, q, -1, -1, -1, NULL FROM hits)
+)
+SELECT w, list(id ORDER BY pos) AS ids FROM state WHERE id >= 0 GROUP BY w
+"""
+
+#: The merges whose three tokens occur in the match, and the tokens that are `calm` among them.
+NEAR = """
+CREATE OR REPLACE TEMP TABLE near_merges AS
+SELECT m.* FROM merges m SEMI JOIN here a ON a.id = m.l SEMI JOIN here b ON b.id = m.r SEMI JOIN here c ON c.id = m.rank;
+CREATE OR REPLACE TEMP TABLE near_calm AS
+SELECT id FROM here ANTI JOIN (SELECT l AS id FROM near_merges WHERE rank < l UNION ALL SELECT r FROM near_merges WHERE rank < r) USING (id);
+"""
+
 DECODE = """
 SELECT part, string_agg(v.hex, '' ORDER BY pos) AS hex
 FROM given g JOIN vocabulary v ON v.id = g.id GROUP BY part ORDER BY part
@@ -69,17 +115,24 @@ class Codec:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         for name, columns in (("merges", {k: np.array(v, dtype=np.int32) for k, v in (("l", left), ("r", right), ("rank", rank))}), ("vocabulary", {"id": np.array(list(ranks.values()), dtype=np.int32), "hex": [t.hex() for t in ranks]})):
             self.db.register("given", pa.table(columns))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        self.sizes = sorted({len(t) for t in ranks})
         self.cache: dict[str, bytes] = {}
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Token ids, four bytes each, of every word, by the recursive query."""
         done: list[bytes] = [b""] * len(words)
-        pending = [(i, self.single[np.frombuffer(w, dtype=np.uint8)]) for i, w in enumerate(words)]
+        pending = []
+        for i, w in enumerate(words):
+            ids = self.single[np.frombuffer(w, dtype=np.uint8)]
+            if len(w) >= LONG:
+                done[i] = self._long(w, ids)
+            else:
+                pending.append((i, ids))
         while pending:
             pending.sort(key=lambda x: len(x[1]))
             group, rows = [], 0
@@ -106,6 +159,19 @@ class Codec:
                     done[group[w][0]] = raw[4 * a : 4 * b]
         return done
 
+    def _long(self, word: bytes, ids: np.ndarray) -> bytes:
+        """Token ids of one long match."""
+        n = len(ids)
+        found = set().union(*({word[i : i + k] for i in range(n - k + 1)} & self.ranks.keys() for k in self.sizes if k <= n))
+        self.db.register("here", pa.table({"id": np.array([self.ranks[t] for t in found], dtype=np.int32)}))
+        self.db.execute(NEAR)
+        self.db.unregister("here")
+        npos, nid = np.append(np.arange(1, n), -1), np.append(ids[1:], -1)
+        self.db.register("start", pa.table({k: v.astype(np.int32) for k, v in (("w", np.zeros(n)), ("pos", np.arange(n)), ("npos", npos), ("id", ids), ("nid", nid))}))
+        found = self.db.sql(LONG_STEP).to_arrow_table()
+        self.db.unregister("start")
+        return found["ids"].combine_chunks().values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE_WORDS:
