@@ -113,12 +113,12 @@ def split_lines(text: str) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n")) if x and not x.isspace()]
 
 
-def chunks(rows, most: int = 300_000):
-    """Consecutive rows (…, line) of about `most` characters together."""
+def chunks(rows, most: int = 300_000, width=lambda r: len(r[-1])):
+    """Consecutive rows (…, line) of about `most` characters together; `width` gives the characters of other rows."""
     group, size = [], 0
     for r in rows:
         group.append(r)
-        size += len(r[-1])
+        size += width(r)
         if size >= most:
             yield group
             group, size = [], 0
@@ -254,12 +254,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return members.join(first, "root").where(here != F.col("first")).select("doc_id", "tag", "pos")
 
 
-def line_sets(lines: pa.ChunkedArray) -> list[np.ndarray]:
-    """The set of shingles of every line."""
-    hashes, begin = shingle_hashes(lines.to_pylist())
+def hashed_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted set of the 64-bit hashes of every line's shingles."""
+    hashes, begin = shingle_hashes(lines)
     return [sorted_set(h) for h in np.split(hashes, begin[1:])]
 
 
+def line_sets(lines: pa.ChunkedArray) -> list[np.ndarray]:
+    return hashed_sets(lines.to_pylist())
+
+
 def possible(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) whose outlines allow a similarity of SIMILARITY: no pair that has it is left out."""
 
@@ -280,14 +284,18 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000):
-            made: dict[str, set[str]] = {}
             keep = []
-            for i, pair in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = (made.get(t) or made.setdefault(t, shingles(t)) for t in pair)
-                if min(len(x), len(y)) >= max(len(x), len(y)) * SIMILARITY:
-                    shared = len(x & y)
-                    if shared >= (len(x) + len(y) - shared) * SIMILARITY:
-                        keep.append(i)
+            pairs = zip(range(batch.num_rows), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            for group in chunks(pairs, width=lambda r: len(r[1]) + len(r[2])):
+                lines = list({x for r in group for x in r[1:]})
+                sets = dict(zip(lines, hashed_sets(lines)))
+                for i, x, y in group:
+                    x, y = sets[x], sets[y]
+                    if min(len(x), len(y)) >= max(len(x), len(y)) * SIMILARITY:
+                        both = np.sort(np.concatenate([x, y]))
+                        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                        if shared >= (len(x) + len(y) - shared) * SIMILARITY:
+                            keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     of = lines.select("place", "line")
