@@ -150,3 +150,13 @@ def rescale(df: DataFrame, divisors: dict[str, float]) -> DataFrame:
 def number_else_text(number: Column, text: str) -> Column:
     """A numeric column, or else the number that the text column `text` holds."""
     return F.coalesce(number, F.expr(f"try_cast(`{text}` AS double)"))
+
+
+def fixed(name: str, digits: int = 1) -> Column:
+    """A number as text with a fixed number of decimals, rounded from its exact binary value, ties to even, as C's printf does.
+
+    format_string rounds Java's shortest decimal text half up instead: 265.15, which lies below the tie, would give 265.2.
+    """
+    x = F.col(name).cast("double")
+    text = F.expr(f"format_number(CAST(`{name}` AS DOUBLE), '0.{'0' * digits}')")
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(text)

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.columns import fixed
 from .pooling import student_quantile
 
 
@@ -145,7 +146,7 @@ def coefficients(spark: SparkSession, fits: dict[tuple[str, str, str], Fit]) ->
 def wide_table(coefs: DataFrame, models: Sequence[str]) -> DataFrame:
     """Formatted odds ratios with stars for p < 0.05, one column a model."""
     star = F.when(F.abs(F.col("log_or") / F.col("se")) > 1.959963984540054, "*").otherwise("")
-    text = F.concat(F.format_string("%.2f (%.2f, %.2f)", "odds_ratio", "low", "high"), star)
+    text = F.concat(F.format_string("%s (%s, %s)", *[fixed(c, 2) for c in ("odds_ratio", "low", "high")]), star)
     return coefs.where("row_type = 'term'").withColumn("_t", text).groupBy("outcome", "spec", "predictor").pivot("model", list(models)).agg(F.first("_t"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.columns import fixed
+
 
 def pooled_mean_sd(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean and sample SD over sites from n, sum and sum_sq; nulls for no rows, null SD under two."""
@@ -111,7 +113,7 @@ def random_effects(rows: DataFrame, keys: Sequence[str], effect: str, variance:
 def table_one(continuous: DataFrame, categorical: DataFrame, site: str, sites: Sequence[str]) -> DataFrame:
     """Formatted summaries, one column a site: mean (SD) and median [Q1, Q3] of variables, n (%) of each category."""
     known = continuous.where("sd IS NOT NULL"), continuous.where("median IS NOT NULL")
-    means = known[0].select(site, "variable", F.lit("mean (SD)").alias("statistic"), F.format_string("%.1f (%.1f)", "mean", "sd").alias("_text"))
-    medians = known[1].select(site, "variable", F.lit("median [Q1, Q3]").alias("statistic"), F.format_string("%.1f [%.1f, %.1f]", "median", "q1", "q3").alias("_text"))
-    counts = categorical.select(site, "variable", F.concat(F.col("category"), F.lit(", n (%)")).alias("statistic"), F.format_string("%d (%.1f)", "n", "pct").alias("_text"))
+    means = known[0].select(site, "variable", F.lit("mean (SD)").alias("statistic"), F.format_string("%s (%s)", fixed("mean"), fixed("sd")).alias("_text"))
+    medians = known[1].select(site, "variable", F.lit("median [Q1, Q3]").alias("statistic"), F.format_string("%s [%s, %s]", fixed("median"), fixed("q1"), fixed("q3")).alias("_text"))
+    counts = categorical.select(site, "variable", F.concat(F.col("category"), F.lit(", n (%)")).alias("statistic"), F.format_string("%d (%s)", "n", fixed("pct")).alias("_text"))
     return means.unionByName(medians).unionByName(counts).groupBy("variable", "statistic").pivot(site, list(sites)).agg(F.first("_text"))

@@ -363,3 +363,13 @@ def test_model_grid_and_stages(spark):
     staged = models.cascade(rows, [("all", F.lit(True), "y"), ("some", F.col("u") == 1, "y")], terms, "c")
     assert staged["some"].n == alone.n < staged["all"].n and abs(staged["some"].beta[1] - alone.beta[1]) < 1e-9
     assert models.quartile_knots(rows.where("x > 5"), "x") is None and len(models.quartile_knots(rows, "x")) == 5
+
+
+def test_table_one_rounds_like_c(spark):
+    values = [265.15, 4537.45, 0.25, 0.35, 12.75, 0.05, -0.04, 1234567.85]
+    rows = spark.createDataFrame([(f"s{i}", "x", 3, v, v, v, v, v) for i, v in enumerate(values)], "site string, variable string, n long, mean double, sd double, median double, q1 double, q3 double")
+    none = spark.createDataFrame([("s0", "c", "a", 1, 12.25)], "site string, variable string, category string, n long, pct double")
+    got = {r["statistic"]: r for r in pooling.table_one(rows, none, "site", [f"s{i}" for i in range(len(values))]).collect()}
+    assert [got["mean (SD)"][f"s{i}"] for i in range(len(values))] == [f"{v:.1f} ({v:.1f})" for v in values]
+    assert [got["median [Q1, Q3]"][f"s{i}"] for i in range(len(values))] == [f"{v:.1f} [{v:.1f}, {v:.1f}]" for v in values]
+    assert got["a, n (%)"]["s0"] == "1 (12.2)"
