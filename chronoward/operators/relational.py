@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.localtime import micros
 
@@ -18,6 +18,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def parts_for(spark: SparkSession, rows: int, most: int) -> int:
+    """How many tasks `rows` go to with about `most` rows each; small inputs still use the cores there are."""
+    return max(1, -(-rows // most), min(spark.sparkContext.defaultParallelism, rows // 10_000))
+
+
+def dealt(df: DataFrame, by: Sequence[str], rows: int, most: int) -> DataFrame:
+    """`df` dealt by a key to tasks of about `most` rows, so that what a task holds does not grow with the table.
+
+    Adaptive execution joins partitions by their compressed bytes, which say little about wide or repetitive rows in memory; a number that is
+    asked for stays. Windows, groups and fills on the key, or on it and more, need no further shuffle.
+    """
+    return df.repartition(parts_for(df.sparkSession, rows, most), *by)
+
+
 def cohort(df: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are among `ids`, never more than there were."""
     return df.join(ids.select(*keys), list(keys), "left_semi")
@@ -36,23 +50,31 @@ def range_join(events: DataFrame, windows: DataFrame, by: Sequence[str], time: s
     """Events inside [start - before, end] of a window of their key: an equi-join on the key and a bin of time, then the exact bounds.
 
     Windows are dealt to bins of their own length rounded up to a power of two, so each one is in two bins at most, whatever
-    the mix of lengths; an event goes to one bin for each power that occurs (one small aggregate tells which). An event meets a window at
-    most once, and only windows of about its time. Windows that end before they start hold nothing.
+    the mix of lengths; an event goes to one bin for each power among the windows of its key, and nowhere if there are none. An event meets
+    a window at most once, and only windows of about its time. Windows that end before they start hold nothing.
     """
     low = F.col(start) if before is None else F.col(start) - before
     spans = windows.withColumn("_low", low).where(F.col("_low") <= F.col(end))
     first, last = number(spans, "_low"), number(spans, end)
     spans = spans.withColumn("_power", F.ceil(F.log2(F.greatest(last - first, F.lit(2.0**-20)))).cast("int"))
-    powers = sorted(spans.agg(F.collect_set("_power")).first()[0])  # at most one for each bit of a time
-    bin_of = lambda x, power: F.floor(x / F.pow(F.lit(2.0), power))
     spans = spans.withColumn("_bin", F.explode(F.sequence(bin_of(number(spans, "_low"), F.col("_power")), bin_of(number(spans, end), F.col("_power")))))
-    dealt = events.withColumn("_power", F.explode(F.array(*[F.lit(p) for p in powers]).cast("array<int>"))).withColumn("_bin", bin_of(number(events, time), F.col("_power")))
-    both = dealt.join(spans, [*by, "_power", "_bin"], "inner").where((F.col(time) >= F.col("_low")) & (F.col(time) <= F.col(end))).drop("_power", "_bin", "_low")
+    both = binned(events, spans, by, time).join(spans, [*by, "_power", "_bin"], "inner").where((F.col(time) >= F.col("_low")) & (F.col(time) <= F.col(end))).drop("_power", "_bin", "_low")
     if how == "inner":
         return both
     return both.unionByName(windows.join(both.select(*windows.columns).distinct(), windows.columns, "left_anti"), allowMissingColumns=True)
 
 
+def bin_of(x: Column, power: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), power))
+
+
+def binned(events: DataFrame, spans: DataFrame, by: Sequence[str], time: str) -> DataFrame:
+    """Events with _power and _bin, once for each power among the spans of their key."""
+    powers = spans.groupBy(*by).agg(F.collect_set("_power").alias("_powers"))  # at most one for each bit of a time
+    found = events.join(powers, list(by)).withColumn("_power", F.explode("_powers"))
+    return found.withColumn("_bin", bin_of(number(events, time), F.col("_power"))).select(*events.columns, "_power", "_bin")
+
+
 def number(df: DataFrame, column: str) -> Column:
     """A time in microseconds, or a number, as a double."""
     kind = df.schema[column].dataType

@@ -124,3 +124,28 @@ def test_many_windows_of_one_key(spark):
             seen.append(node.toString().split("\n")[0])
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert any("_bin" in s and "_power" in s for s in seen)  # the bins are join keys
+
+
+def test_events_go_to_the_powers_of_their_own_key(spark):
+    """Each key has windows of one length, each another one; some keys have no window."""
+    e = spark.createDataFrame([(k, float(i)) for k in range(20) for i in range(20)], "k long, t double")
+    w = spark.createDataFrame([(k, k, 0.0, 2.0**k) for k in range(15)], "window long, k long, a double, b double")
+    spans = w.withColumn("_power", F.col("k").cast("int"))
+    assert relational.binned(e, spans, ["k"], "t").count() == 15 * 20
+    assert relational.range_join(e, w, ["k"], "t", "a", "b").count() == sum(min(2**k + 1, 20) for k in range(15))
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark):
+    df = spark.range(100_000).select((F.col("id") % 5_000).alias("k"), "id")
+    sizes = [n for n in relational.dealt(df, ["k"], 100_000, 10_000).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    assert len(sizes) == 10 and max(sizes) < 20_000
+    assert relational.parts_for(spark, 500, 10_000) == 1 and relational.parts_for(spark, 10_000_000, 10_000) == 1_000
+
+
+def test_scaffold_rows_are_dealt_by_number(spark, tmp_path):
+    """More scaffold rows than one task takes: hours of thirty years for four users."""
+    from chronoward.plans import ordered
+
+    spark.sql("SELECT user_id, make_timestamp_ntz(1990 + 30 * k, 1, 1, 0, 0, 0) AS ts, 1.0D AS value FROM (SELECT explode(sequence(1, 4)) AS user_id), (SELECT explode(array(0, 1)) AS k)").write.parquet(str(tmp_path / "events.parquet"))
+    df = ordered.e18(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= 3 and df.count() == 4 * (24 * 10_957 + 1 + 2)
