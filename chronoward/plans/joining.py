@@ -129,6 +129,7 @@ def c16(s, d):
 def c17(s, d):
     win = _events(s, d, "signup").groupBy("user_id").agg(F.min("ts").alias("w0"), F.max("ts").alias("w1"))
     wide = R.range_join(t(s, d, "events"), win, ["user_id"], "ts", "w0", "w1", before=F.expr("INTERVAL 24 HOUR"))
+    wide = R.dealt(wide, ["user_id"], t(s, d, "events").count(), 500_000)
     filled = S.forward_fill(wide.withColumn("c", F.when(F.col("event_type") == "click", F.col("value"))), ["c"], ["user_id"], ["ts", "event_id"])
     return filled.where("ts >= w0").select("event_id", "c")
 
