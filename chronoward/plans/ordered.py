@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.localtime import add_day_shift, micros
-from ..operators import scans, sequence as S
+from ..operators import relational as R, scans, sequence as S
 from .base import HOUR_US, r, t
 
 ORDER = ["ts", "event_id"]
@@ -138,6 +138,7 @@ def e18(s, d):
     grid = S.hour_grid(_bounds(s, d), "a", "b", "h").select("user_id", F.expr("h + INTERVAL '59:59' MINUTE TO SECOND").alias("ts"), F.lit(1).alias("scaffold"))
     real = ev(s, d).select("user_id", "ts", "value")
     both = real.unionByName(grid, allowMissingColumns=True)
+    both = R.dealt(both, BY, both.count(), 500_000)
     return both.select("user_id", "ts", F.coalesce("scaffold", F.lit(0)).alias("scaffold"), F.last("value", True).over(Window.partitionBy("user_id").orderBy("ts", F.coalesce("scaffold", F.lit(0))).rowsBetween(Window.unboundedPreceding, 0)).alias("value"))
 
 
