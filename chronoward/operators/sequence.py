@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.localtime import micros
+from .relational import dealt
 
 HOUR = 3_600_000_000
+#: Rows of a grid that a task makes.
+GRID_ROWS = 500_000
 
 
 def running(by: Sequence[str], order: Sequence) -> Window:
@@ -85,10 +88,17 @@ def fill_both(df: DataFrame, names: Sequence[str], by: Sequence[str], order: Seq
     return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in names})
 
 
-def hour_grid(bounds: DataFrame, start: str, end: str, name: str = "event_dttm", extra_hours: int = 0) -> DataFrame:
-    """One row for every hour from the hour of `start` to that of `end`, both included."""
+def hour_grid(bounds: DataFrame, start: str, end: str, name: str = "event_dttm", extra_hours: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """One row for every hour from the hour of `start` to that of `end`, both included.
+
+    With `by`, the bounds are first dealt by these columns to tasks that make about GRID_ROWS rows each: a small table of bounds is few
+    partitions, and all its hours would be made by them.
+    """
     hour = lambda c: F.date_trunc("hour", F.col(c)).cast("timestamp_ntz")
     last = hour(end) + F.expr(f"INTERVAL {extra_hours} HOUR")
+    if by:
+        rows = bounds.agg(F.sum(F.expr(f"timestampdiff(HOUR, `{start}`, `{end}`)") + 2 + extra_hours)).first()[0] or 0
+        bounds = dealt(bounds, by, rows, GRID_ROWS)
     return bounds.withColumn(name, F.explode(F.sequence(hour(start), last, F.expr("INTERVAL 1 HOUR"))))
 
 

@@ -136,7 +136,7 @@ def _meds(s, d):
 
 
 def f14(s, d):
-    grid = S.hour_grid(_bounds(s, d).withColumn("a", F.expr("a + INTERVAL 48 HOUR")).where("a < b"), "a", "b", "event_dttm").select("user_id", "event_dttm")
+    grid = S.hour_grid(_bounds(s, d).withColumn("a", F.expr("a + INTERVAL 48 HOUR")).where("a < b"), "a", "b", "event_dttm", by=["user_id"]).select("user_id", "event_dttm")
     x = X.continuous_by_hour(_meds(s, d), grid, "user_id", ["propofol", "fentanyl"], tiebreak=["event_id"])
     return x.select("user_id", "event_dttm", r("propofol_cont", 3).alias("propofol_cont"), r("fentanyl_cont", 3).alias("fentanyl_cont"))
 

@@ -135,7 +135,7 @@ def e17(s, d):
 
 
 def e18(s, d):
-    grid = S.hour_grid(_bounds(s, d), "a", "b", "h").select("user_id", F.expr("h + INTERVAL '59:59' MINUTE TO SECOND").alias("ts"), F.lit(1).alias("scaffold"))
+    grid = S.hour_grid(_bounds(s, d), "a", "b", "h", by=BY).select("user_id", F.expr("h + INTERVAL '59:59' MINUTE TO SECOND").alias("ts"), F.lit(1).alias("scaffold"))
     real = ev(s, d).select("user_id", "ts", "value")
     both = real.unionByName(grid, allowMissingColumns=True)
     both = R.dealt(both, BY, both.count(), 500_000)

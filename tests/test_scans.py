@@ -149,3 +149,23 @@ def test_scaffold_rows_are_dealt_by_number(spark, tmp_path):
     spark.sql("SELECT user_id, make_timestamp_ntz(1990 + 30 * k, 1, 1, 0, 0, 0) AS ts, 1.0D AS value FROM (SELECT explode(sequence(1, 4)) AS user_id), (SELECT explode(array(0, 1)) AS k)").write.parquet(str(tmp_path / "events.parquet"))
     df = ordered.e18(spark, str(tmp_path))
     assert df.rdd.getNumPartitions() >= 3 and df.count() == 4 * (24 * 10_957 + 1 + 2)
+
+
+def test_hours_are_made_by_more_tasks_than_bounds_fill(spark):
+    """Ten entities of thirty years each: 2.6 million hours."""
+    from chronoward.operators.sequence import hour_grid
+
+    bounds = spark.sql("SELECT explode(sequence(1, 10)) AS k, TIMESTAMP_NTZ'1990-01-01 00:30:00' AS a, TIMESTAMP_NTZ'2020-01-01 00:10:00' AS b").coalesce(1)
+    grid = hour_grid(bounds, "a", "b", "h", by=["k"])
+    assert grid.rdd.getNumPartitions() >= 6 and grid.count() == hour_grid(bounds, "a", "b", "h").count() == 10 * (24 * 10_957 + 1)
+
+
+def test_doses_and_grid_share_groups(spark):
+    """A dose at a grid hour, one inside an hour, one of each drug, and none: amounts worked out by hand."""
+    from chronoward.operators import exposure
+
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    meds = spark.createDataFrame([(1, at(1), "x", 2.0, "going"), (1, at(2, 30), "x", 4.0, "going"), (1, at(2, 30), "y", 1.0, "going"), (1, at(3), "x", 0.0, "stop")], "k long, admin_dttm timestamp_ntz, med_category string, med_dose double, mar_action_category string")
+    grid = spark.createDataFrame([(k, at(h)) for k in (1, 2) for h in range(5)], "k long, event_dttm timestamp_ntz")
+    got = {(r["k"], r["event_dttm"].hour): (r["x_cont"], r["y_cont"]) for r in exposure.continuous_by_hour(meds, grid, "k", ["x", "y"]).collect()}
+    assert got == {(1, 0): (0, 0), (1, 1): (120, 0), (1, 2): (180, 30), (1, 3): (0, 60), (1, 4): (0, 0), **{(2, h): (0, 0) for h in range(5)}}
