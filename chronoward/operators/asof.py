@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 def asof_join(
     left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, take: Sequence[str],
-    direction: str = "backward", strict: bool = False, tolerance: Column | None = None, tiebreak: Sequence[str] = (), prefix: str = "",
+    direction: str = "backward", strict: bool = False, tolerance: Column | None = None, tiebreak: Sequence[str] = (), prefix: str = "", parts: int | None = None,
 ) -> DataFrame:
     """Every left row with the `take` columns of the nearest right row of its key, null where there is none.
 
     Backward takes the latest right time at or before the left time (before it, if strict), forward the earliest at or
     after it. The nearest *row* counts, even where its values are null. Right rows without a time are ignored, left rows
     without one match nothing. Among right rows of one time the greatest `tiebreak` wins (the least, going forward).
-    `tolerance` is a condition on the columns _left_time and _right_time.
+    `tolerance` is a condition on the columns _left_time and _right_time. `parts` is a number of tasks to deal the rows to, for wide ones.
     """
     back, n_ties = direction == "backward", len(tiebreak)
     keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(by)]
@@ -29,7 +29,9 @@ def asof_join(
     direction_of = (lambda c: F.col(c).asc_nulls_first()) if back else (lambda c: F.col(c).desc_nulls_last())
     w = Window.partitionBy(*[f"k{i}" for i in range(len(by))]).orderBy(*map(direction_of, ["t", "s", *[f"b{i}" for i in range(n_ties)]]))
     near = F.last("r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    found = a.unionByName(b, allowMissingColumns=True).withColumn("near", near).where("l IS NOT NULL")
+    both = a.unionByName(b, allowMissingColumns=True)
+    both = both if parts is None else both.repartition(parts, *[f"k{i}" for i in range(len(by))])
+    found = both.withColumn("near", near).where("l IS NOT NULL")
     ok = F.col("t").isNotNull()
     if tolerance is not None:
         found = found.withColumn("_left_time", F.col("t")).withColumn("_right_time", F.col("near._t"))

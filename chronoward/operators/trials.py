@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.localtime import minutes_between
 from .asof import asof_join
 from .machine import consensus_events
+from .relational import parts_for
 from .respiratory import trial_states
 from .sequence import HOUR, event_within, islands, running
 
 #: Modes that set the breathing rate, end-of-life discharges.
 CONTROLLED_MODES = ("assist control-volume control", "pressure control", "pressure-regulated volume control", "simv")
 END_OF_LIFE = ("hospice", "expired")
+#: Rows of a task.
+TASK_ROWS = 50_000
 
 VARIANTS = ("sbt_done", "sbt_done_anyprior", "sbt_done_imv6h", "sbt_done_prefix", "sbt_done_multiday", "sbt_done_2min", "sbt_done_subira", "sbt_done_abc", "sbt_done_v2", "sbt_elig")
 EXITS = ("_extub_1st", "_fail_extub", "_withdrawl_lst", "_success_extub")
@@ -96,7 +99,8 @@ def trial_outcomes(
     first of it.
     """
     order = [time, *tiebreak]
-    rows = durations(row_events(trial_states(df), by, order), by, time, order)
+    parts = parts_for(df.sparkSession, df.count(), TASK_ROWS)  # a task holds its rows in each of about ten sorts
+    rows = durations(row_events(trial_states(df.repartition(parts, by)), by, order), by, time, order)
     rows = variants(rows).withColumns({"_imv": F.col("_on_imv") == 1, "_trach": F.coalesce(F.col("tracheostomy") == 1, F.lit(False))})
     rows = consensus_events(rows, by, time, "_imv", "_trach", tiebreak=tiebreak)
     first = lambda flag: truth((F.col(flag) == 1) & (F.sum(flag).over(running([by], order)) == 1))
@@ -104,8 +108,8 @@ def trial_outcomes(
     for name, event, suffix in (("_again", "_intub", ""), ("_again_v2", "_on_event", "_v2")):
         rows = event_within(rows, [by], time, F.col(event) == 1, reintubation_hours * HOUR, name)
         rows = rows.withColumn(f"_fail_extub{suffix}", truth((F.col(f"_extub_1st{suffix}") == 1) & (F.col(name) == 1)))
-    rows = asof_join(rows, code_status, [by], time, "start_dttm", ["code_status_category"], tiebreak=status_tiebreak)
-    rows = asof_join(rows, discharges, [by], time, "discharge_dttm", ["discharge_category"], direction="forward")
+    rows = asof_join(rows, code_status, [by], time, "start_dttm", ["code_status_category"], tiebreak=status_tiebreak, parts=parts)
+    rows = asof_join(rows, discharges, [by], time, "discharge_dttm", ["discharge_category"], direction="forward", parts=parts)
     limited = (F.trim(F.lower("code_status_category")) != "full") & F.trim(F.lower("discharge_category")).isin(*END_OF_LIFE)
     for suffix in ("", "_v2"):
         gone = F.col(f"_extub_1st{suffix}") == 1

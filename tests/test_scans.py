@@ -169,3 +169,13 @@ def test_doses_and_grid_share_groups(spark):
     grid = spark.createDataFrame([(k, at(h)) for k in (1, 2) for h in range(5)], "k long, event_dttm timestamp_ntz")
     got = {(r["k"], r["event_dttm"].hour): (r["x_cont"], r["y_cont"]) for r in exposure.continuous_by_hour(meds, grid, "k", ["x", "y"]).collect()}
     assert got == {(1, 0): (0, 0), (1, 1): (120, 0), (1, 2): (180, 30), (1, 3): (0, 60), (1, 4): (0, 0), **{(2, h): (0, 0) for h in range(5)}}
+
+
+def test_trial_rows_are_dealt_by_number(spark, sf_dir, monkeypatch):
+    """The number of tasks follows the rows, not the session's shuffle partitions."""
+    from chronoward.operators import trials
+    from chronoward.plans import domain
+
+    monkeypatch.setattr(trials, "TASK_ROWS", 100)
+    n = domain.ev(spark, sf_dir).count()
+    assert domain.f19(spark, sf_dir).rdd.getNumPartitions() == -(-n // 100) > 4
