@@ -7,8 +7,9 @@ with its log probabilities in all languages, and a row for each context with its
 packed sequences are broadcast, within a bound for each language and order. Where the model is larger than that, the
 commonest four-character sequences are broadcast, and all others that a text holds are looked up in the tables by joins,
 so that the same model scores every text at any size. A text goes to the language with the lowest cross-entropy per
-character; the score is a posterior whose temperature, and the rejection limit whose level, come from learning rows that
-were left out of the counts.
+character. All learning rows are in its models. The score is a posterior whose temperature, and the rejection limit whose
+level, come from all learning rows as well: they are halved by the hash of their text, and each half is scored by the models
+of the other one.
 
 A text that is null or has no letter is `und` with score 0. Marks count as characters but not as letters. Letters beyond
 16 bits share 6,400 codes, so that some of them are taken for each other. Equal cross-entropies go to the language that
@@ -20,17 +21,20 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..operators import scans
 from .common import slices, split_of, written
 
 #: Sequences of one order that may be broadcast for each language: eight bytes each, and four for each language.
 MAX_SEQUENCES = 250_000
-#: Of so many learning rows one calibrates instead of being counted, up to SAMPLE of them; share of own-language texts to be rejected.
-CALIBRATION, SAMPLE, REJECT = 64, 1_500, 0.005
+#: Share of own-language texts to be rejected, the rows that a language needs for a limit, and the temperatures that are tried.
+REJECT, LEAST_ROWS = 0.005, 20
+TEMPERATURES = [2.0**i for i in range(-4, 6)]
 ORDER = 4
 UNSEEN = -16 * np.log(2)
 MASKS = [0, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFF]
@@ -262,31 +266,28 @@ class Model:
         return out, sizes, rest
 
 
+def posteriors(entropies: np.ndarray, sizes: np.ndarray, temperature: float) -> np.ndarray:
+    z = -(entropies - entropies.min(axis=1, keepdims=True)) * np.sqrt(np.maximum(sizes, 1))[:, None] * temperature
+    p = np.exp(z)
+    return p / p.sum(axis=1, keepdims=True)
+
+
 class Choice:
     """The language of a text by its cross-entropies, with a calibrated score and limits of rejection."""
 
     def __init__(self, langs: list[str]):
         self.langs, self.temperature, self.limits = langs, 1.0, {}
 
-    def posteriors(self, entropies: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        z = -(entropies - entropies.min(axis=1, keepdims=True)) * np.sqrt(np.maximum(sizes, 1))[:, None] * self.temperature
-        p = np.exp(z)
-        return p / p.sum(axis=1, keepdims=True)
-
-    def calibrate(self, entropies: np.ndarray, sizes: np.ndarray, truth: np.ndarray) -> None:
-        """Temperature by likelihood of the sample (smoothed); rejection limits by quantile of own-language entropies."""
-        best = None
-        for t in 2.0 ** np.arange(-4, 6):
-            self.temperature = t
-            p = self.posteriors(entropies, sizes)[np.arange(len(truth)), truth]
-            loss = -np.log(0.99 * p + 0.01 / len(self.langs)).mean() + 1e-4 * np.log2(t) ** 2
-            if best is None or loss < best[0]:
-                best = loss, t
-        self.temperature = best[1] if best else 1.0
-        own = entropies[np.arange(len(truth)), truth]
-        for k in range(len(self.langs)):
-            x = own[truth == k]
-            self.limits[k] = float(np.quantile(x, 1 - REJECT) + x.std()) if len(x) > 20 else np.inf
+    def calibrate(self, judged: DataFrame) -> None:
+        """Temperature by likelihood of all judged rows (smoothed); rejection limits by quantile of own-language entropies."""
+        losses = judged.agg(*[F.avg(F.col("losses")[i]).alias(f"l{i}") for i in range(len(TEMPERATURES))]).first()
+        if losses[0] is None:
+            return
+        self.temperature = min((loss + 1e-4 * np.log2(t) ** 2, t) for loss, t in zip(losses, TEMPERATURES))[1]
+        spread = judged.groupBy("lang").agg(F.count("*").alias("n"), F.stddev_pop("own").alias("sd"))
+        high = scans.quantiles(judged, "own", {"high": 1 - REJECT}, ["lang"])
+        found = {r["lang"]: r["high"] + r["sd"] for r in spread.where(F.col("n") > LEAST_ROWS).join(high, "lang").collect()}  # a row for each language
+        self.limits = {k: found.get(lang, np.inf) for k, lang in enumerate(self.langs)}
 
     def columns(self, sums: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
         """lang_pred, score, cross_entropy and rejected."""
@@ -294,7 +295,7 @@ class Choice:
         lang, score, entropy, rejected = ["und"] * n, np.zeros(n), [None] * n, [True] * n
         if self.langs and n:
             e = -sums / np.maximum(sizes, 1)[:, None]
-            best, p = e.argmin(axis=1), self.posteriors(e, sizes)
+            best, p = e.argmin(axis=1), posteriors(e, sizes, self.temperature)
             for i in np.flatnonzero(sizes):
                 k = int(best[i])
                 lang[i], score[i], entropy[i], rejected[i] = self.langs[k], p[i, k], float(e[i, k]), bool(e[i, k] > self.limits.get(k, np.inf))
@@ -338,23 +339,47 @@ class Scorer:
         return known.join(more, "row", "left").withColumn("sums", F.coalesce(added(F.col("sums"), F.col("more")), "sums")).drop("row", "more", "keys", "times")
 
 
+def judged(scorer: Scorer, rows: DataFrame) -> DataFrame:
+    """lang, own (cross-entropy in the row's language) and losses (one a temperature) of rows of (lang, text) that have
+    letters and a language that the scorer knows."""
+    langs = scorer.langs
+    column = {x: i for i, x in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sums = batch.column("n").to_numpy(), np.array(batch.column("sums").to_pylist()).reshape(batch.num_rows, -1)
+            lang = batch.column("lang").to_pylist()
+            keep = np.flatnonzero([bool(k) and x in column for k, x in zip(n, lang)])
+            if not len(keep):
+                continue
+            truth, n = np.array([column[lang[i]] for i in keep]), n[keep]
+            e, at = -sums[keep] / n[:, None], np.arange(len(keep))
+            losses = [-np.log(0.99 * posteriors(e, n, t)[at, truth] + 0.01 / len(langs)) for t in TEMPERATURES]
+            yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in truth], pa.string()), pa.array(e[at, truth]), pa.array(list(np.column_stack(losses)), pa.list_(pa.float64()))], ["lang", "own", "losses"])
+
+    return scorer.sums(rows).select("lang", "n", "sums").mapInArrow(run, "lang string, own double, losses array<double>")
+
+
 def learn(docs: DataFrame, learnable, limit: int = MAX_SEQUENCES) -> tuple[Scorer, Choice]:
-    """The models of all languages among the learning rows, and how to choose by them."""
-    rows = docs.where(learnable & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
-    left_out = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0
-    counts = written(counted(rows.where(~left_out | F.col("doc_id").isNull()).select("lang", "text")), "language-counts")  # read once for each order
-    scorer = Scorer(counts, limit)
+    """The models of all languages from all learning rows, and how to choose by them, calibrated on all learning rows.
+
+    A language that one half alone holds has no rows that the other half could judge, and gets no limit of rejection.
+    """
+    rows = docs.where(learnable & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
+    half = F.pmod(F.xxhash64("text"), F.lit(2))  # copies of a text share a half
+    halves = [rows.where(half == i) for i in range(2)]
+    counts = [written(counted(x), "language-counts") for x in halves]  # read once for each order
+    found = []
+    for of, other in zip(halves, reversed(counts)):
+        scorer = Scorer(other, limit)
+        if scorer.langs:
+            found.append(written(judged(scorer, of), "language-judged"))
+        scorer.sent.destroy()
+    both = counts[0].unionByName(counts[1]).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    scorer = Scorer(written(both, "language-counts"), limit)
     choice = Choice(scorer.langs)
-    if not scorer.langs:
-        return scorer, choice
-    rows = rows.where(left_out)
-    sample_ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    column = {x: i for i, x in enumerate(scorer.langs)}
-    sample = rows.join(F.broadcast(sample_ids), "doc_id", "left_semi").select("lang", "text")
-    sample = [r for r in scorer.sums(sample).collect() if r["n"] and r["lang"] in column]
-    if sample:
-        n = np.array([r["n"] for r in sample])
-        choice.calibrate(-np.array([r["sums"] for r in sample]) / n[:, None], n, np.array([column[r["lang"]] for r in sample]))
+    if found:
+        choice.calibrate(reduce(DataFrame.unionByName, found))
     return scorer, choice
 
 

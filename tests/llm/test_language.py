@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoward.llm import language
 
@@ -118,3 +119,29 @@ def test_letters_and_marks(make):
     rows = [(i, "some words of a text") for i in range(40)] + [(40, "́̂ ̃"), (41, "\U00020000\U00020001"), (42, "á"), (43, "12 \U0001f600")]
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(make(rows)).collect()}
     assert got[40] == got[43] == ("und", 0.0) and got[41][0] == got[42][0] == "en"
+
+
+def test_all_learning_rows_count_and_calibrate(spark):
+    """No learning row is kept from the models or from the calibration: halves are judged by each other's models."""
+    rng = random.Random(56)
+    rows = [(i, lang, "".join(rng.choice(letters) for _ in range(rng.randint(1, 40)))) for i in range(300) for lang, letters in (("x", "abcd"), ("y", "cdefg"))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    scorer, choice = language.learn(df, F.lit(True))
+    by_lang = lambda rows: {lang: [r[2] for r in rows if r[1] == lang] for lang in ("x", "y")}
+    texts = [r[2] for r in rows]
+    got, want = sums_of(spark, scorer, texts), sums_of(spark, scorer_of(spark, by_lang(rows), 250_000), texts)
+    assert all(np.allclose(got[i][1], want[i][1], rtol=1e-6) for i in got)
+    halves = [df.where(F.pmod(F.xxhash64("text"), F.lit(2)) == k).collect() for k in range(2)]
+    entropies, sizes, truth = [], [], []
+    for of, other in (halves, halves[::-1]):
+        sums = sums_of(spark, scorer_of(spark, by_lang(other), 250_000), [r[2] for r in of])
+        for i, r in enumerate(of):
+            n, s = sums[i]
+            entropies.append(-np.array(s) / n), sizes.append(n), truth.append("xy".index(r[1]))
+    entropies, sizes, truth = map(np.array, (entropies, sizes, truth))
+    assert len(truth) == len(rows)
+    for k in range(2):
+        own = entropies[truth == k, k]
+        assert math.isclose(choice.limits[k], np.quantile(own, 1 - language.REJECT) + own.std(), rel_tol=1e-5)
+    loss = lambda t: -np.log(0.99 * language.posteriors(entropies, sizes, t)[np.arange(len(truth)), truth] + 0.005).mean() + 1e-4 * np.log2(t) ** 2
+    assert choice.temperature == min(language.TEMPERATURES, key=loss)
