@@ -78,13 +78,13 @@ def logits(df: DataFrame, outcome: str, terms: dict[str, Column], cluster: str |
     data = df.select(F.col(outcome).cast("double").alias("_y"), *([F.col(cluster).alias("_c")] if cluster else []), F.lit(1.0).alias("_x0"), *[e.cast("double").alias(c) for e, c in zip(terms.values(), cols[1:])])
     data = data.dropna(subset=["_y", *cols])
     nothing = lambda status, n=0: {k: Fit(names, np.full(len(names), np.nan), np.full((len(names), len(names)), np.nan), n, status, terms=dict(terms)) for k in kinds}
-    n, ones = data.agg(F.count("*"), F.sum("_y")).first()
-    if not n:
-        return nothing("no rows")
-    if ones in (0, n):
-        return nothing("one outcome only", n)
     data = data.persist()
     try:
+        n, ones = data.agg(F.count("*"), F.sum("_y")).first()
+        if not n:
+            return nothing("no rows")
+        if ones in (0, n):
+            return nothing("one outcome only", n)
         cross, _, _ = gram(data, cols, F.lit(1.0), F.lit(0.0))
         size = np.sqrt(np.diag(cross))
         if np.linalg.matrix_rank(cross / np.outer(np.where(size > 0, size, 1), np.where(size > 0, size, 1)), tol=1e-10) < len(names):
@@ -161,12 +161,21 @@ def marginal_grid(spark: SparkSession, fit: Fit, reference: dict[str, float], va
 
 
 def grid(df: DataFrame, configs: dict[str, Sequence[str]], specs: dict[str, dict[str, Column]], cluster: str) -> dict[tuple[str, str, str], Fit]:
-    """Fits of every outcome (with its kinds) under every set of terms, by (outcome, kind, spec): one fit serves all kinds."""
+    """Fits of every outcome (with its kinds) under every set of terms, by (outcome, kind, spec): one fit serves all kinds.
+
+    The rows are made once for all fits, so a side that a join broadcasts goes through the driver once.
+    """
     found = {}
-    for outcome, kinds in configs.items():
-        for spec, terms in specs.items():
-            for kind, fit in logits(df, outcome, terms, cluster, kinds).items():
-                found[outcome, kind, spec] = fit
+    own = not df.is_cached  # rows that the caller keeps stay as they are
+    df = df.persist() if own else df
+    try:
+        for outcome, kinds in configs.items():
+            for spec, terms in specs.items():
+                for kind, fit in logits(df, outcome, terms, cluster, kinds).items():
+                    found[outcome, kind, spec] = fit
+    finally:
+        if own:
+            df.unpersist()
     return found
 
 

@@ -113,9 +113,13 @@ def h11(s, d):
 def h11b(s, d):
     """Outcomes with their kinds of covariance under several sets of terms, with failed fits in the same table."""
     rows = _model_rows(s, d).withColumns({"filled": (F.col("o_orderstatus") == "F").cast("int"), "never": F.lit(0)})
-    knots = K.quartile_knots(rows, "bal")
-    specs = {"linear": _terms(), "squared": {**_terms(), "bal2": F.col("bal") * F.col("bal")}, "spline": {**{f"s{i}": e for i, e in enumerate(K.spline(F.col("bal"), knots))}, "urgent": F.col("urgent")}}
-    fits = K.grid(rows, {"y": KINDS, "filled": ("gee",), "never": ("gee",)}, specs, "o_custkey")
+    rows = rows.select("o_custkey", "bal", "urgent", "y", "filled", "never").persist()  # read once for the knots and all fits
+    try:
+        knots = K.quartile_knots(rows, "bal")
+        specs = {"linear": _terms(), "squared": {**_terms(), "bal2": F.col("bal") * F.col("bal")}, "spline": {**{f"s{i}": e for i, e in enumerate(K.spline(F.col("bal"), knots))}, "urgent": F.col("urgent")}}
+        fits = K.grid(rows, {"y": KINDS, "filled": ("gee",), "never": ("gee",)}, specs, "o_custkey")
+    finally:
+        rows.unpersist()
     return K.coefficients(s, fits).select("outcome", "model", "spec", "predictor", *[r(c, 6).alias(c) for c in ("log_or", "se")], "n", "status", "row_type")
 
 

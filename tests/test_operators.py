@@ -365,6 +365,26 @@ def test_model_grid_and_stages(spark):
     assert models.quartile_knots(rows.where("x > 5"), "x") is None and len(models.quartile_knots(rows, "x")) == 5
 
 
+def test_model_grid_makes_its_rows_once(spark):
+    """All fits share one pass over what makes the rows, however many there are."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows, *_ = model_rows(spark)
+    n = rows.count()
+    watched = rows.mapInArrow(counted, rows.schema)
+    models.grid(watched, {"y": ("asymptotic", "gee")}, {"a": {"x": F.col("x")}, "b": {"x": F.col("x"), "u": F.col("u")}}, "c")
+    assert made.value == n
+    kept = rows.persist()
+    models.grid(kept, {"y": ("gee",)}, {"a": {"x": F.col("x")}}, "c")
+    assert kept.is_cached and kept.storageLevel.useMemory
+    kept.unpersist()
+
+
 def test_table_one_rounds_like_c(spark):
     values = [265.15, 4537.45, 0.25, 0.35, 12.75, 0.05, -0.04, 1234567.85]
     rows = spark.createDataFrame([(f"s{i}", "x", 3, v, v, v, v, v) for i, v in enumerate(values)], "site string, variable string, n long, mean double, sd double, median double, q1 double, q3 double")
