@@ -69,9 +69,13 @@ def sums(design: DataFrame, models: dict[int, Model], width: int, outcomes: dict
         total = {i: np.zeros((len(at) + 2, width)) for i, (_, _, at, _) in told.items()}
         for batch in batches:
             x = matrix(batch, n_columns)
+            made: dict = {}  # rows and columns that outcomes share are taken once
             for i, (outcome, flag, at, beta) in told.items():
-                keep = batch.column(flag).to_numpy(zero_copy_only=False)
-                own, y = x[keep][:, at], batch.column(outcome).to_numpy(zero_copy_only=False)[keep]
+                if (flag, at.tobytes()) not in made:
+                    keep = batch.column(flag).to_numpy(zero_copy_only=False)
+                    made[flag, at.tobytes()] = keep, x[np.ix_(keep, at)]
+                keep, own = made[flag, at.tobytes()]
+                y = batch.column(outcome).to_numpy(zero_copy_only=False)[keep]
                 eta = own @ beta
                 p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
                 k = len(at)
