@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ MAX_SEQUENCES = 250_000
 REJECT, LEAST_ROWS = 0.005, 20
 TEMPERATURES = [2.0**i for i in range(-4, 6)]
 ORDER = 4
+#: The name of both halves together, and the most characters of a language's name.
+BOTH, MOST_NAME = "2", 1 << 30
 UNSEEN = -16 * np.log(2)
 MASKS = [0, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFF]
 #: Letters beyond 16 bits share the codes of the private use area, which holds no letters.
@@ -121,33 +123,26 @@ def model_rows(counts: DataFrame) -> DataFrame:
     return found
 
 
-def smoothed(levels: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, list[str], bool]:
-    """Probabilities (lang, size, context, key, p, common) of all sequences, back-off weights (lang, size, context, back),
-    the languages, and whether every language has at most `limit` sequences of each order. `common` marks those of a
-    language and order that are within the limit, the commonest first."""
-    spark = levels.sparkSession
-    once = levels.groupBy("lang", "size").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count("*").alias("total"))
-    # a bin of logarithms of counts for each language and order, so that its commonest sequences can be told without a sort
-    bin_ = F.floor(F.ln("n") * 20).cast("int")
-    bins = levels.groupBy("lang", "size", bin_.alias("bin")).agg(F.count("*").alias("c"))
-    above = F.sum("c").over(Window.partitionBy("lang", "size").orderBy(F.desc("bin")))
-    least = bins.select("lang", "size", "bin", above.alias("above")).groupBy("lang", "size").agg(F.coalesce(F.min(F.when(F.col("above") <= limit, F.col("bin"))), F.max("bin") + 1).alias("least"))
-    facts = [tuple(r) for r in once.join(least, ["lang", "size"]).collect()]  # a row for each language and order
-    discounts = spark.createDataFrame([(lang, size, n1 / (n1 + 2.0 * n2) if n1 else 0.5, bin_) for lang, size, n1, n2, _, bin_ in facts], "lang string, size int, d double, least int")
-    context = Window.partitionBy("lang", "size", "context")  # at most 65,536 rows
-    full = levels.withColumn("context", F.shiftrightunsigned("key", 16)).join(F.broadcast(discounts), ["lang", "size"])
-    full = full.select("lang", "size", "context", "key", ((F.col("n") - F.col("d")) / F.sum("n").over(context)).alias("own"), (F.col("d") * F.count("*").over(context) / F.sum("n").over(context)).alias("weight"), (bin_ >= F.col("least")).alias("common"))
-    full = written(full, "language-weights")
-    part = lambda size: full.where(F.col("size") == size)
-    rows = lower = part(1).withColumn("p", F.col("own") + F.col("weight") / 2**16)
-    for size in range(2, ORDER + 1):
-        of = part(size).withColumn("suffix", F.col("key").bitwiseAND(F.lit(MASKS[size - 1])))
-        below = lower.select("lang", F.col("key").alias("suffix"), F.col("p").alias("low"))
-        lower = of.join(below, ["lang", "suffix"]).withColumn("p", F.col("own") + F.col("weight") * F.col("low")).drop("suffix", "low")
-        rows = rows.unionByName(lower)
-    rows = written(rows.select("lang", "size", "context", "key", "p", "common"), "language-probabilities")
-    backs = full.groupBy("lang", "size", "context").agg(F.max("weight").alias("back"))
-    return rows, backs, sorted({f[0] for f in facts}), all(f[4] <= limit for f in facts)
+def facts_of(levels: DataFrame, limit: int) -> dict[tuple[str, int], tuple[float, int, int]]:
+    """For each language and order the discount, the least bin of counts whose sequences are within the limit, the commonest
+    first, and the number of sequences."""
+    rows = levels.groupBy("lang", "size", count_bin().alias("bin")).agg(F.count("*").alias("c"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
+    found: dict[tuple[str, int], tuple[float, int, int]] = {}
+    bins: dict[tuple[str, int], list[tuple]] = {}
+    for lang, size, *counts in rows.collect():  # twenty bins for each e-fold of a count, for each language and order
+        bins.setdefault((lang, size), []).append(tuple(counts))
+    for of, counts in bins.items():
+        n1, n2 = (sum(c[i] for c in counts) for i in (2, 3))
+        least, above = max(c[0] for c in counts) + 1, 0
+        for bin_, c, *_ in sorted(counts, reverse=True):
+            above += c
+            least = bin_ if above <= limit else least
+        found[of] = n1 / (n1 + 2.0 * n2) if n1 else 0.5, least, above
+    return found
+
+
+def count_bin() -> Column:
+    return F.floor(F.ln("n") * 20).cast("int")
 
 
 def added(*vectors) -> Column:
@@ -158,22 +153,35 @@ def added(*vectors) -> Column:
     return out
 
 
-def tabled(rows: DataFrame, backs: DataFrame, langs: list[str]) -> dict[int, tuple[DataFrame, DataFrame]]:
+def tabled(levels: DataFrame, facts: dict, langs: list[str], leading: str) -> dict[int, tuple[DataFrame, DataFrame]]:
     """For each order a table (key, logs, common) of the sequences of any language and a table (context, back): arrays of
     log probabilities and of log back-off weights, one element a language. A language that has not seen a sequence of
-    another backs off."""
+    another backs off. `common` marks those within the limit of a language whose name begins with `leading`."""
+    spark = levels.sparkSession
+    discounts = spark.createDataFrame([(lang, size, d, least) for (lang, size), (d, least, _) in facts.items()], "lang string, size int, d double, least int")
+    own = Window.partitionBy("lang", "size", "context")  # at most 65,536 rows, as every order's context
+    any_ = Window.partitionBy("size", "context")
+    each = lambda value: F.array(*[F.max(F.when(F.col("lang") == x, F.col(value))) for x in langs])
+    # dealt once, by what all windows and groups share
+    full = levels.withColumn("context", F.shiftrightunsigned("key", 16)).repartition("size", "context").join(F.broadcast(discounts), ["lang", "size"])
+    full = full.withColumns({"own": (F.col("n") - F.col("d")) / F.sum("n").over(own), "weight": F.col("d") * F.count("*").over(own) / F.sum("n").over(own), "common": (count_bin() >= F.col("least")) & F.col("lang").startswith(leading)})
+    full = full.groupBy("size", "context", "key").agg(each("own").alias("own"), each("weight").alias("weight"), F.bool_or("common").alias("common"))
+    full = full.withColumn("weight", F.array(*[F.max(F.col("weight")[i]).over(any_) for i in range(len(langs))]))
+    full = written(full, "language-weights")
+    log = lambda x: F.ln(F.greatest(x, F.lit(1e-12))).cast("float")
+    back = F.transform("weight", lambda w: F.when(w.isNull(), F.lit(0).cast("float")).otherwise(log(w)))
+    backs = written(full.groupBy("size", "context").agg(F.first("weight").alias("weight")).select("size", "context", back.alias("back")), "language-backs")
     found: dict[int, tuple[DataFrame, DataFrame]] = {}
-    each = lambda value: [F.max(F.when(F.col("lang") == x, F.ln(F.greatest(F.col(value), F.lit(1e-12))))).cast("float") for x in langs]
     for k in range(1, ORDER + 1):
-        back = written(backs.where(F.col("size") == k).groupBy("context").agg(F.array(*[F.coalesce(x, F.lit(0).cast("float")) for x in each("back")]).alias("back")), "language-backs")
-        of = rows.where(F.col("size") == k).groupBy("context", "key").agg(F.array(*each("p")).alias("own"), F.bool_or("common").alias("common")).join(back, "context")
+        of = full.where(F.col("size") == k)
         if k == 1:
-            of = of.withColumn("low", unseen(langs))
+            of = of.withColumns({"low_p": F.array_repeat(F.lit(1 / 2**16), len(langs)), "low": unseen(langs)})
         else:
-            below = found[k - 1][0].select(F.col("key").alias("suffix"), F.col("logs").alias("low"))
+            below = found[k - 1][0].select(F.col("key").alias("suffix"), F.col("p").alias("low_p"), F.col("logs").alias("low"))
             of = of.withColumn("suffix", F.col("key").bitwiseAND(F.lit(MASKS[k - 1]))).join(below, "suffix")
-        logs = F.zip_with("own", added(F.col("back"), F.col("low")), lambda a, b: F.coalesce(a, b))
-        found[k] = written(of.select("key", logs.alias("logs"), "common"), "language-grams"), back
+        p = added("own", F.zip_with("weight", "low_p", lambda w, low: w * low))
+        logs = F.zip_with(F.transform("p", lambda x: F.when(x.isNotNull(), log(x))), added(back, F.col("low")), lambda a, b: F.coalesce(a, b))
+        found[k] = written(of.withColumn("p", p).select("key", "p", logs.alias("logs"), "common"), "language-grams"), backs.where(F.col("size") == k)
     return found
 
 
@@ -217,6 +225,13 @@ class Model:
         values = np.concatenate([np.zeros(0, dtype=np.float32), *(c.flatten().to_numpy() for c in rows.column(value).chunks)])
         return keys[order], values.reshape(-1, len(self.langs))[order]
 
+    def part(self, start: int, langs: list[str]) -> Model:
+        """The same sequences with the columns from `start` on, which get new names."""
+        out = object.__new__(Model)
+        own = lambda arrays: {k: np.ascontiguousarray(x[:, start : start + len(langs)]) for k, x in arrays.items()}
+        out.langs, out.whole, out.keys, out.contexts, out.logs, out.backs = langs, self.whole, self.keys, self.contexts, own(self.logs), own(self.backs)
+        return out
+
     def look(self, k: int, keys: np.ndarray) -> np.ndarray:
         """Log probabilities of the last character given those before it, in every language."""
         if k == 0:
@@ -303,13 +318,28 @@ class Choice:
 
 
 class Scorer:
-    """A model as tables, and its broadcast part."""
-
-    def __init__(self, counts: DataFrame, limit: int):
-        rows, backs, langs, whole = smoothed(written(model_rows(counts), "language-levels"), limit)
-        self.langs, self.whole = langs, whole
-        self.tables = tabled(rows, backs, langs) if langs else {}
-        self.sent = counts.sparkSession.sparkContext.broadcast(Model(langs, self.tables, whole))
+    """A model as tables, and its broadcast part. `leading` begins the names of the languages whose commonest sequences are broadcast."""
+
+    def __init__(self, counts: DataFrame, limit: int, leading: str = ""):
+        levels = written(model_rows(counts), "language-levels")
+        facts = facts_of(levels, limit)
+        self.langs, self.whole, self.start = sorted({lang for lang, _ in facts}), all(total <= limit for *_, total in facts.values()), 0
+        self.tables = tabled(levels, facts, self.langs, leading) if self.langs else {}
+        self.every, self.spark = self.langs, counts.sparkSession
+        self.model = Model(self.langs, self.tables, self.whole)
+
+    @cached_property
+    def sent(self):
+        return self.spark.sparkContext.broadcast(self.model)
+
+    def part(self, leading: str) -> Scorer:
+        """A scorer of the languages whose names begin with `leading`, named by what follows."""
+        own = [x for x in self.langs if x.startswith(leading)]
+        out = object.__new__(Scorer)
+        out.tables, out.whole, out.every, out.spark = self.tables, self.whole, self.every, self.spark
+        out.langs, out.start = [x[len(leading) :] for x in own], self.every.index(own[0]) if own else 0
+        out.model = self.model.part(out.start, out.langs)
+        return out
 
     def sums(self, rows: DataFrame) -> DataFrame:
         """Columns of `rows` other than text, with n (characters) and sums (of log probabilities, one a language)."""
@@ -334,8 +364,8 @@ class Scorer:
             return rows.mapInArrow(run, kind)
         known = written(rows.mapInArrow(run, kind), "language-sums")
         asked = known.select("row", F.explode(F.arrays_zip("keys", "times")).alias("a")).select("row", F.col("a.keys").alias("key"), "a.times")
-        vectors = written(looked_up(asked.select("key").distinct(), self.tables, self.langs), "language-rare")
-        more = asked.join(vectors, "key").groupBy("row").agg(F.array(*[F.sum(F.col("times") * F.col("logs")[i].cast("double")) for i in range(len(self.langs))]).alias("more"))
+        vectors = written(looked_up(asked.select("key").distinct(), self.tables, self.every), "language-rare")
+        more = asked.join(vectors, "key").groupBy("row").agg(F.array(*[F.sum(F.col("times") * F.col("logs")[self.start + i].cast("double")) for i in range(len(self.langs))]).alias("more"))
         return known.join(more, "row", "left").withColumn("sums", F.coalesce(added(F.col("sums"), F.col("more")), "sums")).drop("row", "more", "keys", "times")
 
 
@@ -366,20 +396,23 @@ def learn(docs: DataFrame, learnable, limit: int = MAX_SEQUENCES) -> tuple[Score
     A language that one half alone holds has no rows that the other half could judge, and gets no limit of rejection.
     """
     rows = docs.where(learnable & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
-    half = F.pmod(F.xxhash64("text"), F.lit(2))  # copies of a text share a half
-    halves = [rows.where(half == i) for i in range(2)]
-    counts = [written(counted(x), "language-counts") for x in halves]  # read once for each order
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("string")  # copies of a text share a half
+    # each half and both together are languages of one model, named by a digit in front, so that tables are made once for all three
+    counts = written(counted(rows.select(F.concat(half, "lang").alias("lang"), "text")), "language-counts")
+    both = counts.withColumn("lang", F.concat(F.lit(BOTH), F.substring("lang", 2, MOST_NAME)))
+    every = counts.unionByName(both).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    every = Scorer(every, limit, BOTH)
     found = []
-    for of, other in zip(halves, reversed(counts)):
-        scorer = Scorer(other, limit)
+    for of, other in ("01", "10"):
+        scorer = every.part(other)
         if scorer.langs:
-            found.append(written(judged(scorer, of), "language-judged"))
-        scorer.sent.destroy()
-    both = counts[0].unionByName(counts[1]).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    scorer = Scorer(written(both, "language-counts"), limit)
+            found.append((scorer, judged(scorer, rows.where(half == of))))
+    scorer = every.part(BOTH)
     choice = Choice(scorer.langs)
     if found:
-        choice.calibrate(reduce(DataFrame.unionByName, found))
+        choice.calibrate(written(reduce(DataFrame.unionByName, [x for _, x in found]), "language-judged"))
+        for x, _ in found:
+            x.sent.destroy()
     return scorer, choice
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoward.llm import language
+from chronoward.llm import common, language
 
 
 def kneser_ney(texts):
@@ -145,3 +145,11 @@ def test_all_learning_rows_count_and_calibrate(spark):
         assert math.isclose(choice.limits[k], np.quantile(own, 1 - language.REJECT) + own.std(), rel_tol=1e-5)
     loss = lambda t: -np.log(0.99 * language.posteriors(entropies, sizes, t)[np.arange(len(truth)), truth] + 0.005).mean() + 1e-4 * np.log2(t) ** 2
     assert choice.temperature == min(language.TEMPERATURES, key=loss)
+
+
+def test_one_build_for_three_models(spark):
+    """The models of both halves and of all rows are made as languages of one: nine tables, not some for each model."""
+    df = spark.createDataFrame([(i, lang, f"{word} {i}{word}") for i in range(20) for lang, word in (("x", "abc"), ("y", "def"))], "doc_id long, lang string, text string")
+    had = len(common.MADE)
+    scorer, choice = language.learn(df, F.lit(True))
+    assert scorer.langs == choice.langs == ["x", "y"] and len(common.MADE) - had <= 9
