@@ -8,7 +8,9 @@ their first and last parts, scored in whole decimals, dropped where a phrase tha
 Only phrases seen `least` times or more and their parts matter, and every part of such a phrase is at least as frequent.
 So the runs of n words are exploded level by level, and only where both runs of n - 1 words inside are frequent: nothing that
 could count is lost. Tasks look that up in a filter of hashed bits, whose size is bounded; what it lets through wrongly
-is counted and then dropped for being rare. A row holds its words as 64-bit numbers, and a task counts equal rows of a block of text before
+is counted and then dropped for being rare. From three words on most such runs are rare. They are first counted in hashed cells, all
+that share a cell together, and are exploded only where their cell holds as many as a frequent run needs: a cell holds
+at least what each of its runs does. A row holds its words as 64-bit numbers, and a task counts equal rows of a block of text before
 they leave. The table of words shows whether two words of a language share a number; another seed is taken if so, so counts are exact.
 
 Defined results. A null text counts as empty, a null language as `und`. Repeated rows are texts of their own. Texts of white space,
@@ -31,6 +33,8 @@ from .common import mix, prefix_hashes, range_hashes, signed, table, written
 
 #: Bytes of text that a task holds as arrays, rows that it gathers, bits of a filter for each phrase, and its least and most bits.
 BLOCK, GATHERED, BITS, LEAST_BITS, MOST_BITS = 1 << 20, 150_000, 16, 1 << 16, 1 << 27
+#: Cells for as many runs as make one frequent, and the least and most number of cells.
+CELLS, LEAST_CELLS, MOST_CELLS = 10, 1 << 16, 1 << 26
 #: Phrases of a language that one task ranks.
 RANKED = 100_000
 #: Bytes of a filter that one row carries.
@@ -156,12 +160,55 @@ def word_rows(docs: DataFrame, salt: int) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word string, w1 long, n long").groupBy("lang", "word", "w1").agg(F.sum("n").alias("n"))
 
 
-def run_rows(docs: DataFrame, size: int, salt: int, frequent) -> DataFrame:
-    """lang, the numbers of `size` words and how often they stand together, wherever both shorter runs are in the filter."""
+def candidates(data: bytes, lang: str, size: int, salt: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words of a block, the places of runs of `size` words in which both shorter runs are in the filter, their marks."""
+    hashes, _, _, joined = words_of(data, salt)
+    shorter, whole = runs(hashes, joined, size - 1, seed_of(lang, salt))
+    good = np.flatnonzero(whole)
+    good = good[holds(bitmap, shorter[good])]
+    follows = np.zeros(len(hashes) + 1, dtype=bool)
+    follows[good] = True
+    at = good[follows[good + 1] & joined[good]]
+    return hashes, at, mix(shorter[at] * STEP + hashes[at + size - 1])
+
+
+def cell_of(mark: np.ndarray, cells: int) -> np.ndarray:
+    return (mark >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+
+def full_cells(docs: DataFrame, size: int, salt: int, frequent, least: int, cells: int) -> bytes:
+    """Bits of the cells that hold `least` runs or more. Tasks send pages of counts, equal pages are added; the driver gets bits alone."""
+    page, kind = min(PAGE, cells), np.uint8 if least < 256 else np.uint32  # a task counts to `least` and no further
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, counts = np.frombuffer(frequent.value, dtype=np.uint8), np.zeros(cells, dtype=kind)
+        for lang, data in blocks(batches):
+            at, n = np.unique(cell_of(candidates(data, lang, size, salt, bitmap)[2], cells), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, least)
+        pages = counts.reshape(-1, page)
+        some = np.flatnonzero(pages.any(axis=1))
+        for i in range(0, len(some), 256):
+            yield pa.RecordBatch.from_pydict({"page": pa.array(some[i : i + 256], pa.int64()), "counts": pa.array([pages[k].tobytes() for k in some[i : i + 256]], pa.binary())})
+
+    def add(key: tuple, batches: pa.Table) -> pa.Table:
+        out = np.zeros(page, dtype=np.int64)
+        for b in batches.column("counts"):
+            out += np.frombuffer(b.as_py(), dtype=kind)
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(out >= least, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((cells // page, page // 8), dtype=np.uint8)
+    for row in docs.mapInArrow(run, "page long, counts binary").groupBy("page").applyInArrow(add, "page long, bits binary").toLocalIterator():  # at most MOST_CELLS / 8 bytes in all
+        out[row["page"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.tobytes()
+
+
+def run_rows(docs: DataFrame, size: int, salt: int, frequent, full=None) -> DataFrame:
+    """lang, the numbers of `size` words and how often they stand together, wherever both shorter runs are in the filter (and the cell is full)."""
     names = [f"w{i + 1}" for i in range(size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(frequent.value, dtype=np.uint8)
+        cells = np.frombuffer(full.value, dtype=np.uint8) if full else None
         held: dict[str, Gathered] = {}
 
         def out(lang: str) -> Iterator[pa.RecordBatch]:
@@ -171,17 +218,14 @@ def run_rows(docs: DataFrame, size: int, salt: int, frequent) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, k)} | {name: pa.array(signed(c[i : i + k])) for name, c in zip(names, columns)} | {"n": pa.array(n[i : i + k], pa.int64())})
 
         for lang, data in blocks(batches):
-            hashes, _, _, joined = words_of(data, salt)
-            shorter, whole = runs(hashes, joined, size - 1, seed_of(lang, salt))
-            good = np.flatnonzero(whole)
-            good = good[holds(bitmap, shorter[good])]
-            follows = np.zeros(len(hashes) + 1, dtype=bool)
-            follows[good] = True
-            at = good[follows[good + 1] & joined[good]]
+            hashes, at, mark = candidates(data, lang, size, salt, bitmap)
+            if full:
+                cell = cell_of(mark, 8 * len(cells))
+                keep = (cells[cell >> 3] >> (cell & 7).astype(np.uint8) & np.uint8(1)).astype(bool)
+                at, mark = at[keep], mark[keep]
             if not len(at):
                 continue
-            columns = [hashes[at + i] for i in range(size)]
-            if held.setdefault(lang, Gathered()).add(mix(shorter[at] * STEP + columns[-1]), columns):
+            if held.setdefault(lang, Gathered()).add(mark, [hashes[at + i] for i in range(size)]):
                 yield from out(lang)
             while sum(g.rows for g in held.values()) > 3 * GATHERED:
                 yield from out(max(held, key=lambda k: held[k].rows))
@@ -242,8 +286,13 @@ def frequent_runs(docs: DataFrame, most_words: int, least: int) -> tuple[DataFra
         if not now.measured["rows"]:
             break
         bits = spark.sparkContext.broadcast(filter_of(now, now.measured["rows"], size - 1, salt))
-        now = written(run_rows(docs, size, salt, bits).where(F.col("n") >= least), f"colloc-{size}", rows=F.count("*"))
-        bits.unpersist()
+        full = None
+        if size > 2:  # no more runs of this size than of the frequent ones that begin them
+            cells = min(max(1 << (CELLS * now.measured["n"] // max(least, 1)).bit_length(), LEAST_CELLS), MOST_CELLS)
+            full = spark.sparkContext.broadcast(full_cells(docs, size, salt, bits, least, cells))
+        now = written(run_rows(docs, size, salt, bits, full).where(F.col("n") >= least), f"colloc-{size}", rows=F.count("*"), n=F.sum("n"))
+        for sent in (bits, *([full] if full else [])):
+            sent.unpersist()
         levels.append(now.select("lang", F.array(*[f"w{i + 1}" for i in range(size)]).alias("g"), "n"))
     every = levels[0]
     for more in levels[1:]:

@@ -295,3 +295,19 @@ def test_label_errors_salted(spark, monkeypatch):
 @pytest.mark.parametrize("module", [exact_dedup, collocations, vector_codes])
 def test_sql(spark, sf_dir, module):
     assert_same(module.query(spark, sf_dir), connection(sf_dir), module.ORACLE)
+
+
+def test_phrases_rare_runs_of_frequent_pairs(spark, monkeypatch):
+    """Runs of three words whose pairs are frequent and which are rare themselves are not exploded; those that are frequent are, with exact counts."""
+    texts = [f"a{i} b c{j}" for i in range(30) for j in range(30)] + ["a0 b c0 d"] * 25
+    docs = spark.createDataFrame([("x", t) for t in texts], "lang string, text string")
+    made, plain = {}, collocations.run_rows
+
+    def run_rows(docs, size, *others):
+        made[size] = plain(docs, size, *others)
+        return made[size]
+
+    monkeypatch.setattr(collocations, "run_rows", run_rows)
+    _, every, _ = collocations.frequent_runs(docs, 5, 20)
+    assert sorted((len(r["g"]), r["n"]) for r in every.where(F.size("g") > 2).collect()) == [(3, 25), (3, 26), (4, 25)]
+    assert made[3].count() < 20
