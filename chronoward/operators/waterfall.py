@@ -11,7 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import normalize_categories
-from .sequence import change_levels, fill_both, forward_fill, hour_grid, running
+from .relational import dealt
+from .sequence import GRID_ROWS, change_levels, fill_both, forward_fill, hour_grid, running
+
+#: Rows, with those of the scaffold, of a task.
+TASK_ROWS = 250_000
 
 #: Patterns of modes and names, categories, and the columns of the stages.
 CONTROLLED = r"assist control-volume control|simv|pressure control"
@@ -79,14 +83,21 @@ def cleaned(df: DataFrame, by: str, time: str, tiebreak: Sequence[str]) -> DataF
 
 def waterfall_full(df: DataFrame, by: str = "hospitalization_id", time: str = "recorded_dttm", tiebreak: Sequence[str] = (), percent: bool | None = None) -> DataFrame:
     """Rows and scaffold (`is_scaffold`) with labels and settings filled, and the ids of device category, device name, mode
-    category and mode name blocks. A scaffold row stands in the last second of every hour from an entity's first to its last."""
+    category and mode name blocks. A scaffold row stands in the last second of every hour from an entity's first to its last.
+
+    One pass counts rows and hours at once: both are dealt to tasks by number, since the few bytes of an entity's bounds make many rows.
+    """
     absent = [c for c in (*LABELS, *FILLED) if c not in df.columns]
     df = df.withColumns({c: F.lit(None).cast("string" if c in LABELS else "double") for c in absent})
     df = with_shares(normalize_categories(df, list(LABELS)), percent)
-    bounds = df.groupBy(by).agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
+    bounds = df.groupBy(by).agg(F.min(time).alias("_a"), F.max(time).alias("_b"), F.count("*").alias("_n"))
+    rows, hours = (x or 0 for x in bounds.agg(F.sum("_n"), F.sum(F.expr("timestampdiff(HOUR, _a, _b)") + 2)).first())
+    bounds = dealt(bounds, [by], hours, GRID_ROWS)
+    df = dealt(df, [by], rows, TASK_ROWS)
     grid = hour_grid(bounds, "_a", "_b", time).select(by, (F.col(time) + F.expr("INTERVAL '59:59' MINUTE TO SECOND")).cast(df.schema[time].dataType).alias(time), F.lit(True).alias("is_scaffold"))
     df = inferred(df.crossJoin(F.broadcast(usual_names(df))), by, [time, *tiebreak]).drop("_imv_name", "_nippv_name", "_cmv_name")
     df = cleaned(df, by, time, tiebreak).withColumn("is_scaffold", F.lit(False)).unionByName(grid, allowMissingColumns=True)
+    df = dealt(df, [by], rows + hours, TASK_ROWS)
     order = [time, "is_scaffold", *tiebreak]
     df = forward_fill(df, ["device_category"], [by], order)
     df = change_levels(df, [by], order, ["device_category"])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoward.functions import columns as C, dose, localtime as L
-from chronoward.operators import asof, machine, models, pooling, relational as R, respiratory, rules, scores, sequence as S, summary as M
+from chronoward.operators import asof, machine, models, pooling, relational as R, respiratory, rules, scores, sequence as S, summary as M, waterfall
 from chronoward.sources import io
 
 GRID = ["2024-03-09 13:00", "2024-03-09 23:00", "2024-03-10 01:00", "2024-03-10 12:00", "2024-03-10 23:00", "2024-06-01 12:00", "2024-06-01 23:00", "2024-06-02 00:00", "2024-11-03 12:00"]
@@ -393,3 +393,15 @@ def test_table_one_rounds_like_c(spark):
     assert [got["mean (SD)"][f"s{i}"] for i in range(len(values))] == [f"{v:.1f} ({v:.1f})" for v in values]
     assert [got["median [Q1, Q3]"][f"s{i}"] for i in range(len(values))] == [f"{v:.1f} [{v:.1f}, {v:.1f}]" for v in values]
     assert got["a, n (%)"]["s0"] == "1 (12.2)"
+
+
+def test_waterfall_full_dealt_by_number(spark, monkeypatch):
+    """Few rows that span many hours are many rows of the scaffold, and many tasks, not the few that their bytes would be."""
+    monkeypatch.setattr(waterfall, "TASK_ROWS", 500, raising=False)
+    rows = [(f"h{i}", D(2024, 1, day), "imv", day) for i in range(30) for day in (1, 9)]
+    df = spark.createDataFrame(rows, "hospitalization_id string, recorded_dttm timestamp_ntz, device_category string, n int")
+    got = waterfall.waterfall_full(df, tiebreak=["n"])
+    tasks = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_distinct("hospitalization_id").alias("k")).collect()
+    assert sum(r["n"] for r in tasks) == 30 * (8 * 24 + 1 + 2) and sum(r["k"] for r in tasks) == 30
+    assert len(tasks) >= 6
+    assert waterfall.waterfall_full(df.limit(0), tiebreak=["n"]).count() == 0
