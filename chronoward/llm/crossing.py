@@ -60,16 +60,18 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[parent[far]], ids[far]
 
 
-def crossing_links(member: DataFrame, roots: DataFrame, content: DataFrame, verified: Callable, sets_of: Callable, similarity: float, spanning: bool = False) -> DataFrame:
+def crossing_links(member: DataFrame, roots: DataFrame, content: DataFrame, verified: Callable, sets_of: Callable, similarity: float, spanning: bool = False, narrowed: Callable | None = None) -> DataFrame:
     """Links (a, b) between members of one bucket that lie in different components.
 
     `member` has bucket and id; `content` has an id and what is compared; `verified` takes pairs and content; `sets_of`
     turns a list of contents into sets. With `spanning`, two blocks of a large bucket give links between the roots of the
     components that they connect, at most one a root, instead of a row for each pair of members: the components are the same.
+    `narrowed` may cut content to what the ids of large buckets (a table, at most so many) need, before it is shuffled.
     """
     inside = member.select("bucket", "id").join(roots.toDF("id", "root"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     several = inside.groupBy("bucket").agg(F.min_by("root", "id").alias("home"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    open_ = written(inside.join(several.select("bucket", "home"), "bucket").select("bucket", "id", "root", (F.col("root") != F.col("home")).alias("apart")), "crossing-members")
+    open_ = written(inside.join(several.select("bucket", "home"), "bucket").select("bucket", "id", "root", (F.col("root") != F.col("home")).alias("apart")), "crossing-members", n=F.count("*"))
+    most = open_.measured["n"]
     counts = open_.groupBy("bucket").agg(F.count_if("apart").alias("n_apart"), F.count_if(~F.col("apart")).alias("n_home"))
     open_ = open_.join(counts, "bucket")
     few = open_.where(F.col("n_apart") + F.col("n_home") <= FEW).select("bucket", "id", "root")
@@ -84,6 +86,7 @@ def crossing_links(member: DataFrame, roots: DataFrame, content: DataFrame, veri
     dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root")
     id_name, content_name = content.columns
+    content = narrowed(content, many.select("id"), most) if narrowed else content
     rows = dealt.join(content.withColumnRenamed(id_name, "id"), "id").withColumnRenamed(content_name, "content")
 
     def run(table: pa.Table) -> pa.Table:

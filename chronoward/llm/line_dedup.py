@@ -20,17 +20,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BASE, mix, powers, signed, slices, sorted_set, written
+from .common import BASE, dropped, mix, signed, slices, sorted_set, written
 from .components import components
 from .crossing import crossing_links
+from .sieve import bits_of, ends, passes, sieved
 
 SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 5
 #: Groups of shingles in a line's outline.
 MARKS = 64
 #: Lines whose hashes a task remembers, to sketch equal ones once; lines whose buckets a task folds at once.
 SEEN, FOLDED = 1_000_000, 400_000
+#: Lines of a band that meet in a cell, pairs in a pack.
+IN_CELL, PACK = 200_000, 50_000
 #: Columns of band hashes, two in each.
 BAND_NAMES = [f"b{i}" for i in range(BANDS // 2)]
 #: Odd factors of 32 bits: products of that width are fast, and a collision costs a comparison.
@@ -44,31 +48,34 @@ def mix_short(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def shingle_hashes(lines: list[str], kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all lines one after another, and where each line's begin (every line has at least one character).
+def grams(lines: list[str], kind=np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of all lines in one array, and where each line's begin and end (every line has at least one character).
 
-    Hashes of 64 bits tell shingles apart; those of 32 bits are faster and will do for sketches.
+    Between two lines stand hashes that belong to none. Hashes of 64 bits tell shingles apart; those of 32 bits are faster and will do for
+    sketches.
     """
-    text = ("\0" * (SIZE - 1)).join(lines)  # between two lines stand no shingles that are kept
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(kind) + kind(1)
+    gap = "\0" * (SIZE - 1)
+    codes = np.frombuffer((gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(kind) + kind(1)
     lengths = np.array([len(x) for x in lines])
     starts = np.concatenate([[0], np.cumsum(lengths[:-1] + SIZE - 1)])
-    p, whole = powers(BASE, SIZE).astype(kind), max(len(codes) - SIZE + 1, 0)
-    gram = codes[:whole] * p[0]
-    for k in range(1, SIZE):
-        gram = gram + codes[k : whole + k][:whole] * p[k]
+    base, whole = kind(int(BASE) & np.iinfo(kind).max), len(codes) - SIZE + 1
+    gram = codes[SIZE - 1 :].copy()
+    for k in range(SIZE - 2, -1, -1):
+        gram *= base
+        gram += codes[k : whole + k]
+    gram = (mix if kind is np.uint64 else mix_short)(gram)
     # a line shorter than a shingle is its own single shingle
-    counts = np.maximum(lengths - SIZE + 1, 1)
+    for i in np.flatnonzero(lengths < SIZE):
+        gram[starts[i] : starts[i] + lengths[i] + SIZE - 1] = int.from_bytes(hashlib.blake2b(lines[i].encode("utf-8", "surrogatepass"), digest_size=kind().itemsize).digest(), "little")
+    return gram, starts, starts + np.maximum(lengths - SIZE + 1, 1)
+
+
+def shingle_hashes(lines: list[str], kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all lines one after another, and where each line's begin."""
+    gram, starts, ends = grams(lines, kind)
+    counts = ends - starts
     begin = np.concatenate([[0], np.cumsum(counts[:-1])])
-    at = np.arange(counts.sum()) - np.repeat(begin - starts, counts)
-    short = np.flatnonzero(lengths < SIZE)
-    if len(gram):
-        out = (mix if kind is np.uint64 else mix_short)(gram)[np.minimum(at, len(gram) - 1)]
-    else:
-        out = np.zeros(len(at), dtype=kind)
-    for i in short:
-        out[begin[i]] = int.from_bytes(hashlib.blake2b(lines[i].encode("utf-8", "surrogatepass"), digest_size=kind().itemsize).digest(), "little")
-    return out, begin
+    return gram[np.arange(counts.sum()) + np.repeat(starts - begin, counts)], begin
 
 
 def shingles(line: str) -> set[str]:
@@ -77,8 +84,14 @@ def shingles(line: str) -> set[str]:
 
 def minima(lines: list[str]) -> np.ndarray:
     """The minimum hashes of every line, one row each."""
-    hashes, begin = shingle_hashes(lines, np.uint32)
-    return np.stack([np.minimum.reduceat(hashes * m, begin) for m in MULTIPLIERS], axis=1).astype(np.uint64)
+    hashes, starts, ends = grams(lines, np.uint32)
+    # the hashes between two lines become repeats of the first one's first shingle, which change no minimum
+    hashes, after, gap = hashes[: ends[-1]], np.flatnonzero(np.diff(starts, append=0) > 2 * SIZE - 2), 2 * (SIZE - 1)
+    hashes[(ends[after, None] + np.arange(gap)).ravel()] = np.repeat(hashes[starts[after]], gap)
+    product, least = np.empty_like(hashes), np.empty((len(MULTIPLIERS), len(lines)), dtype=np.uint32)
+    for k, m in enumerate(MULTIPLIERS):
+        np.minimum.reduceat(np.multiply(hashes, m, out=product), starts, out=least[k])
+    return least.T.astype(np.uint64)
 
 
 def outlines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +126,8 @@ def split_lines(text: str) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n")) if x and not x.isspace()]
 
 
-def chunks(rows, most: int = 300_000, width=lambda r: len(r[-1])):
-    """Consecutive rows (…, line) of about `most` characters together; `width` gives the characters of other rows."""
+def chunks(rows, most: int = 60_000, width=lambda r: len(r[-1])):
+    """Consecutive rows (…, line) of about `most` characters together, so that their hashes stay in a core's cache; `width` gives the characters of other rows."""
     group, size = [], 0
     for r in rows:
         group.append(r)
@@ -127,9 +140,10 @@ def chunks(rows, most: int = 300_000, width=lambda r: len(r[-1])):
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """place (a number for each line), doc_id, tag, pos, two hashes and band hashes (b0, b1, ...) of every line that is not blank.
+    """doc_id, tag, pos, two hashes and band hashes (b0, b1, ...) of every line that is not blank.
 
-    Of equal lines that a task sees, the first alone has band hashes.
+    Of equal lines that a task sees, the first alone has band hashes. Every document has a row of its own besides, whose pos is -1 less its
+    number of lines.
     """
     names = ["doc_id", "tag", "pos", "h1", "h2", *BAND_NAMES]
 
@@ -137,10 +151,12 @@ def sketched(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in slices(batches, 1_000):
             ids, tags, texts = (batch.column(k).to_pylist() for k in range(3))
+            n_lines = pa.array([-1 if t is None else -2 - t.count("\n") for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n_lines, *[pa.nulls(len(ids), pa.int64())] * (len(names) - 3)], names)
             rows = ((d, g, i, x) for d, g, t in zip(ids, tags, texts) if t for i, x in split_lines(t))
             for group in chunks(rows):
                 lines = [r[3] for r in group]
-                same = np.frombuffer(b"".join(map(digest, lines)), dtype=np.int64).reshape(-1, 2)
+                same = digests(lines)
                 new = []
                 for i, h in enumerate(same[:, 0].tolist()):
                     if h not in seen:
@@ -155,100 +171,151 @@ def sketched(docs: DataFrame) -> DataFrame:
                 columns = [*(np.array([r[k] for r in group], dtype=np.int64) for k in range(3)), same[:, 0], same[:, 1]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), *(pa.array(np.ascontiguousarray(c)).take(bands) for c in found.T)], names)
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names)).withColumn("place", F.monotonically_increasing_id())
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers as compressed bytes, those of one rank together: ranks that hardly change take next to nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
 
 
-def bucketed(distinct: DataFrame) -> DataFrame:
-    """bucket, place and a for every band of every line: a is null for the bucket's first line in a task, else that line.
+def unpacked(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-    So a bucket that holds a large share of all lines leaves each task as one row to be shuffled.
+
+def dealt(distinct: DataFrame, cells: int) -> DataFrame:
+    """Packs of a cell's buckets: differences of sorted band hashes, and the first line of each bucket in a task (a is null), or buckets, b and a.
+
+    A bucket that holds a large share of all lines thus sends one line of each task to its cell. The task's other lines of it are pairs with
+    that one already (a), and their packs go to any cell. Every band has `cells` cells.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, number = [], 0, TaskContext.get().partitionId()
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
             if size >= FOLDED:
-                yield from fold(pa.Table.from_batches(held))
-                held, size = [], 0
+                yield from fold(pa.Table.from_batches(held), number)
+                held, size, number = [], 0, number + 7
         if size:
-            yield from fold(pa.Table.from_batches(held))
+            yield from fold(pa.Table.from_batches(held), number)
 
-    def fold(lines: pa.Table) -> Iterator[pa.RecordBatch]:
+    def fold(lines: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
         place = lines.column("place").to_numpy()
         for k in range(BANDS):
-            two = lines.column(BAND_NAMES[k // 2]).to_numpy()
-            band = (two if k % 2 else two >> np.int64(32)).astype(np.int32)  # the lower and the upper half
+            two = lines.column(BAND_NAMES[k // 2]).to_numpy().view(np.uint64)
+            band = (two if k % 2 else two >> np.uint64(32)).astype(np.uint32)  # the lower and the upper half
             order = np.argsort(band, kind="stable")
-            band, ordered = band[order].astype(np.int64), place[order]
+            band, ordered = band[order], place[order]
             begins = np.concatenate([[True], band[1:] != band[:-1]])
             first = ordered[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-            bucket = (np.int64(k) << np.int64(32)) | (band & np.int64(0xFFFFFFFF))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ordered), pa.array(first, mask=begins)], ["bucket", "place", "a"])
-
-    return distinct.select("place", *BAND_NAMES).mapInArrow(run, "bucket long, place long, a long")
-
-
-def digest(line: str) -> bytes:
-    return hashlib.blake2b(line.encode(), digest_size=16).digest()
-
-
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, tag and compressed text, for shuffles of whole texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+            packs = []
+            keys, ids = band[begins], ordered[begins]
+            ends = np.searchsorted((keys.astype(np.uint64) * np.uint64(cells)) >> np.uint64(32), np.arange(cells), side="right").tolist()
+            for c, (i, j) in enumerate(zip([0, *ends], ends)):
+                if i < j:
+                    packs.append((k * cells + c, packed(np.diff(keys[i:j], prepend=np.uint32(0))), packed(ids[i:j]), None))
+            other = np.flatnonzero(~begins)
+            for n, part in enumerate(np.split(other, range(PACK, len(other), PACK)) if len(other) else []):
+                bucket = (np.int64(k) << np.int64(32)) | band[part].astype(np.int64)
+                packs.append(((number * BANDS + k + 31 * n) % (BANDS * cells), packed(bucket), packed(ordered[part]), packed(first[part])))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*packs), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["cell", "buckets", "b", "a"])
+
+    return distinct.select("place", *BAND_NAMES).mapInArrow(run, "cell long, buckets binary, b binary, a binary")
+
+
+def bucket_pairs(distinct: DataFrame, n: int) -> DataFrame:
+    """bucket, a and b: every line of a bucket with the first one of its task, and those with the first of all."""
+    cells = 1 + n // IN_CELL + min(7, n // 10_000)
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        cell, out = key[0].as_py(), []
+        keys, ids = [], []
+        for buckets, b, a in zip(*(table.column(c).to_pylist() for c in ("buckets", "b", "a"))):
+            if a is None:
+                keys.append(np.cumsum(unpacked(buckets, np.uint32), dtype=np.uint32))
+                ids.append(unpacked(b, np.int64))
+            else:
+                out.append((unpacked(buckets, np.int64), unpacked(a, np.int64), unpacked(b, np.int64)))
+        if keys:
+            keys, ids = np.concatenate(keys), np.concatenate(ids)
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            begins = np.concatenate([[True], keys[1:] != keys[:-1]])
+            first = ids[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+            out.append((((np.int64(cell // cells) << np.int64(32)) | keys.astype(np.int64))[~begins], first[~begins], ids[~begins]))
+        return pa.table([np.concatenate(c) for c in zip(*out)], ["bucket", "a", "b"])
+
+    return dealt(distinct, cells).groupBy("cell").applyInArrow(meet, "bucket long, a long, b long")
+
+
+def digests(lines: list[str]) -> np.ndarray:
+    """128 bits of each line's content, as a row of two integers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines), dtype=np.int64).reshape(-1, 2)
+
+
+def line_texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """place, content and outline of the wanted lines (place, h1, h2; `n` of them). Other lines stay in their task, but for a few."""
+    sent = bits_of(wanted.select("h1"), n)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, seen = np.frombuffer(sent.value, dtype=np.uint8), set()
         for batch in slices(batches, 1_000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None if t is None else z.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "tag", "packed"])
-
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, packed binary")
-
-
-def unpacked(data: bytes | None) -> str:
-    return zstandard.ZstdDecompressor().decompress(data).decode() if data is not None else ""
-
-
-def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """place, content and outline of the given lines (place, doc_id, tag, pos)."""
-    wanted = places.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "pos")).alias("places"))
+            for group in chunks((x,) for t in batch.column(0).to_pylist() if t for _, x in split_lines(t)):
+                same = digests([x for x, in group])
+                keep = []
+                for i in np.flatnonzero(passes(np.ascontiguousarray(same[:, 0]), bitmap)).tolist():
+                    h = same[i].tobytes()
+                    if h not in seen:
+                        seen.add(h)
+                        keep.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in same[keep].T), pa.array([group[i][0] for i in keep], pa.string())], ["h1", "h2", "line"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000):
-            rows = []
-            for packed, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = unpacked(packed).split("\n")
-                rows += [(x["place"], lines[x["pos"]]) for x in at if x["pos"] < len(lines) and lines[x["pos"]]]
-            for group in chunks(rows):
+            for group in chunks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 marks, sizes = outlines([x for _, x in group])
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in group], pa.int64()), pa.array([x for _, x in group], pa.string()), pa.array([r.tobytes() for r in marks], pa.binary()), pa.array(sizes, pa.int64())], ["place", "line", "marks", "size"])
 
-    return packed_texts(docs).join(wanted, ["doc_id", "tag"]).select("packed", "places").mapInArrow(run, "place long, line string, marks binary, size long")
+    lines = docs.select("text").mapInArrow(found, "h1 long, h2 long, line string")
+    return wanted.join(lines, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("place", "line").mapInArrow(outlined, "place long, line string, marks binary, size long")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tag and pos of every line to be removed."""
-    lines = written(sketched(docs), "lines")
+def removed_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, tag and pos of every line to be removed, of documents whose `lines` were sketched."""
+    lines = lines.where("pos >= 0")
     # equal lines have equal bands, so any of them will do
-    distinct = written(lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *[F.max(b).alias(b) for b in BAND_NAMES]), "lines-distinct")
-    rows = bucketed(distinct)
-    # a bucket has one such row for each task, so its window is small
-    firsts = rows.where("a IS NULL").select("bucket", F.min("place").over(Window.partitionBy("bucket")).alias("a"), "place").where("place <> a")
-    pairs = firsts.union(rows.where("a IS NOT NULL").select("bucket", "a", "place"))
-    pairs = written(pairs.toDF("bucket", "a", "b"), "lines-pairs")
-    star = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    wanted = lines.select("place", "doc_id", "tag", "pos").join(star.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "place", "left_semi")
-    sets = written(line_texts(docs, wanted), "lines-texts")
+    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.max(b).alias(b) for b in BAND_NAMES])
+    distinct = written(distinct.withColumn("place", F.monotonically_increasing_id()), "lines-distinct", n=F.count("*"))
+    pairs = written(bucket_pairs(distinct, distinct.measured["n"]), "lines-pairs")
+    star = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-star", n=F.count("*"))
+    wanted = written(sieved(distinct.select("place", "h1", "h2"), "place", ends(star), star.measured["n"]), "lines-wanted", n=F.count("*"))
+    sets = written(line_texts(docs, wanted, wanted.measured["n"]), "lines-texts")
     links = written(verified(star, sets), "lines-links")
     roots = components(links)
     # buckets in which the first lines did not reach all: compare all that are still in different components
     member = pairs.select("bucket", F.explode(F.array("a", "b")).alias("id")).distinct()
-    new = written(crossing_links(member, roots, sets.select("place", "line"), lambda found, _: verified(found.join(star, ["a", "b"], "left_anti"), sets), line_sets, SIMILARITY, spanning=True), "lines-links", n=F.count("*"))
+    new = written(
+        crossing_links(
+            member, roots, sets.select("place", "line"), lambda found, _: verified(found.join(star, ["a", "b"], "left_anti"), sets), line_sets, SIMILARITY,
+            spanning=True, narrowed=lambda content, ids, n: sieved(content, "place", ids, n),
+        ),
+        "lines-links", n=F.count("*"),
+    )
     if new.measured["n"]:
         roots = components(links.union(new))
+    dropped(sets)
     # every line that has a copy or a near one, with its group, of which the first line stays
-    grouped = distinct.select("h1", "h2", "n", "place").join(roots.withColumnRenamed("id", "place"), "place", "left").where("n > 1 OR root IS NOT NULL")
-    members = written(lines.select("doc_id", "tag", "pos", "h1", "h2").join(grouped.select("h1", "h2", F.coalesce("root", "place").alias("root")), ["h1", "h2"]).drop("h1", "h2"), "lines-groups")
+    linked = sieved(distinct.select("place", "h1", "h2", "n"), "place", roots.select("id"), distinct.measured["n"])
+    linked = distinct.where("n > 1").select("place", "h1", "h2", "n").union(linked.where("n = 1"))
+    grouped = linked.join(roots.withColumnRenamed("id", "place"), "place", "left").where("n > 1 OR root IS NOT NULL")
+    grouped = written(grouped.select("h1", "h2", F.coalesce("root", "place").alias("root")), "lines-grouped", n=F.count("*"))
+    here = sieved(lines.select("doc_id", "tag", "pos", "h1", "h2"), "h1", grouped.select("h1"), grouped.measured["n"])
+    members = written(here.join(grouped, ["h1", "h2"]).drop("h1", "h2"), "lines-groups")
     here = F.struct("doc_id", "tag", "pos")
     first = written(members.groupBy("root").agg(F.min(here).alias("first")), "lines-first")
     return members.join(first, "root").where(here != F.col("first")).select("doc_id", "tag", "pos")
@@ -298,8 +365,9 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
                             keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    of = lines.select("place", "line")
-    joined = written(possible(pairs, lines), "lines-possible").join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b")
+    near = written(possible(pairs, lines), "lines-possible", n=F.count("*"))
+    of = sieved(lines.select("place", "line"), "place", ends(near), 2 * near.measured["n"])
+    joined = near.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b")
     return joined.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -308,16 +376,17 @@ def tagged(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").withColumn("tag", F.xxhash64("text"))
 
 
-def gone_lines(docs: DataFrame) -> DataFrame:
+def gone_lines(plain: DataFrame, lines: DataFrame) -> DataFrame:
     """id, tag and the sorted positions of the removed lines, for documents that lose one."""
-    return removed_lines(docs).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    return removed_lines(plain, lines).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
 def decided(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the positions (from 0) of the removed lines of every document with an id."""
     plain = tagged(docs)
-    lines = plain.select("doc_id", "tag", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
-    joined = lines.join(gone_lines(plain), ["doc_id", "tag"], "left")
+    lines = written(sketched(plain), "lines")
+    own = lines.where("pos < 0").select("doc_id", "tag", (-1 - F.col("pos")).alias("n_lines"))
+    joined = own.join(gone_lines(plain, lines), ["doc_id", "tag"], "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", F.array().cast("array<long>")).alias("removed"))
 
 
@@ -325,7 +394,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their kept lines as text, and n_chars to match where there is one; columns as they came, whatever their names."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("tag"))
-    joined = rows.join(gone_lines(tagged(docs)), ["doc_id", "tag"], "left").select("row", "gone")
+    plain = tagged(docs)
+    joined = rows.join(gone_lines(plain, written(sketched(plain), "lines")), ["doc_id", "tag"], "left").select("row", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000):
