@@ -23,25 +23,29 @@ BLOCK, FEW, COLUMNS = 512, 16, 4096
 
 def near_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of all pairs of sets, sorted and without repeats, with at least that Jaccard similarity."""
+    same = left is right
     sizes = [np.array([len(s) for s in side]) for side in (left, right)]
-    values = [np.concatenate(side) for side in (left, right)]
-    common = np.intersect1d(*values)
+    values = np.concatenate(left if same else [*left, *right])
+    row = np.repeat(np.arange(len(left) if same else len(left) + len(right)), sizes[0] if same else np.concatenate(sizes))
+    # elements in order, those that one set alone has left out
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    again = values[1:] == values[:-1]
+    several = np.append(again, False) | np.append(False, again) if len(values) else np.zeros(0, dtype=bool)
+    values, row = values[several], row[several]
     shared = np.zeros((len(left), len(right)), dtype=np.float32)
-    if len(common):
-        entries = []
-        for v, n in zip(values, sizes):
-            at, row = np.minimum(np.searchsorted(common, v), len(common) - 1), np.repeat(np.arange(len(n)), n)
-            at, row = at[common[at] == v], row[common[at] == v]
-            order = np.argsort(at, kind="stable")
-            entries.append((at[order], row[order]))
-        for begin in range(0, len(common), COLUMNS):
+    if len(values):
+        at = np.cumsum(np.append(True, values[1:] != values[:-1])) - 1
+        entries = [(at, row)] if same else [(at[mine], row[mine] - less) for mine, less in ((row < len(left), 0), (row >= len(left), len(left)))]
+        common = int(at[-1]) + 1
+        for begin in range(0, common, COLUMNS):
             parts = []
             for (at, row), n in zip(entries, sizes):
                 a, b = np.searchsorted(at, [begin, begin + COLUMNS])
-                part = np.zeros((len(n), min(COLUMNS, len(common) - begin)), dtype=np.float32)
+                part = np.zeros((len(n), min(COLUMNS, common - begin)), dtype=np.float32)
                 part[row[a:b], at[a:b] - begin] = 1
                 parts.append(part)
-            shared += parts[0] @ parts[1].T
+            shared += parts[0] @ parts[-1].T
     shared = shared.astype(np.float64)
     return np.nonzero((shared > 0) & (shared >= (sizes[0][:, None] + sizes[1][None, :] - shared) * similarity))
 
@@ -95,7 +99,8 @@ def crossing_links(member: DataFrame, roots: DataFrame, content: DataFrame, veri
         first, second = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
         if not len(first) or not len(second):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        x, y = near_pairs([sets[k] for k in first], [sets[k] for k in second], similarity)
+        left = [sets[k] for k in first]
+        x, y = near_pairs(left, left if i[0] == j[0] else [sets[k] for k in second], similarity)
         x, y = first[x], second[y]
         keep = root[x] != root[y]
         x, y = stars(root[x[keep]], root[y[keep]]) if spanning else (ids[x[keep]], ids[y[keep]])

@@ -285,13 +285,28 @@ def line_texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return wanted.join(lines, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("place", "line").mapInArrow(outlined, "place long, line string, marks binary, size long")
 
 
-def removed_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, tag and pos of every line to be removed, of documents whose `lines` were sketched."""
-    lines = lines.where("pos >= 0")
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) like `roots`, after more links (a, b): components of the few roots that these connect, in place of all ids."""
+    of = lambda x: roots.toDF(x, f"root_{x}")
+    own = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+    own = written(own, "lines-root-links")
+    # ids that no link had before are their own roots
+    known = roots.union(own.where("a = root_a").select("a", "root_a")).union(own.where("b = root_b").select("b", "root_b")).distinct()
+    above = components(own.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).toDF("root", "top")
+    return written(known.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "lines-roots")
+
+
+def removed_lines(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """doc_id, tag and pos of every line to be removed, of documents whose lines have these sketches (deleted here)."""
     # equal lines have equal bands, so any of them will do
-    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.max(b).alias(b) for b in BAND_NAMES])
+    distinct = sketches.where("pos >= 0").groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.max(b).alias(b) for b in BAND_NAMES])
     distinct = written(distinct.withColumn("place", F.monotonically_increasing_id()), "lines-distinct", n=F.count("*"))
-    pairs = written(bucket_pairs(distinct, distinct.measured["n"]), "lines-pairs")
+    n = distinct.measured["n"]
+    lines = written(sketches.where("pos >= 0").select("doc_id", "tag", "pos", "h1", "h2"), "lines-places")
+    dropped(sketches)
+    pairs = written(bucket_pairs(distinct, n), "lines-pairs")
+    bands, distinct = distinct, written(distinct.select("place", "h1", "h2", "n"), "lines-contents")
+    dropped(bands)
     star = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-star", n=F.count("*"))
     wanted = written(sieved(distinct.select("place", "h1", "h2"), "place", ends(star), star.measured["n"]), "lines-wanted", n=F.count("*"))
     sets = written(line_texts(docs, wanted, wanted.measured["n"]), "lines-texts")
@@ -307,11 +322,10 @@ def removed_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         "lines-links", n=F.count("*"),
     )
     if new.measured["n"]:
-        roots = components(links.union(new))
+        roots = joined_roots(roots, new)
     dropped(sets)
     # every line that has a copy or a near one, with its group, of which the first line stays
-    linked = sieved(distinct.select("place", "h1", "h2", "n"), "place", roots.select("id"), distinct.measured["n"])
-    linked = distinct.where("n > 1").select("place", "h1", "h2", "n").union(linked.where("n = 1"))
+    linked = distinct.where("n > 1").union(sieved(distinct.where("n = 1"), "place", roots.select("id"), wanted.measured["n"]))
     grouped = linked.join(roots.withColumnRenamed("id", "place"), "place", "left").where("n > 1 OR root IS NOT NULL")
     grouped = written(grouped.select("h1", "h2", F.coalesce("root", "place").alias("root")), "lines-grouped", n=F.count("*"))
     here = sieved(lines.select("doc_id", "tag", "pos", "h1", "h2"), "h1", grouped.select("h1"), grouped.measured["n"])
@@ -353,7 +367,7 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         for batch in slices(batches, 1_000):
             keep = []
             pairs = zip(range(batch.num_rows), batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            for group in chunks(pairs, width=lambda r: len(r[1]) + len(r[2])):
+            for group in chunks(pairs, 300_000, width=lambda r: len(r[1]) + len(r[2])):
                 lines = list({x for r in group for x in r[1:]})
                 sets = dict(zip(lines, hashed_sets(lines)))
                 for i, x, y in group:
@@ -376,17 +390,17 @@ def tagged(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").withColumn("tag", F.xxhash64("text"))
 
 
-def gone_lines(plain: DataFrame, lines: DataFrame) -> DataFrame:
+def gone_lines(plain: DataFrame, sketches: DataFrame) -> DataFrame:
     """id, tag and the sorted positions of the removed lines, for documents that lose one."""
-    return removed_lines(plain, lines).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    return removed_lines(plain, sketches).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
 def decided(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the positions (from 0) of the removed lines of every document with an id."""
     plain = tagged(docs)
-    lines = written(sketched(plain), "lines")
-    own = lines.where("pos < 0").select("doc_id", "tag", (-1 - F.col("pos")).alias("n_lines"))
-    joined = own.join(gone_lines(plain, lines), ["doc_id", "tag"], "left")
+    sketches = written(sketched(plain), "lines")
+    own = written(sketches.where("pos < 0").select("doc_id", "tag", (-1 - F.col("pos")).alias("n_lines")), "lines-numbers")
+    joined = own.join(gone_lines(plain, sketches), ["doc_id", "tag"], "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", F.array().cast("array<long>")).alias("removed"))
 
 
