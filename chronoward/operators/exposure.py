@@ -43,7 +43,6 @@ def continuous_by_hour(meds: DataFrame, grid: DataFrame, by: str, drugs: Sequenc
 
 def bolus_by_hour(meds: DataFrame, by: str, drugs: Sequence[str], time: str = "admin_dttm", grid_time: str = "event_dttm", tiebreak: Sequence[str] = ()) -> DataFrame:
     """Sum of the given single doses of each drug in each hour."""
-    parts = parts_for(meds.sparkSession, grid.count(), TASK_ROWS)
     meds = dealt(meds, [by], meds.count(), TASK_ROWS)
     keyed = priority_dedup(meds.where(F.col("med_category").isin(*drugs)), [by, time, "med_category"], True, tiebreak=tiebreak)
     given = keyed.where(F.coalesce(F.col("mar_action_category") != "not_given", F.lit(True))).withColumn(grid_time, F.date_trunc("hour", time).cast("timestamp_ntz"))

@@ -94,4 +94,4 @@ def priority_dedup(df: DataFrame, keys: Sequence[str], has_category: bool, dose:
     else:
         a = F.col("mar_action_name")
         rank = F.when(a.isNull(), 10).when(a.rlike("(?i)verify"), 9).when(a.rlike("(?i)stopped|held|paused|completed"), 8).otherwise(1)
-    return pick_first(df, keys, [rank, F.when(F.col(dose) > 0, 1).otherwise(2), F.col(dose).desc_nulls_first(), *tiebreak])
+    return pick_first(df, keys, [rank, F.when(F.col(dose) > 0, 1).otherwise(2), F.col(dose).desc_nulls_last(), *tiebreak])

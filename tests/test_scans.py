@@ -171,6 +171,20 @@ def test_doses_and_grid_share_groups(spark):
     assert got == {(1, 0): (0, 0), (1, 1): (120, 0), (1, 2): (180, 30), (1, 3): (0, 60), (1, 4): (0, 0), **{(2, h): (0, 0) for h in range(5)}}
 
 
+def test_single_doses_of_an_hour(spark):
+    """Sums of an hour without a grid, one record for each time and drug, doses not given left out; a known dose of 0 goes before a missing one."""
+    from chronoward.operators import exposure
+
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    rows = [
+        (1, at(1, 10), "x", 2.0, "going", 1), (1, at(1, 10), "x", 3.0, "going", 2), (1, at(1, 50), "x", 4.0, None, 3), (1, at(1, 50), "y", 1.0, "given", 4), (1, at(1, 55), "z", 9.0, "given", 5),
+        (1, at(2), "x", 5.0, "not_given", 6), (1, at(2, 5), "y", 6.0, "given", 7), (2, at(1), "x", None, "given", 8), (2, at(1), "x", 0.0, "given", 9), (2, at(2), "x", None, "given", 10), (2, at(3), "x", 7.0, "not_given", 11),
+    ]
+    meds = spark.createDataFrame(rows, "k long, admin_dttm timestamp_ntz, med_category string, med_dose double, mar_action_category string, id long")
+    got = {(r["k"], r["event_dttm"]): (r["x_bolus"], r["y_bolus"]) for r in exposure.bolus_by_hour(meds, "k", ["x", "y"], tiebreak=["id"]).collect()}
+    assert got == {(1, at(1)): (7, 1), (1, at(2)): (None, 6), (2, at(1)): (0, None), (2, at(2)): (None, None)}
+
+
 def test_trial_rows_are_dealt_by_number(spark, sf_dir, monkeypatch):
     """The number of tasks follows the rows, not the session's shuffle partitions."""
     from chronoward.operators import trials
