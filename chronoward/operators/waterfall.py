@@ -1,7 +1,7 @@
 """The full filling of respiratory support rows: inference, clean-up, hourly scaffold, four levels of blocks, fills.
 
-Every stage reads the one before. All windows share the entity as their first partition key, so rows are shuffled once on it
-and once more for what the scaffold adds.
+Every stage reads the one before. All windows share the entity as their first partition key, so rows are shuffled once on it,
+and so are the entities' bounds: the scaffold is made where their rows are.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import normalize_categories
 from .relational import dealt
-from .sequence import GRID_ROWS, change_levels, fill_both, forward_fill, hour_grid, running
+from .sequence import change_levels, fill_both, forward_fill, hour_grid, running
 
 #: Rows, with those of the scaffold, of a task.
 TASK_ROWS = 250_000
@@ -85,28 +85,30 @@ def waterfall_full(df: DataFrame, by: str = "hospitalization_id", time: str = "r
     """Rows and scaffold (`is_scaffold`) with labels and settings filled, and the ids of device category, device name, mode
     category and mode name blocks. A scaffold row stands in the last second of every hour from an entity's first to its last.
 
-    One pass counts rows and hours at once: both are dealt to tasks by number, since the few bytes of an entity's bounds make many rows.
+    One pass counts rows and hours at once: both are dealt to tasks by one number, since the few bytes of an entity's bounds make many
+    rows, and as both sides of the union then lie alike, dealing it again moves nothing. Ids never fall along the order, so windows over
+    them share the sort of the block that they split.
     """
     absent = [c for c in (*LABELS, *FILLED) if c not in df.columns]
     df = df.withColumns({c: F.lit(None).cast("string" if c in LABELS else "double") for c in absent})
-    df = with_shares(normalize_categories(df, list(LABELS)), percent)
-    bounds = df.groupBy(by).agg(F.min(time).alias("_a"), F.max(time).alias("_b"), F.count("*").alias("_n"))
+    named = normalize_categories(df, list(LABELS))
+    bounds = named.groupBy(by).agg(F.min(time).alias("_a"), F.max(time).alias("_b"), F.count("*").alias("_n"))
     rows, hours = (x or 0 for x in bounds.agg(F.sum("_n"), F.sum(F.expr("timestampdiff(HOUR, _a, _b)") + 2)).first())
-    bounds = dealt(bounds, [by], hours, GRID_ROWS)
-    df = dealt(df, [by], rows, TASK_ROWS)
+    bounds = dealt(bounds, [by], rows + hours, TASK_ROWS)
+    df = dealt(with_shares(named, percent), [by], rows + hours, TASK_ROWS)
     grid = hour_grid(bounds, "_a", "_b", time).select(by, (F.col(time) + F.expr("INTERVAL '59:59' MINUTE TO SECOND")).cast(df.schema[time].dataType).alias(time), F.lit(True).alias("is_scaffold"))
-    df = inferred(df.crossJoin(F.broadcast(usual_names(df))), by, [time, *tiebreak]).drop("_imv_name", "_nippv_name", "_cmv_name")
+    df = inferred(df.crossJoin(F.broadcast(usual_names(named))), by, [time, *tiebreak]).drop("_imv_name", "_nippv_name", "_cmv_name")
     df = cleaned(df, by, time, tiebreak).withColumn("is_scaffold", F.lit(False)).unionByName(grid, allowMissingColumns=True)
     df = dealt(df, [by], rows + hours, TASK_ROWS)
     order = [time, "is_scaffold", *tiebreak]
     df = forward_fill(df, ["device_category"], [by], order)
     df = change_levels(df, [by], order, ["device_category"])
     df = fill_both(df, ["device_name"], [by, "device_category_id"], order)
-    df = change_levels(df, [by], order, ["device_name"])
+    df = change_levels(df, [by], ["device_category_id", *order], ["device_name"])
     df = fill_both(df, ["mode_category"], [by, "device_name_id"], order)
-    df = change_levels(df, [by], order, ["device_name_id", "mode_category"]).drop("device_name_id_id")
+    df = change_levels(df, [by], ["device_name_id", *order], ["device_name_id", "mode_category"]).drop("device_name_id_id")
     df = fill_both(df, ["mode_name"], [by, "mode_category_id"], order)
-    df = change_levels(df, [by], order, ["mode_category_id", "mode_name"]).drop("mode_category_id_id")
+    df = change_levels(df, [by], ["mode_category_id", *order], ["mode_category_id", "mode_name"]).drop("mode_category_id_id")
     tracheal = F.coalesce(F.col("device_name").contains("trach"), F.lit(False))
     support = F.coalesce(F.col("mode_category") == SUPPORT, F.lit(False))
     no_volume = (support & F.col("pressure_support_set").isNotNull()) | (F.col("mode_category").isNull() & tracheal) | (support & tracheal)

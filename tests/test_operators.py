@@ -405,3 +405,19 @@ def test_waterfall_full_dealt_by_number(spark, monkeypatch):
     assert sum(r["n"] for r in tasks) == 30 * (8 * 24 + 1 + 2) and sum(r["k"] for r in tasks) == 30
     assert len(tasks) >= 6
     assert waterfall.waterfall_full(df.limit(0), tiebreak=["n"]).count() == 0
+
+
+def test_waterfall_full_shuffles_its_rows_once(spark, monkeypatch):
+    """Rows and bounds are dealt once each; neither the scaffold nor the commonest names shuffle rows, and ids share a sort with what they split."""
+    devices, modes = [" IMV", "nippv", None, "trach collar", "imv"], ["SIMV", None, "assist control-volume control"]
+    rows = [(None if i == 0 else f"h{i}", D(2024, 1, 1 + i % 3, hour // 2), devices[(i + hour) % 5], None if hour % 3 else f"d{i % 2}", modes[(i * hour) % 3], f"m{hour % 2}", hour / 3 if hour % 2 else None, hour) for i in range(12) for hour in range(30)]
+    rows += [*rows[40:60], ("empty", None, None, None, None, None, None, None), ("late", None, "imv", "d0", "SIMV", None, 1.5, 1)]
+    df = spark.createDataFrame(rows, "hospitalization_id string, recorded_dttm timestamp_ntz, device_category string, device_name string, mode_category string, mode_name string, fio2_set double, n int")
+    whole = waterfall.waterfall_full(df, tiebreak=["n"]).collect()
+    monkeypatch.setattr(waterfall, "TASK_ROWS", 40)
+    got = waterfall.waterfall_full(df, tiebreak=["n"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole))
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    after = plan.partition("Union")
+    assert after[1] and "Exchange" not in after[0] and after[0].count("Sort ") == 6
