@@ -281,12 +281,16 @@ def h22b(s, d):
 def h18c(s, d):
     """Odds ratios from the 10th to the 90th percentile of the whole cohort, at its medians and modes, stage by stage."""
     rows, stages = _stages(s, d)
-    anchor = jointfits.anchors(rows, ["bal"])["bal"]
-    reference = rows.agg(F.expr("percentile(urgent, 0.5)").alias("urgent"), F.expr("percentile(bal, 0.5)").alias("bal")).first().asDict()
-    out = []
-    for name, at_risk, outcome in stages:
-        fits, _ = jointfits.fit_grid(rows.where(at_risk), [(outcome, "robust")], {"linear": "{outcome} ~ bal + urgent"}, "o_custkey")
-        out.append((name, *jointfits.percentile_contrast(fits[outcome, "robust", "linear"], reference, "bal", *anchor)))
+    names = [name for name, _, _ in stages]
+    rows = jointfits.staged(rows, stages).select("o_custkey", "bal", "urgent", *names).persist()  # read once for the percentiles and all fits
+    try:
+        found = jointfits.anchors(rows, ["bal", "urgent"], shares=(0.1, 0.5, 0.9))
+        low, middle, high = found["bal"]
+        reference = {"urgent": found.get("urgent", (None,) * 3)[1], "bal": middle}
+        fits, _ = jointfits.fit_grid(rows, [(name, "robust") for name in names], {"linear": "{outcome} ~ bal + urgent"}, "o_custkey")
+    finally:
+        rows.unpersist()
+    out = [(name, *jointfits.percentile_contrast(fits[name, "robust", "linear"], reference, "bal", low, high)) for name in names]
     return s.createDataFrame(out, "stage string, odds_ratio double, low double, high double").select("stage", *[r(c, 6).alias(c) for c in ("odds_ratio", "low", "high")])
 
 

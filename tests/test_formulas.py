@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoward.operators import formulas, jointfits, models
+from chronoward.plans import statistics
 
 
 def natural_by_solve(knots, x):
@@ -200,3 +201,46 @@ def test_percentile_contrast(spark, rows):
     one = design.row({"z": high, "z_any": 1, "x": 0.0}) - design.row({"z": low, "z_any": 1, "x": 0.0})
     assert math.isclose(jointfits.percentile_contrast(fits["y", "robust", "a"], {"x": 0.0, "z": 0.0, "z_any": 0}, "z", low, high, "z_any")[0], math.exp(one @ fits["y", "robust", "a"].beta))
     assert math.isnan(jointfits.percentile_contrast(f, {"x": 0.0, "z": 0.0}, "z", low, low)[0])
+
+
+def test_stages_share_their_passes(spark, rows):
+    """Each stage's fit is that of its own rows, from one grid; null risks and outcomes, repeated rows and stages without rows included."""
+    odd = rows.unionByName(rows.where("g < 5")).withColumn("risk", F.when(F.col("x_other").isNotNull(), F.col("z") > 0.5)).withColumn("late", F.when(F.col("z") < 4, F.col("u")))
+    stages = [("all", F.lit(True), "y"), ("risky", F.col("risk"), "y"), ("known", F.col("risk"), "late"), ("none", F.col("z") < 0, "y"), ("constant", F.col("y") == 1, "y")]
+    fits, ledger = jointfits.fit_grid(jointfits.staged(odd, stages), [(name, "robust") for name, _, _ in stages], {"a": "{outcome} ~ x + z"}, "g")
+    for (name, at_risk, outcome), told in zip(stages, ledger, strict=True):
+        alone, (own,) = jointfits.fit_grid(odd.where(at_risk), [(outcome, "robust")], {"a": "{outcome} ~ x + z"}, "g")
+        f, a = fits[name, "robust", "a"], alone[outcome, "robust", "a"]
+        assert {k: v for k, v in told.items() if k != "outcome"} == {k: v for k, v in own.items() if k != "outcome"} and (f.n, f.clusters, f.iterations) == (a.n, a.clusters, a.iterations)
+        assert np.allclose(f.beta, a.beta, rtol=1e-9, equal_nan=True) and np.allclose(f.cov, a.cov, rtol=1e-9, equal_nan=True)
+    assert {r["outcome"]: r["status"] for r in ledger} == {"all": "OK", "risky": "OK", "known": "OK", "none": "FAIL", "constant": "FAIL"}
+
+
+def test_rows_that_the_caller_keeps(rows):
+    kept = rows.select("*").persist()
+    try:
+        jointfits.fit_grid(kept, [("y", "gee")], {"a": "{outcome} ~ x"}, "g")
+        assert kept.is_cached and kept.storageLevel.useMemory
+    finally:
+        kept.unpersist()
+
+
+def test_percentile_odds_read_their_rows_once(spark, sf_dir, monkeypatch):
+    made, n, given = spark.sparkContext.accumulator(0), spark.read.parquet(f"{sf_dir}/orders.parquet").count(), statistics.t
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    def watched(s, d, name):
+        df = given(s, d, name)
+        return df.mapInArrow(counted, df.schema) if name == "orders" else df
+
+    monkeypatch.setattr(statistics, "t", watched)
+    assert statistics.h18c(spark, sf_dir).count() == 5 and made.value == n
+
+
+def test_percentiles_at_other_shares(rows):
+    values = rows.toPandas()["z"]
+    assert np.allclose(jointfits.anchors(rows, ["z", "x"], shares=(0.1, 0.5, 0.9))["z"], np.percentile(values, [10, 50, 90]))
