h12_formula_ledger: null and level counts, cluster sizes and covariances take one pass each, raw rows are dealt instead of a design, tests

Symptom: besides an iteration's pass the fits went over the kept rows or the design eight times: nulls, numbers of levels, levels, cluster sizes twice, the deal, a count of the design, X'WX and scores at the end.
Evidence: event log, sf0.1 taken 6 times with shifted keys (900,000 orders), local[6], 48 shuffle partitions: 36 jobs, 754 tasks, 1,771 MB read from kept rows and design, 94.73 MB shuffled. orders and customer themselves were and are scanned once (990,000 rows).
Fix: nulls and numbers of levels come from one aggregate; the largest cluster is found with the total, and clusters are listed only if one is over the bound; the first sums make the design that is kept, without a count; the last pass gives X'WX with the scores; raw columns are dealt and sorted and the design is made of them afterwards; sums do not take cluster and salt to Python.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1051 -> 1116 s, shuffle 0.86 -> 0.81 GB, spill 0.00 -> 0.00 GB, read 18.29 -> 12.87 GB, longest task 7 -> 8 s, most memory of a task 67 -> 67 MB; at 6 GB of input CPU 4088 -> 3463 s, shuffle 5.43 -> 5.29 GB, spill 0.00 -> 0.00 GB, read 101.55 -> 71.06 GB, longest task 10 -> 10 s, most memory of a task 109 -> 85 MB; with hot keys, at 1 GB of input CPU 1137 -> 1348 s, shuffle 0.84 -> 0.80 GB, spill 0.00 -> 0.00 GB, read 17.86 -> 13.40 GB, longest task 13 -> 18 s, most memory of a task 71 -> 56 MB.

@@ -185,10 +185,27 @@ def complete_rows(df: DataFrame, formula: str, also: Sequence[str] = (), by_subs
     return all_there(needed_columns(df, formula, also, by_substring))
 
 
-def designs(df: DataFrame, formulas: Sequence[str], complete: Sequence[Column]) -> list[Design | str]:
-    """The design of every formula over its complete rows, or why it has none. Levels and ranges take two aggregations in all."""
+def text_columns(df: DataFrame) -> set[str]:
+    """Columns that are coded by their levels wherever they stand."""
+    return {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BooleanType)}
+
+
+def coded_columns(df: DataFrame, formulas: Sequence[str]) -> list[str]:
+    """Columns that the formulas code by their levels."""
+    coded = text_columns(df)
+    return sorted({f.column for text in formulas for term in parsed(text).terms for f in term if f.kind == "levels" or f.kind == "plain" and f.column in coded})
+
+
+def level_counts(names: Sequence[str]) -> list[Column]:
+    """About how many levels each column has, as aggregates."""
+    return [F.approx_count_distinct(f"`{c}`").alias(f"levels{i}") for i, c in enumerate(names)]
+
+
+def designs(df: DataFrame, formulas: Sequence[str], complete: Sequence[Column], counts: dict[str, int] | None = None) -> list[Design | str]:
+    """The design of every formula over its complete rows, or why it has none. Levels and ranges take two aggregations in all, or one
+    where the caller has the `level_counts` of the coded columns."""
     read = [parsed(f) for f in formulas]
-    coded = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BooleanType)}
+    coded = text_columns(df)
     is_levels = lambda f: f.kind == "levels" or f.kind == "plain" and f.column in coded
     wanted = [(i, f) for i, formula in enumerate(read) for f in dict.fromkeys(f for term in formula.terms for f in term) if f.kind == "spline" or is_levels(f)]
     # formulas over the same rows share what is found for a factor
@@ -199,11 +216,11 @@ def designs(df: DataFrame, formulas: Sequence[str], complete: Sequence[Column])
     every, wanted = wanted, list(first.values())
     if wanted:
         value = lambda i, f: F.when(complete[i], F.col(f"`{f.column}`"))
-        several = sorted({f.column for _, f in wanted if is_levels(f)})
-        if several:
-            counts = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"n{i}") for i, c in enumerate(several)]).first()
-            if many := [c for c, n in zip(several, counts) if n > 1.2 * MOST_LEVELS]:
-                raise ValueError(f"columns with too many levels: {many}")
+        several = coded_columns(df, formulas)
+        if several and counts is None:
+            counts = dict(zip(several, df.agg(*level_counts(several)).first()))
+        if many := [c for c in several if counts[c] > 1.2 * MOST_LEVELS]:
+            raise ValueError(f"columns with too many levels: {many}")
         aggs = [F.sort_array(F.collect_set(value(i, f).cast("string"))) if is_levels(f) else F.array(F.min(value(i, f).cast("double")), F.max(value(i, f).cast("double"))) for i, f in wanted]
         once = dict(zip(wanted, df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()))
         found = {(i, f): once[first[which[i], f]] for i, f in every}

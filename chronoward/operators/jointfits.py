@@ -1,22 +1,25 @@
 """Many logistic models at once: every iteration is one pass over the rows for all outcomes and all formulas.
 
-The design is dealt and sorted by cluster once. Tasks multiply their rows by numpy and send, for each model, the rows of X'WX, the score and
-three sums; Spark adds them up and the driver sees k by k matrices only. Cluster-robust covariances come from one more pass, in which
-a cluster's scores add up as its rows stream by. Clusters with more rows than one in MOST_HOT of all are dealt over many tasks,
-whose sums meet afterwards; there are at most MOST_HOT of them. Steps use a pseudo-inverse, so designs that are deficient by construction (splines with an intercept) are
-fitted as well; other deficient designs are skipped. Coefficients of a deficient design are those of least norm after scaling.
+The rows are dealt and sorted by cluster once, and the design is made of them there. Tasks multiply their rows by numpy and send, for each
+model, the rows of X'WX, the score and three sums; Spark adds them up and the driver sees k by k matrices only. Cluster-robust
+covariances come from one more pass, in which X'WX at the last coefficients and a cluster's scores add up as its rows stream by.
+Clusters with more rows than one in MOST_HOT of all are dealt over many tasks, whose sums meet afterwards; there are at most MOST_HOT of
+them. Steps use a pseudo-inverse, so designs that are deficient by construction (splines with an intercept) are fitted as well; other
+deficient designs are skipped. Coefficients of a deficient design are those of least norm after scaling.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .formulas import Design, all_there, designs, expression, needed_columns
+from .formulas import Design, all_there, coded_columns, designs, expression, level_counts, needed_columns
 from .models import Fit
 
 #: Eigenvalues of a scaled X'WX below this part of the largest count as zero.
@@ -85,7 +88,7 @@ def sums(design: DataFrame, models: dict[int, Model], width: int, outcomes: dict
         for i, t in total.items():
             yield pa.RecordBatch.from_pydict({"model": pa.array([i] * len(t), pa.int32()), "row": pa.array(np.arange(len(t)), pa.int32()), "v": pa.array(list(t), pa.list_(pa.float64()))})
 
-    found = added_up(design.mapInArrow(run, "model int, row int, v array<double>"), ["model", "row"], width).collect()
+    found = added_up(design.drop("cluster", "salt").mapInArrow(run, "model int, row int, v array<double>"), ["model", "row"], width).collect()
     out = {i: np.zeros((len(m.at) + 2, width)) for i, m in models.items()}
     for r in found:
         out[r["model"]][r["row"]] = r["v"]
@@ -97,21 +100,22 @@ def matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
     return np.nan_to_num(np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(n)]))
 
 
-def dealt(design: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The design by cluster, in order, and the clusters that are spread over several tasks."""
-    sizes = design.groupBy("cluster").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = [r["cluster"] for r in sizes.where(F.col("n") > max(HOT_ROWS, total // MOST_HOT)).collect()] if total > HOT_ROWS else []
-    salt = F.when(F.col("cluster").isin(hot), F.pmod(F.xxhash64(*design.columns), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
-    return design.withColumn("salt", salt.cast("int")).repartition("cluster", "salt").sortWithinPartitions("cluster", "salt"), hot
+def dealt(rows: DataFrame, by: str = "cluster", salt: str = "salt") -> tuple[DataFrame, list[str]]:
+    """Rows by cluster, in order, and the clusters that are spread over several tasks."""
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
+    total, largest = (v or 0 for v in sizes.agg(F.sum("n"), F.max("n")).first())
+    least = max(HOT_ROWS, total // MOST_HOT)
+    hot = [r[by] for r in sizes.where(F.col("n") > least).collect()] if largest > least else []
+    spread = F.when(F.col(by).isin(hot), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    return rows.withColumn(salt, spread.cast("int")).repartition(by, salt).sortWithinPartitions(by, salt), hot
 
 
 def sandwiches(design: DataFrame, hot: Sequence[str], models: dict[int, Model], width: int, outcomes: dict[str, str], ok: dict[int, str], n_columns: int) -> None:
-    """Cluster-robust covariances, from scores added up by cluster."""
+    """X'WX at the last coefficients, inverted, and cluster-robust covariances, from scores added up by cluster, in one pass."""
     told, spread = {i: (outcomes[m.outcome], ok[i], m.at, m.beta) for i, m in models.items()}, set(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {i: np.zeros((len(t[2]) + 1, width)) for i, t in told.items()}
+        total = {i: np.zeros((2 * len(t[2]) + 1, width)) for i, t in told.items()}  # sums of scores' products, clusters, X'WX
         parts: dict[tuple[int, str], np.ndarray] = {}
         now, carried = None, {}
 
@@ -135,7 +139,10 @@ def sandwiches(design: DataFrame, hot: Sequence[str], models: dict[int, Model],
             for i, (outcome, flag, at, beta) in told.items():
                 keep = batch.column(flag).to_numpy(zero_copy_only=False)
                 own, y = x[:, at], np.nan_to_num(batch.column(outcome).to_numpy(zero_copy_only=False))
-                s = own * (keep * (y - 1.0 / (1.0 + np.exp(-np.clip(own @ beta, -700, 700)))))[:, None]
+                p, k = 1.0 / (1.0 + np.exp(-np.clip(own @ beta, -700, 700))), len(at)
+                kept = own[keep]
+                total[i][k + 1 :, :k] += kept.T @ (kept * (p * (1 - p))[keep][:, None])
+                s = own * (keep * (y - p))[:, None]
                 v = np.add.reduceat(np.column_stack([s, keep]), starts)
                 if now == names[0]:
                     v[0] += carried[i]
@@ -156,7 +163,7 @@ def sandwiches(design: DataFrame, hot: Sequence[str], models: dict[int, Model],
         return pa.RecordBatch.from_pydict({"model": pa.array(model, pa.int32()), "row": pa.array(row, pa.int32()), "name": pa.array(name, pa.string()), "v": pa.array([*([*w, c] for w, c in zip(v, n if n is not None else [0.0] * len(v)))], pa.list_(pa.float64()))})
 
     found = added_up(design.mapInArrow(run, "model int, row int, name string, v array<double>"), ["model", "row", "name"], width + 1).collect()
-    meat = {i: np.zeros((len(m.at), len(m.at))) for i, m in models.items()}
+    meat, cross = ({i: np.zeros((len(m.at), len(m.at))) for i, m in models.items()} for _ in range(2))
     for r in found:
         m, k, v = models[r["model"]], len(models[r["model"]].at), np.array(r["v"])
         if r["row"] == -1:
@@ -164,9 +171,12 @@ def sandwiches(design: DataFrame, hot: Sequence[str], models: dict[int, Model],
             m.clusters += int(v[width] > 0)
         elif r["row"] == k:
             m.clusters += int(v[0])
+        elif r["row"] > k:
+            cross[r["model"]][r["row"] - k - 1] = v[:k]
         else:
             meat[r["model"]][r["row"]] += v[:k]
     for i, m in models.items():
+        m.bread = inverse(cross[i])[0]
         m.sandwich = m.bread @ meat[i] @ m.bread
 
 
@@ -175,8 +185,8 @@ def fit_grid(df: DataFrame, configs: Sequence[tuple[str, str]], specs: dict[str,
 
     Kinds: asymptotic, robust (clusters, small-sample factor), gee (clusters). Statuses: OK, NO_CONVERGE after `most` steps,
     SKIP_SINGULAR for deficient designs without splines, SKIPPED for outcomes left out, FAIL with a reason. Rows are those with all values
-    that a formula needs and a cluster. Passes over the rows: one an iteration, and five more, however many models there are. Rows that
-    the caller keeps are not kept a second time.
+    that a formula needs and a cluster. Passes over the rows: one an iteration, and four more (nulls and levels counted, levels and ranges,
+    rows of a cluster, covariances), however many models there are. Rows that the caller keeps are not kept a second time.
     """
     pairs = [(o, s) for o in dict.fromkeys(o for o, _ in configs) for s in specs if o not in left_out]
     texts = [specs[s].format(outcome=o) for o, s in pairs]
@@ -185,10 +195,11 @@ def fit_grid(df: DataFrame, configs: Sequence[tuple[str, str]], specs: dict[str,
     own = not df.is_cached
     df = df.select(*[F.col(f"`{c}`") for c in named])
     df = df.persist() if own else df  # read once; dropped when the design is there
-    missing = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(named)]).first() if named else ()
-    gaps = {c for c, n in zip(named, missing) if n}
+    coded = coded_columns(df, texts)
+    counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(named)], *level_counts(coded)).first() if named else ()
+    gaps = {c for c, n in zip(named, counts) if n}
     complete = [all_there([c for c in n if c in gaps]) for n in needs]
-    made = designs(df, texts, complete)
+    made = designs(df, texts, complete, dict(zip(coded, counts[len(named) :])))
     columns: dict[tuple, int] = {}
     for d in made:
         if isinstance(d, Design):
@@ -210,18 +221,15 @@ def fit_grid(df: DataFrame, configs: Sequence[tuple[str, str]], specs: dict[str,
         ok = {i: flags[str(complete[i]._jc)] for i in models}
         width = max(3, *(len(m.at) for m in models.values()))
         once = {ok[i]: complete[i] for i in models}
-        design = df.select(F.col(cluster).cast("string").alias("cluster"), *[F.col(o).cast("double").alias(y) for o, y in outcomes.items()], *[c.alias(f) for f, c in once.items()], *[expression(p).alias(f"x{i}") for p, i in columns.items()])
-        design, hot = dealt(design.where(" OR ".join(once)))
-        design = design.persist()
+        rows, hot = dealt(df.where(reduce(or_, once.values())).withColumn("_cluster", F.col(f"`{cluster}`").cast("string")), "_cluster", "_salt")
+        design = rows.select(F.col("_cluster").alias("cluster"), F.col("_salt").alias("salt"), *[F.col(o).cast("double").alias(y) for o, y in outcomes.items()], *[c.alias(f) for f, c in once.items()], *[expression(p).alias(f"x{i}") for p, i in columns.items()]).persist()
         try:
-            design.count()
+            found = sums(design, models, width, outcomes, ok, len(columns))
             if own:
                 df.unpersist()
-            iterate(design, models, width, outcomes, ok, len(columns), most, tolerance)
+            iterate(design, models, found, width, outcomes, ok, len(columns), most, tolerance)
             done = {i: m for i, m in models.items() if m.status == "OK"}
             if done:
-                for i, t in sums(design, done, width, outcomes, ok, len(columns)).items():
-                    done[i].bread = inverse(t[: len(done[i].at), : len(done[i].at)])[0]
                 sandwiches(design, hot, done, width, outcomes, ok, len(columns))
         finally:
             design.unpersist()
@@ -242,11 +250,11 @@ def fit_grid(df: DataFrame, configs: Sequence[tuple[str, str]], specs: dict[str,
     return fits, ledger
 
 
-def iterate(design: DataFrame, models: dict[int, Model], width: int, outcomes: dict[str, str], ok: dict[int, str], n_columns: int, most: int, tolerance: float) -> None:
-    """Newton steps of all open models together, halved where the likelihood fell, until none is open."""
+def iterate(design: DataFrame, models: dict[int, Model], found: dict[int, np.ndarray], width: int, outcomes: dict[str, str], ok: dict[int, str], n_columns: int, most: int, tolerance: float) -> None:
+    """Newton steps of all open models together, halved where the likelihood fell, until none is open; the first from the sums `found`."""
     open_ = dict(models)
     while open_:
-        for i, t in sums(design, open_, width, outcomes, ok, n_columns).items():
+        for i, t in found.items():
             m = open_[i]
             k = len(m.at)
             a, g, (n, events, likelihood) = t[:k, :k], t[k, :k], t[k + 1, :3]
@@ -275,6 +283,7 @@ def iterate(design: DataFrame, models: dict[int, Model], width: int, outcomes: d
             elif m.turns >= most or not np.isfinite(m.beta).all():
                 m.status, m.reason = "NO_CONVERGE", "most steps reached" if m.turns >= most else "coefficients are not finite"
         open_ = {i: m for i, m in open_.items() if not m.status}
+        found = sums(design, open_, width, outcomes, ok, n_columns) if open_ else {}
 
 
 def percentile_contrast(fit: Fit, reference: dict, predictor: str, low: float, high: float, indicator: str | None = None) -> tuple[float, float, float]:

@@ -244,3 +244,38 @@ def test_percentile_odds_read_their_rows_once(spark, sf_dir, monkeypatch):
 def test_percentiles_at_other_shares(rows):
     values = rows.toPandas()["z"]
     assert np.allclose(jointfits.anchors(rows, ["z", "x"], shares=(0.1, 0.5, 0.9))["z"], np.percentile(values, [10, 50, 90]))
+
+
+def test_passes_over_the_rows(spark, rows):
+    """Rows go over the wire as they are, not as a design; nulls and levels are counted together, and the last pass gives X'WX and scores."""
+    odd = rows.unionByName(rows.where("g < 5")).withColumns({"cluster": F.col("x") * 2 + F.col("z"), "salt": F.col("z") - F.col("x") * F.col("x")})
+    specs = {"names": "{outcome} ~ cluster + salt", "spline": "{outcome} ~ cr(x, knots=[-1, 0, 1]) + C(b)"}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("passes", "passes")
+    fits, ledger = jointfits.fit_grid(odd, [("y", "robust"), ("never", "gee")], specs, "g")
+    jobs = len(tracker.getJobIdsForGroup("passes"))
+    spark.sparkContext.setJobGroup("other", "")
+    turns = max(f.iterations for f in fits.values())
+    assert jobs <= 2 * turns + 16, (jobs, turns)
+    assert [r["status"] for r in ledger] == ["OK", "OK", "FAIL", "FAIL"]
+    local = odd.toPandas().dropna(subset=["g"])
+    own = local.dropna(subset=["cluster", "salt"])
+    beta, _, covs = dense(np.column_stack([np.ones(len(own)), own["cluster"], own["salt"]]), own["y"].to_numpy(float), own["g"].to_numpy())
+    f = fits["y", "robust", "names"]
+    assert np.allclose(f.beta, beta, atol=1e-7) and np.allclose(f.cov, covs["robust"], rtol=1e-5, atol=1e-12)
+    own = local.dropna(subset=["x", "b"])
+    f = fits["y", "robust", "spline"]
+    x = np.array([f.terms["design"].row(r) for r in own.to_dict("records")])
+    _, eta, covs = dense(x, own["y"].to_numpy(float), own["g"].to_numpy())
+    assert np.allclose(x @ f.beta, eta, atol=1e-6) and np.allclose(np.einsum("ij,jk,ik->i", x[:40], f.cov, x[:40]), np.einsum("ij,jk,ik->i", x[:40], covs["robust"], x[:40]), rtol=1e-5, atol=1e-10)
+
+
+def test_levels_counted_by_the_caller(spark):
+    df = spark.createDataFrame([(1, "a"), (0, None), (1, "b")], "y int, s string")
+    names = formulas.coded_columns(df, ["y ~ s", "y ~ C(y) + s"])
+    assert names == ["s", "y"]
+    assert formulas.designs(df, ["y ~ s"], [F.lit(True)], {"s": 2, "y": 2})[0].names() == ["Intercept", "s[T.b]"]
+    with pytest.raises(ValueError, match="too many levels"):
+        formulas.designs(df, ["y ~ s"], [F.lit(True)], {"s": 5000, "y": 2})
+    with pytest.raises(ValueError, match="too many levels"):
+        jointfits.fit_grid(spark.range(3000).selectExpr("cast(id % 2 as int) AS y", "cast(id AS string) AS s", "id % 9 AS g"), [("y", "gee")], {"a": "{outcome} ~ s"}, "g")
