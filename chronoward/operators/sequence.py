@@ -83,9 +83,10 @@ def forward_fill(df: DataFrame, names: Sequence[str], by: Sequence[str], order:
 
 
 def fill_both(df: DataFrame, names: Sequence[str], by: Sequence[str], order: Sequence) -> DataFrame:
-    """Forward, then backward, within the partition."""
-    before, after = running(by, order), Window.partitionBy(*by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in names})
+    """Forward, then backward, within the partition. What is left to fill backward lies before the partition's first value, so that is read
+    once for all rows; a frame from each row to the end would be read again for every row."""
+    before, whole = running(by, order), Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(whole)) for c in names})
 
 
 def hour_grid(bounds: DataFrame, start: str, end: str, name: str = "event_dttm", extra_hours: int = 0, by: Sequence[str] = ()) -> DataFrame:

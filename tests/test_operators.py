@@ -421,3 +421,18 @@ def test_waterfall_full_shuffles_its_rows_once(spark, monkeypatch):
     assert plan.count("REPARTITION_BY_NUM") == 2
     after = plan.partition("Union")
     assert after[1] and "Exchange" not in after[0] and after[0].count("Sort ") == 6
+
+
+def test_fill_both_reads_a_partition_once(spark):
+    """Forward, then backward, with null keys, empty and late values; no frame runs from each row to the end, which is quadratic on a hot key."""
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 9 == 0 else int(i % 5), i, None if rng.random() < 0.7 or i < 40 else int(rng.integers(9)), None if i % 5 == 2 or rng.random() < 0.5 else "" if i % 3 else "x") for i in range(300)]
+    df = S.fill_both(spark.createDataFrame(rows, "k int, t int, a int, b string").repartition(7), ["a", "b"], ["k"], ["t"])
+    got = {r["t"]: (r["a"], r["b"]) for r in df.collect()}
+
+    def filled(k, t, at):
+        own = [(r[1], r[at]) for r in rows if r[0] == k and r[at] is not None]
+        return next((v for u, v in reversed(own) if u <= t), next((v for u, v in own if u > t), None))
+
+    assert got == {t: (filled(k, t, 2), filled(k, t, 3)) for k, t, _, _ in rows}
+    assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().executedPlan().toString()
